@@ -100,8 +100,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     100 * |intersection| >= ``percent`` * |union| on the full sets. Documents with equal sets are first folded into
     one representative. Representatives are sketched (one permutation, ``bins`` bins, empty bins densified), bands of
     ``rows`` values make buckets, and each bucket gives one edge per member, to the bucket's centre. Edges are
-    confirmed on the full sets. A bucket that then still holds several components gets another centre, again and
-    again, until every member was a centre or all are joined; so a link that no first star shows is still found.
+    confirmed on the full sets. A bucket that then still holds several components gets more centres, again and again,
+    until every member was one or all are joined; so a link that no first star shows is still found. Before that,
+    documents leave that can have no such link: the shingles of a set that occur in no other open bucket's set
+    bound its intersection with any other from above, which also rules out most pairs of the rest unseen.
 
     Null or blank text: ``n_shingles`` 0, linked with nothing. A null id: its own component (null), kept. Rows that
     repeat an id are one document (of the row with the smallest fingerprint) and each gets the result. Other columns are ignored.
@@ -137,20 +139,44 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         if found.limit(1).count():
             ends = found if centres == 1 else _between(found, alive)
             merged = cut(components(ends).toDF("comp", "into"))
-            alive = alive.join(merged, "comp", "left").select("key", "id", "n", "m", F.coalesce("into", "comp").alias("comp"))
+            alive = alive.join(merged, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
         alive = cut(alive)
-        mixed = cut(alive.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
-        alive = cut(alive.join(mixed, "key"))
+        alive = _mixed(alive)
+        if centres == 1:
+            held = cut(alive.select("id").distinct())
+            alive = _mixed(cut(alive.join(_shared(held, docs, words), "id", "left").withColumn("v", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * v >= {percent} * n")))
         most = alive.agg(F.max("m")).first()[0]
         if most is None or centres >= most:
             return links
         centres *= CENTRES
-        chosen = alive.where(F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 40)) * F.col("m") < F.lit(centres << 40)).select("key", F.col("id").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("other"))
-        near = alive.join(chosen, "key").where(f"comp <> other and 100 * least(n, nv) >= {percent} * greatest(n, nv)")
-        pairs = near.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+        chosen = alive.where(F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 40)) * F.col("m") < F.lit(centres << 40)).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("v").alias("v2"), F.col("comp").alias("other"))
+        near = alive.join(chosen, "key").where(f"comp <> other and {100 + percent} * least(v, v2) >= {percent} * (n + n2)")
+        pairs = near.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
 
 
+def _mixed(alive: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component."""
+    keys = cut(alive.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
+    return cut(alive.join(keys, "key"))
+
+
+def _shared(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, alone): of each document of ``held`` the shingles that no other one of them has; the rest bounds any intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 64):
+                part = batch.slice(low, 64)
+                sets = list(shingle_sets(part.column(1), words))
+                rows = pa.array(np.repeat(np.arange(len(part)), list(map(len, sets))))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(sets).view(np.int64))], ["id", "h"])
+
+    each = docs.join(held, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h long")
+    once = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return cut(once.groupBy("id").agg(F.count("*").alias("alone")))
+
+
 def _between(links: DataFrame, alive: DataFrame) -> DataFrame:
     """Links between documents -> links between their components so far."""
     comp = cut(alive.select("id", "comp").distinct())

@@ -1,0 +1,172 @@
+"""PII surrogates in DataFrame operations: keyed, type-consistent replacements with collision checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, let
+
+_EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_GAP = r"[^\p{L}\p{N}\n]{1,5}"
+#: Titles that go before a name and tell its gender.
+TITLES = {
+    "m": (r"Mr\.?", "Herr", r"M\.", "Monsieur", r"Sr\.", "Señor", "Sir"),
+    "f": (r"Mrs\.?", r"Ms\.?", "Miss", "Frau", r"Mme\.?", "Madame", "Mlle", r"Sra\.", "Señora", "Lady"),
+    "n": (r"Dr\.?", r"Prof\.?"),
+}
+_TITLE = "|".join(t for g in TITLES.values() for t in g)
+#: (type, pattern) in order of precedence; the patterns are joined into one, so that entities never overlap.
+PATTERNS = (
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}" + _END),
+    ("secret", rf"{_EDGE}(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key){_GAP}[=:][^\p{{L}}\p{{N}}\n]{{0,5}}[A-Za-z0-9_/+-]{{8,512}}"),
+    ("secret", rf"{_EDGE}(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,255}}|sk-[A-Za-z0-9_-]{{20,255}}|[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}){_END}"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}+])\+\d{{1,3}}[^\p{{L}}\p{{N}}\n]{{0,5}}\(\d{{2,4}}\){_GAP}\d{{3,4}}[ .-]\d{{3,4}}{_END}"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}{_END}"),
+    ("iban", rf"{_EDGE}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"),
+    ("card", rf"(?<![\p{{L}}\p{{N}}.-])\d(?:[ -]?\d){{12,18}}{_END}"),
+    ("ssn", rf"(?<![\p{{L}}\p{{N}}.-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])"),
+    ("phone", rf"(?<![\p{{L}}\p{{N}}.-])(?:\(\d{{3}}\) ?|\d{{3}}[-.])\d{{3}}[-.]\d{{4}}(?![\p{{L}}\p{{N}}-])"),
+    ("ip", rf"(?<![\p{{L}}\p{{N}}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){{3}}(?!\.?[\p{{L}}\p{{N}}])"),
+    ("name", rf"{_EDGE}(?:{_TITLE}) \p{{Lu}}[\p{{L}}\p{{M}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}\p{{M}}'-]{{1,40}})?"),
+)
+PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: (class of characters, replacements): a character becomes one of its own class, so case, script and format stay.
+CLASSES = (
+    ("[0-9]", "0123456789"), ("[aeiou]", "aeiou"), ("[a-z]", "bcdfghjklmnpqrstvwxz"), ("[AEIOU]", "AEIOU"), ("[A-Z]", "BCDFGHJKLMNPQRSTVWXZ"),
+    (r"[\p{IsLatin}&&\p{Ll}]", "áàâäéèêëíìîïóòôöúùûüñç"), (r"[\p{IsLatin}&&\p{Lu}]", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜÑÇ"),
+    (r"[\p{IsCyrillic}&&\p{Ll}]", "абвгдежзиклмнопрстуфхцчшэюя"), (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"[\p{IsGreek}&&\p{Ll}]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsHan}", "明华文国安平东南西北春秋山水云天"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそ"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソ"), (r"\p{IsHangul}", "가나다라마바사아자차카타파하"),
+)
+
+
+def entity_type(value: Column) -> Column:
+    """The first type whose pattern is all of an entity (names last)."""
+    kind = F.lit("name")
+    for name, pattern in reversed(PATTERNS[:-1]):
+        kind = F.when(F.rlike(value, F.lit(f"^(?:{pattern})$")), name).otherwise(kind)
+    return kind
+
+
+def _random(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """A long hexadecimal string that only the key's holder can tell (four SHA-512 digests)."""
+    seed = lambda k: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"), F.lit(str(k)), F.lit(key)), 512)
+    return F.concat(*(seed(k) for k in range(4)))
+
+
+def _masked(value: Column, noise: Column, hexadecimal: Column | None = None) -> Column:
+    """Every letter and digit replaced within its class; the rest stays. Of a value over 170 characters the noise repeats."""
+
+    def one(i: Column) -> Column:
+        c = F.substr(value, i, F.lit(1))
+        r = F.conv(F.substr(noise, (i - 1) % 170 * 3 + 1, F.lit(3)), 16, 10).cast("int")
+        out = c
+        for pattern, letters in reversed(CLASSES):
+            out = F.when(F.rlike(c, F.lit(pattern)), F.substr(F.lit(letters), r % len(letters) + 1, F.lit(1))).otherwise(out)
+        if hexadecimal is not None:
+            for pattern, letters in (("[a-f]", "abcdef"), ("[A-F]", "ABCDEF")):
+                out = F.when(hexadecimal & F.rlike(c, F.lit(pattern)), F.substr(F.lit(letters), r % 6 + 1, F.lit(1))).otherwise(out)
+        return out
+
+    return F.when(F.char_length(value) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(value), F.lit(1))), one), "")).otherwise("")
+
+
+def _luhn_sum(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, the last one counting once."""
+    n = F.char_length(digits)
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: let(F.substr(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1), lambda d: F.when(d > 9, d - 9).otherwise(d)))
+    return F.aggregate(each, F.lit(0), lambda a, d: a + d)
+
+
+def _card(value: Column, noise: Column) -> Column:
+    """Digits and gaps as before; the check digit is right if it was."""
+    masked = _masked(value, noise)
+    digits, old = F.regexp_replace(masked, r"\D", ""), F.regexp_replace(value, r"\D", "")
+    off = _luhn_sum(F.concat(F.substr(digits, F.lit(1), F.char_length(digits) - 1), F.lit("0")))
+    right = F.concat(F.substr(masked, F.lit(1), F.char_length(masked) - 1), ((10 - off % 10) % 10).cast("string"))
+    return F.when(_luhn_sum(old) % 10 == 0, right).otherwise(masked)
+
+
+def _ip(value: Column, noise: Column) -> Column:
+    octets = F.split(value, r"\.")
+    part = lambda o, i: let(F.conv(F.substr(noise, i * 4 + 1, F.lit(4)), 16, 10).cast("int"), lambda r: F.when(F.char_length(o) == 1, r % 10).when(F.char_length(o) == 2, 10 + r % 90).otherwise(100 + r % 155))
+    return F.array_join(F.transform(octets, lambda o, i: part(o, i).cast("string")), ".")
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(type, value, attempt) -> with ``surrogate``, of the same type and format."""
+    kind, value, attempt = F.col("type"), F.col("value"), F.col("attempt")
+    noise = _random(key, kind, value, attempt)
+    prepared = entities.withColumn("noise", noise)
+    head = F.regexp_extract("value", r"^(.*[=:][^\p{L}\p{N}]*)", 1)
+    tail = F.substr(value, F.char_length(head) + 1)
+    hexadecimal = F.rlike(tail, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    site, account, top = F.substring_index(value, "@", -1), F.substring_index(value, "@", 1), F.substring_index(value, ".", -1)
+    below = F.substr(site, F.lit(1), F.char_length(site) - F.char_length(top))
+    domain = F.concat(_masked(below, _random(key, F.lit("domain"), site, F.lit(0))), top)
+    title = F.regexp_extract("value", rf"^(?:{_TITLE}) ", 0)
+    names = F.split(F.substr(value, F.char_length(title) + 1), " ")
+    #: A name's last letter stays, as it often tells the gender; each part is replaced alike wherever it stands.
+    part = lambda p: F.concat(_masked(F.substr(p, F.lit(1), F.char_length(p) - 1), _random(key, F.lit("name"), p, F.col("attempt"))), F.substr(p, F.char_length(p)))
+    made = (
+        F.when(kind == "email", F.concat(_masked(account, F.col("noise")), F.lit("@"), domain))
+        .when(kind == "secret", F.concat(head, _masked(tail, F.col("noise"), hexadecimal)))
+        .when(kind == "phone", F.concat(F.regexp_extract("value", r"^(\+\d{1,3})?", 0), _masked(F.regexp_replace("value", r"^\+\d{1,3}", ""), F.col("noise"))))
+        .when(kind == "card", _card(value, F.col("noise")))
+        .when(kind == "ip", _ip(value, F.col("noise")))
+        .when(kind == "part", part(value))
+        .otherwise(_masked(value, F.col("noise")))
+    )
+    #: A format with too few values for all entities gives way in the end; being distinct does not.
+    last = F.when(attempt >= 12, F.concat(made, F.lit("-"), F.substr(F.col("noise"), F.lit(1), F.lit(12)))).otherwise(made)
+    return prepared.select("type", "value", "attempt", last.alias("surrogate"))
+
+
+def distinct_surrogates(values: DataFrame, key: str) -> DataFrame:
+    """(type, value), all different -> (type, value, surrogate): no two values of a type share one, and none is itself a value of the type.
+
+    Of values that meet in one surrogate the smallest keeps it and the others try again, until none meet; so a result
+    depends on nothing but the set of values and the key. Minima are aggregated map-side.
+    """
+    open_, done = values.withColumn("attempt", F.lit(0)), None
+    taken = values.select(F.col("type").alias("t"), F.col("value").alias("s"))
+    while True:
+        tried = cut(surrogates(open_, key))
+        clean = tried.join(taken, (F.col("type") == F.col("t")) & (F.col("surrogate") == F.col("s")), "left_anti")
+        winners = cut(clean.groupBy("type", "surrogate").agg(F.min("value").alias("value")))
+        done = winners if done is None else done.unionByName(winners)
+        open_ = tried.join(winners.select("type", "value"), ["type", "value"], "left_anti").select("type", "value", (F.col("attempt") + 1).alias("attempt"))
+        if not open_.limit(1).count():
+            return done
+        taken = taken.unionByName(winners.select(F.col("type").alias("t"), F.col("surrogate").alias("s")))
+
+
+def replace_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", key: str = "quillgrid") -> DataFrame:
+    """(doc_id, text, n_entities): every document with its personal data replaced by surrogates.
+
+    Found are e-mail addresses, assigned or well-known secrets, phone, card, account and social-security numbers, IP addresses, and
+    names after a title. A surrogate depends on ``key``, the type and the value, and keeps the format: digits for digits, letters of
+    the same case and script, the domain's ending, a phone's country code, a card's valid check digit, a name's title and last letter (gender). The
+    same value has the same surrogate everywhere, names also part by part ("Mr. A B" and "Mr. B"), and e-mail addresses of one domain share one. Values
+    never share a surrogate, nor is a surrogate a value found in the documents.
+
+    Null text stays null, with no entities; text without any is unchanged. Rows that repeat id and text, and null ids, are treated like any. Other
+    columns are ignored. Entities are counted once per value (map-side first), so a value in very many documents is one row.
+    """
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
+    found = docs.where(F.rlike("text", F.lit(PATTERN))).select("id", "version", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "value"))
+    found = cut(found.distinct().withColumn("type", entity_type(F.col("value"))))
+    title = F.regexp_extract("value", rf"^(?:{_TITLE}) ", 0)
+    whole = found.where("type <> 'name'").select("type", "value")
+    parts = found.where("type = 'name'").select(F.lit("part").alias("type"), F.explode(F.split(F.substr(F.col("value"), F.char_length(title) + 1), " ")).alias("value"))
+    made = cut(distinct_surrogates(cut(whole.unionByName(parts).distinct()), key))
+    plain = found.where("type <> 'name'").join(made, ["type", "value"]).select("id", "version", "pos", "surrogate")
+    pieces = found.where("type = 'name'").select("id", "version", "pos", title.alias("title"), F.posexplode(F.split(F.substr(F.col("value"), F.char_length(title) + 1), " ")).alias("k", "value"))
+    named = pieces.join(made.where("type = 'part'"), "value").groupBy("id", "version", "pos", "title").agg(F.sort_array(F.collect_list(F.struct("k", "surrogate"))).alias("p"))
+    named = named.select("id", "version", "pos", F.concat("title", F.array_join(F.transform("p", lambda x: x["surrogate"]), " ")).alias("surrogate"))
+    per = cut(plain.unionByName(named).groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("hits")))
+    there = docs.alias("d").join(per.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")
+    between = F.split("text", PATTERN)
+    woven = F.array_join(F.zip_with(between, F.transform("hits", lambda h: h["surrogate"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return there.select(F.col("d.id").alias(id_col), F.when(F.col("hits").isNull(), F.col("text")).otherwise(woven).alias(text_col), F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_entities"))

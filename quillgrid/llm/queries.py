@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import digest, format_examples
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .pii import replace_pii
 from .substring_dedup import drop_repeated_spans
 from .url_filter import filter_urls
 
@@ -55,6 +57,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("kept", ~F.col("contaminated"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, -1, that is full of control strings."""
     text = "</s>[INST] ok [/INST]"
@@ -62,6 +69,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -70,7 +81,9 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
