@@ -8,27 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.columns import folder, link_stem, stem
 from ..functions.tables import cut
 
-#: Patterns of references in text: group 1 is what is referred to.
+#: Fixed patterns of references in text; group 1 is what is referred to (of an image: 1 the alternative text, 2 the target).
 WIKI = r"\[\[([^\]|#]+)"
-MARKDOWN = r"\[[^\]]*\]\(([^)\s#]+\.md)(?:#[^)]*)?\)"
-IMAGE = r"!\[[^\]]*\]\(([^)\s]+)\)"
-REQUIREMENT = r"(?U)\b((?:REQ|FR|NFR)-\d+)\b"
-CODE = r"(?U)\b([\w/.-]+\.(?:kt|kts|swift|java|py|tsx|ts|gradle))\b"
+MARKDOWN = r"\]\(([^)#\s]+\.md)(?:#[^)\s]*)?\)"
+IMAGE = r"!\[([^\]]*)\]\(([^)#\s]+)\)"
+CODE = r"(?U)\b([\w/.-]*\w\.(?:kt|kts|swift|java|py|ts|tsx|gradle))\b"
+REQUIREMENT = r"(?U)\b(REQ-\d+)\b"
+PICTURES = r"(?i)\.(png|jpg|jpeg|gif|webp|svg)$"
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """(path, text) -> (src, dst, kind): wiki, markdown and image links as often as they stand, code and requirement references once a document."""
-    def found(kind: str, pattern: str, once: bool = False) -> DataFrame:
-        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+
+    def found(kind: str, pattern: str, group: int = 1, once: bool = False) -> DataFrame:
+        hits = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
         return docs.select(F.col("path").alias("src"), F.explode(F.array_distinct(hits) if once else hits).alias("dst"), F.lit(kind).alias("kind"))
 
-    image = found("img", IMAGE).where(F.lower("src").endswith(".md"))
+    image = found("img", IMAGE, 2).where(F.lower("src").endswith(".md") & F.rlike("dst", F.lit(PICTURES)))
     out = found("wiki", WIKI).unionByName(found("md", MARKDOWN)).unionByName(image)
-    out = out.unionByName(found("code", CODE, True)).unionByName(found("req", REQUIREMENT, True))
-    local = out.where("not dst rlike '^https?:'").withColumn("dst", F.trim("dst"))
+    out = out.unionByName(found("code", CODE, once=True)).unionByName(found("req", REQUIREMENT, once=True))
+    local = out.where("kind in ('wiki', 'code', 'req') or not dst rlike '^(http|//)'").withColumn("dst", F.trim("dst"))
     return local.withColumn("dst", F.when(F.col("kind").isin("md", "img"), resolve_relative(folder(F.col("src")), F.col("dst"))).otherwise(F.col("dst")))
 
 
+def image_alts(docs: DataFrame) -> DataFrame:
+    """(path, text) -> (src, dst, alt) of image references in markdown that have an alternative text."""
+    two = F.arrays_zip(F.regexp_extract_all("text", F.lit(IMAGE), F.lit(1)).alias("alt"), F.regexp_extract_all("text", F.lit(IMAGE), F.lit(2)).alias("dst"))
+    each = docs.where(F.lower("path").endswith(".md")).select(F.col("path").alias("src"), F.explode(two).alias("x")).select("src", "x.dst", F.trim("x.alt").alias("alt"))
+    local = each.where(F.rlike("dst", F.lit(PICTURES)) & (F.col("alt") != "") & ~F.rlike("dst", F.lit("^(http|//)")))
+    return local.withColumn("dst", resolve_relative(folder(F.col("src")), F.col("dst")))
+
+
 def resolve_relative(of: Column, target: Column) -> Column:
     """A relative path seen from folder ``of``, with "." and ".." worked out; a target that leaves the root stays as it is."""
     parts = F.split(F.when(of == ".", target).otherwise(F.concat_ws("/", of, target)), "/")

@@ -97,7 +97,7 @@ class Ranked:
     stats: Statistics
 
     def top(self, n: int) -> DataFrame:
-        return self.results.orderBy(*RANKING).limit(n)
+        return self.results.orderBy(*ranking()).limit(n)
 
     def weak(self) -> bool:
         """Whether another phrasing is called for: nothing found, a term that occurs nowhere, only a relaxed match, or a low best score."""
@@ -105,7 +105,9 @@ class Ranked:
         return best is None or any(not self.stats.df.get(t) for t in self.query.plain) or (self.partial and not self.query.long) or best < WEAK_SCORE
 
 
-RANKING = (F.col("score").desc(), F.col("matched_idf").desc(), F.col("nmatched").desc(), F.col("path"))
+def ranking() -> tuple[Column, ...]:
+    """Best first; equal ones by path."""
+    return F.col("score").desc(), F.col("matched_idf").desc(), F.col("nmatched").desc(), F.col("path")
 
 
 def rank(scan: DataFrame, text: str, stats: Statistics | None = None) -> Ranked:
@@ -146,7 +148,7 @@ def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n
 def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None = None) -> DataFrame:
     """Reciprocal-rank fusion of several phrasings (and, if given, of vector hits): each list votes 1 / (60 + rank)."""
     stats = statistics(scan, list(dict.fromkeys(t for x in texts for t in parse(x).plain)))
-    votes = [global_rank(rank(scan, x, stats).results, "rank", *RANKING).select("path", "rank", F.lit(q).alias("q")) for q, x in enumerate(texts)]
+    votes = [global_rank(rank(scan, x, stats).results, "rank", *ranking()).select("path", "rank", F.lit(q).alias("q")) for q, x in enumerate(texts)]
     if near is not None:
         votes.append(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q")))
     lists = reduce(DataFrame.unionByName, votes)

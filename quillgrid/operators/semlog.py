@@ -11,8 +11,9 @@ KINDS = ("note", "edge", "embed")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw, v, type): JSON lines in order as VARIANT; what is no JSON object with a string type has a null type, and unknown types are kept as they are."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw")).where("trim(raw) <> ''")
+    """(line, raw, v, type): JSON lines as VARIANT, ``line`` ordering them by file name and place; what is no JSON object with a string type has a null type, and unknown types are kept as they are."""
+    at = F.concat_ws("#", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    lines = spark.read.text(path).select(at.alias("line"), F.col("value").alias("raw")).where("trim(raw) <> ''")
     return lines.withColumn("v", F.expr("try_parse_json(raw)")).withColumn("type", F.expr("try_variant_get(v, '$.type', 'string')"))
 
 
