@@ -19,7 +19,9 @@ BINS = 256
 #: Sketch values in a band. 42 bands of 6 find a pair of similarity 0.8 in 99.9997 % of cases.
 ROWS = 6
 #: From one round to the next a bucket that is still of several components has so many times the centres.
-CENTRES = 8
+CENTRES = 64
+#: A shingle that a centre lacks and at most so many members of its buckets have is rare.
+RARE = 8
 
 
 def _donors(bins: int) -> np.ndarray:
@@ -71,26 +73,34 @@ def sketches(docs: DataFrame, words: int, bins: int = BINS, rows: int = ROWS) ->
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bits binary, bands array<long>")
 
 
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) -> (u, v, tu, tv)."""
+    texts = docs.select(F.col("id").alias("u"), F.col("text").alias("tu"))
+    return pairs.join(texts, "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
+
+
+def _both_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple]:
+    """Small parts of (u, v, tu, tv) batches with the shingle sets of either side; a run of rows of one v hashes its text once."""
+    for batch in batches:
+        for low in range(0, len(batch), 64):
+            part = batch.slice(low, 64)
+            others, last = [], None
+            for k, v in enumerate(part.column(1).to_pylist()):
+                others.append(others[-1] if others and v == last else next(shingle_sets(part.column(3).slice(k, 1), words)))
+                last = v
+            yield part, list(shingle_sets(part.column(2), words)), others
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose full shingle sets have 100 * intersection >= percent * union."""
-    texts = docs.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    both = pairs.join(texts, "u").join(texts.toDF("v", "tv"), "v").select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 64):
-                part = batch.slice(low, 64)
-                v, last, own = part.column(1).to_pylist(), None, None
-                keep = []
-                others = part.column(3)
-                for k, a in enumerate(shingle_sets(part.column(2), words)):
-                    if own is None or v[k] != last:
-                        own, last = next(shingle_sets(others.slice(k, 1), words)), v[k]
-                    common = len(np.intersect1d(a, own, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= percent * (len(a) + len(own) - common))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for part, sets, others in _both_sets(batches, words):
+            common = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(sets, others)]
+            keep = [c > 0 and 100 * c >= percent * (len(a) + len(b) - c) for a, b, c in zip(sets, others, common)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return _with_texts(pairs, docs).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -100,10 +110,10 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     100 * |intersection| >= ``percent`` * |union| on the full sets. Documents with equal sets are first folded into
     one representative. Representatives are sketched (one permutation, ``bins`` bins, empty bins densified), bands of
     ``rows`` values make buckets, and each bucket gives one edge per member, to the bucket's centre. Edges are
-    confirmed on the full sets. A bucket that then still holds several components gets more centres, again and again,
-    until every member was one or all are joined; so a link that no first star shows is still found. Before that,
-    documents leave that can have no such link: the shingles of a set that occur in no other open bucket's set
-    bound its intersection with any other from above, which also rules out most pairs of the rest unseen.
+    confirmed on the full sets. Buckets that then still hold several components stay open, as a link may run between
+    two members that are not the centre. Of what the centre lacks, members that share a rare shingle (one that at most 8 members of
+    the centre have) are compared. What any other pair shares is bounded by the shingles that are not rare, which rules out nearly
+    all the rest; what it leaves gets more centres per bucket, again and again, until every member was one or all are joined.
 
     Null or blank text: ``n_shingles`` 0, linked with nothing. A null id: its own component (null), kept. Rows that
     repeat an id are one document (of the row with the smallest fingerprint) and each gets the result. Other columns are ignored.
@@ -130,29 +140,42 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     buckets = cut(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre")).where("m > 1"))
     alive = cut(entries.join(buckets, "key"))
     pairs = cut(alive.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
-    links = tested = None
-    alive, centres = alive.drop("centre").withColumn("comp", F.col("id")), 1
-    while True:
-        found = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
-            ends = found if centres == 1 else _between(found, alive)
-            merged = cut(components(ends).toDF("comp", "into"))
-            alive = alive.join(merged, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into")
-        alive = cut(alive)
-        alive = _mixed(alive)
-        if centres == 1:
-            held = cut(alive.select("id").distinct())
-            alive = _mixed(cut(alive.join(_shared(held, docs, words), "id", "left").withColumn("v", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * v >= {percent} * n")))
-        most = alive.agg(F.max("m")).first()[0]
-        if most is None or centres >= most:
-            return links
+    links = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
+    alive = _mixed(_merged(alive.withColumn("comp", F.col("id")), links))
+    if not alive.limit(1).count():
+        return links
+    tested = pairs
+    rare, few = _rare(cut(alive.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()), docs, words)
+    alive = alive.join(few, ["centre", "id"], "left").withColumns({"core": F.col("n") - F.coalesce("lacks", F.lit(0)), "more": F.coalesce(F.col("lacks") - F.col("few"), F.lit(0))})
+    alive = cut(alive.select(F.col("centre").alias("key"), "id", "n", "core", "more", "comp").distinct())  # from here on the buckets of one centre are one
+    pairs = cut(_rare_pairs(rare, alive.withColumnRenamed("key", "centre"), percent).join(tested, ["u", "v"], "left_anti"))
+    found = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
+    links, tested = links.unionByName(found), tested.unionByName(pairs)
+    alive = _mixed(_merged(alive, found))
+    least = cut(alive.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")))
+    alive = _mixed(cut(alive.join(least, "key").where(f"{100 + percent} * (core + more) >= {percent} * (n + least)").drop("least")))
+    centres, most = 1, alive.agg(F.max("m")).first()[0]
+    while most is not None and centres < most:
         centres *= CENTRES
-        chosen = alive.where(F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 40)) * F.col("m") < F.lit(centres << 40)).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("v").alias("v2"), F.col("comp").alias("other"))
-        near = alive.join(chosen, "key").where(f"comp <> other and {100 + percent} * least(v, v2) >= {percent} * (n + n2)")
+        chosen = alive.where(F.pmod(F.xxhash64("id", F.lit(centres)), F.lit(1 << 40)) / float(1 << 40) * F.col("m") < centres).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("core").alias("core2"), F.col("more").alias("more2"), F.col("comp").alias("other"))
+        near = alive.join(chosen, "key").where(f"comp <> other and {100 + percent} * (least(core, core2) + least(more, more2)) >= {percent} * (n + n2)")
         pairs = near.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+        found = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        alive = _mixed(_merged(alive, found))
+        most = alive.agg(F.max("m")).first()[0]
+    return links
+
+
+def _merged(alive: DataFrame, links: DataFrame) -> DataFrame:
+    """``alive`` with the components that new links between its documents make of the present ones."""
+    if not links.limit(1).count():
+        return alive
+    comp = cut(alive.select("id", "comp").distinct())
+    ends = links.join(comp.toDF("u", "cu"), "u").join(comp.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    moved = cut(components(ends).toDF("comp", "into"))
+    return cut(alive.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into"))
 
 
 def _mixed(alive: DataFrame) -> DataFrame:
@@ -161,26 +184,30 @@ def _mixed(alive: DataFrame) -> DataFrame:
     return cut(alive.join(keys, "key"))
 
 
-def _shared(held: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(id, alone): of each document of ``held`` the shingles that no other one of them has; the rest bounds any intersection."""
+def _rare(pairs: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of members u of open buckets with centre v, and the shingles of u that v lacks: (centre, h, id) of each that 2 to RARE members of the centre have,
+    and (centre, id, few, lacks), how many each member has that RARE members at most have, and how many in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, len(batch), 64):
-                part = batch.slice(low, 64)
-                sets = list(shingle_sets(part.column(1), words))
-                rows = pa.array(np.repeat(np.arange(len(part)), list(map(len, sets))))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), pa.array(np.concatenate(sets).view(np.int64))], ["id", "h"])
-
-    each = docs.join(held, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, h long")
-    once = each.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return cut(once.groupBy("id").agg(F.count("*").alias("alone")))
-
-
-def _between(links: DataFrame, alive: DataFrame) -> DataFrame:
-    """Links between documents -> links between their components so far."""
-    comp = cut(alive.select("id", "comp").distinct())
-    return links.join(comp.toDF("u", "cu"), "u").join(comp.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        for part, sets, others in _both_sets(batches, words):
+            own = [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(sets, others)]
+            rows = pa.array(np.repeat(np.arange(len(part)), list(map(len, own))))
+            yield pa.RecordBatch.from_arrays([part.column(1).take(rows), part.column(0).take(rows), pa.array(np.concatenate(own).view(np.int64))], ["centre", "id", "h"])
+
+    each = cut(_with_texts(pairs, docs).mapInArrow(run, "centre long, id long, h long"))
+    seldom = cut(each.groupBy("centre", "h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where(F.col("c") <= RARE))
+    rare = cut(each.join(seldom.where("c > 1").select("centre", "h"), ["centre", "h"]).distinct())
+    once = seldom.where("c = 1").select("centre", "id").unionByName(rare.select("centre", "id"))
+    marked = once.withColumn("few", F.lit(1)).unionByName(each.select("centre", "id", F.lit(0).alias("few")))
+    return rare, cut(marked.groupBy("centre", "id").agg(F.sum("few").alias("few"), F.sum(1 - F.col("few")).alias("lacks")))
+
+
+def _rare_pairs(rare: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components and one centre that share a rare shingle and, as far as is known, may be linked: they share those, and of the centre's and of the other shingles at most what the lesser has."""
+    of = rare.join(known, ["centre", "id"]).select("centre", "h", "id", "n", "core", "more", "comp")
+    two = of.join(of.toDF("centre", "h", "id2", "n2", "core2", "more2", "comp2"), ["centre", "h"]).where("id > id2 and comp <> comp2")
+    per = two.groupBy("centre", "id", "id2", "n", "n2", "core", "core2", "more", "more2").agg(F.count("*").alias("r"))
+    return per.where(f"{100 + percent} * (least(core, core2) + least(more, more2) + r) >= {percent} * (n + n2)").select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct()
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
