@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mix
@@ -197,15 +197,16 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "id long, lang_pred string, score double, entropy double, n long")
 
 
-def _ratio(known: dict[str, float]):
-    """Excess cross-entropy over the language's mean, scaled by the root of the length: comparable between short and long texts."""
+def _excess(known: dict[str, float]) -> tuple[Column, Column]:
+    """Excess cross-entropy over the language's mean, as such and scaled by the root of the length: comparable between short and long texts."""
     mean = F.lit(0.0)
     for lang, value in known.items():
         mean = F.when(F.col("lang_pred") == lang, value).otherwise(mean)
-    return (F.col("entropy") - mean) * F.sqrt(F.least(F.col("n"), F.lit(400)).cast("double"))
+    excess = F.col("entropy") - mean
+    return excess, excess * F.sqrt(F.least(F.col("n"), F.lit(400)).cast("double"))
 
 
-def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 2_000_000, slack: float = 1.25) -> DataFrame:
+def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 2_000_000, slack: float = 1.25, least_excess: float = 0.5) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) for every row of ``documents``; whole texts are scored.
 
     ``labelled`` (id, text, lang) gives the training rows; rows without a language or letters teach nothing. Of each language
@@ -214,7 +215,7 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     interpolated Kneser-Ney models of 4-grams, one fifth calibrates rejection. The prediction is the
     language of the lowest cross-entropy per code point (ties: the first name); ``score`` is its share in the softmax of the
     negative entropies. ``rejected``: no letter, or an excess over the language's mean entropy, scaled by the root of the length, of
-    over ``slack`` times the largest of any calibration row.
+    over ``slack`` times the largest of any calibration row (and of over ``least_excess`` nats a code point as such).
 
     Null text or text without a letter: ``und``, score 0, rejected. Without any labelled row all is ``und``. Null ids and
     repeated rows are scored like any. Other columns are ignored, and the language column of ``documents`` is never read.
@@ -232,7 +233,8 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     known = _scored(sample.where(fold == 0).select(F.col("id").cast("long"), "text"), model).where("n > 0")
     seen = known.groupBy("lang_pred").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("mean")).collect()
     mean = {r["lang_pred"]: float(r["mean"]) for r in seen}
-    most = known.agg(F.max(_ratio(mean))).first()[0] or 0.0
+    most = known.agg(F.max(_excess(mean)[1])).first()[0] or 0.0
     out = _scored(docs, model)
-    rejected = (F.col("n") == 0) | (_ratio(mean) > F.lit(max(most * slack, 1.0)))
+    excess, scaled = _excess(mean)
+    rejected = (F.col("n") == 0) | ((scaled > F.lit(most * slack)) & (excess > least_excess))
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "entropy", rejected.alias("rejected"))
