@@ -109,7 +109,7 @@ def drop_repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_co
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     spans = cut(_spans(docs, min_words))
     again = cut(spans.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"))
-    repeated = cut(spans.join(again, "h1").distinct())
+    repeated = cut(cut(spans.join(again, "h1")).distinct())  # apart, so that the join can split a hot hash
     first = repeated.groupBy("h1", "h2").agg(F.min(F.struct("id", "version", "run")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = repeated.join(cut(first.select("h1", "h2", "first")), ["h1", "h2"]).where(~F.struct("id", "version", "run").eqNullSafe(F.col("first")))
     lost = cut(later.groupBy("id", "version").agg(F.collect_set("run").alias("runs")))
