@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.tables import cut
-from ..functions.terms import FIELDS, least_variants, parse, variants
+from ..functions.terms import least_variants, variants
+from ..operators import edits as E
 from ..operators import links as L
 from ..operators import report as R
 from ..operators import search as S
 from ..operators import semlog as G
 from ..operators import suggest as U
 from ..sources import tables as T
+from ..sources.markup import parse_html
+from ..sources.vault import SECTION, ignored, plain_sections
+from ..streaming.ingest import event_counts
 
 AND, PHRASE, RELAXED = "schung tioned", '"of the"', "schung tioned queción über-alles"
 LONG = "the and schung tioned en que der"
@@ -285,9 +289,78 @@ def name_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.explode(C.name_tokens(F.col("path"))).alias("part")).groupBy("part").agg(F.count("*").alias("n"))
 
 
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stem, its words and parts, link name, folder and type of every page's address as a path."""
+    path = C.posix(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://", ""))
+    pages = T.read(spark, sf_dir, "pages").select("page_id", path.alias("p"))
+    own = F.col("p")
+    return pages.select("page_id", C.stem(own).alias("stem"), C.stem_words(C.stem(own)).alias("words"), F.array_join(F.array_sort(C.name_tokens(own)), ",").alias("parts"), C.link_stem(own).alias("link"), C.folder(own).alias("dir"), C.extension(own).alias("ext"))
+
+
+def path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near each document's folder is to that of the next document."""
+    scan = T.document_scan(spark, sf_dir).select("doc_id", "path")
+    both = scan.join(scan.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("other")), "doc_id")
+    return both.groupBy(C.proximity(F.col("path"), F.col("other")).alias("dir")).agg(F.count("*").alias("n"))
+
+
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per language that the patterns "src1", "*/de/*" and "src2/en" leave."""
+    scan = T.document_scan(spark, sf_dir)
+    return scan.where(~ignored(F.col("path"), ["src1", "*/de/*", "src2/en", "# comment"])).groupBy(F.element_at("tags", 1).alias("lang")).agg(F.count("*").alias("n"))
+
+
+def capped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of a term and its variants in each document, five at most."""
+    every = variants("über")
+    count = sum((C.occurrences(F.col("c"), v) for v in every), F.lit(0))
+    return T.document_scan(spark, sf_dir).select("path", F.lower("content").alias("c")).select("path", F.least(count, F.lit(5)).cast("long").alias("n")).where("n > 0")
+
+
+def notes_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest conversations whose first turn and reply hold all terms literally."""
+    turns = T.read(spark, sf_dir, "conversations").where("turn < 2")
+    notes = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("text"))
+    low = F.lower("text")
+    return notes.where(F.contains(low, F.lit("the")) & F.contains(low, F.lit("en"))).orderBy(F.desc("conv_id")).limit(3).select("conv_id", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def plain_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every document as plain text."""
+    each = T.document_scan(spark, sf_dir).select("path", F.posexplode(plain_sections(F.col("content"))).alias("sec_no", "s"))
+    return each.select("path", F.col("sec_no").cast("long").alias("sec_no"), F.col("s.line").cast("long").alias("line"), F.col("s.heading").alias("heading"), F.char_length("s.content").cast("long").alias("n_chars"))
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every page by its headings, by the HTML parser."""
+
+    def run(batches):
+        for batch in batches:
+            out = batch[["page_id"]].copy()
+            out["sections"] = [[{"line": k + 1, "level": lv, "heading": h, "content": c} for k, (lv, h, c) in enumerate(parse_html(t or "")["sections"])] for t in batch["html"]]
+            yield out
+
+    each = T.read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, f"page_id long, sections {SECTION}")
+    return each.select("page_id", F.explode("sections").alias("s")).select("page_id", "s.*")
+
+
+def fuzzy_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every brand of parts, misspelt, the part types and names most like it."""
+    part = T.read(spark, sf_dir, "part")
+    labels = part.select(F.concat(F.substr(F.lower("p_type"), F.lit(2)), F.lit("x")).alias("label")).distinct()
+    return E.close_names(labels, part.select(F.lower("p_type").alias("name")).distinct()).select("label", "candidate", F.round("ratio", 4).alias("ratio"))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and their values per day and type, by the streaming aggregation run over the table."""
+    found = event_counts(T.read(spark, sf_dir, "events"))
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
     search_conversations, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
     suggest_ranked, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
-    doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts,
+    doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, plain_text_sections, page_sections,
+    fuzzy_link_targets, event_windows,
 )}

@@ -172,5 +172,18 @@ SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHE
     "import_relation_mode": """WITH l AS (SELECT least('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS src, greatest('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS dst, l_returnflag AS relation, 's' || l_suppkey || ' -> p' || l_partkey AS why FROM lineitem WHERE l_linestatus = 'O'),
 c AS (SELECT src, dst, relation, count(*) AS n, any_value(why) AS why FROM l GROUP BY 1, 2, 3) SELECT src, dst, relation, why AS rationale FROM c QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, relation) = 1""",
     "ext_coverage": """SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '.(\\.[^.]+)$', 1)) AS ext, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1""",
+    "path_functions": r"""WITH p AS (SELECT page_id, replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), chr(92), '/') AS p FROM pages), b AS (SELECT page_id, p, string_split(p, '/')[-1] AS base FROM p),
+s AS (SELECT *, CASE WHEN regexp_matches(base, '^.+\.[^.]+$') THEN regexp_replace(base, '\.[^.]+$', '') ELSE base END AS stem FROM b)
+SELECT page_id, stem, array_to_string(list_filter(string_split_regex(stem, '[-_.\s]+'), lambda x: x <> ''), ' ') AS words, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(stem), '[-_ .]'), lambda x: length(x) >= 2))), ',') AS parts,
+  regexp_replace(lower(base), '\.(md|pdf|html|htm|txt|rst|org|adoc|png|jpg|jpeg|gif|webp|svg)$', '') AS link, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS dir,
+  lower(regexp_extract(base, '.(\.[^.]+)$', 1)) AS ext FROM s""",
+    "path_pairs": f"""WITH d AS (SELECT doc_id, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({DOCS}))
+SELECT CASE WHEN a.dir = b.dir THEN 'same' WHEN string_split(a.dir, '/')[1] = string_split(b.dir, '/')[1] THEN 'sibling' ELSE 'far' END AS dir, CAST(count(*) AS BIGINT) AS n FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 GROUP BY 1""",
+    "ignore_rules": "SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE source <> 'src1' AND lang <> 'de' AND NOT (source = 'src2' AND lang = 'en') GROUP BY 1",
+    "capped_counts": f"""SELECT path, CAST(least({' + '.join(f"(length(c) - length(replace(c, {_q(v)}, ''))) // {len(v)}" for v in variants('über'))}, 5) AS BIGINT) AS n FROM (SELECT path, lower(content) AS c FROM ({DOCS})) WHERE n > 0""",
+    "notes_matched": """WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE turn < 2 GROUP BY 1)
+SELECT conv_id, CAST(length(text) AS BIGINT) AS n_chars FROM n WHERE contains(lower(text), 'the') AND contains(lower(text), 'en') ORDER BY conv_id DESC LIMIT 3""",
+    "plain_text_sections": f"""SELECT path, CAST(0 AS BIGINT) AS sec_no, CAST(1 AS BIGINT) AS line, substr(trim(string_split(content, chr(10))[1]), 1, 60) AS heading, CAST(length(trim(content, chr(10))) AS BIGINT) AS n_chars FROM ({DOCS})""",
+    "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",
     "name_parts": "SELECT part, CAST(count(*) AS BIGINT) AS n FROM (SELECT p_partkey, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2))) AS part FROM part) GROUP BY 1",
 }

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quillgrid.plans.catalogue import QUERIES
+from quillgrid.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,7 +27,7 @@ def rows(frame):
     return sorted(tuple(map(show, r)) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) & set(ORACLES)))
 def test_same_rows(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).fetchdf()
@@ -34,6 +35,24 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_close_names_as_difflib(spark):
+    import difflib
+
+    got = {}
+    for r in QUERIES["fuzzy_link_targets"](spark, SF).collect():
+        got.setdefault(r.label, []).append(r)
+    names = sorted({r.p_type.lower() for r in spark.read.parquet(f"{SF}/part.parquet").select("p_type").collect()})
+    for label, found in got.items():
+        want = difflib.get_close_matches(label, names, n=3, cutoff=0.6)
+        best = [r.candidate for r in sorted(found, key=lambda r: (r.ratio, r.candidate), reverse=True)]
+        assert best == want
+
+
+def test_page_sections(spark):
+    rows = QUERIES["page_sections"](spark, SF)
+    assert rows.select("page_id").distinct().count() == 50 and rows.where("heading = ''").count() == 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
