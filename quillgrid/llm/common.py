@@ -1,35 +1,18 @@
-"""Helpers shared by the corpus operators: checkpoints, projections, text constants."""
+"""Helpers shared by the corpus operators: tables in the shared folder, text constants."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.tables import checkpoint_dir, cut  # noqa: F401
+
 #: The white space of every contract: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgrid-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it again: lineage ends, lost executors redo nothing above."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; ``lower`` does just that on pure ASCII and is far cheaper than ``translate``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
