@@ -166,7 +166,8 @@ def replace_pii(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = pieces.join(made.where("type = 'part'"), "value").groupBy("id", "version", "pos", "title").agg(F.sort_array(F.collect_list(F.struct("k", "surrogate"))).alias("p"))
     named = named.select("id", "version", "pos", F.concat("title", F.array_join(F.transform("p", lambda x: x["surrogate"]), " ")).alias("surrogate"))
     per = cut(plain.unionByName(named).groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("pos", "surrogate"))).alias("hits")))
-    there = docs.alias("d").join(per.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")
+    # always by shuffle, as the documents with entities grow with the input
+    there = docs.alias("d").join(per.alias("x").hint("merge"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")
     between = F.split("text", PATTERN)
     woven = F.array_join(F.zip_with(between, F.transform("hits", lambda h: h["surrogate"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return there.select(F.col("d.id").alias(id_col), F.when(F.col("hits").isNull(), F.col("text")).otherwise(woven).alias(text_col), F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_entities"))
