@@ -47,10 +47,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """(doc_id, contaminated, n_items, item_ids, covered) for every row of ``documents``.
 
     Texts become templates: numbers, names and units are typed placeholders. Windows of 8 template words of documents
-    and items are joined by hash. The windows that a document and an item share at the same distance are one alignment;
-    it counts if its slots are consistent, that is if along it equal values of the item's slots stand for equal values of the
-    document's and different ones for different ones. So copies with other numbers or names are caught too, and
-    chance meetings of placeholders are not. A document is contaminated by the items of which consistent alignments cover at least ``least`` words, or all words of a shorter item.
+    and items are joined by hash. A window that a document and an item share counts if its slots are consistent, that is if along it
+    equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
+    of a re-parameterised copy may happen to be equal. A run of shared windows is so split at a conflicting slot, and the consistent
+    parts on either side count; words that are the same in both never conflict. So copies with other numbers or names are caught
+    too. A document is contaminated by the items of which consistent windows cover at least ``least`` words, or all words of a shorter item.
     ``covered`` is the largest such number of words.
 
     Items of 5 to 7 words are searched as one window; shorter or null ones are not. Null or empty documents are clean. Repeated
@@ -78,14 +79,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
         none = F.lit(None)
         found = docs.where("false").select("id", "version", none.cast("long").alias("item"), none.cast("int").alias("shift"), none.cast("int").alias("ipos"), none.cast("int").alias("length"))
     lines = cut(found.groupBy("id", "version", "item", "shift").agg(F.collect_set("ipos").alias("starts"), F.max("length").alias("length")))
-    cover = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.col("length") - 1))))
     hit = cut(lines.select("id", "version").distinct().withColumnsRenamed({"id": "hit_id", "version": "hit_version"}))
     texts = docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"])
     words = texts.select(F.col("id").alias("t_id"), F.col("version").alias("t_version"), raw_words(F.col("text")).alias("doc_raw"))
-    aligned = lines.withColumn("cover", cover).join(words, F.expr("id <=> t_id and version = t_version")).join(items.withColumnRenamed("item", "of"), F.expr("item <=> of"))
-    slots = F.filter(F.transform("cover", lambda k: F.struct(F.get("item_words", k).alias("type"), F.lower(F.get("item_raw", k)).alias("a"), F.lower(F.get("doc_raw", k + F.col("shift"))).alias("b"))), lambda s: s["type"].isin(NUMBER, NAME, UNIT))
-    same = let(F.array_distinct(slots), lambda s: (F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["type"], x["a"]))))) & (F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["type"], x["b"]))))))
-    per = aligned.where(same).groupBy("id", "version", "item", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("n"))
+    aligned = lines.join(words, F.expr("id <=> t_id and version = t_version")).join(items.withColumnRenamed("item", "of"), F.expr("item <=> of"))
+    places = lambda p: F.sequence(p, p + F.col("length") - 1)
+    slot = lambda k: F.struct(F.get("item_words", k).alias("type"), F.lower(F.get("item_raw", k)).alias("a"), F.lower(F.get("doc_raw", k + F.col("shift"))).alias("b"))
+    slots = lambda p: F.array_distinct(F.filter(F.transform(places(p), slot), lambda s: s["type"].isin(NUMBER, NAME, UNIT)))
+    same = lambda p: let(slots(p), lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["type"], x["a"])))))
+    cover = F.array_distinct(F.flatten(F.transform(F.filter("starts", same), places)))
+    per = aligned.withColumn("cover", cover).groupBy("id", "version", "item", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("n"))
     caught = per.where(F.col("n") >= F.least(F.lit(least), F.col("n_words"))).groupBy("id", "version").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n"))
     marks = cut(caught)
     out = docs.select("id", "version").alias("d").join(marks.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")

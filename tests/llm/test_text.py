@@ -82,6 +82,17 @@ def test_decontamination(spark):
     assert all(r.a == r.b for r in same)
 
 
+def test_decontamination_splits_at_a_conflicting_slot(spark):
+    tail = "of them to his neighbour before the train leaves the old station in the evening"
+    item = f"Then Carl has 12 pears and eats 12 {tail}"
+    rows = [(1, f"Then Carl has 12 pears and eats 30 {tail}"), (2, f"Then Carl has 4 pears and eats 4 {tail}"), (3, "Then Carl has 12 pears and eats 30 of them"), (4, "Then Olga had 5 eggs, ate 5 and sold 5 of them before noon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "Then Olga had 3 eggs, ate 4 and sold 6 of them before noon")], "item_id long, text string")
+    got = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 4} and got[4].item_ids == [2]
+    assert got[2].covered > got[1].covered >= 13 and got[3].covered == 0
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
