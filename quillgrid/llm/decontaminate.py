@@ -18,6 +18,10 @@ UNITS = (
     "pounds", "liters", "litres", "dollars", "euros", "cents", "percent", "degrees", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "kwh", "v", "a",
 )
 NUMBER, NAME, UNIT = "0n", "0p", "0u"
+#: Names by their place: a capitalised word inside a sentence; or also a word with a capital, in whatever case it goes on, there, at the
+#: start of a text, line or sentence, and after a quote or bracket.
+INNER = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})[\p{Ll}\p{M}]+"
+ANYWHERE = r"\p{Lu}(?<=(?:[\p{Ll}\p{N},;:] |^|[\n\"'“„‘«(\[¿¡]|[.!?…*#>-] |[.!?…][\"'”’»)\]] )\p{Lu})[\p{L}\p{M}]+"
 
 
 def raw_words(text: Column) -> Column:
@@ -26,11 +30,10 @@ def raw_words(text: Column) -> Column:
     return F.split(F.regexp_replace(joined, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", ""), r"[^\p{L}\p{M}\p{N}]+")
 
 
-def template_words(text: Column) -> Column:
-    """The same words, lower-cased, with placeholders for numbers, capitalised words inside a sentence (names) and units after a number."""
+def template_words(text: Column, names: str | None = INNER) -> Column:
+    """The same words, lower-cased, with placeholders for numbers, names as ``names`` finds them (capitalised words inside a sentence) and units after a number."""
     joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d)[.,](?=\d)", "")
-    named = F.regexp_replace(joined, r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})[\p{Ll}\p{M}]+", NAME)
-    lower = F.lower(named)
+    lower = F.lower(F.regexp_replace(joined, names, NAME) if names else joined)
     united = F.regexp_replace(lower, rf"(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}\p{{N}}])", UNIT)
     numbered = F.regexp_replace(united, r"(?<![\p{L}\p{M}\p{N}])\d+(?![\p{L}\p{M}\p{N}])", NUMBER)
     plain = F.when(F.rlike(joined, F.lit(r"\d")), numbered).otherwise(lower)
@@ -43,11 +46,18 @@ def window_hashes(words: Column, length: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= length, each(w)).otherwise(F.array().cast("array<long>")))
 
 
+def typed_windows(text: Column, length: int) -> Column:
+    """Of every window its distinct hashes under the three readings of names: inside sentences, anywhere, and none (all words literal in lower case)."""
+    readings = [window_hashes(template_words(text, names), length) for names in (INNER, ANYWHERE, None)]
+    return F.transform(F.arrays_zip(*(r.alias(f"r{k}") for k, r in enumerate(readings))), lambda x: F.array_distinct(F.array(x["r0"], x["r1"], x["r2"])))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 13) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, covered) for every row of ``documents``.
 
-    Texts become templates: numbers, names and units are typed placeholders. Windows of 8 template words of documents
-    and items are joined by hash. A window that a document and an item share counts if its slots are consistent, that is if along it
+    Texts become templates: numbers, names and units are typed placeholders. Names are read in three ways, as a capital tells them only inside a
+    sentence: there, anywhere, or not at all (in lower case, so that copies in any case match). Windows of 8 template words of documents
+    and items are joined by hash, those of all readings alike. A window that a document and an item share counts if its slots are consistent, that is if along it
     equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
     of a re-parameterised copy may happen to be equal. A run of shared windows is so split at a conflicting slot, and the consistent
     parts on either side count; words that are the same in both never conflict. So copies with other numbers or names are caught
@@ -61,7 +71,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     items = cut(
         benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
         .where("text is not null")
-        .select("item", raw_words(F.col("text")).alias("item_raw"), template_words(F.col("text")).alias("item_words"))
+        .select("item", "text", raw_words(F.col("text")).alias("item_raw"), template_words(F.col("text"), ANYWHERE).alias("item_words"))
         .where(F.size("item_words") >= LEAST_WORDS)
         .withColumn("n_words", F.size("item_words"))
         .dropDuplicates(["item", "item_raw"])
@@ -71,8 +81,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     found = None
     for length in sorted(lengths):  # at most four: 5, 6, 7 and 8
         own = items.where(F.least("n_words", F.lit(WINDOW)) == length)
-        theirs = cut(own.select("item", F.posexplode(window_hashes(F.col("item_words"), length)).alias("ipos", "hash")).distinct())
-        windows = docs.select("id", "version", F.posexplode(window_hashes(template_words(F.col("text")), length)).alias("pos", "hash"))
+        theirs = cut(own.select("item", F.posexplode(typed_windows(F.col("text"), length)).alias("ipos", "hashes")).select("item", "ipos", F.explode("hashes").alias("hash")).distinct())
+        windows = docs.select("id", "version", F.posexplode(typed_windows(F.col("text"), length)).alias("pos", "hashes")).select("id", "version", "pos", F.explode("hashes").alias("hash"))
         hits = windows.join(theirs, "hash").select("id", "version", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(length).alias("length"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:

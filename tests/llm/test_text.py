@@ -93,6 +93,15 @@ def test_decontamination_splits_at_a_conflicting_slot(spark):
     assert got[2].covered > got[1].covered >= 13 and got[3].covered == 0
 
 
+def test_decontamination_types_names_anywhere(spark):
+    items = ["John has 5 apples and gives 2 to his sister", "The answer is known. Mary sold 7 eggs. John bought 3 of them. Carl lost 2 at home.", 'They said "Mary is a friend of NASA people since May" and left the room', "Der Hund sah die Katze im Garten und das Kind im Haus am See"]
+    texts = ["Mary has 9 apples and gives 4 to his sister", "The answer is known. Olga sold 4 eggs. Peter bought 9 of them. Anna lost 8 at home.", 'They said "Olga is a friend of ESA people since July" and left the room', items[3].lower(), items[3].upper(), "x: " + items[0].lower(), "Mary has a dog and gives it food at home", "MARIA has 9 apples and gives 4 to his sister"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [3], 5: [0], 6: [], 7: [0]}
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     sf = "/root/testdata/sf0.001"
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
