@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .shingles import mix
 
 #: Code points of the longest n-gram.
@@ -19,6 +20,10 @@ ORDER = 4
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 19
+#: Median absolute deviations (of a normal distribution, 5.4 standard deviations) that a calibrated bound is above the median.
+DEVIATIONS = 8
+#: Calibration rows a language must have for a bound of its own.
+OWN_ROWS = 20
 
 
 def prepare(text: str | None) -> str:
@@ -197,15 +202,26 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "id long, lang_pred string, score double, entropy double, n long")
 
 
-def _excess(known: dict[str, float]) -> tuple[Column, Column]:
-    """Excess cross-entropy over the language's mean, as such and scaled by the root of the length: comparable between short and long texts."""
-    mean = F.lit(0.0)
-    for lang, value in known.items():
-        mean = F.when(F.col("lang_pred") == lang, value).otherwise(mean)
-    excess = F.col("entropy") - mean
+def _by_language(values: dict[str, float], default: float) -> Column:
+    out = F.lit(default)
+    for lang, value in values.items():
+        out = F.when(F.col("lang_pred") == lang, value).otherwise(out)
+    return out
+
+
+def _excess(centre: Column) -> tuple[Column, Column]:
+    """Excess cross-entropy over the language's median, as such and scaled by the root of the length: comparable between short and long texts."""
+    excess = F.col("entropy") - centre
     return excess, excess * F.sqrt(F.least(F.col("n"), F.lit(400)).cast("double"))
 
 
+def _medians(rows: DataFrame, value: Column, least_rows: int) -> Column:
+    """Per predicted language the median of ``value``; that of all rows for a language with fewer than ``least_rows``."""
+    found = rows.groupBy("lang_pred").agg(F.count("*").alias("n"), F.median(value).alias("m")).collect()
+    pooled = rows.agg(F.median(value)).first()[0]
+    return _by_language({r["lang_pred"]: float(r["m"]) for r in found if r["n"] >= least_rows}, float(pooled or 0.0))
+
+
 def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 2_000_000, slack: float = 1.25, least_excess: float = 0.5) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) for every row of ``documents``; whole texts are scored.
 
@@ -214,8 +230,10 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     keeps the models small enough to broadcast; four fifths of the picked rows are counted (by Spark) into
     interpolated Kneser-Ney models of 4-grams, one fifth calibrates rejection. The prediction is the
     language of the lowest cross-entropy per code point (ties: the first name); ``score`` is its share in the softmax of the
-    negative entropies. ``rejected``: no letter, or an excess over the language's mean entropy, scaled by the root of the length, of
-    over ``slack`` times the largest of any calibration row (and of over ``least_excess`` nats a code point as such).
+    negative entropies. ``rejected``: no letter, or an excess over the language's median entropy, scaled by the root of the length, of
+    over ``slack`` times a bound (and of over ``least_excess`` nats a code point as such). The bound is the median and eight median absolute
+    deviations of the language's calibration rows that are predicted as labelled (of all such rows where a language has under 20), so
+    a few rows of garbage or with a wrong label do not move it.
 
     Null text or text without a letter: ``und``, score 0, rejected. Without any labelled row all is ``und``. Null ids and
     repeated rows are scored like any. Other columns are ignored, and the language column of ``documents`` is never read.
@@ -230,11 +248,14 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     sample = rows.where(draw < share)
     model = fit(gram_counts(sample.where(fold > 0)).toPandas())
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = _scored(sample.where(fold == 0).select(F.col("id").cast("long"), "text"), model).where("n > 0")
-    seen = known.groupBy("lang_pred").agg((F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("mean")).collect()
-    mean = {r["lang_pred"]: float(r["mean"]) for r in seen}
-    most = known.agg(F.max(_excess(mean)[1])).first()[0] or 0.0
+    names = F.array(*(F.lit(lang) for lang in sorted(totals))).cast("array<string>")
+    asked = sample.where(fold == 0).select((F.array_position(names, F.col("lang")) - 1).alias("id"), "text")  # the label's place instead of an id
+    known = cut(_scored(asked, model).where("n > 0").withColumn("right", F.get(names, F.col("id").cast("int")) == F.col("lang_pred")))
+    right = known.where("right")
+    centre = _medians(right, F.col("entropy"), 1)
+    middle = _medians(right, _excess(centre)[1], OWN_ROWS)
+    most = middle + DEVIATIONS * _medians(right, F.abs(_excess(centre)[1] - middle), OWN_ROWS)
     out = _scored(docs, model)
-    excess, scaled = _excess(mean)
-    rejected = (F.col("n") == 0) | ((scaled > F.lit(most * slack)) & (excess > least_excess))
+    excess, scaled = _excess(centre)
+    rejected = (F.col("n") == 0) | ((scaled > most * slack) & (excess > least_excess))
     return out.select(F.col("id").alias(id_col), "lang_pred", "score", "entropy", rejected.alias("rejected"))

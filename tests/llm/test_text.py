@@ -26,6 +26,16 @@ def test_language_id(spark):
     assert identify_languages(asked.where("false"), labelled).count() == 0
 
 
+def test_language_id_rejects_beside_a_noisy_label(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    calibrating = spark.range(10_000_000, 10_000_100).where(F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(5)) == 0).limit(1)
+    noisy = docs.unionByName(calibrating.select(F.col("id").alias("doc_id"), F.lit("漢字仮名交文" * 100).alias("text"), F.lit("en").alias("lang")))
+    foreign = spark.createDataFrame([(1, "ภาษาไทย " * 100), (2, "ქართული ენა " * 60)], "doc_id long, text string")
+    asked = foreign.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    got = {r.doc_id for r in identify_languages(asked, noisy).where("rejected").collect()}
+    assert {1, 2} <= got and len(got) - 2 <= 0.03 * docs.count()
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
