@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages from raw documents to a weighted training mixture.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next one. All
-but the last return the columns of ``documents``; the last adds ``copy_no`` and ``shuffle_key``. A stage drops rows by the ids its
-operator decided on; rows that repeat an id are one document, and a row without an id is kept.
+but the last return the columns of ``documents``; the last adds ``copy_no`` and ``shuffle_key``. A stage drops rows by a key its
+operator decided on: the id, or a hash of id and text where the id is null or has several texts. Rows that repeat id and text
+are one document, of which exact dedup keeps one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgrid.llm.common import cut
 from quillgrid.llm.decontaminate import contamination
@@ -17,29 +19,54 @@ from quillgrid.llm.mixing import mix_sources
 from quillgrid.llm.near_dup import near_duplicates
 
 
-def _without(docs: DataFrame, decisions: DataFrame, gone: str) -> DataFrame:
-    """``docs`` less the ids of the decisions for which ``gone`` holds; the ids are a table of known size, which Spark broadcasts if it is small."""
-    return docs.join(cut(decisions.where(gone).select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+#: The row key. Keys made of hashes are at least this large, so that they come after all ids where the smallest stays.
+KEY, HASHED = "__key", 1 << 62
+
+
+def _shared(docs: DataFrame) -> DataFrame:
+    """(shared_id, mixed) of the ids that are null or on several rows; ``mixed`` are null ones and those with several texts."""
+    h = F.xxhash64("text")
+    per = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(h).alias("low"), F.max(h).alias("high")).where("n > 1 or doc_id is null")
+    return cut(per.select(F.col("doc_id").alias("shared_id"), (F.col("doc_id").isNull() | (F.col("low") != F.col("high"))).alias("mixed")))
+
+
+def _keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``docs`` with the row key, which is never null."""
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHED - 1)).bitwiseOR(F.lit(HASHED))
+    return docs.join(shared, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left").select(*docs.columns, F.when(F.coalesce("mixed", F.lit(False)), hashed).otherwise(F.col("doc_id")).alias(KEY))
+
+
+def _without(keyed: DataFrame, decisions: DataFrame, gone: str) -> DataFrame:
+    """``keyed`` less the keys of the decisions for which ``gone`` holds; the keys are a table of known size, which Spark broadcasts if it is small."""
+    return keyed.join(cut(decisions.where(gone).select(KEY).distinct()), KEY, "left_anti").select(*(c for c in keyed.columns if c != KEY))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the labelled documents are in."""
-    return _without(docs, identify_languages(docs, docs), "rejected")
+    keyed = _keyed(docs, _shared(docs))
+    return _without(keyed, identify_languages(keyed, keyed, id_col=KEY), "rejected")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return _without(docs, exact_duplicates(docs), "not kept")
+    """One document of each text; of rows that repeat id and text the smallest by all columns."""
+    shared = _shared(docs)
+    keyed = _keyed(docs, shared)
+    of = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    one = keyed.join(shared, of, "left_semi").groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", KEY)
+    single = keyed.join(shared, of, "left_anti").unionByName(one)
+    return _without(single, exact_duplicates(keyed, id_col=KEY), "not kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8)."""
-    return _without(docs, near_duplicates(docs, words=5, percent=80), "not kept")
+    keyed = _keyed(docs, _shared(docs))
+    return _without(keyed, near_duplicates(keyed, id_col=KEY, words=5, percent=80), "not kept")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+    keyed = _keyed(docs, _shared(docs))
+    return _without(keyed, contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=KEY), "contaminated")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

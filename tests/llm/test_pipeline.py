@@ -48,3 +48,18 @@ def test_clean_documents_stay(spark):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, clean, SF).count() == 50
         assert stage(spark, clean.where("false"), SF).count() == 0
+
+
+def test_rows_without_or_with_a_shared_id(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.desc(F.length("text")), "text").first().text
+    text = lambda k: f"The quiet number {k} " + " ".join(f"word{k * 31 + j}" for j in range(40))
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    left = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, make(rows), SF).collect()), key=str)
+    plain = [(k, text(k)) for k in range(10, 40)]
+    assert left(P.language_id, [*plain, (None, "123"), (1, "456"), (1, text(1)), (None, text(2))]) == sorted([*plain, (1, text(1)), (None, text(2))], key=str)
+    copies = [(1, text(1)), (1, text(1)), (None, text(1)), (2, text(2)), (2, text(10)), (None, text(3)), (None, text(3))]
+    assert left(P.exact_dedup, [*plain, *copies]) == sorted([*plain, (1, text(1)), (2, text(2)), (None, text(3))], key=str)
+    near = [(None, text(10) + " end"), (3, text(11) + " end"), (3, text(3)), (None, text(4))]
+    assert left(P.near_dedup, [*plain, *near]) == sorted([*plain, (3, text(3)), (None, text(4))], key=str)
+    assert left(P.decontaminate, [*plain, (None, item), (4, item), (4, text(4))]) == sorted([*plain, (4, text(4))], key=str)
