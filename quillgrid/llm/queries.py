@@ -70,7 +70,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(table(spark, sf_dir, "documents"))
+    """The key is the session's ``spark.quillgrid.pii.key``; a deployment sets a secret one, and the fallback only serves runs over test data."""
+    return replace_pii(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.quillgrid.pii.key", "not a secret"))
 
 
 QUERIES = {

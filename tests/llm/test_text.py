@@ -149,7 +149,7 @@ def test_pii(spark):
     text = 'Mail jo.ann@mail3.example.com or bob@mail3.example.com, call +1 (017) 555-7713, card 4539578763621486, ip 97.51.17.173, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". Mrs. Maria Lopez met Dr. Lopez.'
     rows = [(1, text), (2, "again jo.ann@mail3.example.com!"), (3, None), (4, ""), (5, "version 3.14, year 2024, 12,345.67 and a@b"), (1, text), (None, "ip 97.51.17.173"), (6, "w " * 30000 + "x@y.org")]
     docs = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, value int, type int")
-    got = {r.doc_id: r for r in replace_pii(docs).collect()}
+    got = {r.doc_id: r for r in replace_pii(docs, key="k").collect()}
     new = got[1].text
     for gone in ("jo.ann", "bob@", "mail3", "555-7713", "4539578763621486", "97.51.17.173", "04dbebab", "Maria", "Lopez"):
         assert gone not in new
@@ -164,14 +164,75 @@ def test_pii(spark):
     assert all(int(o) < 256 for o in re.search(r"ip ([\d.]+)", new)[1].rstrip(".").split("."))
     assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1] and got[5].n_entities == 0 and got[6].n_entities == 1
     assert got[None].text.split()[1] == re.search(r"ip (\d+\.\d+\.\d+\.\d+)", new)[1]
-    assert replace_pii(docs, key="other").where("doc_id = 1").first().text != new
-    assert replace_pii(docs.where("false")).count() == 0
+    assert swapped(spark, [text], "other")[0] != new
+    assert replace_pii(docs.where("false"), key="k").count() == 0
+
+
+def swapped(spark, texts, key="k"):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in replace_pii(rows, key=key).orderBy("doc_id").collect()]
+
+
+def test_pii_follows_a_name_through_its_document(spark):
+    text = "Mr. John Smith said so. Later Smith left, and JOHN came back. Maria Lopez de la Cruz saw Smith's dog; cruz is no name. Dr. Ana J. O'Brien-Lee left, and O'Brien-Lee wrote."
+    other = "Smith is a trade, and Maria sang. Herr Müller Die Lampe. My name is Иван Петров. Иван Петров, Петров."
+    new, second = swapped(spark, [text, other])
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) said so\. Later (\w+) left, and (\w+) came back\. (\w+) (\w+) de la (\w+) saw (\w+)'s dog; cruz is no name\. Dr\. (\w+) (\w)\. ([\w'-]+) left, and ([\w'-]+) wrote\.", new)
+    assert m and m[2] == m[3] == m[8] and m[4] == m[1].upper() and m[11] == m[12]
+    for old, made in zip(("John", "Smith", "Maria", "Lopez", "Cruz", "Ana", "O'Brien-Lee"), (m[1], m[2], m[5], m[6], m[7], m[9], m[11])):
+        assert made != old and len(made) == len(old)
+    assert m[5].endswith("a") and m[9].endswith("a") and not m[1].endswith(("a", "e", "i", "u")) and re.fullmatch(r"\w'\w{5}-\w{3}", m[11])
+    n = re.fullmatch(r"Smith is a trade, and Maria sang\. Herr (\w+) Die Lampe\. My name is (\w+) (\w+)\. (\w+) (\w+), (\w+)\.", second)
+    assert n and n[1] != "Müller" and (n[2], n[3]) == (n[4], n[5]) and n[3] == n[6] != "Петров" and all("а" <= c <= "я" for c in n[2][1:].lower())
+
+
+def test_pii_of_any_length(spark):
+    jwt = "eyJ" + "h" * 900 + "." + "Q" * 900 + "." + "z" * 40
+    assigned, hexes = "A1b2-" * 400 + "=", "0123456789abcdef" * 40
+    new = swapped(spark, [f"see {jwt} now", f'password: "{assigned}" end', f"h {hexes}", "gh ghp_" + "a1" * 400, "x" * 80 + "@" + "y" * 70 + ".org."])
+    assert [len(t) for t in new] == [len(f"see {jwt} now"), len(f'password: "{assigned}" end'), 642, 807, 156]
+    assert new[0].startswith("see eyJ") and "hhhh" not in new[0] and "QQQ" not in new[0] and "zzzz" not in new[0] and new[0].endswith(" now")
+    assert new[1].startswith('password: "') and "A1b2" not in new[1] and new[1].endswith('=" end') and re.fullmatch(r"h [0-9a-f]{640}", new[2]) and hexes[-16:] not in new[2]
+    assert new[3].startswith("gh ghp_") and "a1a1" not in new[3] and "xxx" not in new[4] and "yyy" not in new[4] and new[4].endswith(".org.")
+
+
+def test_pii_formats(spark):
+    keep = ["card 4539578763621487 has no check digit", "at 12:30:45, std::vector a::b, 1:2", "It was Alice who sang", "ratio 1.2.3.4.5"]
+    new = swapped(spark, [*keep, "ip 2001:db8::ff00:42:8329 and fe80::1 and 1:2:3:4:5:6:7:8.", "pay DE89 3704 0044 0532 0130 00 now"])
+    assert new[:4] == keep
+    assert re.fullmatch(r"ip \d{4}:[0-9a-f]{2}\d::[0-9a-f]{2}\d\d:\d\d:\d{4} and [a-f]{2}\d\d::\d and \d(:\d){7}\.", new[4]) and "8329" not in new[4]
+    iban = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) now", new[5])[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
+
+
+def test_pii_keeps_domains_apart(spark):
+    sites = [f"{a}{b}.com" for a in "bcdfghjklm" for b in "bcdfghjklm"]
+    new = swapped(spark, [f"me@{s} you@{s}" for s in sites])
+    made = [re.fullmatch(r"(\S+)@(\S+\.com) (\S+)@(\S+\.com)", t) for t in new]
+    assert all(m[2] == m[4] for m in made) and len({m[2] for m in made}) == 100 and not {m[2] for m in made} & set(sites)
+
+
+def test_pii_leaves_only_what_brute_force_calls_clean(spark):
+    """Over a whole table: documents without a hit of plain patterns stay byte for byte; in others every hit is gone, equal ones got equal surrogates, and distinct ones distinct ones."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    luhn = lambda s: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(s))) % 10 == 0
+    plain = re.compile(r"(?<![\w.])\S+@[\w.]+\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|(?<=token = \")[0-9a-f]{40}|(?<!\d)\d{16}(?!\d)")
+    new = {r.doc_id: r for r in replace_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), key="k").collect()}
+    pairs = set()
+    for i, text in rows.items():
+        hits = [h for h in plain.findall(text) if not re.fullmatch(r"\d{16}", h) or luhn(h)]
+        got = [h for h in plain.findall(new[i].text or "") if not re.fullmatch(r"\d{16}", h) or luhn(h)]
+        assert new[i].n_entities == len(hits) == len(got)
+        assert hits or (new[i].text or "") == text
+        assert not any(h in new[i].text for h in hits)
+        pairs |= set(zip(hits, got))
+    assert len(pairs) >= 80 and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
 def test_surrogates_are_distinct_when_formats_are_scarce(spark):
-    values = spark.createDataFrame([("ip", f"{a}.{b}.1.1") for a in range(10) for b in range(10)] + [("ssn", f"{k}") for k in range(10)], "type string, value string")
+    values = spark.createDataFrame([("ip", f"{a}.{b}.1.1", None) for a in range(10) for b in range(10)] + [("ssn", f"{k}", None) for k in range(10)] + [("part", f"{a}{b}", None) for a in "bcdfg" for b in "aeiou"], "type string, value string, site string")
     got = distinct_surrogates(values, "k").collect()
-    assert len(got) == 110 and len({(r.type, r.surrogate) for r in got}) == 110
+    assert len(got) == 135 and len({(r.type, r.surrogate) for r in got}) == 135
     real = {(r.type, r.value) for r in got}
     assert not any((r.type, r.surrogate) in real for r in got)
 
