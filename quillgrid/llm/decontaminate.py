@@ -7,100 +7,115 @@ from pyspark.sql import functions as F
 
 from .common import cut, let
 
-#: Words of a template window.
-WINDOW = 8
-#: Items of fewer words are too short to tell and are not searched.
-LEAST_WORDS = 5
-#: Units after a number, as lower-case words.
+#: Words of a window, at most and at least; an item of fewer is held against whole texts.
+WINDOW, LEAST_WINDOW = 8, 5
+#: Units and ordinal endings after a number, in any case.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "cl", "l", "s", "sec", "secs", "min", "mins", "h", "hr", "hrs", "ms",
     "seconds", "minutes", "hours", "days", "weeks", "months", "years", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms",
     "pounds", "liters", "litres", "dollars", "euros", "cents", "percent", "degrees", "kmh", "mph", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "kwh", "v", "a",
+    "st", "nd", "rd", "th",
 )
-NUMBER, NAME, UNIT = "0n", "0p", "0u"
-#: Names by their place: a capitalised word inside a sentence; or also a word with a capital, in whatever case it goes on, there, at the
-#: start of a text, line or sentence, and after a quote or bracket.
-INNER = r"\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})[\p{Ll}\p{M}]+"
-ANYWHERE = r"\p{Lu}(?<=(?:[\p{Ll}\p{N},;:] |^|[\n\"'“„‘«(\[¿¡]|[.!?…*#>-] |[.!?…][\"'”’»)\]] )\p{Lu})[\p{L}\p{M}]+"
+#: Placeholders of a number or row of numbers, of a number with its unit, and of a name.
+NUMBER, QUANTITY, NAME = "0n", "0q", "0p"
+_L = r"[\p{L}\p{M}\p{N}]"
+_DIGITS = r"\d++(?:[.,:/]\d++)*+"
+_UNIT = rf" ?(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?!{_L})"
+#: "5km", "3.5 miles"; "7" or "1, 2, 3"; a run of words with a capital ("McDonald", "Jean-Luc Picard"), wherever it stands.
+QUANTITIES = rf"(?<!{_L}){_DIGITS}{_UNIT}"
+NUMBERS = rf"(?<!{_L}){_DIGITS}(?![\p{{L}}\p{{M}}])(?:[ ,;]{{1,3}}{_DIGITS}(?![\p{{L}}\p{{M}}])(?!{_UNIT}))*+"
+NAMES = rf"(?<!{_L})\p{{Lu}}[\p{{L}}\p{{M}}]*+(?!\p{{N}})(?:[ '’-]\p{{Lu}}[\p{{L}}\p{{M}}]*+(?!\p{{N}}))*+"
+#: Readings: as a template, and word by word in lower case.
+TEMPLATE, LITERAL = 0, 1
 
 
-def raw_words(text: Column) -> Column:
-    """The words and numbers of a text, as written; separators inside numbers go, so that a number is one word."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d)[.,](?=\d)", "")
-    return F.split(F.regexp_replace(joined, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", ""), r"[^\p{L}\p{M}\p{N}]+")
+def words(text: Column, reading: int) -> Column:
+    """The words of a text, lower-cased; in a template with placeholders for numbers, quantities and names."""
+    text = F.coalesce(text, F.lit(""))
+    if reading == TEMPLATE:
+        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, QUANTITIES, QUANTITY), NUMBERS, NUMBER), NAMES, NAME)
+    return F.split(F.lower(text), rf"{_L.replace('[', '[^')}+")
 
 
-def template_words(text: Column, names: str | None = INNER) -> Column:
-    """The same words, lower-cased, with placeholders for numbers, names as ``names`` finds them (capitalised words inside a sentence) and units after a number."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=\d)[.,](?=\d)", "")
-    lower = F.lower(F.regexp_replace(joined, names, NAME) if names else joined)
-    united = F.regexp_replace(lower, rf"(?<=\d )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}\p{{N}}])", UNIT)
-    numbered = F.regexp_replace(united, r"(?<![\p{L}\p{M}\p{N}])\d+(?![\p{L}\p{M}\p{N}])", NUMBER)
-    plain = F.when(F.rlike(joined, F.lit(r"\d")), numbered).otherwise(lower)
-    return F.split(F.regexp_replace(plain, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", ""), r"[^\p{L}\p{M}\p{N}]+")
+def proper(found: Column) -> Column:
+    """Without the empty strings that stand for separators at the ends of a text."""
+    return F.filter(found, lambda w: w != "")
 
 
-def window_hashes(words: Column, length: int) -> Column:
-    """The hash of every run of ``length`` words, in order; none if there are fewer."""
-    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(length))))
-    return let(words, lambda w: F.when(F.size(w) >= length, each(w)).otherwise(F.array().cast("array<long>")))
+def slot_values(text: Column) -> Column:
+    """What stands for each word of a template: a number without blanks, the last word of a name, else the word; all in lower case."""
+    every = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{QUANTITIES}|{NUMBERS}|{NAMES}|{_L}+"), F.lit(0))
+    return F.transform(every, lambda v: F.lower(F.when(F.rlike(v, F.lit(r"^\d")), F.replace(v, F.lit(" "))).otherwise(F.regexp_extract(v, rf"{_L}+$", 0))))
 
 
-def typed_windows(text: Column, length: int) -> Column:
-    """Of every window its distinct hashes under the three readings of names: inside sentences, anywhere, and none (all words literal in lower case)."""
-    readings = [window_hashes(template_words(text, names), length) for names in (INNER, ANYWHERE, None)]
-    return F.transform(F.arrays_zip(*(r.alias(f"r{k}") for k, r in enumerate(readings))), lambda x: F.array_distinct(F.array(x["r0"], x["r1"], x["r2"])))
+def window_hashes(found: Column, lengths: list[int], reading: int) -> Column:
+    """The hashes of all windows of the given lengths (5 to 8) at every word, one length after another.
+
+    Hashes of two and four words are made by doubling, and a window of 5 to 8 words is two runs of four. At the last places, where a window does not
+    fit, there are hashes that belong to no window. In the end comes the hash of all words if they are fewer than 5, else null.
+    """
+    twice = lambda h, step: F.transform(h, lambda v, i: F.xxhash64(v, F.get(h, i + step)))
+    two_runs = lambda h, n: F.transform(h, lambda v, i: F.xxhash64(v, F.get(h, i + (n - 4)), F.lit(reading * 16 + n)))
+    each = lambda h: F.concat(*(two_runs(h, n) for n in lengths), F.array().cast("array<long>"))
+    four = let(let(found, lambda w: twice(w, 1)), lambda h: twice(h, 2))
+    own = proper(found)
+    return F.concat(let(four, each), F.array(F.when(F.size(own) < LEAST_WINDOW, F.xxhash64(F.concat_ws(" ", own), F.lit(reading)))))
+
+
+def _pattern(found: Column, values: Column, start: Column, length: Column) -> Column:
+    """Of the slots of a window the place of the first slot with the same value."""
+    slots = F.filter(F.transform(F.sequence(start, start + length - 1), lambda k: F.when(F.get(found, k).isin(NUMBER, QUANTITY, NAME), F.get(values, k))), lambda v: v.isNotNull())
+    return let(slots, lambda s: F.transform(s, lambda v: F.array_position(s, v).cast("int")))
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item, text) -> (hash, reading, item, ipos, length, n_words, pattern): the windows of every item. A window of a template counts only if at least half its words are no slots."""
+    tables = []
+    for reading in (TEMPLATE, LITERAL):
+        items = benchmark.select("item", proper(words(F.col("text"), reading)).alias("w"), slot_values(F.col("text")).alias("v")).where("size(w) > 0").dropDuplicates(["item", "w", "v"])
+        items = items.withColumn("n_words", F.size("w")).withColumn("length", F.least("n_words", F.lit(WINDOW)))
+        every = window_hashes(F.col("w"), list(range(LEAST_WINDOW, WINDOW + 1)), reading)
+        own = lambda e: F.when(F.col("length") < LEAST_WINDOW, F.slice(e, -1, 1)).otherwise(F.slice(e, (F.col("length") - LEAST_WINDOW) * F.col("n_words") + 1, F.col("n_words") - F.col("length") + 1))
+        hashes = let(every, own)
+        each = items.select("item", "w", "v", "n_words", "length", F.posexplode(hashes).alias("ipos", "hash"))
+        if reading == TEMPLATE:
+            slots = F.size(F.filter(F.slice("w", F.col("ipos") + 1, F.col("length")), lambda w: w.isin(NUMBER, QUANTITY, NAME)))
+            each = each.where(2 * slots <= F.col("length")).withColumn("pattern", _pattern(F.col("w"), F.col("v"), F.col("ipos"), F.col("length")))
+        else:
+            each = each.withColumn("pattern", F.array().cast("array<int>"))
+        tables.append(each.select("hash", F.lit(reading).alias("reading"), "item", "ipos", "length", "n_words", "pattern"))
+    return tables[0].unionByName(tables[1])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 13) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, covered) for every row of ``documents``.
 
-    Texts become templates: numbers, names and units are typed placeholders. Names are read in three ways, as a capital tells them only inside a
-    sentence: there, anywhere, or not at all (in lower case, so that copies in any case match). Windows of 8 template words of documents
-    and items are joined by hash, those of all readings alike. A window that a document and an item share counts if its slots are consistent, that is if along it
-    equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
-    of a re-parameterised copy may happen to be equal. A run of shared windows is so split at a conflicting slot, and the consistent
-    parts on either side count; words that are the same in both never conflict. So copies with other numbers or names are caught
-    too. A document is contaminated by the items of which consistent windows cover at least ``least`` words, or all words of a shorter item.
-    ``covered`` is the largest such number of words.
-
-    Items of 5 to 7 words are searched as one window; shorter or null ones are not. Null or empty documents are clean. Repeated
-    rows and items each count alike; null ids are judged like others. Other columns are ignored. Documents' windows are never shuffled
+    Texts become templates: rows of numbers, numbers with a unit ("5km", "3.5 miles") and runs of words with a capital, wherever they stand, are
+    one typed placeholder each. Beside it, texts are read word by word in lower case, so that copies in any case match. Windows of 8 words of
+    either reading are joined by hash. A window of the template, at least half of it words proper, counts if its slots are
+    consistent: along it equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
+    of a re-parameterised copy may happen to be equal. A run of shared windows is so split at a conflicting slot, and the parts on either
+    side count. A document is contaminated by the items of which, in one reading, such windows cover at least ``least`` words, or all words of a
+    shorter item. ``covered`` is the largest such number of words.
+
+    Items of 5 to 7 words are one window; those of fewer are found where they are a whole document; null or empty ones are not searched. Null or empty
+    documents are clean. Repeated rows and items each count alike; of items that repeat an id all texts count for it; null ids are judged like others. Empty tables give no
+    row, or clean rows. Texts of any length are read as a whole; a window that a document repeats counts once. Other columns are ignored. Documents' windows are never shuffled
     when Spark finds the items' windows small enough to broadcast, else both are shuffled by hash.
     """
-    items = cut(
-        benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-        .where("text is not null")
-        .select("item", "text", raw_words(F.col("text")).alias("item_raw"), template_words(F.col("text"), ANYWHERE).alias("item_words"))
-        .where(F.size("item_words") >= LEAST_WORDS)
-        .withColumn("n_words", F.size("item_words"))
-        .dropDuplicates(["item", "item_raw"])
-    )
-    lengths = [r[0] for r in items.select(F.least("n_words", F.lit(WINDOW)).alias("w")).distinct().collect()]
+    items = cut(item_windows(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")))
+    lengths = sorted(r[0] for r in items.where(F.col("length") >= LEAST_WINDOW).select("length").distinct().collect())  # at most four
+    known = items.select("hash", "reading", "length").distinct()
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
-    found = None
-    for length in sorted(lengths):  # at most four: 5, 6, 7 and 8
-        own = items.where(F.least("n_words", F.lit(WINDOW)) == length)
-        theirs = cut(own.select("item", F.posexplode(typed_windows(F.col("text"), length)).alias("ipos", "hashes")).select("item", "ipos", F.explode("hashes").alias("hash")).distinct())
-        windows = docs.select("id", "version", F.posexplode(typed_windows(F.col("text"), length)).alias("pos", "hashes")).select("id", "version", "pos", F.explode("hashes").alias("hash"))
-        hits = windows.join(theirs, "hash").select("id", "version", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.lit(length).alias("length"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        none = F.lit(None)
-        found = docs.where("false").select("id", "version", none.cast("long").alias("item"), none.cast("int").alias("shift"), none.cast("int").alias("ipos"), none.cast("int").alias("length"))
-    lines = cut(found.groupBy("id", "version", "item", "shift").agg(F.collect_set("ipos").alias("starts"), F.max("length").alias("length")))
-    hit = cut(lines.select("id", "version").distinct().withColumnsRenamed({"id": "hit_id", "version": "hit_version"}))
-    texts = docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"])
-    words = texts.select(F.col("id").alias("t_id"), F.col("version").alias("t_version"), raw_words(F.col("text")).alias("doc_raw"))
-    aligned = lines.join(words, F.expr("id <=> t_id and version = t_version")).join(items.withColumnRenamed("item", "of"), F.expr("item <=> of"))
-    places = lambda p: F.sequence(p, p + F.col("length") - 1)
-    slot = lambda k: F.struct(F.get("item_words", k).alias("type"), F.lower(F.get("item_raw", k)).alias("a"), F.lower(F.get("doc_raw", k + F.col("shift"))).alias("b"))
-    slots = lambda p: F.array_distinct(F.filter(F.transform(places(p), slot), lambda s: s["type"].isin(NUMBER, NAME, UNIT)))
-    same = lambda p: let(slots(p), lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: F.struct(x["type"], x["a"])))))
-    cover = F.array_distinct(F.flatten(F.transform(F.filter("starts", same), places)))
-    per = aligned.withColumn("cover", cover).groupBy("id", "version", "item", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("n"))
-    caught = per.where(F.col("n") >= F.least(F.lit(least), F.col("n_words"))).groupBy("id", "version").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n"))
-    marks = cut(caught)
+    every = F.concat(*(window_hashes(words(F.col("text"), reading), lengths, reading) for reading in (TEMPLATE, LITERAL)))
+    hits = cut(docs.select("id", "version", F.explode(every).alias("hash")).join(known, "hash").distinct())
+    plain = hits.where(F.col("reading") == LITERAL).select("id", "version", "hash").join(items.where(F.col("reading") == LITERAL), "hash")
+    filled = _with_patterns(hits.where(F.col("reading") == TEMPLATE), docs, known, lengths).join(items.where(F.col("reading") == TEMPLATE), "hash")
+    steady = F.forall(F.arrays_zip(F.col("pattern").alias("a"), F.col("found").alias("b")), lambda x: F.get("found", x["a"] - 1) == x["b"])
+    fine = plain.drop("hash").unionByName(filled.where(steady).select(*(c for c in plain.columns if c != "hash")))
+    place = fine.select("id", "version", "reading", "item", "n_words", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("length") - 1)).alias("place")).distinct()
+    per = place.groupBy("id", "version", "reading", "item", "n_words").agg(F.count("*").alias("n")).where(F.col("n") >= F.least(F.lit(least), F.col("n_words")))
+    marks = cut(per.groupBy("id", "version").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n")))
     out = docs.select("id", "version").alias("d").join(marks.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")
     return out.select(
         F.col("d.id").alias(id_col),
@@ -109,3 +124,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
         F.coalesce("items", F.array().cast(marks.schema["items"].dataType)).alias("item_ids"),
         F.coalesce("n", F.lit(0)).cast("long").alias("covered"),
     )
+
+
+def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, version, hash, found): the distinct patterns of slots that a hit's windows have in the document, read again from the few documents with hits."""
+    hit = hits.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
+    texts = cut(docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"]))
+    own = proper(words(F.col("text"), TEMPLATE))
+    places = texts.select("id", "version", F.size(own).alias("n"), F.posexplode(window_hashes(own, lengths, TEMPLATE)).alias("at", "hash"))
+    found = places.join(known.where(F.col("reading") == TEMPLATE).select("hash", "length"), "hash").withColumn("start", F.when(F.col("length") < LEAST_WINDOW, 0).otherwise(F.pmod("at", F.greatest("n", F.lit(1)))))
+    per = cut(found.groupBy("id", "version").agg(F.collect_list(F.struct("hash", "start", "length")).alias("windows")))
+    there = per.alias("p").join(texts.alias("t"), F.expr("p.id <=> t.id and p.version = t.version")).select("p.id", "p.version", "windows", own.alias("w"), slot_values(F.col("text")).alias("v"))
+    each = F.array_distinct(F.transform("windows", lambda x: F.struct(x["hash"].alias("hash"), _pattern(F.col("w"), F.col("v"), x["start"], x["length"]).alias("found"))))
+    return there.select("id", "version", F.explode(each).alias("x")).select("id", "version", "x.hash", "x.found")

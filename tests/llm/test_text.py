@@ -4,8 +4,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quillgrid.llm import decontaminate as D
 from quillgrid.llm.chat_format import digest, escape, format_examples, read_turns, unescape
-from quillgrid.llm.decontaminate import contamination, raw_words, template_words
+from quillgrid.llm.decontaminate import TEMPLATE, contamination, proper, slot_values, words
 from quillgrid.llm.langid import identify_languages
 from quillgrid.llm.mixing import mix_sources
 from quillgrid.llm.pii import distinct_surrogates, replace_pii
@@ -80,16 +81,105 @@ def test_decontamination(spark):
     other = "Anna has 40 apples and gives 7 of them to Peter after walking 9 km to the market square in Boston today"
     twisted = "Anna has 12 apples and gives 12 of them to Peter after walking 3 km to the market square in Boston today"
     renamed = "so Maria has 12 apples and gives 5 of them to Olaf after walking 3 km to the market square in Lisbon today"
-    rows = [(1, f"Some text. {ITEM} and more"), (2, f"Before. {other}."), (3, twisted), (4, renamed), (5, "a clean text about walking to the market"), (6, None), (7, ""), (8, f"x\n{ITEM.upper()}"), (None, ITEM), (1, f"Some text. {ITEM} and more"), (9, "one two three four five six"), (10, "zero one two three four"), (11, ITEM[:40])]
+    rows = [(1, f"Some text. {ITEM} and more"), (2, f"Before. {other}."), (3, twisted), (4, renamed), (5, "a clean text about walking to the market"), (6, None), (7, ""), (8, f"x\n{ITEM.upper()}"), (None, ITEM), (1, f"Some text. {ITEM} and more"), (9, "one two three four five six"), (10, "zero one two three four"), (11, ITEM[:40]), (12, "Two, three!"), (13, "two three four")]
     docs = spark.createDataFrame([(i, t, 1, 1) for i, t in rows], "doc_id long, text string, item long, pos int")
     bench = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "two three four five six", 0), (4, "two three", 0)], "item_id long, text string, hash int")
     got = {r.doc_id: r for r in contamination(docs, bench).collect()}
-    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 4, None, 9} | ({8} if got[8].contaminated else set())
-    assert got[1].item_ids == [1] and got[9].item_ids == [3] and got[3].covered == 0 and got[1].covered >= 13
+    assert {i for i, r in got.items() if r.contaminated} == {1, 2, 3, 4, 8, None, 9, 12}
+    assert got[1].item_ids == [1] and got[9].item_ids == [3] and got[12].item_ids == [4] and min(got[k].covered for k in (1, 2, 3, 4, 8)) >= 13
     assert contamination(docs, bench.where("false")).where("contaminated").count() == 0
     assert contamination(docs.where("false"), bench).count() == 0
-    same = docs.select(F.size(raw_words(F.col("text"))).alias("a"), F.size(template_words(F.col("text"))).alias("b")).collect()
-    assert all(r.a == r.b for r in same)
+
+
+def test_decontamination_of_glued_units_and_odd_names(spark):
+    item = "Yesterday McDonald drove 5km with Jean-Luc Picard, paid 3.5 dollars for 10, 20 and 30 pears and then slept until noon"
+    texts = ["Yesterday McGregor drove 7 miles with Anne-Marie, paid 9.25 dollars for 1, 2, 3 and 4 pears and then slept until noon", "A. " + item.replace("5km", "5 km"), "Yesterday McGregor drove a car with Anne-Marie, ate pears"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got[0].contaminated and got[1].contaminated and not got[2].contaminated
+
+
+def test_decontamination_of_long_rows_of_numbers(spark):
+    """Thousands of equal windows on either side stay few rows, and prove nothing by themselves."""
+    docs = spark.createDataFrame([(1, " ".join(f"{k} x" for k in range(4000))), (2, " ".join(map(str, range(4000)))), (3, "ha " * 4000), (4, "ho " * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(f"{k} x" for k in range(7000, 9000))), (2, " ".join(map(str, range(7000, 9000)))), (3, "ha " * 2000)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()}
+    assert got[3] == [3] and got[2] == [] and got[4] == []
+
+
+def template_brute(text):
+    """The template and the values of its slots, word by word in plain Python."""
+    import regex
+
+    units = "|".join(sorted(D.UNITS, key=len, reverse=True))
+    digits, word = r"\d++(?:[.,:/]\d++)*+", r"[\p{L}\p{M}\p{N}]"
+    kinds = ((D.QUANTITY, rf"{digits} ?(?i:{units})(?!{word})"), (D.NUMBER, rf"{digits}(?![\p{{L}}\p{{M}}])(?:[ ,;]{{1,3}}{digits}(?![\p{{L}}\p{{M}}])(?! ?(?i:{units})(?!{word})))*"), (D.NAME, r"\p{Lu}[\p{L}\p{M}]*(?![\p{L}\p{M}\p{N}])(?:[ '’-]\p{Lu}[\p{L}\p{M}]*(?![\p{L}\p{M}\p{N}]))*"))
+    out, at = [], 0
+    while at < len(text):
+        if not regex.match(word, text[at]):
+            at += 1
+            continue
+        for kind, pattern in kinds:
+            if m := regex.compile(pattern).match(text, at):
+                out.append((kind, (m[0].replace(" ", "") if kind != D.NAME else regex.split(rf"(?!{word}).", m[0])[-1]).lower()))
+                break
+        else:
+            m = regex.compile(f"{word}+").match(text, at)
+            out.append((m[0].lower(), m[0].lower()))
+        at = m.end()
+    return out
+
+
+def contamination_brute(texts, items, least=13):
+    """Every window of every item against every window of every document; literal windows without slots, template windows slot by slot."""
+    slots = {D.NUMBER, D.QUANTITY, D.NAME}
+    read = lambda t: (template_brute(t), [(w, w) for w in re.findall(r"[^\W_]+", t.lower())])
+    out = {}
+    docs = {d: read(t) for d, t in texts.items()}
+    for i, text in items.items():
+        for k, item in enumerate(read(text)):
+            n = min(8, len(item))
+            for d, both in docs.items():
+                doc, cover = both[k], set()
+                if n < 5 and len(doc) != len(item):
+                    continue
+                for a in range(len(item) - n + 1):
+                    want = item[a : a + n]
+                    if k == 0 and 2 * sum(w in slots for w, _ in want) > n:
+                        continue
+                    for b in range(len(doc) - n + 1):
+                        have = doc[b : b + n]
+                        if [w for w, _ in want] == [w for w, _ in have]:
+                            to = {}
+                            if k or all(to.setdefault(x, y) == y for (w, x), (_, y) in zip(want, have) if w in slots):
+                                cover |= set(range(a, a + n))
+                if item and len(cover) >= min(least, len(item)):
+                    out.setdefault(d, set()).add(i)
+    return {d: sorted(out.get(d, ())) for d in texts}
+
+
+def test_decontamination_as_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    small = "has gives takes of them to the market after walking and sells home again with his her before noon".split()
+
+    def say(n):
+        return " ".join(rng.choice([rng.choice(small)] * 5 + [str(rng.randint(1, 30)), f"{rng.randint(1, 9)}.5 km", f"{rng.randint(1, 9)}km", rng.choice(["Anna", "Jean-Luc Picard", "McDonald", "Olga", "NASA"]), "1, 2, 3"]) for _ in range(n))
+
+    def changed(t):
+        t = re.sub(r"\d+", lambda m: str(rng.randint(1, 12)), t) if rng.random() < 0.5 else t
+        for name in ("Anna", "Olga", "McDonald"):
+            t = t.replace(name, rng.choice(["Maria", "Boris", name])) if rng.random() < 0.5 else t
+        return rng.choice([str, str, str.upper, str.lower])(t)
+
+    items = {k: say(rng.choice([2, 3, 5, 6, 7, 12, 30])) for k in range(30)} | {30: "", 31: "Anna has"}
+    texts = {k: rng.choice([f"{say(4)}. {changed(items[rng.randrange(30)])}! {say(5)}", changed(items[rng.randrange(32)]), say(20)]) for k in range(120)}
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = contamination_brute(texts, items)
+    assert {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()} == want and sum(map(bool, want.values())) > 40
+    for r in docs.select("doc_id", proper(words(F.col("text"), TEMPLATE)).alias("w"), slot_values(F.col("text")).alias("v")).collect():
+        assert list(zip(r.w, r.v)) == template_brute(texts[r.doc_id])
 
 
 def test_decontamination_splits_at_a_conflicting_slot(spark):
