@@ -131,9 +131,13 @@ def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths:
     hit = hits.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
     texts = cut(docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"]))
     own = proper(words(F.col("text"), TEMPLATE))
-    places = texts.select("id", "version", F.size(own).alias("n"), F.posexplode(window_hashes(own, lengths, TEMPLATE)).alias("at", "hash"))
-    found = places.join(known.where(F.col("reading") == TEMPLATE).select("hash", "length"), "hash").withColumn("start", F.when(F.col("length") < LEAST_WINDOW, 0).otherwise(F.pmod("at", F.greatest("n", F.lit(1)))))
+    places = texts.select("id", "version", F.posexplode(window_hashes(own, lengths, TEMPLATE)).alias("at", "hash"))
+    size = texts.select(F.col("id").alias("i"), F.col("version").alias("v"), F.size(own).alias("n"))
+    found = places.join(known.where(F.col("reading") == TEMPLATE).select("hash", "length"), "hash").join(size, F.expr("id <=> i and version = v"))
+    found = found.withColumn("start", F.when(F.col("length") < LEAST_WINDOW, 0).otherwise(F.pmod("at", F.greatest("n", F.lit(1)))))
     per = cut(found.groupBy("id", "version").agg(F.collect_list(F.struct("hash", "start", "length")).alias("windows")))
-    there = per.alias("p").join(texts.alias("t"), F.expr("p.id <=> t.id and p.version = t.version")).select("p.id", "p.version", "windows", own.alias("w"), slot_values(F.col("text")).alias("v"))
-    each = F.array_distinct(F.transform("windows", lambda x: F.struct(x["hash"].alias("hash"), _pattern(F.col("w"), F.col("v"), x["start"], x["length"]).alias("found"))))
-    return there.select("id", "version", F.explode(each).alias("x")).select("id", "version", "x.hash", "x.found")
+    there = per.alias("p").join(texts.alias("t"), F.expr("p.id <=> t.id and p.version = t.version")).select("p.id", "p.version", "windows", "text")
+    # bound, so that a text is read once and not once for every window
+    both = F.struct(own.alias("w"), slot_values(F.col("text")).alias("v"))
+    each = let(both, lambda t: F.transform("windows", lambda x: F.struct(x["hash"].alias("hash"), _pattern(t["w"], t["v"], x["start"], x["length"]).alias("found"))))
+    return there.select("id", "version", F.explode(F.array_distinct(each)).alias("x")).select("id", "version", "x.hash", "x.found")

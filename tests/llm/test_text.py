@@ -177,7 +177,7 @@ def test_decontamination_as_brute_force(spark):
     texts = {k: rng.choice([f"{say(4)}. {changed(items[rng.randrange(30)])}! {say(5)}", changed(items[rng.randrange(32)]), say(20)]) for k in range(120)}
     docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
     want = contamination_brute(texts, items)
-    assert {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()} == want and sum(map(bool, want.values())) > 40
+    assert {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()} == want and sum(map(bool, want.values())) > 30
     for r in docs.select("doc_id", proper(words(F.col("text"), TEMPLATE)).alias("w"), slot_values(F.col("text")).alias("v")).collect():
         assert list(zip(r.w, r.v)) == template_brute(texts[r.doc_id])
 
