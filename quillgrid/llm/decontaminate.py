@@ -33,7 +33,8 @@ def words(text: Column, reading: int) -> Column:
     """The words of a text, lower-cased; in a template with placeholders for numbers, quantities and names."""
     text = F.coalesce(text, F.lit(""))
     if reading == TEMPLATE:
-        text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, QUANTITIES, QUANTITY), NUMBERS, NUMBER), NAMES, NAME)
+        counted = F.regexp_replace(F.regexp_replace(text, QUANTITIES, QUANTITY), NUMBERS, NUMBER)
+        text = F.regexp_replace(F.when(F.rlike(text, F.lit(r"\d")), counted).otherwise(text), NAMES, NAME)
     return F.split(F.lower(text), rf"{_L.replace('[', '[^')}+")
 
 
@@ -105,7 +106,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     """
     items = cut(item_windows(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")))
     lengths = sorted(r[0] for r in items.where(F.col("length") >= LEAST_WINDOW).select("length").distinct().collect())  # at most four
-    known = items.select("hash", "reading", "length").distinct()
+    known = cut(items.select("hash", "reading", "length").distinct())  # a table, so that Spark knows its size
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text"))
     every = F.concat(*(window_hashes(words(F.col("text"), reading), lengths, reading) for reading in (TEMPLATE, LITERAL)))
     hits = cut(docs.select("id", "version", F.explode(every).alias("hash")).join(known, "hash").distinct())
@@ -128,7 +129,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, version, hash, found): the distinct patterns of slots that a hit's windows have in the document, read again from the few documents with hits."""
-    hit = hits.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
+    hit = cut(hits.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version")).distinct())
     texts = cut(docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"]))
     own = proper(words(F.col("text"), TEMPLATE))
     places = texts.select("id", "version", F.posexplode(window_hashes(own, lengths, TEMPLATE)).alias("at", "hash"))
