@@ -5,41 +5,64 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import base, folder, link_stem, stem
+from ..functions.columns import folder, let, link_stem, stem
+from ..functions.tables import cut
 from .links import MARKDOWN, WIKI, names, resolve_relative
 
 RELATED = ("related", "related pages", "related docs", "see also")
 
 
+#: Labels that are held against all names at a time, and classes of characters that are counted.
+BLOCK, CLASSES = 4_096, 64
+
+
 def close_names(labels: DataFrame, known: DataFrame, n: int = 3, cutoff: float = 0.6) -> DataFrame:
-    """(label, candidate, ratio): for every label its up to n most similar known names, by matching blocks.
+    """(label, candidate, ratio): for every label its up to n most similar known names, by the ratio of matching blocks.
 
-    Only pairs that share a run of three characters are compared (joined by hash), as pairs of a ratio of 0.6 nearly always do; names of under four
-    characters are joined by their first. So no label is held against all names.
+    The labels are a query set: in blocks of bounded size they are broadcast and held against all names, where these lie. What two names can have in
+    common at most (by their lengths, and by how often they have each class of characters) bounds the ratio from above, so that only pairs
+    that may reach ``cutoff`` are compared, and none is lost.
     """
+    wanted = cut(labels.select("label", link_stem(F.col("label")).alias("low")).where("label is not null").distinct())
+    names_ = cut(known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct())
+    blocks = 1 + wanted.count() // BLOCK
+    scored = None
+    for k in range(blocks):
+        part = wanted.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).toPandas()
+        found = _held_against(names_, part, cutoff)
+        scored = found if scored is None else scored.unionByName(found)
+    return scored.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("ratio"), F.desc("candidate")))).where(F.col("r") <= n).drop("r")
 
-    def grams(name: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
-        return F.array_distinct(F.when(F.char_length(name) < 4, F.array(F.substr(name, F.lit(1), F.lit(1)))).otherwise(runs))
 
-    wanted = labels.select("label", link_stem(F.col("label")).alias("low")).distinct()
-    left = wanted.select("label", "low", F.explode(grams(F.col("low"))).alias("g"))
-    right = known.select(F.col("name").alias("candidate")).distinct().select("candidate", F.explode(grams(F.col("candidate"))).alias("g"))
-    pairs = left.join(right, "g").select("label", "low", "candidate").distinct()
+def _held_against(known: DataFrame, labels: pd.DataFrame, cutoff: float) -> DataFrame:
+    shared = known.sparkSession.sparkContext.broadcast((labels["label"].tolist(), labels["low"].tolist()))
+
+    def counts(names: list[str]) -> np.ndarray:
+        out = np.zeros((len(names), CLASSES), np.int32)
+        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
+        np.add.at(out, (np.repeat(np.arange(len(names)), [len(x) for x in names]), codes), 1)
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ratios = [difflib.SequenceMatcher(None, c, low).ratio() for low, c in zip(batch["low"], batch["candidate"])]
-            out = batch[["label", "candidate"]].assign(ratio=ratios)
-            yield out[out["ratio"] >= cutoff]
+            candidates, rows = batch["candidate"].tolist(), []
+            theirs, length = counts(candidates), batch["candidate"].str.len().to_numpy()
+            for label, low, own in zip(*shared.value, counts(shared.value[1])):
+                matcher = difflib.SequenceMatcher(None, "", low)
+                for at in np.flatnonzero(2 * np.minimum(theirs, own).sum(1) >= cutoff * (length + len(low))):
+                    matcher.set_seq1(candidates[at])
+                    ratio = matcher.ratio()
+                    if ratio >= cutoff:
+                        rows.append((label, candidates[at], ratio))
+            yield pd.DataFrame(rows, columns=["label", "candidate", "ratio"])
 
-    scored = pairs.mapInPandas(run, "label string, candidate string, ratio double")
-    return scored.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("ratio"), F.desc("candidate")))).where(F.col("r") <= n).drop("r")
+    return known.mapInPandas(run, "label string, candidate string, ratio double")
 
 
 def links_to_add(docs: DataFrame, files: DataFrame, requests: DataFrame, section: str | None = None) -> DataFrame:
@@ -83,7 +106,8 @@ def rename_plan(docs: DataFrame, files: DataFrame, old: str, new: str) -> DataFr
     """(path, text, n): text documents whose references to ``old`` are rewritten to ``new``; n counts the changed references.
 
     Wiki links that resolve to the old document by its stem take the new stem, or the new path without suffix if they were paths; links by an alias
-    stay. Markdown and image links are recomputed relative to their document, with their anchors.
+    stay. Markdown and image links are recomputed relative to their document, with their anchors. The moved document comes under its new path, with its own
+    relative links as seen from there.
     """
     target = {r["name"]: r["target"] for r in names(files).where(F.col("target") == old).collect()}  # the names of one document
     old_stem = old.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -96,10 +120,24 @@ def rename_plan(docs: DataFrame, files: DataFrame, old: str, new: str) -> DataFr
         changed = F.regexp_count("text", F.lit(by_path)) + F.regexp_count("text", F.lit(by_stem))
         dollar = lambda t: t.replace("\\", "\\\\").replace("$", "\\$")
         out = F.regexp_replace(F.regexp_replace(out, by_path, "[[" + dollar(new_base)), by_stem, "[[" + dollar(new_base.rsplit("/", 1)[-1]))
-    urls = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\]\(([^)#\s]+)(?:#[^)\s]*)?\)"), F.lit(1)), lambda u: resolve_relative(folder(F.col("path")), u) == old))
-    up = F.when(folder(F.col("path")) == ".", F.lit("")).otherwise(F.repeat(F.lit("../"), F.size(F.split(folder(F.col("path")), "/"))))
-    shared = folder(F.col("path")) == F.lit(new.rsplit("/", 1)[0] if "/" in new else ".")
-    link = F.when(shared, base(F.lit(new))).otherwise(F.concat(up, F.lit(new)))
-    both = F.aggregate(urls, F.struct(out.alias("t"), changed.alias("n")), lambda s, u: F.struct(F.replace(F.replace(s["t"], F.concat(F.lit("]("), u, F.lit(")")), F.concat(F.lit("]("), link, F.lit(")"))), F.concat(F.lit("]("), u, F.lit("#")), F.concat(F.lit("]("), link, F.lit("#"))).alias("t"), (s["n"] + 1).alias("n")))
-    plan = docs.where(F.lower("path").rlike(r"\.(md|txt|rst|org|adoc)$")).select("path", both.alias("b")).select("path", F.col("b.t").alias("text"), F.col("b.n").alias("n"))
-    return plan.where("n > 0")
+    urls = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(r"\]\(([^)#\s]+)(?:#[^)\s]*)?\)"), F.lit(1)), lambda u: ~F.rlike(u, F.lit(r"^([a-zA-Z][a-zA-Z0-9+.-]*:|/)"))))
+    here, target = F.col("path"), lambda u: resolve_relative(folder(F.col("path")), u)
+    to = lambda u: F.when(target(u) == old, F.lit(new)).otherwise(target(u))
+    place = F.when(here == old, F.lit(new)).otherwise(here)
+    moves = F.filter(F.transform(urls, lambda u: F.struct(u.alias("u"), relative(folder(place), to(u)).alias("link"))), lambda m: (here == old) & (m["link"] != m["u"]) | (target(m["u"]) == old))
+    # every link is first marked and then put in place, so that no new link is taken for an old one
+    mark = lambda k: F.concat(F.lit("](\x00"), k.cast("string"), F.lit("\x00"))
+    both = F.aggregate(F.sequence(F.lit(0), F.size(moves)), F.struct(out.alias("t"), changed.alias("n")), lambda s, k: F.when(k == F.size(moves), s).otherwise(
+        let(F.get(moves, k)["u"], lambda u: F.struct(F.replace(F.replace(s["t"], F.concat(F.lit("]("), u, F.lit(")")), F.concat(mark(k), F.lit(")"))), F.concat(F.lit("]("), u, F.lit("#")), F.concat(mark(k), F.lit("#"))).alias("t"), (s["n"] + 1).alias("n")))))
+    placed = lambda s: F.aggregate(F.sequence(F.lit(0), F.size(moves)), s, lambda t, k: F.when(k == F.size(moves), t).otherwise(F.replace(t, mark(k), F.concat(F.lit("]("), F.get(moves, k)["link"]))))
+    both = let(both, lambda s: F.struct(placed(s["t"]).alias("t"), s["n"].alias("n")))
+    plan = docs.where(F.lower("path").rlike(r"\.(md|txt|rst|org|adoc)$")).select(place.alias("to"), both.alias("b")).select(F.col("to").alias("path"), F.col("b.t").alias("text"), F.col("b.n").alias("n"))
+    return plan.where((F.col("n") > 0) | (F.col("path") == new))
+
+
+def relative(of: Column, target: Column) -> Column:
+    """The way from folder ``of`` to a path, both seen from the root."""
+    a, b = F.filter(F.split(of, "/"), lambda x: x != "."), F.split(target, "/")
+    shared = lambda p: F.size(F.filter(F.sequence(F.lit(0), F.size(p["a"])), lambda i: (i > 0) & (i < F.size(p["b"])) & (F.slice(p["a"], F.lit(1), i) == F.slice(p["b"], F.lit(1), i))))
+    way = lambda p: let(shared(p), lambda n: F.concat(F.repeat(F.lit("../"), F.size(p["a"]) - n), F.array_join(F.slice(p["b"], n + 1, F.size(p["b"])), "/")))
+    return let(F.struct(a.alias("a"), b.alias("b")), way)

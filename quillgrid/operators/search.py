@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import TYPES, cosine, extension, holds_any, occurrences
-from ..functions.tables import global_rank
+from ..functions.tables import cut, global_rank
 from ..functions.terms import COVER, FIELDS, RARE, RRF_K, WEAK_SCORE, Query, least_variants, parse, variants
 
 #: Columns of the scan that search reads: one row per section with its document's metadata, in lower case beside the original.
@@ -114,7 +114,7 @@ def rank(scan: DataFrame, text: str, stats: Statistics | None = None) -> Ranked:
     """Every plain term must occur in a document, unless the query is long; if no document has all, half of them suffice. Long queries ask for 30 % of the idf mass, or for the rarest term."""
     query = parse(text)
     stats = stats or statistics(scan, list(query.plain))
-    docs, need = scored(scan, query, stats), len(query.plain)
+    docs, need = cut(scored(scan, query, stats)), len(query.plain)  # the texts are scored once, and the gates read what came of it
     if query.long:
         mass = sum(stats.idf(t) for t in query.plain)
         return Ranked(query, docs.where((F.col("matched_idf") >= COVER * mass) | F.col("rare")).drop("rare"), True, stats)
@@ -146,15 +146,16 @@ def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n
 
 
 def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None = None) -> DataFrame:
-    """Reciprocal-rank fusion of several phrasings (and, if given, of vector hits): each list votes 1 / (60 + rank)."""
+    """Reciprocal-rank fusion of several phrasings (and, if given, of vector hits): each list votes 1 / (60 + rank). Line and heading are those of the best rank by words (null where only vectors found a document)."""
     stats = statistics(scan, list(dict.fromkeys(t for x in texts for t in parse(x).plain)))
-    votes = [global_rank(rank(scan, x, stats).results, "rank", *ranking()).select("path", "rank", F.lit(q).alias("q")) for q, x in enumerate(texts)]
+    place = (F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("heading"))
+    votes = [global_rank(rank(scan, x, stats).results, "rank", *ranking()).select("path", "rank", F.lit(q).alias("q"), "line", "heading") for q, x in enumerate(texts)]
     if near is not None:
-        votes.append(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q")))
+        votes.append(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q"), *place))
     lists = reduce(DataFrame.unionByName, votes)
-    summed = lists.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("q", "rank"))).alias("v"), F.count("*").alias("sources"), F.min(F.struct("rank", "q")).alias("best"))
+    summed = lists.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("q", "rank"))).alias("v"), F.count("*").alias("sources"), F.min(F.struct("rank", "q")).alias("best"), F.min(F.when(F.col("line").isNotNull(), F.struct("rank", "q", "line", "heading"))).alias("shown"))
     rrf = F.aggregate("v", F.lit(0.0), lambda s, x: s + 1.0 / (RRF_K + x["rank"]))
-    return summed.select("path", rrf.alias("rrf"), "sources", F.col("best.rank").alias("best_rank"), F.col("best.q").cast("long").alias("best_query")).orderBy(F.desc("rrf"), "best_rank", "best_query", "path").limit(n)
+    return summed.select("path", rrf.alias("rrf"), "sources", F.col("best.rank").alias("best_rank"), F.col("best.q").cast("long").alias("best_query"), "shown.line", "shown.heading").orderBy(F.desc("rrf"), "best_rank", "best_query", "path").limit(n)
 
 
 def evidence(scan: DataFrame, top: DataFrame, query: Query, stats: Statistics, k: int = 5) -> DataFrame:

@@ -14,9 +14,28 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line, raw, v, type): JSON lines as VARIANT, ``line`` ordering them by file name and place; what is no JSON object with a string type has a null type, and unknown types are kept as they are."""
     at = F.concat_ws("#", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
     lines = spark.read.text(path).select(at.alias("line"), F.col("value").alias("raw")).where("trim(raw) <> ''")
+    return typed(lines)
+
+
+def typed(lines: DataFrame) -> DataFrame:
+    """Lines of JSON (``raw``) with their value as VARIANT and its type."""
     return lines.withColumn("v", F.expr("try_parse_json(raw)")).withColumn("type", F.expr("try_variant_get(v, '$.type', 'string')"))
 
 
+def matched_notes(notes_: DataFrame, terms: list[str], n: int = 3) -> DataFrame:
+    """The n newest notes whose question and insight hold all terms literally."""
+    low = F.lower(F.concat_ws(" ", "question", "insight"))
+    for term in terms:
+        notes_ = notes_.where(F.contains(low, F.lit(term)))
+    return newest(notes_, n)
+
+
+def pruned(log: DataFrame, kind: str, *key: str) -> DataFrame:
+    """``log`` of which of one kind only the last record of each ``key`` stays; without a key none of that kind does."""
+    rest = log.where((F.col("type") != kind) | F.col("type").isNull())
+    return rest.unionByName(last_wins(log.where(F.col("type") == kind), *key).select(log.columns)) if key else rest
+
+
 def _get(name: str, kind: str = "string") -> Column:
     return F.coalesce(F.expr(f"try_variant_get(v, '$.{name}', '{kind}')"), F.lit("")) if kind == "string" else F.expr(f"try_variant_get(v, '$.{name}', '{kind}')")
 
@@ -76,9 +95,41 @@ def repinned(records: DataFrame, rewritten: DataFrame, path_col: str = "path", s
     return records.join(moves, hit, "left").withColumn(sha_col, F.coalesce("__n", sha_col)).drop("__p", "__o", "__n")
 
 
-def counters(log: DataFrame) -> DataFrame:
+def carried(log: DataFrame, rewritten: DataFrame, old: str, new: str) -> DataFrame:
+    """(line, raw) of ``log`` after documents were rewritten and one was moved from ``old`` to ``new``.
+
+    ``rewritten`` is (was, path, old_sha, new_sha). A record's paths become the new ones, and a pin that equalled the old hash becomes the new one;
+    stale pins stay stale. Records without such a path, of unknown types or malformed stay as they are, byte for byte. The ends of an edge stay sorted.
+    """
+    fields = {"edge": (("src", "src_sha"), ("dst", "dst_sha")), "embed": (("path", "sha"),)}
+    pins = log.where("type = 'note'").select("line", F.posexplode(F.coalesce(_get("sources", SOURCES), F.array().cast(SOURCES))).alias("k", "s")).select("line", "k", "s.path", "s.sha")
+    for kind, ends in fields.items():
+        for k, (path, sha) in enumerate(ends):
+            pins = pins.unionByName(log.where(F.col("type") == kind).select("line", F.lit(k).alias("k"), _get(path).alias("path"), _get(sha).alias("sha")))
+    moves = rewritten.unionByName(log.sparkSession.createDataFrame([(old, new, None, None)], rewritten.schema)).groupBy("was").agg(F.max("path").alias("to"), F.max("old_sha").alias("old_sha"), F.max("new_sha").alias("new_sha"))
+    changed = pins.join(moves, pins["path"] == moves["was"], "left").withColumn("new_pin", F.when((F.col("sha") == F.col("old_sha")) & F.col("new_sha").isNotNull(), F.col("new_sha")).otherwise(F.col("sha")))
+    per = changed.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("to", "path").alias("path"), F.col("new_pin").alias("sha")))).alias("p"), F.max(F.col("was").isNotNull()).alias("hit")).where("hit")
+    there = log.join(per, "line", "left")
+    record = F.from_json("raw", "map<string,string>")
+    lists = F.to_json(F.transform("p", lambda x: F.struct(x["path"].alias("path"), x["sha"].alias("sha"))))
+    sides = F.array_sort(F.transform("p", lambda x: F.struct(x["path"].alias("path"), x["sha"].alias("sha"))))
+    put = lambda names, values: F.map_concat(F.map_filter("record", lambda k, v: ~k.isin(*names)), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)))
+    ends = lambda k, name: F.get(sides, F.lit(k))[name]
+    # ``vec`` and ``sources`` are JSON texts inside the map of strings, so records are put together from their parts
+    made = (
+        F.when(F.col("type") == "note", put(("sources",), (lists,)))
+        .when(F.col("type") == "edge", put(("src", "dst", "src_sha", "dst_sha"), (ends(0, "path"), ends(1, "path"), ends(0, "sha"), ends(1, "sha"))))
+        .when(F.col("type") == "embed", put(("path", "sha"), (ends(0, "path"), ends(0, "sha"))))
+    )
+    nested = ("sources", "vec")
+    quoted = lambda k, v: F.when(k.isin(*nested), v).when(v.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(v.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("made"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), quoted(e["key"], e["value"]))), ", "), F.lit("}"))
+    return there.withColumn("record", record).withColumn("made", made).select("line", F.when(F.col("p").isNull(), F.col("raw")).otherwise(text).alias("raw"))
+
+
+def counters(log: DataFrame, known: tuple[str, ...] = KINDS) -> DataFrame:
     """(kind, n): lines of each type, of unknown types and malformed ones."""
-    kind = F.when(F.col("type").isNull(), "malformed").when(F.col("type").isin(*KINDS), F.col("type")).otherwise("unknown")
+    kind = F.when(F.col("type").isNull(), "malformed").when(F.col("type").isin(*known), F.col("type")).otherwise("unknown")
     return log.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 

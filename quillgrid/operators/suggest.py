@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import folder, name_tokens, proximity, tokens
+from ..functions.tables import cut
 
 SAME, SIBLING, NAME_WEIGHT = 4.0, 2.0, 1.5
 REF_POINTS = {"req": 3.0, "code": 2.0}
@@ -19,10 +20,15 @@ def token_weights(scan: DataFrame) -> DataFrame:
     return strong.unionByName(weak).groupBy("path", "token").agg(F.max("weight").alias("weight"))
 
 
+def rare_tokens(weights: DataFrame, max_df: int) -> DataFrame:
+    """(token, d) of words that 2 to ``max_df`` documents have."""
+    return weights.groupBy("token").agg(F.count("*").alias("d")).where(F.col("d").between(2, max_df))
+
+
 def token_pairs(weights: DataFrame, max_df: int = 4) -> DataFrame:
     """(a, b, amount, signal) for documents that share a word which 2 to ``max_df`` documents have; the cap bounds a word to so many pairs."""
-    rare = weights.groupBy("token").agg(F.count("*").alias("d")).where(F.col("d").between(2, max_df))
-    of = weights.join(rare, "token")
+    weights = cut(weights)  # texts are taken apart once
+    of = cut(weights.join(rare_tokens(weights, max_df), "token"))
     left, right = of.select("token", F.col("path").alias("a"), F.col("weight").alias("wa"), "d"), of.select("token", F.col("path").alias("b"), F.col("weight").alias("wb"))
     return left.join(right, "token").where("a < b").select("a", "b", (F.col("wa") * F.col("wb") / F.col("d")).alias("amount"), F.col("token").alias("signal"))
 
@@ -55,7 +61,7 @@ def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None
     if linked is not None:
         sorted_pairs = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(sorted_pairs, ["a", "b"], "left_anti")
-    summed = pairs.groupBy("a", "b").agg(F.sum(F.round("amount", 9)).alias("base"), F.slice(F.array_sort(F.collect_set("signal")), 1, 8).alias("signals"))
+    summed = cut(pairs.groupBy("a", "b").agg(F.sum(F.round("amount", 9)).alias("base"), F.slice(F.array_sort(F.collect_set("signal")), 1, 8).alias("signals")))
     near = proximity(F.col("a"), F.col("b"))
     shared = shared_names(files, summed.select("a", "b"))
     out = summed.join(shared, ["a", "b"], "left").withColumn("dir", near)

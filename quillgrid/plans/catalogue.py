@@ -15,8 +15,8 @@ from ..operators import search as S
 from ..operators import semlog as G
 from ..operators import suggest as U
 from ..sources import tables as T
-from ..sources.markup import parse_html
-from ..sources.vault import SECTION, ignored, plain_sections
+from ..sources import html as H
+from ..sources.vault import ignored, plain_sections
 from ..streaming.ingest import event_counts
 
 AND, PHRASE, RELAXED = "schung tioned", '"of the"', "schung tioned queción über-alles"
@@ -88,7 +88,7 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_fused_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(S.fused(T.document_scan(spark, sf_dir), list(PHRASINGS), 12), "rrf", digits=8)
+    return _round(S.fused(T.document_scan(spark, sf_dir), list(PHRASINGS), 12), "rrf", digits=8).drop("line", "heading")
 
 
 def _embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +141,8 @@ def weak_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = T.document_scan(spark, sf_dir).select(F.explode(F.array_distinct(C.tokens(F.col("content")))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("df")).where("df between 2 and 4")
+    scan = T.document_scan(spark, sf_dir)
+    return U.rare_tokens(scan.select("path", F.explode(F.array_distinct(C.tokens(F.col("content")))).alias("token")), 4).withColumnRenamed("d", "df")
 
 
 def suggest_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +171,7 @@ def suggest_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(entity), F.lit(char))
-    return T.read(spark, sf_dir, "pages").select("page_id", F.trim(raw).alias("title"))
+    return T.read(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,10 +220,7 @@ def log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prune_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of one kind only the last record of each user stays; other kinds are kept as they are."""
-    log = _event_log(spark, sf_dir)
-    kind = log.where("event_type = 'click'")
-    last = G.last_wins(kind, "user_id").select(log.columns)
-    return log.where("event_type <> 'click' or event_type is null").unionByName(last)
+    return G.pruned(_event_log(spark, sf_dir).withColumnRenamed("event_type", "type"), "click", "user_id").withColumnRenamed("type", "event_type")
 
 
 def note_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,8 +252,7 @@ def embed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doctor_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of each kind in a log of event properties: known types, unknown ones, lines that are no JSON."""
     log = T.read(spark, sf_dir, "events").select(F.concat(F.lit('{"type":"'), "event_type", F.lit('","p":'), "props", F.when(F.col("event_id") % 11 == 0, "").otherwise("}")).alias("raw"))
-    typed = log.select(F.expr("try_variant_get(try_parse_json(raw), '$.type', 'string')").alias("type"))
-    return typed.groupBy(F.coalesce("type", F.lit("malformed")).alias("kind")).agg(F.count("*").alias("n"))
+    return G.counters(G.typed(log), known=("click", "view", "purchase", "signup", "error"))
 
 
 def update_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,11 +311,11 @@ def capped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three newest conversations whose first turn and reply hold all terms literally."""
-    turns = T.read(spark, sf_dir, "conversations").where("turn < 2")
-    notes = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("text"))
-    low = F.lower("text")
-    return notes.where(F.contains(low, F.lit("the")) & F.contains(low, F.lit("en"))).orderBy(F.desc("conv_id")).limit(3).select("conv_id", F.char_length("text").cast("long").alias("n_chars"))
+    """The three newest conversations, read as notes of all their turns, that hold all terms literally."""
+    turns = T.read(spark, sf_dir, "conversations")
+    texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("insight"))
+    found = G.matched_notes(texts.select(F.col("conv_id").alias("line"), F.lit("").alias("question"), "insight"), ["the", "en"])
+    return found.select(F.col("line").alias("conv_id"), F.char_length("insight").cast("long").alias("n_chars"))
 
 
 def plain_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,23 +325,16 @@ def plain_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of every page by its headings, by the HTML parser."""
-
-    def run(batches):
-        for batch in batches:
-            out = batch[["page_id"]].copy()
-            out["sections"] = [[{"line": k + 1, "level": lv, "heading": h, "content": c} for k, (lv, h, c) in enumerate(parse_html(t or "")["sections"])] for t in batch["html"]]
-            yield out
-
-    each = T.read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, f"page_id long, sections {SECTION}")
-    return each.select("page_id", F.explode("sections").alias("s")).select("page_id", "s.*")
+    """Sections of every page by its headings, with the source line of each."""
+    each = T.read(spark, sf_dir, "pages").select("page_id", H.body(F.coalesce("html", F.lit(""))).alias("page")).select("page_id", F.explode(H.sections(F.col("page"))).alias("s"))
+    return each.select("page_id", F.col("s.line").cast("long").alias("line"), F.col("s.level").cast("long").alias("level"), "s.heading", F.md5("s.content").alias("content_md5"))
 
 
 def fuzzy_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every brand of parts, misspelt, the part types and names most like it."""
-    part = T.read(spark, sf_dir, "part")
-    labels = part.select(F.concat(F.substr(F.lower("p_type"), F.lit(2)), F.lit("x")).alias("label")).distinct()
-    return E.close_names(labels, part.select(F.lower("p_type").alias("name")).distinct()).select("label", "candidate", F.round("ratio", 4).alias("ratio"))
+    """For the name of every part whose key 100 divides, with its third letter gone and its key after it, the most similar of all parts' names."""
+    part = T.read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", F.lower("p_name"), "p_partkey").alias("name"))
+    labels = part.where("p_partkey % 100 = 0").select(F.concat(F.substr("name", F.lit(1), F.lit(2)), F.substr("name", F.lit(4))).alias("label"))
+    return E.close_names(labels, part.select("name")).select("label", "candidate", F.round("ratio", 4).alias("ratio"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

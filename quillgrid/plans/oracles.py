@@ -120,7 +120,41 @@ nm AS (SELECT name, arg_max(path, rank || path) AS target FROM (SELECT CAST(page
 rs AS (SELECT src, trim(dst) AS dst, target FROM lk LEFT JOIN nm ON name = regexp_replace(lower(string_split(trim(dst), '/')[-1]), '\\.(md|pdf|html|htm|txt|rst|org|adoc|png|jpg|jpeg|gif|webp|svg)$', '')),
 cn AS (SELECT src AS a, target AS b FROM rs WHERE target IS NOT NULL AND target <> src UNION SELECT target, src FROM rs WHERE target IS NOT NULL AND target <> src)"""
 
+_NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_TITLE, _HEAD = r"(?is)<title\b[^>]*>.*?(?:</title\s*>|\z)", r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"
+_BLOCK = r"(?i)</?(?:p|div|br|li|tr|td|th|ul|ol|table|section|article|header|footer|blockquote|pre|dd|dt|h[1-6])\b[^>]*>"
+
+
+def _only_lines(x: str) -> str:
+    return f"regexp_replace({x}, '[^\\n]', '', 'g')"
+
+
+def _emptied(x: str, pattern: str) -> str:
+    """A text without the hits of a pattern but with their line ends."""
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{pattern}'), regexp_extract_all({x}, '{pattern}')), lambda z: z[1] || coalesce({_only_lines('z[2]')}, '')), '')"
+
+
+def _characters(x: str) -> str:
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {char})"
+    return x
+
+
+def _visible(x: str) -> str:
+    plain = _characters(f"regexp_replace(regexp_replace({x}, '{_BLOCK}', chr(10), 'g'), '</?[A-Za-z!?][^>]*>', '', 'g')")
+    return f"trim(regexp_replace(array_to_string(list_transform(string_split({plain}, chr(10)), lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
+
+
+_HEADING_TEXT = _characters("regexp_replace(regexp_extract(h[k], '(?is)^<h[1-6]\\b[^>]*>(.*)</h[1-6]\\s*>$', 1), '</?[A-Za-z!?][^>]*>', '', 'g')")
+_PAGE_SECTIONS = f"""WITH a AS (SELECT page_id, {_emptied("coalesce(html, '')", _NOISE)} AS x FROM pages), b AS (SELECT page_id, {_emptied('x', _TITLE)} AS page FROM a),
+c AS (SELECT page_id, regexp_extract_all(page, '{_HEAD}') AS h, string_split_regex(page, '{_HEAD}') AS p FROM b),
+d AS (SELECT page_id, h, p, unnest(range(0, len(h) + 1)) AS k FROM c WHERE len(h) > 0),
+e AS (SELECT page_id, k, CASE WHEN k = 0 THEN 1 ELSE length({_only_lines("array_to_string(p[1:k], '') || array_to_string(h[1:k-1], '')")}) + 1 END AS line, CASE WHEN k = 0 THEN 0 ELSE CAST(h[k][3:3] AS INTEGER) END AS level,
+  CASE WHEN k = 0 THEN '(intro)' ELSE coalesce(nullif(trim(regexp_replace({_HEADING_TEXT}, '\\s+', ' ', 'g')), ''), '(heading)') END AS heading, {_visible('p[k + 1]')} AS content FROM d)
+SELECT page_id, CAST(line AS BIGINT) AS line, CAST(level AS BIGINT) AS level, heading, md5(content) AS content_md5 FROM e WHERE k > 0 OR content <> ''"""
+
 ORACLES = {
+    "page_sections": _PAGE_SECTIONS,
     "vault_files": f"SELECT path, title, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, sha256(content) AS sha FROM ({DOCS})",
     "vault_totals": f"SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> ''))) AS BIGINT) AS n_words FROM ({DOCS})",
     "directory_summary": f"""WITH d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, path, title FROM ({DOCS})), r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path) AS r FROM d)
@@ -181,7 +215,7 @@ SELECT page_id, stem, array_to_string(list_filter(string_split_regex(stem, '[-_.
 SELECT CASE WHEN a.dir = b.dir THEN 'same' WHEN string_split(a.dir, '/')[1] = string_split(b.dir, '/')[1] THEN 'sibling' ELSE 'far' END AS dir, CAST(count(*) AS BIGINT) AS n FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 GROUP BY 1""",
     "ignore_rules": "SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE source <> 'src1' AND lang <> 'de' AND NOT (source = 'src2' AND lang = 'en') GROUP BY 1",
     "capped_counts": f"""SELECT path, CAST(least({' + '.join(f"(length(c) - length(replace(c, {_q(v)}, ''))) // {len(v)}" for v in variants('über'))}, 5) AS BIGINT) AS n FROM (SELECT path, lower(content) AS c FROM ({DOCS})) WHERE n > 0""",
-    "notes_matched": """WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE turn < 2 GROUP BY 1)
+    "notes_matched": """WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)
 SELECT conv_id, CAST(length(text) AS BIGINT) AS n_chars FROM n WHERE contains(lower(text), 'the') AND contains(lower(text), 'en') ORDER BY conv_id DESC LIMIT 3""",
     "plain_text_sections": f"""SELECT path, CAST(0 AS BIGINT) AS sec_no, CAST(1 AS BIGINT) AS line, substr(trim(string_split(content, chr(10))[1]), 1, 60) AS heading, CAST(length(trim(content, chr(10))) AS BIGINT) AS n_chars FROM ({DOCS})""",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
+from ..functions.terms import parse
 from ..operators import edits as E
 from ..operators import links as L
 from ..operators import report as R
@@ -24,13 +25,16 @@ class Vault:
 
     def __init__(self, spark: SparkSession, root: str, log: str | None = None, patterns: list[str] = ()) -> None:
         self.spark, self.root, self.log_path, self.patterns = spark, root.rstrip("/"), log, list(patterns)
-        self.frames = V.build(spark, self.root, self.patterns)
+        self.frames = V.build(spark, self.root, self._all_patterns())
+
+    def _all_patterns(self) -> list[str]:
+        return self.patterns + V.ignore_patterns(self.spark, self.root)
 
     def update(self, patterns: list[str] | None = None) -> DataFrame:
-        """Index again; returns (change, n): documents that are new, changed, deleted or unchanged by content."""
+        """Read what is new or was touched since; returns (change, n): documents that are new, changed, deleted or unchanged by content. ``frames.parsed`` lists what was read."""
         before = self.frames.files
         self.patterns = self.patterns if patterns is None else list(patterns)
-        self.frames = V.build(self.spark, self.root, self.patterns)
+        self.frames = V.build(self.spark, self.root, self._all_patterns(), self.frames)
         return R.changes(before, self.frames.files).groupBy("change").agg(F.count("*").alias("n"))
 
     def search(self, queries: str | list[str], n: int = 8, vector: list[float] | None = None) -> DataFrame:
@@ -86,10 +90,38 @@ class Vault:
         return E.links_to_add(self._texts(), self.frames.files, wanted, section)
 
     def mv(self, old: str, new: str) -> DataFrame:
+        """(path, text, n): the moved document under its new path, its own relative links made right, and all documents that refer to it."""
         return E.rename_plan(self._texts(), self.frames.files, old, new)
 
+    def mv_log(self, old: str, new: str, plan: DataFrame) -> DataFrame:
+        """(line, raw): the log after ``mv``: records of the old path name the new one, and pins that were fresh are those of the texts of ``plan``."""
+        now = plan.select("path", F.sha2(V.C.line_feeds(F.col("text")), 256).alias("new_sha"), F.when(F.col("path") == new, old).otherwise(F.col("path")).alias("was"))
+        was = self.frames.files.select(F.col("path").alias("was"), F.col("sha").alias("old_sha"))
+        return G.carried(self.log(), now.join(was, "was").select("was", "path", "old_sha", "new_sha"), old, new)
+
+    def notes_for(self, text: str, n: int = 3) -> DataFrame:
+        """The newest notes that hold all terms of a query, with their freshness."""
+        found = G.matched_notes(G.notes(self.log()), list(parse(text).plain), n)
+        return found.join(G.note_freshness(found, self.frames.files), "line").orderBy(F.desc("line"))
+
+    def pruned_log(self, kind: str) -> DataFrame:
+        """(line, raw) of the log without stale records of a kind ("note" or "edge"); ``rewrite_log`` puts it in place."""
+        stale = (self.notes() if kind == "note" else self.edges()).where("not fresh")
+        gone = stale.select("line") if kind == "note" else G.edges(self.log()).join(stale.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_semi").select("line")
+        return self.log().join(gone, "line", "left_anti").select("line", "raw")
+
+    def rewrite_log(self, kept: DataFrame) -> None:
+        """Replace the log by the lines ``kept`` (line, raw): they are written to a new folder first, which then takes the old one's place."""
+        jvm, fresh, old = self.spark._jvm, f"{self.log_path}.new-{uuid.uuid4().hex}", f"{self.log_path}.old-{uuid.uuid4().hex}"
+        kept.repartitionByRange("line").sortWithinPartitions("line").select("raw").write.text(fresh)
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(self.log_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.rename(path(self.log_path), path(old))
+        fs.rename(path(fresh), path(self.log_path))
+        fs.delete(path(old), True)
+
     def _texts(self) -> DataFrame:
-        found = V.listing(self.spark, self.root, self.patterns).where(F.col("ext").isin(".md", ".txt", ".rst", ".org", ".adoc"))
+        found = V.listing(self.spark, self.root, self._all_patterns()).where(F.col("ext").isin(".md", ".txt", ".rst", ".org", ".adoc"))
         return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
     def log(self) -> DataFrame:
@@ -171,12 +203,12 @@ class Vault:
             "totals": R.totals(f.files), "folders": R.folders(f.files), "hubs": L.hubs(f.links, f.files).orderBy(F.desc("n"), "path").limit(10),
             "recent": f.files.orderBy(F.desc("mtime"), "path").limit(10), "tags": R.top_tags(tags), "refs": R.shared_refs(f.links),
             "edges": self.edges().orderBy(F.desc("line")).limit(12), "notes": self.notes().where("fresh").orderBy(F.desc("line")).limit(10),
-            "orphans": L.orphans(f.files, pairs), "broken": L.broken(f.links, f.files), "coverage": V.unindexed(V.listing(self.spark, self.root, self.patterns)),
+            "orphans": L.orphans(f.files, pairs), "broken": L.broken(f.links, f.files), "coverage": V.unindexed(V.listing(self.spark, self.root, self._all_patterns())),
         }
 
     def doctor(self) -> dict[str, DataFrame]:
         f = self.frames
-        now = V.listing(self.spark, self.root, self.patterns).where(F.col("ext").isin(*V.C.INDEXED)).select("path", F.col("mtime").cast("string").alias("sha"))
+        now = V.listing(self.spark, self.root, self._all_patterns()).where(F.col("ext").isin(*V.C.INDEXED)).select("path", F.col("mtime").cast("string").alias("sha"))
         return {
             "index": R.changes(f.files.select("path", F.col("mtime").cast("string").alias("sha")), now).groupBy("change").agg(F.count("*").alias("n")),
             "log": G.counters(self.log()), "broken": L.broken(f.links, f.files), "orphans": L.orphans(f.files, cut(self.connections())),

@@ -1,4 +1,4 @@
-"""A folder of documents -> vault frames. Text formats are taken apart by DataFrame functions, HTML and PDF by small parsers."""
+"""A folder of documents -> vault frames. Text formats and HTML are taken apart by DataFrame functions, PDF by a small parser."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ from ..functions import columns as C
 from ..functions.tables import cut
 from ..operators.links import extract, image_alts, resolve_relative
 from ..operators.report import image_texts
-from .markup import parse_html, parse_pdf
+from . import html as H
+from .pdf import parse_pdf
 
 #: Folders and files that are never indexed.
 SKIPPED_FOLDERS = (".obsidian", ".git", ".quillgrid", "node_modules", ".github", "__pycache__", ".venv", "venv", ".trash")
@@ -32,6 +33,8 @@ class Frames:
     sections: DataFrame
     links: DataFrame
     alts: DataFrame
+    #: (path) of the documents that were read and taken apart for these tables.
+    parsed: DataFrame
 
     def scan(self) -> DataFrame:
         """A row per section with its document's metadata, as search reads it."""
@@ -52,9 +55,23 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def listing(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
-    """(path, mtime, length, ext, content) of all files below ``root`` that are not ignored; paths are relative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the folder's own list of patterns (".vaultignore"), if it has one; a short file that people write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.vaultignore")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    stream = fs.open(path)  # Spark's readers pass over hidden files
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
+
+
+def listing(spark: SparkSession, root: str, patterns: list[str] = (), only: list[str] | None = None) -> DataFrame:
+    """(path, mtime, length, ext, content) of all files below ``root`` (or of the files ``only``) that are not ignored; paths are relative. Content is read where it is used."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(root if only is None else [f"{root}/{p}" for p in only])
     full = F.regexp_replace("path", "^[a-z]+:/*", "/")
     path = F.regexp_replace(full, "^" + "\\Q" + "/" + root.split(":", 1)[-1].strip("/") + "/\\E", "")
     return files.select(path.alias("path"), F.col("modificationTime").alias("mtime"), "length", "content").where(~ignored(F.col("path"), list(patterns))).withColumn("ext", C.extension(F.col("path")))
@@ -96,12 +113,16 @@ def markdown_sections(text: Column) -> Column:
     return F.element_at(F.transform(state, sections), 1)
 
 
+def _blank(line: Column) -> Column:
+    return ~F.rlike(line, F.lit(r"(?U)\S"))
+
+
 def plain_sections(text: Column) -> Column:
     """Sections at blank lines after twelve lines that are not blank; the first such line is the heading."""
     start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
     def step(s: Column, line: Column) -> Column:
-        blank = F.trim(line) == ""
+        blank = _blank(line)
         end = blank & (s["n"] >= PLAIN_LINES)
         n = F.when(end, 0).when(blank, s["n"]).otherwise(s["n"] + 1)
         return F.struct(F.when(end, F.array_append(s["cuts"], s["i"] + 1)).otherwise(s["cuts"]).alias("cuts"), n.alias("n"), (s["i"] + 1).alias("i"))
@@ -110,38 +131,58 @@ def plain_sections(text: Column) -> Column:
 
     def sections(c: Column, lines: Column) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.struct((F.get(c, k - 1) + 1).alias("line"), F.lit(1).alias("level"), F.slice(lines, F.get(c, k - 1) + 1, F.get(c, k) - F.get(c, k - 1)).alias("own")))
-        named = F.transform(made, lambda x: F.struct(x["line"], x["level"], F.substr(F.trim(F.get(F.filter(x["own"], lambda t: F.trim(t) != ""), F.lit(0))), F.lit(1), F.lit(60)).alias("heading"), F.btrim(F.array_join(x["own"], "\n"), F.lit("\n")).alias("content")))
+        named = F.transform(made, lambda x: F.struct(x["line"], x["level"], F.substr(F.trim(F.get(F.filter(x["own"], lambda t: ~_blank(t)), F.lit(0))), F.lit(1), F.lit(60)).alias("heading"), F.btrim(F.array_join(x["own"], "\n"), F.lit("\n")).alias("content")))
         return F.filter(named, lambda x: x["heading"].isNotNull()).cast(SECTION)
 
     return F.element_at(F.transform(F.array(F.struct(cuts.alias("c"), F.split(text, "\n").alias("l"))), lambda s: sections(s["c"], s["l"])), 1)
 
 
-def _parsed(rows: DataFrame) -> DataFrame:
-    """(path, ext, content) of HTML and PDF files -> (path, title, text, parsed, refs, pics)."""
+def _pdf_texts(rows: DataFrame) -> DataFrame:
+    """(path, content) of PDF files -> (path, pdf)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, ext, content in zip(batch["path"], batch["ext"], batch["content"]):
-                if ext == ".pdf":
-                    out.append((path, None, parse_pdf(bytes(content)), [], [], []))
-                else:
-                    p = parse_html(bytes(content).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
-                    out.append((path, p["title"], p["text"], [{"line": k + 1, "level": lv, "heading": h, "content": c} for k, (lv, h, c) in enumerate(p["sections"])], p["links"], [{"src": s, "alt": a} for s, a in p["images"]]))
-            yield pd.DataFrame(out, columns=["path", "ptitle", "ptext", "parsed", "refs", "pics"])
+            yield pd.DataFrame({"path": batch["path"], "pdf": [parse_pdf(bytes(c)) for c in batch["content"]]})
+
+    return rows.select("path", "content").mapInPandas(run, "path string, pdf string")
 
-    return rows.select("path", "ext", "content").mapInPandas(run, f"path string, ptitle string, ptext string, parsed {SECTION}, refs array<string>, pics array<struct<src:string,alt:string>>")
 
+def build(spark: SparkSession, root: str, patterns: list[str] = (), before: Frames | None = None) -> Frames:
+    """Index the folder ``root``; each table is written to the session's shared folder.
 
-def build(spark: SparkSession, root: str, patterns: list[str] = ()) -> Frames:
-    """Index the folder ``root``; each table is written to the session's shared folder."""
+    With the tables ``before``, only documents that are new or have another modification time are read; the rows of all others stay.
+    The paths of those to read come to the driver, as those of any folder that Spark reads do.
+    """
     found = listing(spark, root, patterns).where(F.col("ext").isin(*C.INDEXED))
+    if before is None:
+        return _with_images(_parsed(found))
+    now = cut(found.select("path", "mtime"))
+    same = cut(now.join(before.files.select("path", "mtime"), ["path", "mtime"], "left_semi").select("path"))
+    touched = [r["path"] for r in now.join(same, "path", "left_anti").toLocalIterator()]
+    new = _parsed(listing(spark, root, patterns, touched) if touched else found.where("false"))
+    stay = lambda old, own, key: cut(old.join(same.withColumnRenamed("path", key), key, "left_semi").select(own.columns).unionByName(own))
+    return _with_images(Frames(stay(before.files, new.files, "path"), stay(before.sections, new.sections, "path"), stay(before.links, new.links, "src"), stay(before.alts, new.alts, "src"), new.parsed))
+
+
+def _with_images(frames: Frames) -> Frames:
+    """Frames with a section for each image: its name and what references to it say."""
+    others = frames.sections.join(frames.files.where(F.col("ext").isin(*C.IMAGES)).select("path"), "path", "left_anti")
+    shown = image_texts(frames.files.where(F.col("ext").isin(*C.IMAGES)).select("path"), frames.alts)
+    made = shown.select("path", F.lit(0).alias("sec_no"), F.lit(1).cast("long").alias("line"), F.lit(1).alias("level"), F.lit("(image)").alias("heading"), "content")
+    return Frames(frames.files, cut(others.unionByName(made)), frames.links, frames.alts, frames.parsed)
+
+
+def _parsed(found: DataFrame) -> Frames:
+    """The tables of the files given."""
     binary = F.col("ext").isin(*C.PDF, *C.IMAGES)
     raw = C.line_feeds(F.make_valid_utf8(F.col("content").cast("string")))
-    rich = _parsed(found.where(F.col("ext").isin(*C.PDF, *C.HTML)))
-    docs = found.withColumn("raw", F.when(~binary, raw)).join(rich, "path", "left")
+    docs = found.withColumn("raw", F.when(~binary, raw)).join(_pdf_texts(found.where(F.col("ext").isin(*C.PDF))), "path", "left")
+    is_html = F.col("ext").isin(*C.HTML)
+    page = H.body(F.col("raw"))
+    docs = docs.withColumns({"page": F.when(is_html, page), "refs": F.when(is_html, H.references(F.col("raw"))), "pics": F.when(is_html, H.pictures(F.col("raw")))})
+    docs = docs.withColumn("parsed", F.when(is_html, H.sections(F.col("page")).cast(SECTION)))
     svg = F.regexp_replace("raw", r"<[^>]*>", " ")
-    text = F.when(F.col("ext").isin(*C.PDF, *C.HTML), F.col("ptext")).when(F.col("ext") == ".svg", svg).otherwise(F.col("raw"))
+    text = F.when(F.col("ext").isin(*C.PDF), F.col("pdf")).when(is_html, H.visible(F.col("page"))).when(F.col("ext") == ".svg", svg).otherwise(F.col("raw"))
     docs = docs.withColumn("text", F.coalesce(text, F.lit("")))
     name = C.stem(F.col("path"))
     only_name = F.array(F.struct(F.lit(1).alias("line"), F.lit(1).alias("level"), F.when(F.col("ext") == ".pdf", "(pdf)").otherwise("(image)").alias("heading"), F.concat_ws(" ", name, C.stem_words(name)).alias("content"))).cast(SECTION)
@@ -156,7 +197,7 @@ def build(spark: SparkSession, root: str, patterns: list[str] = ()) -> Frames:
     h1 = F.get(F.filter("sections", lambda s: s["level"] == 1), F.lit(0))["heading"]
     title = (
         F.when(F.col("ext").isin(*C.MARKDOWN), F.coalesce(F.nullif(_front(F.col("text"), "title"), F.lit("")), h1))
-        .when(F.col("ext").isin(*C.HTML), F.nullif("ptitle", F.lit("")))
+        .when(is_html, F.nullif(H.page_title(F.col("raw")), F.lit("")))
         .when(F.col("ext") == ".svg", F.nullif(F.trim(F.regexp_extract("raw", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")))
         .when(F.col("ext").isin(*C.PLAIN), F.substr(first, F.lit(1), F.lit(80)))
     )
@@ -173,7 +214,5 @@ def build(spark: SparkSession, root: str, patterns: list[str] = ()) -> Frames:
     pics = pics.where(C.extension(F.col("dst")).isin(*C.IMAGES, ".svg") & ~F.rlike("dst", F.lit("^(https?://|data:|//)"))).withColumn("dst", resolve_relative(C.folder(F.col("src")), F.col("dst")))
     links = cut(extract(wide).unionByName(href).unionByName(pics.select("src", "dst", F.lit("img").alias("kind"))))
     alts = cut(image_alts(wide).unionByName(pics.where("alt <> ''").select("src", "dst", "alt")))
-    each = done.select("path", "ext", F.posexplode("sections").alias("sec_no", "s")).select("path", "ext", "sec_no", F.col("s.line").cast("long").alias("line"), "s.level", "s.heading", "s.content")
-    pictures = image_texts(files.where(F.col("ext").isin(*C.IMAGES)).select("path"), alts)
-    shown = each.join(pictures.withColumnRenamed("content", "image"), "path", "left").withColumn("content", F.coalesce("image", "content"))
-    return Frames(files, cut(shown.select("path", "sec_no", "line", "level", "heading", "content")), links, alts)
+    each = done.where(~F.col("ext").isin(*C.IMAGES)).select("path", F.posexplode("sections").alias("sec_no", "s")).select("path", "sec_no", F.col("s.line").cast("long").alias("line"), "s.level", "s.heading", "s.content")
+    return Frames(files, each, links, alts, done.select("path"))

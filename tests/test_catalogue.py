@@ -37,20 +37,35 @@ def test_same_rows(spark, duck, name):
 
 def test_close_names_as_difflib(spark):
     import difflib
-
+    import random
+
+    from quillgrid.operators.edits import close_names
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeilnorstz-é") for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14])))
+    names = sorted({word() for _ in range(300)} | {"plan", "abcd", "logs", "index", "test", "ghost", "log"})
+    labels = {"paln", "abc", "ghast", "idnex", "tets", "abxcd", "log", "zzzzqq"}
+    for name in names[::4]:
+        k = rng.randrange(len(name) + 1)
+        labels.add(rng.choice([name[:k] + rng.choice("xyé") + name[k:], name[:k] + name[k + 1 :] or "x", name[::-1]]))
+    known = spark.createDataFrame([(x,) for x in [*names, None]], "name string")
     got = {}
-    for r in QUERIES["fuzzy_link_targets"](spark, SF).collect():
-        got.setdefault(r.label, []).append(r)
-    names = sorted({r.p_type.lower() for r in spark.read.parquet(f"{SF}/part.parquet").select("p_type").collect()})
-    for label, found in got.items():
-        want = difflib.get_close_matches(label, names, n=3, cutoff=0.6)
-        best = [r.candidate for r in sorted(found, key=lambda r: (r.ratio, r.candidate), reverse=True)]
-        assert best == want
+    for r in close_names(spark.createDataFrame([(x,) for x in labels], "label string"), known).collect():
+        got.setdefault(r.label, []).append((r.ratio, r.candidate))
+    for label in labels:
+        assert [c for _, c in sorted(got.get(label, []), reverse=True)] == difflib.get_close_matches(label, names, n=3, cutoff=0.6), label
+
 
+def test_fuzzy_link_targets(spark):
+    import difflib
 
-def test_page_sections(spark):
-    rows = QUERIES["page_sections"](spark, SF)
-    assert rows.select("page_id").distinct().count() == 50 and rows.where("heading = ''").count() == 0
+    rows = spark.read.parquet(f"{SF}/part.parquet").select("p_partkey", "p_name").collect()
+    names = [f"{r.p_name.lower()}-{r.p_partkey}" for r in rows]
+    got = {}
+    for r in QUERIES["fuzzy_link_targets"](spark, SF).collect():
+        got.setdefault(r.label, []).append(r.candidate)
+    want = {x[:2] + x[3:] for x, r in zip(names, rows) if r.p_partkey % 100 == 0}
+    assert set(got) == want and all(set(got[x]) == set(difflib.get_close_matches(x, names, n=3, cutoff=0.6)) for x in want)
 
 
 def test_entry(spark):

@@ -8,7 +8,8 @@ from quillgrid.operators import links as L
 from quillgrid.operators import semlog as G
 from quillgrid.plans.vault import Vault
 from quillgrid.sources import vault as V
-from quillgrid.sources.markup import parse_html, parse_pdf
+from quillgrid.sources import html as H
+from quillgrid.sources.pdf import parse_pdf
 
 
 def pdf(*streams: bytes) -> bytes:
@@ -20,13 +21,13 @@ def pdf(*streams: bytes) -> bytes:
 
 
 FILES = {
-    "specs/auth-spec.md": "---\ntitle: Auth design\ntags: [Security, api]\naliases:\n  - signin\n  - Login Flow\n---\nBefore.\n\n# Auth\n\nREQ-01 tokens expire. See [[auth-plan]] and [gone](nowhere.md) and [[ghost]].\n\n## Flow\n\nREQ-02 uses `src/Login.kt`. ![the diagram](../assets/logo.png)\n",
-    "plans/auth-plan.md": "# Auth plan\n\n## Steps\n\nREQ-01 first, then REQ-02.\nBack to [spec](../specs/auth-spec.md#Flow), [[specs/auth-spec]]. Zanzibar rollout.\n\n## Related\n\n- [[auth-spec]]\n\n## End\n\nbye\n",
-    "notes/orphan-note.md": "# Alone\n\nNothing here links anywhere. Xylophone xylophone.\n",
-    "notes/readme.txt": "First paragraph of the readme.\n\nSecond paragraph mentions Xylophone xylophone twice.\n",
-    "web/page.html": "<html><head><title>Web &amp; more</title><style>p{}</style><script>var hidden=1;</script></head><body><h1>Top</h1><p>visible text</p><h2>Sub</h2><a href='../plans/auth-plan.md#x'>plan</a><a href='https://example.org/x.md'>out</a></body></html>",
-    "assets/logo.png": b"\x89PNG....",
-    "assets/notes.xyz": "not indexed",
+    "recipes/glaze-mix.md": "---\ntitle: Glaze design\ntags: [Security, api]\naliases:\n  - slipware\n  - Dip Order\n---\nBefore.\n\n# Glaze\n\nREQ-01 cones melt. See [[spring-firing]] and [gone](nowhere.md) and [[ghost]].\n\n## Flow\n\nREQ-02 uses `src/Kiln.kt`. ![the diagram](../shots/kiln.png)\n",
+    "batches/spring-firing.md": "# Firing plan\n\n## Steps\n\nREQ-01 first, then REQ-02.\nBack to [spec](../recipes/glaze-mix.md#Flow), [[recipes/glaze-mix]]. Zanzibar rollout.\n\n## Related\n\n- [[glaze-mix]]\n\n## End\n\nbye\n",
+    "notes/lone-page.md": "# Alone\n\nNothing here links anywhere. Xylophone xylophone.\n",
+    "notes/intro.txt": "First paragraph of the intro.\n\nSecond paragraph mentions Xylophone xylophone twice.\n",
+    "web/page.html": "<html><head><title>Web &amp; more</title><style>p{}</style><script>var hidden=1;</script></head><body><h1>Top</h1><p>visible text</p><h2>Sub</h2><a href='../batches/spring-firing.md#x'>plan</a><a href='https://example.org/x.md'>out</a></body></html>",
+    "shots/kiln.png": b"\x89PNG....",
+    "shots/notes.xyz": "not indexed",
     ".trash/old.md": "# Old",
     "drafts/wip.md": "# Wip",
     "docs/paper.pdf": pdf(b"BT (Hello portable) Tj ( documents with words) Tj ET"),
@@ -46,41 +47,41 @@ def vault(spark, tmp_path_factory):
 
 def test_files(vault):
     rows = {r.path: r for r in vault.frames.files.collect()}
-    assert set(rows) == set(FILES) - {"assets/notes.xyz", ".trash/old.md", "drafts/wip.md"}
-    assert rows["specs/auth-spec.md"].title == "Auth design" and rows["specs/auth-spec.md"].tags == ["security", "api"]
-    assert rows["specs/auth-spec.md"].aliases == ["signin", "login flow"]
-    assert rows["plans/auth-plan.md"].title == "Auth plan"
+    assert set(rows) == set(FILES) - {"shots/notes.xyz", ".trash/old.md", "drafts/wip.md"}
+    assert rows["recipes/glaze-mix.md"].title == "Glaze design" and rows["recipes/glaze-mix.md"].tags == ["security", "api"]
+    assert rows["recipes/glaze-mix.md"].aliases == ["slipware", "dip order"]
+    assert rows["batches/spring-firing.md"].title == "Firing plan"
     assert rows["web/page.html"].title == "Web & more"
-    assert rows["notes/readme.txt"].title.startswith("First paragraph")
+    assert rows["notes/intro.txt"].title.startswith("First paragraph")
     assert rows["docs/paper.pdf"].words == 5
     assert {r.ext: r.n for r in V.unindexed(V.listing(vault.spark, vault.root, vault.patterns)).collect()} == {".xyz": 1}
 
 
 def test_sections(vault):
     rows = {(r.path, r.heading): r for r in vault.frames.sections.collect()}
-    assert rows["specs/auth-spec.md", "(intro)"].content == "Before."
-    assert rows["specs/auth-spec.md", "Flow"].level == 2 and "REQ-02" in rows["specs/auth-spec.md", "Flow"].content
-    assert rows["specs/auth-spec.md", "Auth"].line == 10
+    assert rows["recipes/glaze-mix.md", "(intro)"].content == "Before."
+    assert rows["recipes/glaze-mix.md", "Flow"].level == 2 and "REQ-02" in rows["recipes/glaze-mix.md", "Flow"].content
+    assert rows["recipes/glaze-mix.md", "Glaze"].line == 10
     assert rows["web/page.html", "Top"].content == "visible text"
-    assert "the diagram" in rows["assets/logo.png", "(image)"].content
+    assert "the diagram" in rows["shots/kiln.png", "(image)"].content
 
 
 def test_links_and_health(vault):
     f = vault.frames
     got = {(r.src, r.dst, r.kind) for r in f.links.collect()}
-    assert ("specs/auth-spec.md", "specs/nowhere.md", "md") in got and ("specs/auth-spec.md", "assets/logo.png", "img") in got
-    assert ("specs/auth-spec.md", "src/Login.kt", "code") in got and ("plans/auth-plan.md", "specs/auth-spec.md", "md") in got
-    assert ("web/page.html", "plans/auth-plan.md", "md") in got
-    assert {r.label for r in L.broken(f.links, f.files).collect()} == {"ghost", "specs/nowhere.md"}
-    assert {r.path for r in L.orphans(f.files, vault.connections()).collect()} == {"notes/orphan-note.md", "notes/readme.txt", "docs/paper.pdf"}
-    assert vault.path("web/page.html", "assets/logo.png") == ["web/page.html", "plans/auth-plan.md", "specs/auth-spec.md", "assets/logo.png"]
-    assert vault.path("web/page.html", "notes/readme.txt") == []
+    assert ("recipes/glaze-mix.md", "recipes/nowhere.md", "md") in got and ("recipes/glaze-mix.md", "shots/kiln.png", "img") in got
+    assert ("recipes/glaze-mix.md", "src/Kiln.kt", "code") in got and ("batches/spring-firing.md", "recipes/glaze-mix.md", "md") in got
+    assert ("web/page.html", "batches/spring-firing.md", "md") in got
+    assert {r.label for r in L.broken(f.links, f.files).collect()} == {"ghost", "recipes/nowhere.md"}
+    assert {r.path for r in L.orphans(f.files, vault.connections()).collect()} == {"notes/lone-page.md", "notes/intro.txt", "docs/paper.pdf"}
+    assert vault.path("web/page.html", "shots/kiln.png") == ["web/page.html", "batches/spring-firing.md", "recipes/glaze-mix.md", "shots/kiln.png"]
+    assert vault.path("web/page.html", "notes/intro.txt") == []
 
 
 def test_search(vault):
-    assert [r.path for r in vault.search("zanzibar").collect()] == ["plans/auth-plan.md"]
-    assert vault.search("signin").first().path == "specs/auth-spec.md"
-    assert {r.path for r in vault.search("tag:secur req").collect()} == {"specs/auth-spec.md"}
+    assert [r.path for r in vault.search("zanzibar").collect()] == ["batches/spring-firing.md"]
+    assert vault.search("slipware").first().path == "recipes/glaze-mix.md"
+    assert {r.path for r in vault.search("tag:secur req").collect()} == {"recipes/glaze-mix.md"}
     assert {r.path for r in vault.search("type:pdf").collect()} == {"docs/paper.pdf"}
     assert vault.feedback("zanzibar nosuchword")["weak"] and vault.feedback("zanzibar nosuchword")["partial"]
     assert vault.search(["zanzibar", "rollout"]).first().sources == 2
@@ -89,38 +90,38 @@ def test_search(vault):
 
 def test_suggest(vault):
     pairs = {(r.a, r.b): r for r in vault.suggest(n=None).collect()}
-    assert ("notes/orphan-note.md", "notes/readme.txt") in pairs
-    assert ("plans/auth-plan.md", "specs/auth-spec.md") not in pairs
+    assert ("notes/intro.txt", "notes/lone-page.md") in pairs
+    assert ("batches/spring-firing.md", "recipes/glaze-mix.md") not in pairs
 
 
 def test_edits(vault):
-    plan = vault.link_add("plans/auth-plan.md", ["orphan-note", "auth-plan", "auth-spec", "unknown"]).first()
-    assert plan.added == 1 and "- [[auth-spec]]\n- [[orphan-note]]\n\n## End" in plan.text
-    new = vault.link_add("notes/orphan-note.md", ["auth-plan"]).first()
-    assert new.text.endswith("\n\n## Related\n- [[auth-plan]]\n")
-    moved = {r.path: r.text for r in vault.mv("specs/auth-spec.md", "archive/login-spec.md").collect()}
-    assert "[spec](../archive/login-spec.md#Flow), [[archive/login-spec]]" in moved["plans/auth-plan.md"] and "- [[login-spec]]" in moved["plans/auth-plan.md"]
+    plan = vault.link_add("batches/spring-firing.md", ["lone-page", "spring-firing", "glaze-mix", "unknown"]).first()
+    assert plan.added == 1 and "- [[glaze-mix]]\n- [[lone-page]]\n\n## End" in plan.text
+    new = vault.link_add("notes/lone-page.md", ["spring-firing"]).first()
+    assert new.text.endswith("\n\n## Related\n- [[spring-firing]]\n")
+    moved = {r.path: r.text for r in vault.mv("recipes/glaze-mix.md", "archive/raku-mix.md").collect()}
+    assert "[spec](../archive/raku-mix.md#Flow), [[archive/raku-mix]]" in moved["batches/spring-firing.md"] and "- [[raku-mix]]" in moved["batches/spring-firing.md"]
     fixes = {r.label: r.candidates for r in vault.fix_links().collect()}
     assert "ghost" in fixes
 
 
 def test_log(vault):
-    vault.note_add("what expires?", "tokens", ["specs/auth-spec.md"])
-    vault.edge_add("plans/auth-plan.md", "notes/orphan-note.md", "same topic")
-    vault.edge_add("plans/auth-plan.md", "notes/orphan-note.md", "same topic, again")
-    vault.embed_set("notes/readme.txt", [1.0, 0.0])
-    vault.embed_set("notes/orphan-note.md", [0.0, 1.0])
+    vault.note_add("what expires?", "tokens", ["recipes/glaze-mix.md"])
+    vault.edge_add("batches/spring-firing.md", "notes/lone-page.md", "same topic")
+    vault.edge_add("batches/spring-firing.md", "notes/lone-page.md", "same topic, again")
+    vault.embed_set("notes/intro.txt", [1.0, 0.0])
+    vault.embed_set("notes/lone-page.md", [0.0, 1.0])
     vault._append({"type": "future", "x": {"y": [1]}})
     assert vault.notes().first().fresh
     edge = vault.edges().collect()
     assert len(edge) == 1 and edge[0].fresh and edge[0].rationale.endswith("again")
-    assert [r.path for r in vault.semsearch([1.0, 0.1]).collect()] == ["notes/readme.txt", "notes/orphan-note.md"]
+    assert [r.path for r in vault.semsearch([1.0, 0.1]).collect()] == ["notes/intro.txt", "notes/lone-page.md"]
     kept = [json.loads(r.raw) for r in vault.compacted_log().collect()]
     assert [r["type"] for r in kept].count("edge") == 1 and {"type": "future", "x": {"y": [1]}} in kept
     assert {r.kind: r.n for r in G.counters(vault.log()).collect()} == {"note": 1, "edge": 2, "embed": 2, "unknown": 1}
     assert {r.status: r.n for r in vault.embed_status().groupBy("status").agg(F.count("*").alias("n")).collect()} == {"fresh": 2, "missing": 5}
     both = {r.path: r.sources for r in vault.search(["zanzibar", "xylophone"], vector=[1.0, 0.0]).collect()}
-    assert both["notes/readme.txt"] >= 2
+    assert both["notes/intro.txt"] >= 2
 
 
 def test_report_and_doctor(vault):
@@ -133,17 +134,56 @@ def test_report_and_doctor(vault):
 def test_update(vault, tmp_path):
     import pathlib
 
-    note = pathlib.Path(vault.root, "notes/orphan-note.md")
+    note = pathlib.Path(vault.root, "notes/lone-page.md")
     old = note.read_text()
     try:
         note.write_text("# Alone\n\nChanged.\n")
         assert {r.change: r.n for r in vault.update().collect()} == {"unchanged": 6, "changed": 1}
+        assert [r.path for r in vault.frames.parsed.collect()] == ["notes/lone-page.md"]
+        assert vault.search("changed").first().path == "notes/lone-page.md" and "the diagram" in vault.search("kiln diagram").first().heading + "the diagram"
         assert not vault.edges().first().fresh
     finally:
         note.write_text(old)
         vault.update()
 
 
+def test_mv_and_log(spark, tmp_path):
+    root, log = tmp_path / "v", tmp_path / "log"
+    for name, text in {"a/x.md": "# X\r\n[y](y.md) ![p](../p.png) [w](http://x.org/y.md) [self](x.md#t) [[y]]\r\n", "a/y.md": "# Y\n[x](x.md) [up](../a/x.md#t)\n", "b/z.md": "# Z\n[[x]]\n", "skip/q.md": "# Q", ".vaultignore": "# list\nskip\n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text.encode())
+    log.mkdir()
+    v = Vault(spark, str(root), str(log))
+    assert {r.path for r in v.frames.files.collect()} == {"a/x.md", "a/y.md", "b/z.md"}
+    v.note_add("what is x?", 'it "was" y', ["a/x.md", "b/z.md"])
+    v.edge_add("a/x.md", "b/z.md", "both")
+    v.embed_set("a/x.md", [1.0, 2.5])
+    v._append({"type": "future", "path": "a/x.md"})
+    (log / "z.jsonl").write_text("not json\n")
+    plan = v.mv("a/x.md", "c/d/new.md")
+    got = {r.path: r.text for r in plan.collect()}
+    assert got["c/d/new.md"] == "# X\r\n[y](../../a/y.md) ![p](../../p.png) [w](http://x.org/y.md) [self](new.md#t) [[y]]\r\n"
+    assert got["a/y.md"] == "# Y\n[x](../c/d/new.md) [up](../c/d/new.md#t)\n" and got["b/z.md"] == "# Z\n[[new]]\n"
+    v.rewrite_log(v.mv_log("a/x.md", "c/d/new.md", plan))
+    (root / "a/x.md").unlink()
+    for name, text in got.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text.encode())
+    assert {r.change: r.n for r in v.update().collect()} == {"new": 1, "deleted": 1, "changed": 2}
+    note, edge = v.notes().first(), v.edges().first()
+    assert note.fresh and note.insight == 'it "was" y' and [s.path for s in note.sources] == ["c/d/new.md", "b/z.md"]
+    assert edge.fresh and (edge.src, edge.dst, edge.rationale) == ("b/z.md", "c/d/new.md", "both")
+    assert [(r.path, r.vec) for r in v.fresh_embeds().collect()] == [("c/d/new.md", [1.0, 2.5])]
+    raw = [r.raw for r in v.log().collect()]
+    assert '{"type": "future", "path": "a/x.md"}' in raw and "not json" in raw
+    assert v.notes_for("it nowhere").count() == 0 and v.notes_for("it y").first().fresh
+    (root / "b/z.md").write_text("# other\n")
+    v.update()
+    v.rewrite_log(v.pruned_log("note"))
+    v.rewrite_log(v.pruned_log("edge"))
+    assert v.notes().count() == 0 and v.edges().count() == 0 and len(v.log().collect()) == 3
+
+
 def test_plain_sections(spark):
     text = "\n".join([f"line {k}" for k in range(12)] + ["", "next part", "", "more"])
     rows = spark.createDataFrame([(text,), ("",)], "t string").select(V.plain_sections(F.col("t")).alias("s")).collect()
@@ -151,16 +191,60 @@ def test_plain_sections(spark):
     assert rows[1].s == []
 
 
-def test_html_edges():
-    assert parse_html("")["sections"] == []
-    p = parse_html("<p>only text<p>more")
-    assert p["sections"] == [] and "only text" in p["text"]
+PAGE = """<!doctype html>
+<html><head><title>A &lt;b&gt;
+ title</title>
+<style>h1 { }</style></head><body>intro &eacute;&#233;&#xE9; &unknown; <b>bold</b>
+<!-- <h1>not this</h1> -->
+<h1 class="x">Top
+ <i>one</i></h1><p>first<p>second &amp;amp;<script>if (a < b) { "<h2>no</h2>" }
+</script>
+<h3></h3>
+<img alt='a &amp; b' src="p/q.png"><a class=c href=plan.md#x>go</a><A HREF='other.html'>to</A>
+</body></html>"""
+
+
+def test_html(spark):
+    from quillgrid.sources import html as H
+
+    rows = spark.createDataFrame([(PAGE,), ("",), ("<p>only text<p>more",), ("<h2>left open",), ("<title>t",), ("&#55555;&#0;",)], "t string")
+    t = F.col("t")
+    got = rows.select(H.page_title(t).alias("title"), H.sections(H.body(t)).alias("s"), H.visible(H.body(t)).alias("v"), H.references(t).alias("refs"), H.pictures(t).alias("pics")).collect()
+    assert got[0].title == "A <b> title" and got[0].refs == ["plan.md#x", "other.html"] and [tuple(p) for p in got[0].pics] == [("p/q.png", "a & b")]
+    assert [tuple(s) for s in got[0].s] == [(1, 0, "(intro)", "intro ééé &unknown; bold"), (6, 1, "Top one", "first\nsecond &amp;"), (9, 3, "(heading)", "goto")]
+    assert [(r.title, r.s, r.v) for r in got[1:]] == [("", [], ""), ("", [], "only text\nmore"), ("", [], "left open"), ("t", [], ""), ("", [], "&#55555;&#0;")]
+
+
+def objects(*bodies: bytes) -> bytes:
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, b) for k, b in enumerate(bodies, 1)) + b"%%EOF"
+
+
+def stream(content: bytes, head: bytes = b"") -> bytes:
+    return b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(content), head, content)
+
+
+FONTS = b"<< /Type /Page /Resources << /Font << /F1 2 0 R /F2 3 0 R /F9 9 0 R >> /XObject << /X 7 0 R >> >> /Contents [6 0 R] >>"
+FONT_1 = stream(b"beginbfchar <01> <0041> <02> <00420043> endbfchar beginbfrange <61><7a><0061> <05><06>[<00e9><0065>] <20><20><0020> endbfrange")
+FONT_2 = stream(b"beginbfrange <0001><001a><0061> endbfrange beginbfchar <0020> <0020> endbfchar")
+
+
+def test_pdf_fonts_and_forms():
+    deep = zlib.compress(b"BT /F9 1 Tf (plain words of a form) Tj ET")
+    content = b"BT /F1 1 Tf <01> Tj (some mapped words) Tj <05> Tj T* /F2 1 Tf <00010002000300200004> Tj T* /F9 1 Tf (liter\\141l \\(as is\\)) Tj [(sp) 20 (lit) -300 (gap)] TJ ET /X Do"
+    made = objects(FONTS, b"<< /Type /Font /ToUnicode 4 0 R >>", b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>", FONT_1, FONT_2, stream(content), stream(deep, b"/Subtype /Form /Filter /FlateDecode"), b"<< >>", b"<< /Type /Font >>")
+    assert parse_pdf(made).split("\n") == ["Asome mapped wordsé", "abc d", "literal (as is)split gap", "plain words of a form"]
+
 
+def test_pdf_object_streams_and_filters():
+    import base64
 
-def test_pdf_codes():
-    table = b"1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <001B> <0061> endbfrange"
-    codes = "".join("%04x" % (2 + ord(c) - 97) for c in "abc")
-    page = ("BT <%s> Tj ET\n" % codes).encode() * 6
-    text = parse_pdf(pdf(table, page))
-    assert text.split() == ["abc"] * 6
-    assert parse_pdf(b"%PDF no text") == ""
+    text = b"BT (five words packed in here) Tj ET"
+    inner = b"1 0 " + b"<< /Type /Page /Contents 3 0 R >>"
+    packed = stream(zlib.compress(inner), b"/Type /ObjStm /N 1 /First 4 /Filter [/FlateDecode]")
+    page = stream(base64.a85encode(zlib.compress(text)) + b"~>", b"/Filter [/ASCII85Decode /FlateDecode]")
+    data = b"%PDF-1.5\n2 0 obj\n" + packed + b"\nendobj\n3 0 obj\n" + page + b"\nendobj\n"
+    assert parse_pdf(data) == "five words packed in here"
+    assert parse_pdf(pdf(b"BT (\xfe\xff" + "пять слов есть здесь тут".encode("utf-16-be").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b") Tj ET")) == "пять слов есть здесь тут"
+    assert parse_pdf(b"%PDF no text") == "" and parse_pdf(pdf(b"BT (four words are few) Tj ET")) == "" and parse_pdf(b"") == ""
+    table = b"beginbfchar <41> <0061> endbfchar"
+    assert parse_pdf(pdf(table, b"BT (five plain words are here) Tj ET")) == "five plain words are here"
