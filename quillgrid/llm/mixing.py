@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Tables of rates up to so many sources (about 1 KB each) are broadcast; larger ones are joined by shuffle.
-BROADCAST_SOURCES = 20_000
+#: Tables of rates of up to so many steps in all (8 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_STEPS = 1_000_000
+#: Up to this rate a source's distribution function is a table; beyond, it is summed for each document, which makes as many copies anyway.
+LONG_RATE = 1_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -18,13 +20,28 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), F.lit(1), F.lit(13)), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function of Poisson(rate) at 0, 1, 2, ... as an array, until it is 1 for any practical u."""
+def _poisson(rate: Column, zero: Column, keep, finish) -> Column:
+    """Runs over the distribution function of Poisson(rate) at 0, 1, 2, ... until it is 1 for any practical u. The sum so far and ln k! go along, so nothing underflows; ``keep`` folds each value into what ``finish`` gives back."""
     top = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
-    log_factorial = lambda k: F.when(k == 0, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: a + F.ln(i.cast("double"))))
-    mass = F.transform(F.sequence(F.lit(0), top), lambda k: F.exp(k * F.ln(rate) - rate - log_factorial(k)))
-    steps = F.transform(F.array(mass), lambda m: F.transform(F.sequence(F.lit(1), F.size(m)), lambda k: F.aggregate(F.slice(m, F.lit(1), k), F.lit(0.0), lambda a, x: a + x)))
-    return F.when(rate > 0, F.element_at(steps, 1)).otherwise(F.array(F.lit(2.0)))
+    start = F.struct(zero.alias("out"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("log"))
+
+    def step(s: Column, k: Column) -> Column:
+        log = s["log"] + F.when(k == 0, 0.0).otherwise(F.ln(F.greatest(k, F.lit(1)).cast("double")))
+        total = s["sum"] + F.exp(k * F.ln(rate) - rate - log)
+        return F.struct(keep(s["out"], total).alias("out"), total.alias("sum"), log.alias("log"))
+
+    return F.aggregate(F.sequence(F.lit(0), top), start, step, lambda s: finish(s["out"]))
+
+
+def poisson_steps(rate: Column) -> Column:
+    """The distribution function at 0, 1, 2, ... as an array; null for rates over ``LONG_RATE``, whose array would be long."""
+    steps = _poisson(rate, F.array().cast("array<double>"), F.array_append, lambda x: x)
+    return F.when(rate <= 0, F.array(F.lit(2.0))).when(rate <= LONG_RATE, steps)
+
+
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The least count whose distribution function is over u, in work that is linear in the rate."""
+    return F.when(rate <= 0, 0).otherwise(_poisson(rate, F.lit(0), lambda n, total: n + (total <= u).cast("int"), lambda n: n))
 
 
 def source_rates(documents: DataFrame, weights: Mapping[str, float] | None, *, source_col: str, text_col: str, temperature: float, budget: float) -> DataFrame:
@@ -51,16 +68,16 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     shares (any scale; a source left out gets none); without it shares follow size ** ``temperature``.
     Copies are dealt to partitions by the hash ``shuffle_key`` and ordered by it within each: a global shuffle in one exchange.
 
-    Null sources are a source of their own (key None). Null text has no size. Rows that repeat an id get the same count;
+    An empty table gives an empty mixture. Null sources are a source of their own (key None). Null text has no size. Rows that repeat an id get the same count;
     a null id hashes as an empty one. A source without any text has rate 0. Input columns named like the two added ones are replaced.
     """
     rates = source_rates(documents, weights, source_col=source_col, text_col=text_col, temperature=temperature, budget=budget).toDF("__source", "__rate", "__steps")
-    if rates.count() <= BROADCAST_SOURCES:
+    if (rates.agg(F.sum(F.coalesce(F.size("__steps"), F.lit(0)) + 16)).first()[0] or 0) <= BROADCAST_STEPS:
         rates = F.broadcast(rates)
     own = documents.drop("copy_no", "shuffle_key")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     counted = own.join(rates, own[source_col].eqNullSafe(F.col("__source"))).withColumn("__u", uniform(seed, name))
-    copies = F.size(F.filter("__steps", lambda c: c <= F.col("__u")))
+    copies = F.when(F.col("__steps").isNotNull(), F.size(F.filter("__steps", lambda c: c <= F.col("__u")))).otherwise(poisson_count(F.col("__rate"), F.col("__u")))
     dealt = counted.withColumn("__n", copies).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
     keyed = dealt.withColumn("shuffle_key", F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy_no").cast("string"))), F.lit(1), F.lit(16)))
     return keyed.select(*(own[c] for c in own.columns), "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
