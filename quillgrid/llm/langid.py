@@ -24,6 +24,8 @@ _CHUNK = 1 << 19
 DEVIATIONS = 8
 #: Calibration rows a language must have for a bound of its own.
 OWN_ROWS = 20
+#: The model's tables hold a number per n-gram and language; a language's share of the sample is at most so many code points over the square of the number of languages.
+TABLE_CHARS = 32_000_000
 
 
 def prepare(text: str | None) -> str:
@@ -227,10 +229,10 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
 
     ``labelled`` (id, text, lang) gives the training rows; rows without a language or letters teach nothing. Of each language
     a hash of the id picks rows of about ``sample_chars`` code points in all (all rows if there are fewer), a bound that
-    keeps the models small enough to broadcast; four fifths of the picked rows are counted (by Spark) into
+    keeps the models small enough to broadcast (with more than four languages it shrinks with the square of their number, so that the tables of n-grams by languages don't grow); four fifths of the picked rows are counted (by Spark) into
     interpolated Kneser-Ney models of 4-grams, one fifth calibrates rejection. The prediction is the
     language of the lowest cross-entropy per code point (ties: the first name); ``score`` is its share in the softmax of the
-    negative entropies. ``rejected``: no letter, or an excess over the language's median entropy, scaled by the root of the length, of
+    negative entropies times the number of code points (100 at most). ``rejected``: no letter, or an excess over the language's median entropy, scaled by the root of the length, of
     over ``slack`` times a bound (and of over ``least_excess`` nats a code point as such). The bound is the median and eight median absolute
     deviations of the language's calibration rows that are predicted as labelled (of all such rows where a language has under 20), so
     a few rows of garbage or with a wrong label do not move it.
@@ -240,7 +242,7 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     totals = {r["lang"]: float(r["size"]) for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("size")).collect()}
-    share = F.lit(0.0)
+    share, sample_chars = F.lit(0.0), min(sample_chars, TABLE_CHARS // max(len(totals), 1) ** 2)
     for lang, size in totals.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample_chars / max(size, 1.0))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
