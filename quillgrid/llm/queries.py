@@ -35,7 +35,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages take the label of the document with their id; low quality or toxic is a bad outcome."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.coalesce("quality", "toxic").isNotNull(), F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("bad"))
     found = filter_urls(table(spark, sf_dir, "pages"), labels)
     return found.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
 
@@ -114,12 +114,13 @@ WITH p AS (
 hit AS (
   SELECT page_id, host, path, arg_max(of || start, length(of || start)) AS rule, arg_max(verdict, length(of || start)) AS verdict
   FROM (SELECT DISTINCT page_id, host, path FROM hp) JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY ALL
-), lab AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic = 1 GROUP BY 1),
+), lab AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY 1),
 h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS x FROM hp LEFT JOIN lab USING (page_id) GROUP BY 1),
 hb AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h),
 h2 AS (SELECT *, string_split(bare, '.') AS l FROM hb),
-h3 AS (SELECT host, n, x, l, array_to_string(l[-2:], '.') AS two, array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in', 'com.cn') AS long FROM h2),
-hosts AS (SELECT host, n, x, CASE WHEN long THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN long THEN two ELSE l[-1] END AS suffix FROM h3),
+h3 AS (SELECT host, n, x, l, array_to_string(l[-2:], '.') AS two, regexp_matches(array_to_string(l[-2:], '.'), '^(?:ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org|sch)\.[a-z]{2}$') AS long,
+        regexp_matches(bare, '^(?:\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-f:.]*\])$') AS address, bare FROM h2),
+hosts AS (SELECT host, n, x, CASE WHEN address THEN bare WHEN long THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN address THEN '(address)' WHEN long THEN two ELSE l[-1] END AS suffix FROM h3),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(x) AS x FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM domains GROUP BY 1),
 lev AS (SELECT 1 AS k, n, x FROM suffixes WHERE n > 0 UNION ALL SELECT 2, n, x FROM domains WHERE n > 0 UNION ALL SELECT 3, n, x FROM hosts WHERE n > 0),

@@ -9,8 +9,11 @@ from .common import LOWER, UPPER, cut
 
 #: (verdict, host, path) of the rules in force.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Suffixes of two labels under which names are registered; all others have one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn")
+#: Labels that, before a country's two letters, make a suffix under which names are registered ("co.uk"). All other suffixes have one label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
+#: An IPv4 or bracketed IPv6 address: each is a domain of its own, and all share one suffix.
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-f:.]*\])$"
+ADDRESSES = "(address)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,7 +45,16 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return p, (1 - rho) / rho
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) -> DataFrame:
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """The registered domain of a host and the suffix it is registered under; ``suffixes`` are more suffixes of two labels, as a list of public suffixes has them."""
+    bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    two, address = F.substring_index(bare, ".", -2), F.rlike(bare, F.lit(ADDRESS))
+    long = F.rlike(two, F.lit(rf"^(?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$")) | (two.isin(*suffixes) if suffixes else F.lit(False))
+    suffix = F.when(address, ADDRESSES).when(long, two).otherwise(F.substring_index(bare, ".", -1))
+    return F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two), suffix
+
+
+def host_reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """(host, n, x, rate, low): posterior mean and lower bound of each host's rate of bad pages.
 
     ``pages`` has (page_id, host) and ``labels`` (page_id, bad). Outcomes are summed per host and from there per registered domain and suffix.
@@ -52,10 +64,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) ->
     """
     bad = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     seen = pages.join(cut(bad), "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    bare = F.regexp_replace(F.regexp_replace("host", r"^.*@", ""), r":\d*$", "")
-    two = F.substring_index(bare, ".", -2)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     hosts = cut(seen.select("host", "n", "x", domain.alias("domain"), suffix.alias("suffix")))
     domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("x").alias("x")))
@@ -70,18 +79,18 @@ def host_reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) ->
     return hosts.join(mid, "domain").select("host", "n", "x", rate.alias("rate"), (rate - z * spread).alias("low"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, max_bad: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, *, rules=RULES, max_bad: float = 0.5, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate, bad_low) for every row of ``pages`` (page_id, url).
 
     The longest rule that fits decides. Where none fits, a page is blocked if the lower bound of its host's posterior
     rate of bad pages is over ``max_bad``, else allowed. ``labels`` has (page_id, bad); bad may be null (no outcome).
 
-    Null url, or one without ``://``: host and path are empty, and all such pages share the reputation of the empty host.
+    An IP address is its own registered domain. Empty tables give no rows, or pages without outcomes. Null url, or one without ``://``: host and path are empty, and all such pages share the reputation of the empty host.
     Null page ids have no outcome. Repeated rows each give a row (and each count once as an outcome). Other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    reputation = cut(host_reputation(parsed.select("page_id", "host"), labels, z=z).select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low")))
+    reputation = cut(host_reputation(parsed.select("page_id", "host"), labels, z=z, suffixes=suffixes).select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low")))
     judged = parsed.join(reputation, "host", "left").withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("bad_low") > max_bad, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "bad_rate", "bad_low")

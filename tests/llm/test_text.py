@@ -8,9 +8,9 @@ from quillgrid.llm import decontaminate as D
 from quillgrid.llm.chat_format import digest, escape, format_examples, read_turns, unescape
 from quillgrid.llm.decontaminate import TEMPLATE, contamination, proper, slot_values, words
 from quillgrid.llm.langid import identify_languages
-from quillgrid.llm.mixing import mix_sources
+from quillgrid.llm.mixing import mix_sources, poisson_count, poisson_steps
 from quillgrid.llm.pii import distinct_surrogates, replace_pii
-from quillgrid.llm.url_filter import filter_urls, host_and_path
+from quillgrid.llm.url_filter import domain_and_suffix, filter_urls, host_and_path
 
 
 def test_language_id(spark):
@@ -74,6 +74,26 @@ def test_mixing(spark):
     assert mix_sources(docs.where("false")).count() == 0 and mix_sources(docs.withColumn("text", F.lit(None).cast("string"))).count() == 0
 
 
+def test_mixing_edges(spark):
+    from math import exp, lgamma, log
+
+    def brute(r, u):
+        total = 0.0
+        for k in range(10**6):
+            total += exp(k * log(r) - r - lgamma(k + 1))
+            if total > u:
+                return k
+
+    asked = [(r, u) for r in (0.3, 7.0, 1000.0, 4000.0, 50_000.0) for u in (0.0, 0.1, 0.5, 0.999)]
+    rows = spark.createDataFrame(asked, "r double, u double")
+    steps = F.when(F.col("r") <= 1000, F.size(F.filter(poisson_steps(F.col("r")), lambda c: c <= F.col("u"))))
+    for r in rows.select("r", "u", poisson_count(F.col("r"), F.col("u")).alias("n"), steps.alias("m")).collect():
+        assert r.n == brute(r.r, r.u) and r.m in (None, r.n)
+    docs = spark.createDataFrame([(None, "a", "s"), (None, "a", "s"), (1, "b", "s"), (1, "b", "s"), (2, None, "s"), (3, "c" * 100_000, None)], "doc_id long, text string, source string")
+    n = {r.doc_id: r.n for r in mix_sources(docs, {"s": 1}, budget=0.2).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(n) == {None, 1, 2} and n[None] % 2 == 0 and n[1] % 2 == 0 and abs(n[2] - 5000) < 400
+
+
 ITEM = "Anna has 12 apples and gives 5 of them to Peter after walking 3 km to the market square in Boston today"
 
 
@@ -327,6 +347,13 @@ def test_surrogates_are_distinct_when_formats_are_scarce(spark):
     assert not any((r.type, r.surrogate) in real for r in got)
 
 
+def test_domains(spark):
+    hosts = ["a.b.example.com", "x.co.uk", "y.x.co.uk:80", "u@10.0.0.1", "99.7.0.1", "[2001:db8::1]:443", "localhost", "", "a.b.gov.au", "p.q.myhost.app"]
+    domain, suffix = domain_and_suffix(F.col("h"), ("myhost.app",))
+    got = [(r.d, r.s) for r in spark.createDataFrame([(h,) for h in hosts], "h string").select(domain.alias("d"), suffix.alias("s")).collect()]
+    assert got == [("example.com", "com"), ("x.co.uk", "co.uk"), ("x.co.uk", "co.uk"), ("10.0.0.1", "(address)"), ("99.7.0.1", "(address)"), ("[2001:db8::1]", "(address)"), ("localhost", "localhost"), ("", ""), ("b.gov.au", "gov.au"), ("q.myhost.app", "myhost.app")]
+
+
 def test_host_of_odd_urls(spark):
     host, path = host_and_path(F.col("u"))
     row = spark.createDataFrame([("x://a://b/c",)], "u string").select(host.alias("h"), path.alias("p")).first()
