@@ -29,8 +29,8 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs of non-blank bytes, A-Z folded) in texts that lie one after another, and the number of words before each text."""
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words (runs of non-blank bytes, A-Z folded, cut at ``at``) in texts that lie one after another: hashes, first bytes, last bytes."""
     word = ~_BLANK[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -38,16 +38,16 @@ def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first[heads] = word[heads]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.uint64), starts, starts
     where = np.flatnonzero(word)
     begin = np.searchsorted(where, starts)
     inside = where - np.repeat(starts, np.diff(begin, append=len(where)))
     value = _FOLD[data[where]] * _powers(int(inside.max()) + 1)[inside]
-    return mix(np.add.reduceat(value, begin)), np.searchsorted(starts, at)
+    return mix(np.add.reduceat(value, begin)), starts, where[np.append(begin[1:], len(where)) - 1]
 
 
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingles of ``words`` words; with fewer words the whole sequence as one; none without words or text."""
+def chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts in order, about ``CHUNK`` bytes at a time: the bytes, and where each text begins and the last ends."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -57,8 +57,15 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     low = 0
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, "right")) - 1)
-        at = offsets[low : high + 1] - offsets[low]
-        hashes, count = _word_hashes(data[offsets[low] : offsets[high]], at)
+        yield data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        low = high
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingles of ``words`` words; with fewer words the whole sequence as one; none without words or text."""
+    for data, at in chunks(texts):
+        hashes, starts, _ = word_hashes(data, at)
+        count = np.searchsorted(starts, at)
         runs = hashes[: max(0, len(hashes) - words + 1)].copy()
         for k in range(1, words):
             runs = mix(runs * np.uint64(_BASE) + hashes[k : k + len(runs)])
@@ -72,4 +79,3 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield whole
             else:
                 yield np.zeros(0, np.uint64)
-        low = high

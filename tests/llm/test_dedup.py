@@ -13,7 +13,7 @@ from quillgrid.llm.exact_dedup import exact_duplicates
 from quillgrid.llm.line_dedup import drop_repeated_lines
 from quillgrid.llm.near_dup import near_duplicates
 from quillgrid.llm.shingles import shingle_sets
-from quillgrid.llm.substring_dedup import drop_repeated_spans, sentence_ends
+from quillgrid.llm.substring_dedup import LONG, drop_repeated_spans, pieces
 
 SCHEMA = "doc_id long, text string, kept int, n int, h1 string, hash string, Version string"
 
@@ -144,23 +144,28 @@ def test_line_dedup(spark):
     assert [r.doc_id for r in nulls if r.text == hot] == [3]
 
 
+def cut_up(text):
+    """The pieces of one text."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    begin = [*pieces(data, np.array([0, len(data)])).begin.tolist(), len(data)]
+    return [data[a:b].tobytes().decode() for a, b in zip(begin, begin[1:])]
+
+
 def brute_spans(rows, least):
-    """Every run of sentences, checked one by one."""
+    """Every run of pieces, checked one by one: how many pieces each text loses."""
     seen, gone = set(), {}
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
-        text, begin, sentences = text or "", 0, []
-        for end in sentence_ends(text):
-            sentences.append(" ".join(text[begin:end].split()).lower())
-            begin = end
-        n = [len(s.split()) for s in sentences]
+        parts = [p.lower().split() for p in cut_up(text)]
+        n = [len(p) for p in parts]
         runs = set()
         for a in range(len(n)):
-            for b in range(a + 1, len(n) + 1):
-                if sum(n[a:b]) >= least and (sum(n[a : b - 1]) < least or sum(n[a + 1 : b]) < least):
+            for b in range(a + 2, len(n) + 1):
+                short = lambda x, y: y - x < 2 or sum(n[x:y]) < least
+                if sum(n[a:b]) >= least and (short(a, b - 1) or short(a + 1, b)):
                     runs.add((a, b))
         lost = set()
         for a, b in sorted(runs):
-            key = tuple(sentences[a:b])
+            key = tuple(w for p in parts[a:b] for w in p)
             if key in seen:
                 lost |= set(range(a, b))
             seen.add(key)
@@ -168,13 +173,50 @@ def brute_spans(rows, least):
     return gone
 
 
+def test_sentence_pieces():
+    assert cut_up(None) == cut_up(" \n\t") == []
+    assert cut_up(" One two. Three!\n\nfour\nfive? 漢字。漢！x") == [" One two. ", "Three!\n\n", "four\n", "five? ", "漢字。", "漢！", "x"]
+    rng = random.Random(5)
+    for words in (400, 3000):
+        text = " ".join(f"é{rng.randrange(300)}" for _ in range(words))
+        parts = cut_up(text)
+        assert "".join(parts) == text and len(parts) > words / 32 and max(len(p.split()) for p in parts) <= 2 * LONG
+        middle = text.split()[100:200]
+        other = cut_up("some other words before " + " ".join(middle) + " and after them")
+        assert len(set(parts) & set(other)) >= len(other) - 4  # the same cuts, whatever is around them
+    same = cut_up("again " * 5000)
+    assert max(len(p.split()) for p in same) <= 2 * LONG and "".join(same) == "again " * 5000
+    texts = ["a b. c", "", "\n", "d. e f", "g " * 40]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    found = pieces(data, np.cumsum([0, *map(len, texts)]))
+    assert np.diff(found.head).tolist() == [len(cut_up(t)) for t in texts] and found.text.tolist() == sorted(found.text.tolist())
+
+
+def test_repeated_passages(spark):
+    """Passages of over 50 words with ends inside sentences go, on made-up documents and on whole tables; what stays of them is short."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"v{rng.randrange(9000)}" for _ in range(n))
+    shared = [f"{say(14)}, {say(20)}. {say(9)}! {say(12)}" for _ in range(40)]
+    rows = [(k, f"{say(30)} {shared[k % 40]} {say(25)}. {say(18)}.") for k in range(120)]
+    got = {r.doc_id: r for r in drop_repeated_spans(docs(spark, rows)).collect()}
+    assert all(got[k].text == rows[k][1] for k in range(40))
+    assert all(got[k].n_removed and len(set(got[k].text.split()) & set(shared[k % 40].split())) <= 30 for k in range(40, 120))
+    long = " ".join(say(40) for _ in range(2000))  # 80,000 words without an end, twice
+    twice = drop_repeated_spans(docs(spark, [(1, long), (2, "x " + long)])).collect()
+    assert [len(r.text.split()) < 40 for r in sorted(twice, key=lambda r: r.doc_id)] == [False, True]
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    left = {r.doc_id: r for r in drop_repeated_spans(docs(spark, [tuple(r) for r in table])).collect()}
+    assert {i: r.n_removed for i, r in left.items()} == brute_spans([tuple(r) for r in table if len(r.text or "") < 20000], 30) | {r.doc_id: left[r.doc_id].n_removed for r in table if len(r.text or "") >= 20000}
+
+
 def test_substring_dedup(spark):
     rng = random.Random(3)
     say = lambda n: " ".join(f"v{rng.randrange(5000)}" for _ in range(n)) + "."
     passage = " ".join(say(n) for n in (9, 14, 22, 11))
     one = say(55)
     rows = [(k, f"{say(12)} {say(9)}\n{passage if k % 2 else one} {say(30)}") for k in range(8)]
-    rows += [(20, None), (21, ""), (22, passage), (23, f"{say(5)} {passage} {passage}"), (24, say(40)), (25, "no end at all")]
+    rows += [(20, None), (21, ""), (22, passage), (23, f"{say(5)} {passage} {passage}"), (24, say(12)), (25, "no end at all")]
     got = {r.doc_id: r for r in drop_repeated_spans(docs(spark, rows)).collect()}
     assert {i: r.n_removed for i, r in got.items()} == brute_spans(rows, 30)
     assert passage in got[1].text and passage[:40] not in got[3].text and one not in got[2].text and one in got[0].text
