@@ -84,6 +84,16 @@ def connections(links: DataFrame, files: DataFrame, fresh_edges: DataFrame | Non
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def labelled(links: DataFrame, files: DataFrame, fresh_edges: DataFrame) -> DataFrame:
+    """(a, b, via): how documents are joined: by a link of a kind, with or against its direction, or by a fresh edge."""
+    one = resolved(links.where("kind in ('wiki', 'md', 'img')"), files).where("target is not null and target <> src")
+    there = one.select(F.col("src").alias("a"), F.col("target").alias("b"), F.format_string("—[%s]→", "kind").alias("via"))
+    back = one.select(F.col("target").alias("a"), F.col("src").alias("b"), F.format_string("←[%s]—", "kind").alias("via"))
+    edge = F.format_string("↔[%s|%s]", "relation", "origin").alias("via")
+    joined = [fresh_edges.select(F.col(x).alias("a"), F.col(y).alias("b"), edge) for x, y in (("src", "dst"), ("dst", "src"))]
+    return there.unionByName(back).unionByName(joined[0]).unionByName(joined[1])
+
+
 def orphans(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return files.select("path").join(pairs.select(F.col("a").alias("path")), "path", "left_anti")
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import extension, folder, stem, stem_words
 
 
+#: The relation of an imported link that names none (a fixed value).
+DEFAULT_RELATION = "conceptually_related_to"
+
+
 def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("words"), F.lit(0)).alias("n_words"))
 
@@ -58,15 +62,22 @@ def image_texts(images: DataFrame, alts: DataFrame) -> DataFrame:
     return images.join(texts, "path", "left").select("path", F.concat_ws(" ", name, stem_words(name), "alts").alias("content"))
 
 
+def node_files(nodes: DataFrame, files: DataFrame, folder_name: str = "wiki") -> DataFrame:
+    """(id, label, path) of the nodes whose ``source_file`` is a document, by itself or below ``folder_name``."""
+    own, below = files.select("path"), files.select(F.col("path").alias("below"))
+    found = nodes.join(own, F.col("source_file") == F.col("path"), "left").join(below, F.concat(F.lit(f"{folder_name}/"), "source_file") == F.col("below"), "left")
+    return found.select("id", "label", F.coalesce("path", "below").alias("path")).where("path is not null")
+
+
 def imported_edges(nodes: DataFrame, links: DataFrame, existing: DataFrame | None = None, shown: int = 3) -> DataFrame:
     """(src, dst, relation, rationale): inferred links between nodes as edges between their documents.
 
-    ``nodes`` is (id, label, path), ``links`` (source, target, confidence, relation). Pairs are sorted; the relation is the most
-    frequent one (of equals the smallest), the rationale the first labels by name; pairs that ``existing`` has with that relation are left out.
+    ``nodes`` is (id, label, path), ``links`` (source, target, confidence, relation). Pairs are sorted; a link without a
+    relation has ``DEFAULT_RELATION``; the relation is the most frequent one (of equals the smallest), the rationale the first labels by name; pairs that ``existing`` has with that relation are left out.
     """
     a, b = nodes.select(F.col("id").alias("source"), F.col("path").alias("pa"), F.col("label").alias("la")), nodes.select(F.col("id").alias("target"), F.col("path").alias("pb"), F.col("label").alias("lb"))
     ends = links.where("confidence = 'INFERRED'").join(a, "source").join(b, "target").where("pa <> pb")
-    of = ends.select(F.least("pa", "pb").alias("src"), F.greatest("pa", "pb").alias("dst"), "relation", F.concat_ws(" -> ", "la", "lb").alias("why"))
+    of = ends.select(F.least("pa", "pb").alias("src"), F.greatest("pa", "pb").alias("dst"), F.coalesce("relation", F.lit(DEFAULT_RELATION)).alias("relation"), F.concat(F.coalesce("la", F.lit("")), F.lit(" --"), F.coalesce("relation", F.lit("")), F.lit("→ "), F.coalesce("lb", F.lit(""))).alias("why"))
     counted = of.groupBy("src", "dst", "relation").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("why")), 1, shown).alias("some"))
     best = counted.groupBy("src", "dst").agg(F.min(F.struct((-F.col("n")).alias("n"), "relation")).alias("m"), F.flatten(F.collect_list("some")).alias("every"))
     out = best.select("src", "dst", F.col("m.relation").alias("relation"), F.array_join(F.slice(F.array_sort(F.array_distinct("every")), 1, shown), " | ").alias("rationale"))

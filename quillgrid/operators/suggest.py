@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import folder, name_tokens, proximity, tokens
+from ..functions.columns import folder, name_tokens, proximity, stem, tokens
 from ..functions.tables import cut
 
 SAME, SIBLING, NAME_WEIGHT = 4.0, 2.0, 1.5
@@ -70,6 +70,16 @@ def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None
     return ranked if n is None else ranked.limit(n)
 
 
+def paste_links(pairs: DataFrame, doc: str | None = None, shown: int = 4) -> DataFrame:
+    """``pairs`` with ``text``: a wiki link to the other document (of ``doc``), or to both, and why, ready to be pasted."""
+    why = F.concat_ws("", F.lit(" — "), F.array_join(F.slice("signals", 1, shown), ", "))
+    both = F.format_string("[[%s]] ↔ [[%s]]", stem(F.col("a")), stem(F.col("b")))
+    other = F.when(F.col("a") == doc, F.col("b")).otherwise(F.col("a"))
+    of = F.format_string("[[%s]]  # %s", stem(other), other)
+    text = both if doc is None else F.when((F.col("a") == doc) | (F.col("b") == doc), of).otherwise(both)
+    return pairs.withColumn("text", F.concat(text, why, F.format_string(" (%.1f)", "score")))
+
+
 def shared_names(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, names): for the pairs given, the summed ln(N / df) of the file-name parts that both have."""
     named = files.select("path", F.explode(name_tokens(F.col("path"))).alias("part"))

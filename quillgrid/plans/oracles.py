@@ -203,8 +203,9 @@ UNION ALL (SELECT event_id, user_id, event_type, value FROM events WHERE event_t
     "doctor_counters": "SELECT CASE WHEN event_id % 11 = 0 THEN 'malformed' ELSE event_type END AS kind, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
     "update_diff": """WITH b AS (SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE md5(text) END AS sha FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS path, md5(text) AS sha FROM documents WHERE doc_id % 13 <> 0)
 SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN b.sha <> n.sha THEN 'changed' ELSE 'unchanged' END AS change FROM b FULL JOIN n USING (path)""",
-    "import_relation_mode": """WITH l AS (SELECT least('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS src, greatest('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS dst, l_returnflag AS relation, 's' || l_suppkey || ' -> p' || l_partkey AS why FROM lineitem WHERE l_linestatus = 'O'),
-c AS (SELECT src, dst, relation, count(*) AS n, any_value(why) AS why FROM l GROUP BY 1, 2, 3) SELECT src, dst, relation, why AS rationale FROM c QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, relation) = 1""",
+    "import_relation_mode": """WITH l AS (SELECT least('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS src, greatest('s' || l_suppkey || '.md', 'p' || l_partkey || '.md') AS dst, l_returnflag AS relation, 's' || l_suppkey || ' --' || l_returnflag || '→ p' || l_partkey AS why FROM lineitem WHERE l_linestatus = 'O'),
+c AS (SELECT src, dst, relation, count(*) AS n FROM l GROUP BY 1, 2, 3), w AS (SELECT src, dst, array_to_string(list_slice(list_sort(list_distinct(list(why))), 1, 3), ' | ') AS rationale FROM l GROUP BY 1, 2)
+SELECT src, dst, relation, rationale FROM c JOIN w USING (src, dst) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY n DESC, relation) = 1""",
     "ext_coverage": """SELECT lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '.(\\.[^.]+)$', 1)) AS ext, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1""",
     "path_functions": r"""WITH p AS (SELECT page_id, replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), chr(92), '/') AS p FROM pages), b AS (SELECT page_id, p, string_split(p, '/')[-1] AS base FROM p),
 s AS (SELECT *, CASE WHEN regexp_matches(base, '^.+\.[^.]+$') THEN regexp_replace(base, '\.[^.]+$', '') ELSE base END AS stem FROM b)

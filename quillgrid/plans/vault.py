@@ -20,6 +20,10 @@ from ..operators import suggest as U
 from ..sources import vault as V
 
 
+#: A node-link graph as it is exported.
+GRAPH = "nodes array<struct<id: string, label: string, source_file: string>>, links array<struct<source: string, target: string, confidence: string, relation: string>>"
+
+
 class Vault:
     """``root`` is a folder that Spark can read; the log is a folder of JSON lines, each append a file of its own."""
 
@@ -75,11 +79,22 @@ class Vault:
     def path(self, a: str, b: str) -> list[str]:
         return L.shortest_path(cut(self.connections()), a, b)
 
+    def path_steps(self, a: str, b: str) -> DataFrame:
+        """(step, path, via): the documents of ``path`` and what joins each to the one before (of several the smallest); no rows if there is no way."""
+        chain = self.path(a, b)
+        steps = self.spark.createDataFrame([(k, chain[k - 1] if k else None, x) for k, x in enumerate(chain)], "step int, a string, b string")
+        via = L.labelled(self.frames.links, self.frames.files, self.edges().where("fresh")).join(steps, ["a", "b"]).groupBy("step").agg(F.min("via").alias("via"))
+        return steps.join(via, "step", "left").select("step", F.col("b").alias("path"), "via").orderBy("step")
+
     def suggest(self, doc: str | None = None, n: int | None = 10, max_df: int = 4) -> DataFrame:
         prose = self.frames.files.where(F.col("ext").isin(".md", ".pdf", ".txt", ".rst", ".org", ".adoc", ".html", ".htm"))
         linked = L.connections(self.frames.links.where("kind in ('wiki', 'md')"), self.frames.files, self.edges())
         return U.suggest(self.frames.scan().join(prose.select("path"), "path", "left_semi"), prose, links=self.frames.links, linked=linked, doc=doc, max_df=max_df, n=n)
 
+    def suggest_links(self, doc: str | None = None, n: int | None = 10, max_df: int = 4) -> DataFrame:
+        """``suggest`` with wiki links to paste."""
+        return U.paste_links(self.suggest(doc, n, max_df), doc)
+
     def fix_links(self) -> DataFrame:
         broken = L.broken(self.frames.links.where("kind = 'wiki'"), self.frames.files)
         close = E.close_names(broken.select("label"), L.names(self.frames.files))
@@ -190,8 +205,8 @@ class Vault:
 
     def import_edges(self, path: str) -> DataFrame:
         """Edges of a node-link graph (JSON) whose links were inferred; those there already are left out."""
-        graph = self.spark.read.option("multiLine", True).json(path)
-        nodes = graph.select(F.explode("nodes").alias("x")).select("x.id", "x.label", F.col("x.source_file").alias("path")).join(self.frames.files.select("path"), "path", "left_semi")
+        graph = self.spark.read.schema(GRAPH).option("multiLine", True).json(path)
+        nodes = R.node_files(graph.select(F.explode("nodes").alias("x")).select("x.id", "x.label", "x.source_file"), self.frames.files)
         links = graph.select(F.explode("links").alias("x")).select("x.source", "x.target", "x.confidence", "x.relation")
         return R.imported_edges(nodes, links, self.edges())
 

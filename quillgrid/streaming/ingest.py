@@ -18,32 +18,58 @@ def file_stream(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha"), F.col("modificationTime").alias("mtime"), "length")
 
 
-def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
+def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, *, parser: int | None = None) -> StreamingQuery:
     """Fold every micro-batch into ``target``, a folder of versions: of each ``key`` the row of the greatest ``order`` stays.
 
-    A version is a folder of its own, named by its batch; replaying a batch after a failure writes the same rows again, so the fold is idempotent.
+    A version is a folder of its own, named by its batch and made from older ones alone; replaying a batch after a failure writes the same
+    rows again, so the fold is idempotent. Every ``parser`` version has a table and a checkpoint of its own: a new one begins with all files.
     """
+    target = of_parser(target, parser)
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = current(spark, target)
+        name = f"v{number:012d}"
+        before = current(batch.sparkSession, target, below=name)
         rows = batch if before is None else before.unionByName(batch)
-        last_wins(rows, key, order=order).write.mode("overwrite").parquet(f"{target}/v{number:012d}")
+        last_wins(rows, key, order=order).write.mode("overwrite").parquet(f"{target}/{name}")
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(f"upsert-{uuid.uuid4().hex[:8]}").start()
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", of_parser(checkpoint, parser)).trigger(availableNow=True).queryName(f"upsert-{uuid.uuid4().hex[:8]}").start()
 
 
-def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest version of an upserted table."""
+def of_parser(folder: str, parser: int | None) -> str:
+    return folder if parser is None else f"{folder}/parser-{parser}"
+
+
+def _versions(spark: SparkSession, target: str) -> list[str]:
+    """The names of the whole versions, oldest first; a swept one comes right after the one it was made from."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+
+
+def current(spark: SparkSession, target: str, *, below: str | None = None, parser: int | None = None) -> DataFrame | None:
+    """The newest version of an upserted table, or the newest one whose name is ``below`` another."""
+    target = of_parser(target, parser)
+    done = [v for v in _versions(spark, target) if below is None or v < below]
     return spark.read.parquet(f"{target}/{done[-1]}") if done else None
 
 
+def sweep(spark: SparkSession, target: str, there: DataFrame, key: str, *, parser: int | None = None) -> int:
+    """A version of the table without the rows whose ``key`` is not among those of ``there``, and how many these were.
+
+    A stream of files does not tell of deletions: ``there`` is a listing, made when no stream writes to the table.
+    """
+    kept = current(spark, target, parser=parser)
+    n = 0 if kept is None else kept.join(there.select(key), key, "left_anti").count()
+    if n:
+        folder = of_parser(target, parser)
+        last = _versions(spark, folder)[-1]
+        kept.join(there.select(key), key, "left_semi").write.parquet(f"{folder}/{last}{'s' if '-' in last else '-s'}")
+    return n
+
+
 def event_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window, event_type, n, total) of an event stream or table, with late rows dropped by watermark."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

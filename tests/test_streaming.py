@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillgrid.streaming.ingest import current, event_counts, file_stream, upsert
+from quillgrid.streaming.ingest import current, event_counts, file_stream, sweep, upsert
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
@@ -16,6 +16,30 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert set(got) == {"a.md", "two.md", "three.md"}
 
 
+def test_sweep_replay_and_parser_versions(spark, tmp_path):
+    root, target, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    root.mkdir()
+    names = lambda **k: sorted(r.path.rsplit("/", 1)[-1] for r in current(spark, target, **k).collect())
+    listing = lambda: spark.read.format("binaryFile").load(str(root)).select("path")
+    run = lambda **k: upsert(file_stream(spark, str(root)), target, str(state), "path", "mtime", **k).awaitTermination()
+    assert sweep(spark, target, spark.createDataFrame([], "path string"), "path") == 0
+    for name in "abc":
+        (root / name).write_text(name)
+        run()
+    for gone, left in (("a", ["b", "c"]), ("b", ["c"])):
+        (root / gone).unlink()
+        assert sweep(spark, target, listing(), "path") == 1 and names() == left and sweep(spark, target, listing(), "path") == 0
+    (root / "d").write_text("d")
+    run()
+    assert names() == ["c", "d"]
+    for f in (state / "commits").glob("*3*"):  # the last batch was written but never committed: it comes again
+        f.unlink()
+    run()
+    assert names() == ["c", "d"]
+    run(parser=2)
+    assert names(parser=2) == ["c", "d"]
+
+
 def test_event_counts(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     got = event_counts(events).agg(F.sum("n")).first()[0]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.operators import links as L
+from quillgrid.operators import report as R
 from quillgrid.operators import semlog as G
 from quillgrid.plans.vault import Vault
 from quillgrid.sources import vault as V
@@ -78,6 +79,25 @@ def test_links_and_health(vault):
     assert vault.path("web/page.html", "notes/intro.txt") == []
 
 
+def test_path_steps(vault):
+    got = [tuple(r) for r in vault.path_steps("web/page.html", "shots/kiln.png").collect()]
+    assert got == [(0, "web/page.html", None), (1, "batches/spring-firing.md", "—[md]→"), (2, "recipes/glaze-mix.md", "—[md]→"), (3, "shots/kiln.png", "—[img]→")]
+    assert vault.path_steps("web/page.html", "notes/intro.txt").count() == 0
+
+
+def test_import(vault, tmp_path):
+    of = lambda k, p: {"id": k, "label": k.upper(), "source_file": p, "more": 1}
+    nodes = [of("a", "recipes/glaze-mix.md"), of("b", "notes/intro.txt"), of("c", "nowhere.md"), of("d", None)]
+    inferred = lambda s, t, **k: {"source": s, "target": t, "confidence": "INFERRED", **k}
+    links = [inferred("a", "b"), inferred("b", "a"), inferred("a", "b", relation="x"), inferred("a", "c"), inferred("a", "d"), {"source": "a", "target": "b", "confidence": "EXTRACTED", "relation": "y"}]
+    path = tmp_path / "graph.json"
+    path.write_text(json.dumps({"nodes": nodes, "links": links}, indent=1))
+    got = vault.import_edges(str(path)).collect()
+    assert [(r.src, r.dst, r.relation, r.rationale) for r in got] == [("notes/intro.txt", "recipes/glaze-mix.md", "conceptually_related_to", "A --x→ B | A --→ B | B --→ A")]
+    below = R.node_files(vault.spark.createDataFrame([("k", "K", "p.md")], "id string, label string, source_file string"), vault.spark.createDataFrame([("wiki/p.md",)], "path string"))
+    assert below.first().path == "wiki/p.md"
+
+
 def test_search(vault):
     assert [r.path for r in vault.search("zanzibar").collect()] == ["batches/spring-firing.md"]
     assert vault.search("slipware").first().path == "recipes/glaze-mix.md"
@@ -92,6 +112,8 @@ def test_suggest(vault):
     pairs = {(r.a, r.b): r for r in vault.suggest(n=None).collect()}
     assert ("notes/intro.txt", "notes/lone-page.md") in pairs
     assert ("batches/spring-firing.md", "recipes/glaze-mix.md") not in pairs
+    assert any(r.text.startswith("[[intro]] ↔ [[lone-page]] — ") for r in vault.suggest_links(n=None).collect())
+    assert any(r.text.startswith("[[lone-page]]  # notes/lone-page.md — ") for r in vault.suggest_links("notes/intro.txt").collect())
 
 
 def test_edits(vault):
