@@ -99,10 +99,15 @@ class Ranked:
     def top(self, n: int) -> DataFrame:
         return self.results.orderBy(*ranking()).limit(n)
 
+    def flags(self) -> DataFrame:
+        """(n_results, partial, weak), one row. Weak: nothing found, a term that occurs nowhere, only a relaxed match, or a low best score."""
+        sure = any(not self.stats.df.get(t) for t in self.query.plain) or (self.partial and not self.query.long)
+        found = self.results.agg(F.count("*").alias("n_results"), F.max("score").alias("best"))
+        return found.select("n_results", F.lit(self.partial).alias("partial"), (F.lit(sure) | F.coalesce(F.col("best") < WEAK_SCORE, F.lit(True))).alias("weak"))
+
     def weak(self) -> bool:
-        """Whether another phrasing is called for: nothing found, a term that occurs nowhere, only a relaxed match, or a low best score."""
-        best = self.results.agg(F.max("score")).first()[0]
-        return best is None or any(not self.stats.df.get(t) for t in self.query.plain) or (self.partial and not self.query.long) or best < WEAK_SCORE
+        """Whether another phrasing is called for."""
+        return self.flags().first()["weak"]
 
 
 def ranking() -> tuple[Column, ...]:

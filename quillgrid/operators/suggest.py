@@ -43,10 +43,12 @@ def ref_pairs(links: DataFrame, most: int = 6) -> DataFrame:
     return both.where("a < b").select("a", "b", points.alias("amount"), F.col("dst").alias("signal"))
 
 
-def folder_pairs(files: DataFrame) -> DataFrame:
-    """(a, b) in one folder or in folders of one parent. Grows with the square of a folder's files, as the rule says; callers aggregate or restrict."""
+def folder_pairs(files: DataFrame, doc: str | None = None) -> DataFrame:
+    """(a, b) in one folder or in folders of one parent. With ``doc`` only its own pairs are made; all of them grow with the square of a folder's files, as the rule says, so callers aggregate them."""
     of = files.where("not lower(path) like '%.pdf'").select("path", folder(folder(F.col("path"))).alias("above"))
-    return of.select("above", F.col("path").alias("a")).join(of.select("above", F.col("path").alias("b")), "above").where("a < b").select("a", "b").where(proximity(F.col("a"), F.col("b")) != "far")
+    left = of if doc is None else of.where(F.col("path") == doc)
+    both = left.select("above", F.col("path").alias("x")).join(of.select("above", F.col("path").alias("y")), "above").where("x < y" if doc is None else "x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(proximity(F.col("a"), F.col("b")) != "far")
 
 
 def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None, linked: DataFrame | None = None, doc: str | None = None, max_df: int = 4, folders: bool = True, n: int | None = 10) -> DataFrame:
@@ -55,7 +57,7 @@ def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None
     if links is not None:
         pairs = pairs.unionByName(ref_pairs(links))
     if folders:
-        pairs = pairs.unionByName(folder_pairs(files).select("a", "b", F.lit(0.0).alias("amount"), F.lit(None).cast("string").alias("signal")))
+        pairs = pairs.unionByName(folder_pairs(files, doc).select("a", "b", F.lit(0.0).alias("amount"), F.lit(None).cast("string").alias("signal")))
     if doc is not None:
         pairs = pairs.where((F.col("a") == doc) | (F.col("b") == doc))
     if linked is not None:

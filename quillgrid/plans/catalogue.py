@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import semlog as G
 from ..operators import suggest as U
 from ..sources import tables as T
 from ..sources import html as H
+from ..sources import vault as V
 from ..sources.vault import ignored, plain_sections
 from ..streaming.ingest import event_counts
 
@@ -127,17 +130,8 @@ def snippet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weak_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags of several queries, each from one pass over its results."""
     scan = T.document_scan(spark, sf_dir)
-    rows = []
-    for text in (AND, RELAXED, LONG, "zzqqxx", "the"):
-        found = S.rank(scan, text)
-        best = found.results.agg(F.count("*").alias("n"), F.max("score").alias("best"))
-        dead = any(not found.stats.df.get(t) for t in found.query.plain)
-        low = F.coalesce(F.col("best") < S.WEAK_SCORE, F.lit(True))
-        rows.append(best.select(F.lit(text).alias("query"), F.col("n").alias("n_results"), F.lit(found.partial).alias("partial"), (F.lit(dead or (found.partial and not found.query.long)) | low).alias("weak")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    rows = [S.rank(scan, text).flags().select(F.lit(text).alias("query"), "n_results", "partial", "weak") for text in (AND, RELAXED, LONG, "zzqqxx", "the")]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,6 +164,61 @@ def suggest_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.round("score", 4).alias("score"), "dir")
 
 
+def suggest_for_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals for document 0: shared words, links of the pages with the documents' ids as references, folders and names; documents of neighbouring ids are linked already."""
+    scan = T.document_scan(spark, sf_dir)
+    ids = scan.select("doc_id", "path")
+    hrefs = T.read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.explode(F.regexp_extract_all("html", F.lit(T.HREF), F.lit(1))).alias("dst"))
+    links = hrefs.join(ids, "doc_id").select(F.col("path").alias("src"), "dst", F.lit("code").alias("kind"))
+    linked = ids.select("doc_id", F.col("path").alias("a")).join(ids.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("b")), "doc_id").select("a", "b")
+    doc = ids.where("doc_id = 0").first()
+    found = U.suggest(scan, scan.select("path"), links=links, linked=linked, doc=doc["path"] if doc else "", n=20)
+    return found.select("a", "b", F.round("score", 4).alias("score"), "dir", F.array_join("signals", ",").alias("signals"))
+
+
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_tags(T.document_scan(spark, sf_dir).select(F.explode("tags").alias("tag")))
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): documents as markdown notes whose links follow from id, language and source."""
+    k, lang = F.col("doc_id"), F.coalesce("lang", F.lit("none"))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), lang, F.lit("/doc-"), k, F.lit(".md"))
+    wiki = F.when(k % 3 == 0, F.concat(F.lit("[[doc-"), k + 1, F.lit("|next]]"))).otherwise("")
+    near = F.when(k % 5 == 0, F.concat(F.lit("[t](../"), lang, F.lit("/doc-"), k + 2, F.lit(".md#part) [out](../../../x.md)"))).otherwise("")
+    image = F.concat(F.lit("!["), lang, F.lit(" "), k % 3, F.lit("](./pics/shot-"), k % 20, F.lit(".png) ![far](http://x.org/a.png)"))
+    refs = F.concat(F.lit("src/A"), k % 50, F.lit(".kt, again src/A"), k % 50, F.lit(".kt, REQ-"), k % 30)
+    return T.read(spark, sf_dir, "documents").select(path.alias("path"), F.concat_ws("\n", wiki, near, image, refs).alias("text"))
+
+
+def link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every note, with relative targets resolved."""
+    return L.extract(_notes(spark, sf_dir)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
+def note_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that no link joins to another one."""
+    notes = _notes(spark, sf_dir)
+    files = notes.select("path", F.array().cast("array<string>").alias("aliases"))
+    return L.orphans(files, L.connections(L.extract(notes), files))
+
+
+def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searchable text of every image that the notes show."""
+    notes = _notes(spark, sf_dir)
+    images = L.extract(notes).where("kind = 'img'").select(F.col("dst").alias("path")).distinct()
+    return R.image_texts(images, L.image_alts(notes))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as markdown with frontmatter and a heading per turn, taken apart again."""
+    turn = lambda t: F.concat(F.repeat(F.lit("#"), (t["turn"] % 3 + 1).cast("int")), F.lit(" "), t["role"], F.lit("\n"), F.coalesce(t["text"], F.lit("")))
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), turn)
+    texts = T.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("---\ntags: [talk]\n---\n"), F.array_join(turns, "\n")).alias("text"))
+    each = texts.select("conv_id", F.explode(V.markdown_sections(F.col("text"))).alias("s"))
+    return each.select("conv_id", F.col("s.line").cast("long").alias("line"), F.col("s.level").cast("long").alias("level"), "s.heading", F.md5("s.content").alias("content_md5"))
+
+
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "pages").select("page_id", H.page_title(F.col("html")).alias("title"))
 
@@ -346,7 +395,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
     search_conversations, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
-    suggest_ranked, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
+    suggest_ranked, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,
 )}

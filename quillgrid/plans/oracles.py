@@ -153,6 +153,16 @@ e AS (SELECT page_id, k, CASE WHEN k = 0 THEN 1 ELSE length({_only_lines("array_
   CASE WHEN k = 0 THEN '(intro)' ELSE coalesce(nullif(trim(regexp_replace({_HEADING_TEXT}, '\\s+', ' ', 'g')), ''), '(heading)') END AS heading, {_visible('p[k + 1]')} AS content FROM d)
 SELECT page_id, CAST(line AS BIGINT) AS line, CAST(level AS BIGINT) AS level, heading, md5(content) AS content_md5 FROM e WHERE k > 0 OR content <> ''"""
 
+_NOTES = """SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS dir, coalesce(lang, 'none') AS lang, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc-' || doc_id || '.md' AS path FROM documents"""
+_SIGNALS = f"""pt AS (SELECT x.path AS a, y.path AS b, round(CAST(x.weight * y.weight / d AS DOUBLE), 9) AS amount, token AS signal FROM w x JOIN f USING (token) JOIN w y USING (token) WHERE x.path < y.path),
+rf AS (SELECT DISTINCT path, dst FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS dst FROM pages) JOIN d ON doc_id = page_id),
+rk AS (SELECT dst FROM rf GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6),
+rp AS (SELECT x.path AS a, y.path AS b, 2.0::DOUBLE AS amount, dst AS signal FROM rf x JOIN rk USING (dst) JOIN rf y USING (dst) WHERE x.path < y.path),
+me AS (SELECT path AS own FROM d WHERE doc_id = 0),
+fp AS (SELECT least(own, path) AS a, greatest(own, path) AS b, 0::DOUBLE AS amount, NULL AS signal FROM d, me WHERE path <> own AND string_split(path, '/')[1] = string_split(own, '/')[1]),
+ln AS (SELECT least(x.path, y.path) AS a, greatest(x.path, y.path) AS b FROM d x JOIN d y ON y.doc_id = x.doc_id + 1),
+ev AS (SELECT * FROM (SELECT * FROM pt UNION ALL SELECT * FROM rp UNION ALL SELECT * FROM fp), me WHERE a = own OR b = own)"""
+
 ORACLES = {
     "page_sections": _PAGE_SECTIONS,
     "vault_files": f"SELECT path, title, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, sha256(content) AS sha FROM ({DOCS})",
@@ -185,6 +195,27 @@ o AS (SELECT s.*, coalesce(names, 0) AS names, regexp_replace(a, '/[^/]*$', '')
 x AS (SELECT a, b, base, names, CASE WHEN fa = fb THEN 'same' WHEN string_split(fa, '/')[1] = string_split(fb, '/')[1] THEN 'sibling' ELSE 'far' END AS dir FROM o),
 z AS (SELECT a, b, base + CASE dir WHEN 'same' THEN 4 WHEN 'sibling' THEN 2 ELSE 0 END + 1.5::DOUBLE * names AS score, dir FROM x)
 SELECT a, b, round(CAST(score AS DOUBLE), 4) AS score, dir FROM z ORDER BY round(CAST(score AS DOUBLE), 6) DESC, a, b LIMIT 20""",
+    "suggest_for_document": f"""WITH {_WEIGHTS}, {_SIGNALS},
+s AS (SELECT a, b, sum(amount) AS base, array_to_string(list_slice(list_sort(list_distinct(list(signal))), 1, 8), ',') AS signals FROM ev ANTI JOIN ln USING (a, b) GROUP BY 1, 2), parts AS (
+  SELECT path, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')), '[-_ .]'), lambda x: length(x) >= 2))) AS part FROM d
+), pf AS (SELECT part, ln(CAST((SELECT count(*) FROM d) AS DOUBLE) / count(*)) AS w FROM parts GROUP BY 1 HAVING count(*) > 1),
+nm AS (SELECT a, b, sum(pf.w) AS names FROM s JOIN parts x ON x.path = a JOIN parts y ON y.path = b AND y.part = x.part JOIN pf ON pf.part = x.part GROUP BY 1, 2),
+x AS (SELECT s.*, coalesce(names, 0) AS names, CASE WHEN regexp_replace(a, '/[^/]*$', '') = regexp_replace(b, '/[^/]*$', '') THEN 'same' WHEN string_split(a, '/')[1] = string_split(b, '/')[1] THEN 'sibling' ELSE 'far' END AS dir FROM s LEFT JOIN nm USING (a, b)),
+z AS (SELECT a, b, CAST(base + CASE dir WHEN 'same' THEN 4 WHEN 'sibling' THEN 2 ELSE 0 END + 1.5::DOUBLE * names AS DOUBLE) AS score, dir, signals FROM x)
+SELECT a, b, round(score, 4) AS score, dir, signals FROM z ORDER BY round(score, 6) DESC, a, b LIMIT 20""",
+    "tag_counts": "SELECT tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([lang, source]) AS tag FROM documents) GROUP BY 1 ORDER BY n DESC, tag LIMIT 15",
+    "link_kinds": f"""WITH n AS ({_NOTES}), l AS (
+  SELECT path AS src, 'doc-' || (doc_id + 1) AS dst, 'wiki' AS kind FROM n WHERE doc_id % 3 = 0 UNION ALL SELECT path, dir || '/doc-' || (doc_id + 2) || '.md', 'md' FROM n WHERE doc_id % 5 = 0
+  UNION ALL SELECT path, '../../../x.md', 'md' FROM n WHERE doc_id % 5 = 0 UNION ALL SELECT path, dir || '/pics/shot-' || (doc_id % 20) || '.png', 'img' FROM n
+  UNION ALL SELECT path, 'src/A' || (doc_id % 50) || '.kt', 'code' FROM n UNION ALL SELECT path, 'REQ-' || (doc_id % 30), 'req' FROM n)
+SELECT src, dst, kind, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY ALL""",
+    "note_orphans": f"""WITH n AS ({_NOTES}), c AS (SELECT x.path AS a, y.path AS b FROM n x JOIN n y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 3 = 0
+  UNION ALL SELECT x.path, y.path FROM n x JOIN n y ON y.path = x.dir || '/doc-' || (x.doc_id + 2) || '.md' WHERE x.doc_id % 5 = 0)
+SELECT path FROM n WHERE path NOT IN (SELECT a FROM c) AND path NOT IN (SELECT b FROM c)""",
+    "image_texts": f"""WITH n AS ({_NOTES}), i AS (SELECT dir || '/pics/shot-' || (doc_id % 20) || '.png' AS path, doc_id % 20 AS k, lang || ' ' || (doc_id % 3) AS alt FROM n)
+SELECT path, 'shot-' || k || ' shot ' || k || ' ' || string_agg(DISTINCT alt, ' ' ORDER BY alt) AS content FROM i GROUP BY path, k""",
+    "markdown_sections": """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(string_split(coalesce(text, ''), chr(10))) AS k FROM conversations)
+SELECT conv_id, CAST(4 + coalesce(sum(k + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, CAST(turn % 3 + 1 AS BIGINT) AS level, role AS heading, md5(trim(text, chr(10))) AS content_md5 FROM t""",
     "page_titles": """SELECT page_id, trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')) AS title FROM pages""",
     "page_links": f"SELECT src, dst, CAST(count(*) AS BIGINT) AS n FROM ({LINKS}) GROUP BY 1, 2",
     "ref_hubs": f"SELECT dst, CAST(count(DISTINCT src) AS BIGINT) AS n FROM ({LINKS}) GROUP BY 1 HAVING n > 1 ORDER BY n DESC, dst LIMIT 10",
