@@ -141,10 +141,10 @@ def first_sections(scan: DataFrame) -> DataFrame:
 
 def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n: int = 8) -> DataFrame:
     """Keyword results blended with vector hits: score * (1 + cosine); documents found by vector alone come in with 10 * cosine."""
-    near = semantic_hits(embeds, vector, max(n, 20))
-    found = rank(scan, text).results.join(F.broadcast(near), "path", "left")  # at most max(n, 20) rows
+    near = cut(semantic_hits(embeds, vector, max(n, 20)))  # a table of known size, which Spark broadcasts if it is small
+    found = rank(scan, text).results.join(near, "path", "left")
     alone = near.join(found.select("path"), "path", "left_anti")
-    extra = first_sections(scan.join(F.broadcast(alone.select("path")), "path", "left_semi")).join(alone, "path")
+    extra = first_sections(scan.join(alone.select("path"), "path", "left_semi")).join(alone, "path")
     extra = extra.select("path", "line", "heading", F.lit(0).cast("long").alias("nmatched"), F.lit(0.0).alias("matched_idf"), (F.lit(float(WEAK_SCORE)) * F.col("cosine")).alias("score"), "cosine")
     both = found.unionByName(extra).withColumn("blend", F.col("score") * (1 + F.coalesce("cosine", F.lit(0.0))))
     return both.orderBy(F.desc("blend"), F.desc("matched_idf"), F.desc("nmatched"), "path").limit(n)
@@ -166,7 +166,7 @@ def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None
 def evidence(scan: DataFrame, top: DataFrame, query: Query, stats: Statistics, k: int = 5) -> DataFrame:
     """(path, ord, text, idf): the k best lines of each result of ``top`` (path, line). Lines are ranked by the idf of the terms they hold, those of the displayed section first, then in order; equal lines count once."""
     chosen = top.select(F.col("path").alias("r"), F.col("line").alias("shown"))
-    lines = _lines(scan.join(F.broadcast(chosen), F.col("path") == F.col("r")))  # a result list is as short as its limit
+    lines = _lines(scan.join(chosen, F.col("path") == F.col("r")))
     low = F.lower("text")
     mass = reduce(lambda a, b: a + b, (F.when(holds_any(low, variants(t)), F.lit(stats.idf(t))).otherwise(0.0) for t in query.plain), F.lit(0.0))
     any_hit = reduce(lambda a, b: a | b, (holds_any(low, variants(t)) for t in query.plain), F.lit(False))
@@ -186,7 +186,7 @@ def _lines(sections: DataFrame) -> DataFrame:
 def snippets(scan: DataFrame, picks: DataFrame, around: int = 2) -> DataFrame:
     """(path, first, text): picked lines (path, ord) with those around them, merged into blocks of consecutive lines."""
     near = picks.select("path", F.explode(F.sequence(F.col("ord") - around, F.col("ord") + around)).alias("ord")).distinct()
-    lines = _lines(scan.withColumn("shown", F.lit(0)).join(F.broadcast(picks.select("path").distinct()), "path", "left_semi"))
+    lines = _lines(scan.withColumn("shown", F.lit(0)).join(picks.select("path"), "path", "left_semi"))
     kept = lines.join(near, ["path", "ord"]).select("path", "ord", "text")
     island = kept.withColumn("g", F.col("ord") - F.row_number().over(W.partitionBy("path").orderBy("ord")))
     blocks = island.groupBy("path", "g").agg(F.min("ord").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.rtrim("text").alias("text")))), lambda x: x["text"]), "\n").alias("text"))
