@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from .chat_format import digest, format_examples
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .fim import fim_digests
 from .langid import identify_languages
 from .line_dedup import drop_repeated_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .pii import replace_pii
+from .sharding import balanced_shards
 from .substring_dedup import drop_repeated_spans
 from .url_filter import filter_urls
+from .whitening import whitened_embeddings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +77,19 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.quillgrid.pii.key", "not a secret"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of even numbers of rows; documents with equal texts are linked."""
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -85,6 +101,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_sharding": op12_sharding,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -185,6 +204,24 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
 FROM p GROUP BY conv_id
 """
 
+_FIM = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents
+), h AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, array_to_string(list_slice(u, 1, a), '') AS prefix, array_to_string(list_slice(u, a + 1, b), '') AS middle, array_to_string(list_slice(u, b + 1, n), '') AS suffix FROM f
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLES = {
     "op2_minhash_near_dedup": _NEAR_DUP,
     "op3_url_filter": _URL_FILTER,
@@ -192,4 +229,5 @@ ORACLES = {
     "op5_source_mixing": _MIXING,
     "op7_line_dedup": _LINE_DEDUP,
     "op9_chat_format": _CHAT_FORMAT,
+    "op13_fill_in_middle": _FIM,
 }
