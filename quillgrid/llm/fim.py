@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark import RDD
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -23,6 +24,8 @@ PARTS = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 ORDERS = {"psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
 #: Places of a document's first and last record; pieces stand in between.
 HEAD, END = -1, 1 << 62
+#: Text of a partition of the sorts, before plain documents are left out.
+PARTITION_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -150,9 +153,10 @@ def _schema(documents: DataFrame, id_col: str, *more: str) -> T.StructType:
     return T.StructType([*own, T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType()), *texts])
 
 
-def _partitions(documents: DataFrame, records: RDD) -> int:
-    """Twice the scan's tasks: a partition then holds about a quarter of the text that a task reads, and what a sort can't hold it spills."""
-    return max(2 * records.getNumPartitions(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _partitions(documents: DataFrame, text_col: str) -> int:
+    """As many that each holds about ``PARTITION_BYTES`` of text, and no fewer than the session's shuffles have; what a sort can't hold it spills."""
+    found = documents.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(-(-found // PARTITION_BYTES), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def fim_texts(documents: DataFrame, rules: Rules = Rules(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,7 +168,7 @@ def fim_texts(documents: DataFrame, rules: Rules = Rules(), *, id_col: str = "do
     give as many equal rows. A very long text, or one without any blank, is cut into pieces of bounded length. Other columns are ignored; an empty table gives no rows.
     """
     records = _emit(documents.select(id_col, text_col), rules, lambda text: text)
-    rows = _sorted(records, _partitions(documents, records)).mapPartitions(_texts)
+    rows = _sorted(records, _partitions(documents, text_col)).mapPartitions(_texts)
     return documents.sparkSession.createDataFrame(rows, _schema(documents, id_col, "output"), verifySchema=False)
 
 
@@ -172,7 +176,7 @@ def fim_digests(documents: DataFrame, rules: Rules = Rules(), *, id_col: str = "
     """(id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of what ``fim_texts`` gives, without joining a text: outputs
     and restored texts are digested piece by piece. The second sort stays in the partition, as the pieces are dealt alike. Edge cases are those of ``fim_texts``."""
     records = _emit(documents.select(id_col, text_col), rules, lambda text: hashlib.sha256(text.encode()).hexdigest())
-    n = _partitions(documents, records)
+    n = _partitions(documents, text_col)
     back = _sorted(records, n).mapPartitions(_read_back, preservesPartitioning=True)
     rows = _sorted(back, n).mapPartitions(_digests)
     return documents.sparkSession.createDataFrame(rows, _schema(documents, id_col, "output_sha256", "restored_sha256"), verifySchema=False)
