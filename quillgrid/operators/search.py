@@ -31,20 +31,8 @@ class Statistics:
 
 
 def _lower(scan: DataFrame) -> DataFrame:
-    return scan.select("path", "sec_no", "line", "heading", F.lower(F.coalesce("title", F.lit(""))).alias("t"), F.lower("path").alias("p"), F.lower("heading").alias("h"), F.lower("content").alias("c"), "tags", F.transform("aliases", F.lower).alias("aliases"))
-
-
-def statistics(scan: DataFrame, terms: list[str]) -> Statistics:
-    """Document frequencies of all terms in one pass. Words are looked for section by section; a phrase in the document's fields joined by blanks, across which it may run."""
-    low = _lower(scan)
-    words, phrases = [t for t in terms if " " not in t], [t for t in terms if " " in t]
-    hits = [F.max(holds_any(F.concat_ws(" ", "t", "p", "h", "c"), least_variants(t)).cast("int")).alias(f"w{k}") for k, t in enumerate(words)]
-    whole = [F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("sec_no", "h", "c"))), lambda s: F.array(s["h"], s["c"]))), " ").alias("hay"), F.first(F.concat_ws(" ", "t", "p")).alias("head")] if phrases else []
-    docs = low.groupBy("path").agg(*hits, *whole, F.lit(1).alias("one"))
-    sums = [F.sum(f"w{k}").alias(f"w{k}") for k in range(len(words))]
-    sums += [F.sum(F.contains(F.concat_ws(" ", "head", "hay"), F.lit(t)).cast("int")).alias(f"f{k}") for k, t in enumerate(phrases)]
-    row = docs.agg(F.count("*").alias("n"), *sums).first()
-    return Statistics(row["n"], {t: row[f"w{k}"] or 0 for k, t in enumerate(words)} | {t: row[f"f{k}"] or 0 for k, t in enumerate(phrases)})
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return scan.select("path", "sec_no", "line", "heading", low("title").alias("t"), low("path").alias("p"), low("heading").alias("h"), low("content").alias("c"), "tags", F.transform("aliases", F.lower).alias("aliases"))
 
 
 def _field(field: str, term: str) -> Column:
@@ -58,33 +46,74 @@ def _field(field: str, term: str) -> Column:
     }[field]
 
 
-def scored(scan: DataFrame, query: Query, stats: Statistics) -> DataFrame:
-    """(path, line, heading, nmatched, matched_idf, rare, score) of every document with a matching section; the score is that of its best section."""
-    low = _lower(scan)
-    for field, term in query.fields:
-        low = low.where(_field(field, term))
-    score, hits = F.lit(float(sum(FIELDS[f] for f, _ in query.fields))), []
-    for k, term in enumerate(query.plain):
+@dataclass(frozen=True)
+class Hits:
+    """What one pass over all texts leaves for any number of queries: a row per section that matters, without its text, written.
+
+    For term k: ``h`` (found in any field), ``p`` (points before the idf), ``w`` (found, aliases aside) or, of a phrase, ``s`` and ``g`` (its state in the
+    section and in the document's head); for query q ``f`` (all its fields hold).
+    """
+
+    table: DataFrame
+    queries: tuple[Query, ...]
+    terms: tuple[str, ...]
+    total: int
+
+
+def _phrase_state(text: Column, phrase: str) -> Column:
+    """Whether a text holds a phrase, and as many characters of its two ends as a hit across them may need."""
+    reach = F.lit(len(phrase) - 1)
+    return F.struct(F.contains(text, F.lit(phrase)).alias("found"), F.left(text, reach).alias("first"), F.right(text, reach).alias("last"))
+
+
+def _phrase_found(head: Column, sections: Column, phrase: str) -> Column:
+    """Whether the phrase occurs in a head and sections (in order) joined by blanks, from their states."""
+    reach = len(phrase) - 1
+
+    def step(carry: Column, x: Column) -> Column:
+        s = x["s"]
+        found = carry["found"] | s["found"] | F.contains(F.concat(carry["last"], F.lit(" "), s["first"]), F.lit(phrase))
+        last = F.when(F.char_length(s["last"]) >= reach, s["last"]).otherwise(F.right(F.concat(carry["last"], F.lit(" "), s["last"]), F.lit(reach)))
+        return F.struct(found.alias("found"), last.alias("last"))
+
+    return F.aggregate(sections, F.struct(head["found"].alias("found"), head["last"].alias("last")), step, lambda x: x["found"])
+
+
+def section_hits(scan: DataFrame, queries: list[Query], total: int | None = None) -> Hits:
+    """The only pass over the texts that a search makes, however many phrasings it has. ``total`` is the number of documents, if ``scan`` is only part of them."""
+    terms = tuple(dict.fromkeys(t for q in queries for t in q.plain))
+    low, columns, kept = _lower(scan), [], F.lit(False)
+    for k, term in enumerate(terms):
         least, every = least_variants(term), variants(term)
-        own = holds_any(F.col("t"), least) | F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: holds_any(a, least))
-        in_path, in_head, in_body = (holds_any(F.col(c), least) for c in "phc")
+        named = F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: holds_any(a, least))
+        titled, in_path, in_head, in_body = (holds_any(F.col(c), least) for c in "tphc")
         count = F.least(reduce(lambda a, b: a + b, (occurrences(F.col("c"), v) for v in every)), F.lit(5))
-        points = (8 * own.cast("int") + 6 * in_path.cast("int") + 5 * in_head.cast("int") + count).cast("double")
-        hit = own | in_path | in_head | in_body
-        low = low.withColumn(f"hit{k}", hit.cast("int")).withColumn(f"pts{k}", points)
-        score = score + F.when(F.col(f"hit{k}") == 1, F.lit(1 + stats.idf(term)) * F.col(f"pts{k}")).otherwise(0.0)
-        hits.append(F.max(f"hit{k}").alias(f"hit{k}"))
-    sections = low.select("path", "sec_no", "line", "heading", *(f"hit{k}" for k in range(len(query.plain))), score.alias("score"))
-    best = F.max_by(F.struct("score", "line", "heading"), F.struct("score", (-F.col("sec_no")).alias("s"))).alias("best")
-    docs = sections.groupBy("path").agg(*hits, best)
-    found = [F.col(f"hit{k}") for k in range(len(query.plain))]
-    total = lambda xs, zero: reduce(lambda a, b: a + b, xs, F.lit(zero))
-    idfs = [stats.idf(t) for t in query.plain]
-    top = max(idfs, default=0.0)
-    rare = reduce(lambda a, b: a | b, (h == 1 for h, i in zip(found, idfs) if top > 0 and i >= top * RARE), F.lit(False))
-    matched = total([F.when(h == 1, F.lit(i)).otherwise(0.0) for h, i in zip(found, idfs)], 0.0)
-    out = docs.select("path", "best.line", "best.heading", total([h.cast("long") for h in found], 0).cast("long").alias("nmatched"), matched.alias("matched_idf"), rare.alias("rare"), "best.score")
-    return out.where("nmatched > 0") if query.plain else out
+        columns += [(titled | named | in_path | in_head | in_body).alias(f"h{k}"), (8 * (titled | named).cast("int") + 6 * in_path.cast("int") + 5 * in_head.cast("int") + count).cast("double").alias(f"p{k}")]
+        kept = kept | F.col(f"h{k}")
+        if " " in term:
+            columns += [_phrase_state(F.concat_ws(" ", "h", "c"), term).alias(f"s{k}"), _phrase_state(F.concat_ws(" ", "t", "p"), term).alias(f"g{k}")]
+            kept = F.lit(True)  # a phrase may run over any section's ends
+        else:
+            columns.append((titled | in_path | in_head | in_body).alias(f"w{k}"))
+    for k, query in enumerate(queries):
+        columns.append(reduce(lambda a, b: a & b, (_field(f, t) for f, t in query.fields), F.lit(True)).alias(f"f{k}"))
+        if not query.plain:
+            kept = kept | F.col(f"f{k}")
+    if total is None:
+        total = scan.agg(F.count_distinct("path")).first()[0]
+    return Hits(cut(low.select("path", "sec_no", "line", "heading", *columns).where(kept)), tuple(queries), terms, total)
+
+
+def statistics(hits: Hits) -> Statistics:
+    """Document frequencies of all terms. Words are looked for section by section; a phrase in the document's fields joined by blanks, across which it may run: the states of the sections are put together in order."""
+    if not hits.terms:
+        return Statistics(hits.total, {})
+    phrases = [k for k, t in enumerate(hits.terms) if " " in t]
+    each = [F.sort_array(F.collect_list(F.struct("sec_no", F.col(f"s{k}").alias("s")))).alias(f"s{k}") for k in phrases] + [F.first(f"g{k}").alias(f"g{k}") for k in phrases]
+    docs = hits.table.groupBy("path").agg(*(F.max(f"w{k}").alias(f"w{k}") for k in range(len(hits.terms)) if k not in phrases), *each)
+    found = [_phrase_found(F.col(f"g{k}"), F.col(f"s{k}"), t) if k in phrases else F.col(f"w{k}") for k, t in enumerate(hits.terms)]
+    row = docs.agg(*(F.sum(x.cast("int")) for x in found)).first()
+    return Statistics(hits.total, {t: row[k] or 0 for k, t in enumerate(hits.terms)})
 
 
 @dataclass(frozen=True)
@@ -115,18 +144,46 @@ def ranking() -> tuple[Column, ...]:
     return F.col("score").desc(), F.col("matched_idf").desc(), F.col("nmatched").desc(), F.col("path")
 
 
-def rank(scan: DataFrame, text: str, stats: Statistics | None = None) -> Ranked:
-    """Every plain term must occur in a document, unless the query is long; if no document has all, half of them suffice. Long queries ask for 30 % of the idf mass, or for the rarest term."""
-    query = parse(text)
-    stats = stats or statistics(scan, list(query.plain))
-    docs, need = cut(scored(scan, query, stats)), len(query.plain)  # the texts are scored once, and the gates read what came of it
-    if query.long:
-        mass = sum(stats.idf(t) for t in query.plain)
-        return Ranked(query, docs.where((F.col("matched_idf") >= COVER * mass) | F.col("rare")).drop("rare"), True, stats)
-    strict = docs.where(F.col("nmatched") >= need).drop("rare")
-    if need >= 2 and not strict.limit(1).count():
-        return Ranked(query, docs.where(F.col("nmatched") * 2 >= need).drop("rare"), True, stats)
-    return Ranked(query, strict, False, stats)
+def _documents(hits: Hits, stats: Statistics) -> DataFrame:
+    """A row per document with, for query q, ``n`` (terms found), ``i`` (their idf), ``r`` (the rarest is found) and ``b``: score, line and heading of its best section; null if no section has the query's fields."""
+    total, aggs, outs = lambda xs, zero: reduce(lambda a, b: a + b, xs, F.lit(zero)), [], []
+    for q, query in enumerate(hits.queries):
+        places, idfs = [hits.terms.index(t) for t in query.plain], [stats.idf(t) for t in query.plain]
+        score = total([F.when(F.col(f"h{k}"), F.lit(1 + i) * F.col(f"p{k}")).otherwise(0.0) for k, i in zip(places, idfs)], float(sum(FIELDS[f] for f, _ in query.fields)))
+        fits = F.col(f"f{q}")
+        aggs += [F.max(fits & F.col(f"h{k}")).alias(f"m{q}_{k}") for k in places]
+        aggs.append(F.max_by(F.when(fits, F.struct(score.alias("score"), "line", "heading")), F.when(fits, F.struct(score.alias("score"), (-F.col("sec_no")).alias("s")))).alias(f"b{q}"))
+        top, found = max(idfs, default=0.0), [F.col(f"m{q}_{k}") for k in places]
+        rare = reduce(lambda a, b: a | b, (h for h, i in zip(found, idfs) if top > 0 and i >= top * RARE), F.lit(False))
+        outs += [total([h.cast("long") for h in found], 0).cast("long").alias(f"n{q}"), total([F.when(h, F.lit(i)).otherwise(0.0) for h, i in zip(found, idfs)], 0.0).alias(f"i{q}"), rare.alias(f"r{q}"), F.col(f"b{q}")]
+    return hits.table.groupBy("path").agg(*aggs).select("path", *outs)
+
+
+def rank_all(scan: DataFrame, texts: list[str], total: int | None = None) -> list[Ranked]:
+    """The results of each query, all from one pass over the texts.
+
+    Every plain term must occur in a document, unless the query is long; if no document has all, half of them suffice. Long queries ask for 30 % of the idf mass, or for the rarest term.
+    """
+    hits = section_hits(scan, [parse(x) for x in texts], total)
+    stats = statistics(hits)
+    docs = cut(_documents(hits, stats))
+    whole = [(F.col(f"n{q}") >= len(query.plain)) & F.col(f"b{q}").isNotNull() for q, query in enumerate(hits.queries)]
+    any_whole = docs.agg(*(F.max(w) for w in whole)).first()
+    out = []
+    for q, query in enumerate(hits.queries):
+        need, partial = len(query.plain), query.long or len(query.plain) >= 2 and not any_whole[q]
+        if query.long:
+            gate = (F.col(f"n{q}") > 0) & ((F.col(f"i{q}") >= COVER * sum(stats.idf(t) for t in query.plain)) | F.col(f"r{q}"))
+        else:
+            gate = (F.col(f"n{q}") > 0) & (F.col(f"n{q}") * 2 >= need) if partial else whole[q]
+        best = F.col(f"b{q}")
+        found = docs.where(gate & best.isNotNull()).select("path", best["line"].alias("line"), best["heading"].alias("heading"), F.col(f"n{q}").alias("nmatched"), F.col(f"i{q}").alias("matched_idf"), best["score"].alias("score"))
+        out.append(Ranked(query, found, partial, stats))
+    return out
+
+
+def rank(scan: DataFrame, text: str, total: int | None = None) -> Ranked:
+    return rank_all(scan, [text], total)[0]
 
 
 def semantic_hits(embeds: DataFrame, vector: list[float], n: int) -> DataFrame:
@@ -139,10 +196,10 @@ def first_sections(scan: DataFrame) -> DataFrame:
     return scan.groupBy("path").agg(F.min_by(F.struct("line", "heading"), F.struct("line", "sec_no")).alias("s")).select("path", "s.line", "s.heading")
 
 
-def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n: int = 8) -> DataFrame:
+def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n: int = 8, matched: Ranked | None = None) -> DataFrame:
     """Keyword results blended with vector hits: score * (1 + cosine); documents found by vector alone come in with 10 * cosine."""
     near = cut(semantic_hits(embeds, vector, max(n, 20)))  # a table of known size, which Spark broadcasts if it is small
-    found = rank(scan, text).results.join(near, "path", "left")
+    found = (matched or rank(scan, text)).results.join(near, "path", "left")
     alone = near.join(found.select("path"), "path", "left_anti")
     extra = first_sections(scan.join(alone.select("path"), "path", "left_semi")).join(alone, "path")
     extra = extra.select("path", "line", "heading", F.lit(0).cast("long").alias("nmatched"), F.lit(0.0).alias("matched_idf"), (F.lit(float(WEAK_SCORE)) * F.col("cosine")).alias("score"), "cosine")
@@ -150,15 +207,19 @@ def hybrid(scan: DataFrame, text: str, embeds: DataFrame, vector: list[float], n
     return both.orderBy(F.desc("blend"), F.desc("matched_idf"), F.desc("nmatched"), "path").limit(n)
 
 
-def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None = None) -> DataFrame:
-    """Reciprocal-rank fusion of several phrasings (and, if given, of vector hits): each list votes 1 / (60 + rank). Line and heading are those of the best rank by words (null where only vectors found a document)."""
-    stats = statistics(scan, list(dict.fromkeys(t for x in texts for t in parse(x).plain)))
-    place = (F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("heading"))
-    votes = [global_rank(rank(scan, x, stats).results, "rank", *ranking()).select("path", "rank", F.lit(q).alias("q"), "line", "heading") for q, x in enumerate(texts)]
+def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of several phrasings (and, if given, of vector hits): each list votes 1 / (60 + rank). Line and heading are those of the best rank by words (null where only vectors found a document).
+
+    The texts are read once for all phrasings, and all lists are ranked in one sort.
+    """
+    lists = cut(reduce(DataFrame.unionByName, (r.results.withColumn("q", F.lit(q)) for q, r in enumerate(rank_all(scan, texts, total)))))
+    sizes = {r["q"]: r["n"] for r in lists.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    before = F.array(*(F.lit(sum(sizes.get(j, 0) for j in range(q))).cast("long") for q in range(len(texts))))
+    votes = global_rank(lists, "rank", F.col("q"), *ranking()).select("path", (F.col("rank") - F.get(before, F.col("q"))).alias("rank"), "q", "line", "heading")
     if near is not None:
-        votes.append(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q"), *place))
-    lists = reduce(DataFrame.unionByName, votes)
-    summed = lists.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("q", "rank"))).alias("v"), F.count("*").alias("sources"), F.min(F.struct("rank", "q")).alias("best"), F.min(F.when(F.col("line").isNotNull(), F.struct("rank", "q", "line", "heading"))).alias("shown"))
+        place = (F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("heading"))
+        votes = votes.unionByName(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q"), *place))
+    summed = votes.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("q", "rank"))).alias("v"), F.count("*").alias("sources"), F.min(F.struct("rank", "q")).alias("best"), F.min(F.when(F.col("line").isNotNull(), F.struct("rank", "q", "line", "heading"))).alias("shown"))
     rrf = F.aggregate("v", F.lit(0.0), lambda s, x: s + 1.0 / (RRF_K + x["rank"]))
     return summed.select("path", rrf.alias("rrf"), "sources", F.col("best.rank").alias("best_rank"), F.col("best.q").cast("long").alias("best_query"), "shown.line", "shown.heading").orderBy(F.desc("rrf"), "best_rank", "best_query", "path").limit(n)
 

@@ -24,6 +24,7 @@ from ..streaming.ingest import event_counts
 
 AND, PHRASE, RELAXED = "schung tioned", '"of the"', "schung tioned queción über-alles"
 LONG = "the and schung tioned en que der"
+CROSSING = '"the. assistant" en'
 PHRASINGS = ("schung en", "tioned the", "schung der")
 
 
@@ -91,7 +92,7 @@ def search_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_fused_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(S.fused(T.document_scan(spark, sf_dir), list(PHRASINGS), 12), "rrf", digits=8).drop("line", "heading")
+    return _round(S.fused(T.document_scan(spark, sf_dir), list(PHRASINGS), 12), "rrf", digits=8)
 
 
 def _embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +129,15 @@ def snippet_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weak_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of several queries, each from one pass over its results."""
-    scan = T.document_scan(spark, sf_dir)
-    rows = [S.rank(scan, text).flags().select(F.lit(text).alias("query"), "n_results", "partial", "weak") for text in (AND, RELAXED, LONG, "zzqqxx", "the")]
-    return reduce(DataFrame.unionByName, rows)
+    """Flags of several queries, all from one pass over the texts."""
+    texts = (AND, RELAXED, LONG, "zzqqxx", "the")
+    found = S.rank_all(T.document_scan(spark, sf_dir), list(texts))
+    return reduce(DataFrame.unionByName, (r.flags().select(F.lit(x).alias("query"), "n_results", "partial", "weak") for x, r in zip(texts, found)))
+
+
+def search_conversation_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase whose words may end one turn and begin the next."""
+    return _searched(T.conversation_scan(spark, sf_dir), CROSSING, 20)
 
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +400,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
-    search_conversations, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
+    search_conversations, search_conversation_phrase, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
     suggest_ranked, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.columns import TYPES
 from ..functions.terms import COVER, FIELDS, RARE, least_variants, parse, variants
-from .catalogue import AND, LONG, PHRASE, PHRASINGS, RELAXED
+from .catalogue import AND, CROSSING, LONG, PHRASE, PHRASINGS, RELAXED
 
 DOCS = """SELECT doc_id, concat_ws('/', source, lang, 'doc-' || doc_id || '.txt') AS path, 0 AS sec_no, CAST(1 AS BIGINT) AS line, substr(string_split(text, chr(10))[1], 1, 60) AS heading, text AS content,
   substr(trim(string_split(text, chr(10))[1]), 1, 80) AS title, [lang, source] AS tags FROM documents"""
@@ -65,9 +65,9 @@ def search(scan: str, text: str, n: int = 8) -> str:
 
 def _fused() -> str:
     ctes = ",".join(search_ctes(DOCS, q, str(k)) for k, q in enumerate(PHRASINGS))
-    votes = " UNION ALL ".join(f"SELECT path, row_number() OVER ({ORDER}) - 1 AS rank, {k} AS q FROM res{k}" for k in range(len(PHRASINGS)))
-    return f"""WITH {ctes}, votes AS ({votes}), best AS (SELECT path, rank, q FROM votes QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, q) = 1)
-SELECT path, round(CAST(sum(1.0::DOUBLE / (60 + votes.rank)) AS DOUBLE), 8) AS rrf, CAST(count(*) AS BIGINT) AS sources, CAST(any_value(best.rank) AS BIGINT) AS best_rank, CAST(any_value(best.q) AS BIGINT) AS best_query
+    votes = " UNION ALL ".join(f"SELECT path, line, heading, row_number() OVER ({ORDER}) - 1 AS rank, {k} AS q FROM res{k}" for k in range(len(PHRASINGS)))
+    return f"""WITH {ctes}, votes AS ({votes}), best AS (SELECT path, rank, q, line, heading FROM votes QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, q) = 1)
+SELECT path, round(CAST(sum(1.0::DOUBLE / (60 + votes.rank)) AS DOUBLE), 8) AS rrf, CAST(count(*) AS BIGINT) AS sources, CAST(any_value(best.rank) AS BIGINT) AS best_rank, CAST(any_value(best.q) AS BIGINT) AS best_query, any_value(best.line) AS line, any_value(best.heading) AS heading
 FROM votes JOIN best USING (path) GROUP BY path ORDER BY 2 DESC, 4, 5, 1 LIMIT 12"""
 
 
@@ -174,7 +174,7 @@ c AS (SELECT term, CAST(count(*) FILTER (len(list_filter(v, lambda x: contains(h
 SELECT term, df, round(ln(CAST(n AS DOUBLE) / CASE WHEN df > 0 THEN df ELSE 1 END), 6) AS idf FROM c""",
     "search_and": search(DOCS, AND), "search_or_fallback": search(DOCS, RELAXED), "search_long_query": search(DOCS, LONG), "search_phrase": search(DOCS, PHRASE),
     "search_fields": search(DOCS, "type:text path:src1 tag:en tioned"), "search_field_title": search(DOCS, "title:the"),
-    "search_rollup_sections": search(CONVERSATIONS, "heading:assistant the en"), "search_conversations": search(CONVERSATIONS, "tioned schung", 20),
+    "search_rollup_sections": search(CONVERSATIONS, "heading:assistant the en"), "search_conversation_phrase": search(CONVERSATIONS, CROSSING, 20), "search_conversations": search(CONVERSATIONS, "tioned schung", 20),
     "search_fused_rrf": _fused(), "search_hybrid": _hybrid(),
     "semsearch_topk": f"SELECT vec_id, round({_COS}, 6) AS cosine FROM embeddings ORDER BY {_COS} DESC, CAST(vec_id AS VARCHAR) DESC LIMIT 10",
     "evidence_lines": _evidence(8, 5) + "\nSELECT path, ord, text, round(CAST(idf AS DOUBLE), 4) AS idf, CAST(place AS BIGINT) AS place FROM pick",
