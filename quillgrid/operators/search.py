@@ -87,7 +87,7 @@ def section_hits(scan: DataFrame, queries: list[Query], total: int | None = None
         least, every = least_variants(term), variants(term)
         named = F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: holds_any(a, least))
         titled, in_path, in_head, in_body = (holds_any(F.col(c), least) for c in "tphc")
-        count = F.least(reduce(lambda a, b: a + b, (occurrences(F.col("c"), v) for v in every)), F.lit(5))
+        count = F.when(in_body, F.least(reduce(lambda a, b: a + b, (occurrences(F.col("c"), v) for v in every)), F.lit(5))).otherwise(0)
         columns += [(titled | named | in_path | in_head | in_body).alias(f"h{k}"), (8 * (titled | named).cast("int") + 6 * in_path.cast("int") + 5 * in_head.cast("int") + count).cast("double").alias(f"p{k}")]
         kept = kept | F.col(f"h{k}")
         if " " in term:
@@ -101,7 +101,9 @@ def section_hits(scan: DataFrame, queries: list[Query], total: int | None = None
             kept = kept | F.col(f"f{k}")
     if total is None:
         total = scan.agg(F.count_distinct("path")).first()[0]
-    return Hits(cut(low.select("path", "sec_no", "line", "heading", *columns).where(kept)), tuple(queries), terms, total)
+    each = low.select("path", "sec_no", "line", "heading", *columns)
+    # not a filter, which the optimizer would move below, where it looks for every term once more
+    return Hits(cut(each.select(F.inline(F.when(kept, F.array(F.struct(*each.columns)))))), tuple(queries), terms, total)
 
 
 def statistics(hits: Hits) -> Statistics:
