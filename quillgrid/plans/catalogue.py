@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.tables import cut
-from ..functions.terms import least_variants, variants
+from ..functions.tables import checkpoint_dir, cut
+from ..functions.terms import least_variants, parse, variants
 from ..operators import edits as E
 from ..operators import links as L
 from ..operators import report as R
@@ -19,12 +20,14 @@ from ..operators import suggest as U
 from ..sources import tables as T
 from ..sources import html as H
 from ..sources import vault as V
+from ..sources.index import KeptIndex
 from ..sources.vault import ignored, plain_sections
 from ..streaming.ingest import event_counts
 
 AND, PHRASE, RELAXED = "schung tioned", '"of the"', "schung tioned queción über-alles"
 LONG = "the and schung tioned en que der"
 CROSSING = '"the. assistant" en'
+RARE_WORDS, RARE_PART = "heoron athesh", "lichlich thanbletion"
 PHRASINGS = ("schung en", "tioned the", "schung der")
 
 
@@ -140,6 +143,44 @@ def search_conversation_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched(T.conversation_scan(spark, sf_dir), CROSSING, 20)
 
 
+def _frames(scan: DataFrame) -> V.Frames:
+    """Documents of a table as the frames of a vault without links."""
+    spark = scan.sparkSession
+    files = scan.select("path", F.lit(".txt").alias("ext"), F.lit(None).cast("timestamp").alias("mtime"), F.sha2("content", 256).alias("sha"), "title", C.word_count(F.col("content")).alias("words"), "tags", "aliases", F.lit(V.PARSER).alias("parser"))
+    sections = scan.select("path", "sec_no", "line", F.lit(1).alias("level"), "heading", "content", "title", "tags", "aliases")
+    return V.Frames(files, sections, spark.createDataFrame([], "src string, dst string, kind string"), spark.createDataFrame([], "src string, dst string, alt string"), files.select("path"))
+
+
+def _index(spark: SparkSession) -> KeptIndex:
+    return KeptIndex(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", 16)
+
+
+def search_kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over a kept index of the documents: trigram postings choose what is read, and the rows are those of a full scan."""
+    kept = _index(spark)
+    kept.create(_frames(T.document_scan(spark, sf_dir)))
+    again = KeptIndex(spark, kept.path)  # as another session opens it
+    scan = again.open().scan()
+    texts = [RARE_WORDS, RARE_PART]
+    narrow, total = again.narrowed(scan, [parse(x) for x in texts]), scan.agg(F.count_distinct("path")).first()[0]
+    found = S.rank_all(narrow, texts, total)
+    rows = [_round(r.top(8), "matched_idf", "score").select(F.lit(x).alias("query"), "path", "line", "heading", "nmatched", "matched_idf", "score") for x, r in zip(texts, found)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def kept_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of an older state (every 10th document missing, every 7th with another text, some that are gone now) brought up to date: its files and words a section, which are those of the documents."""
+    now = T.document_scan(spark, sf_dir)
+    old = now.where("doc_id % 10 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, "another text").otherwise(F.col("content")))
+    gone = now.where("doc_id % 50 = 0").withColumn("path", F.concat(F.lit("gone/"), "path"))
+    kept = _index(spark)
+    kept.create(_frames(old.unionByName(gone)))
+    unchanged = cut(now.where("doc_id % 10 <> 0 and doc_id % 7 <> 0").select("path"))
+    kept.apply(_frames(now.where("doc_id % 10 = 0 or doc_id % 7 = 0")), unchanged)
+    frames = KeptIndex(spark, kept.path).open()
+    return frames.files.select("path", "sha", "words").join(frames.sections.select("path", F.char_length("content").cast("long").alias("n_chars")), "path")
+
+
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = T.document_scan(spark, sf_dir)
     return U.rare_tokens(scan.select("path", F.explode(F.array_distinct(C.tokens(F.col("content")))).alias("token")), 4).withColumnRenamed("d", "df")
@@ -400,7 +441,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
-    search_conversations, search_conversation_phrase, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
+    search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
     suggest_ranked, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.columns import TYPES
 from ..functions.terms import COVER, FIELDS, RARE, least_variants, parse, variants
-from .catalogue import AND, CROSSING, LONG, PHRASE, PHRASINGS, RELAXED
+from .catalogue import AND, CROSSING, LONG, PHRASE, PHRASINGS, RARE_PART, RARE_WORDS, RELAXED
 
 DOCS = """SELECT doc_id, concat_ws('/', source, lang, 'doc-' || doc_id || '.txt') AS path, 0 AS sec_no, CAST(1 AS BIGINT) AS line, substr(string_split(text, chr(10))[1], 1, 60) AS heading, text AS content,
   substr(trim(string_split(text, chr(10))[1]), 1, 80) AS title, [lang, source] AS tags FROM documents"""
@@ -63,6 +63,11 @@ def search(scan: str, text: str, n: int = 8) -> str:
     return f"WITH {search_ctes(scan, text)}\nSELECT path, line, heading, nmatched, round(CAST(matched_idf AS DOUBLE), 4) AS matched_idf, round(CAST(score AS DOUBLE), 4) AS score FROM res {ORDER} LIMIT {n}"
 
 
+def _both(*texts: str) -> str:
+    ctes = ",".join(search_ctes(DOCS, q, str(k)) for k, q in enumerate(texts))
+    return f"WITH {ctes} " + " UNION ALL ".join(f"(SELECT {_q(q)} AS query, path, line, heading, nmatched, round(CAST(matched_idf AS DOUBLE), 4) AS matched_idf, round(CAST(score AS DOUBLE), 4) AS score FROM res{k} {ORDER} LIMIT 8)" for k, q in enumerate(texts))
+
+
 def _fused() -> str:
     ctes = ",".join(search_ctes(DOCS, q, str(k)) for k, q in enumerate(PHRASINGS))
     votes = " UNION ALL ".join(f"SELECT path, line, heading, row_number() OVER ({ORDER}) - 1 AS rank, {k} AS q FROM res{k}" for k in range(len(PHRASINGS)))
@@ -175,6 +180,8 @@ SELECT term, df, round(ln(CAST(n AS DOUBLE) / CASE WHEN df > 0 THEN df ELSE 1 EN
     "search_and": search(DOCS, AND), "search_or_fallback": search(DOCS, RELAXED), "search_long_query": search(DOCS, LONG), "search_phrase": search(DOCS, PHRASE),
     "search_fields": search(DOCS, "type:text path:src1 tag:en tioned"), "search_field_title": search(DOCS, "title:the"),
     "search_rollup_sections": search(CONVERSATIONS, "heading:assistant the en"), "search_conversation_phrase": search(CONVERSATIONS, CROSSING, 20), "search_conversations": search(CONVERSATIONS, "tioned schung", 20),
+    "search_kept_index": _both(RARE_WORDS, RARE_PART),
+    "kept_index_update": f"SELECT path, sha256(content) AS sha, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, CAST(length(content) AS BIGINT) AS n_chars FROM ({DOCS})",
     "search_fused_rrf": _fused(), "search_hybrid": _hybrid(),
     "semsearch_topk": f"SELECT vec_id, round({_COS}, 6) AS cosine FROM embeddings ORDER BY {_COS} DESC, CAST(vec_id AS VARCHAR) DESC LIMIT 10",
     "evidence_lines": _evidence(8, 5) + "\nSELECT path, ord, text, round(CAST(idf AS DOUBLE), 4) AS idf, CAST(place AS BIGINT) AS place FROM pick",

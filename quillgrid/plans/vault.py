@@ -18,6 +18,7 @@ from ..operators import search as S
 from ..operators import semlog as G
 from ..operators import suggest as U
 from ..sources import vault as V
+from ..sources.index import KeptIndex
 
 
 #: A node-link graph as it is exported.
@@ -27,33 +28,59 @@ GRAPH = "nodes array<struct<id: string, label: string, source_file: string>>, li
 class Vault:
     """``root`` is a folder that Spark can read; the log is a folder of JSON lines, each append a file of its own."""
 
-    def __init__(self, spark: SparkSession, root: str, log: str | None = None, patterns: list[str] = ()) -> None:
+    def __init__(self, spark: SparkSession, root: str, log: str | None = None, patterns: list[str] = (), index: str | None = None, buckets: int = 64) -> None:
+        """``index`` is a folder for an index that outlives the session: it is made there once, opened as it is afterwards, and brought up to date by ``update``."""
         self.spark, self.root, self.log_path, self.patterns = spark, root.rstrip("/"), log, list(patterns)
-        self.frames = V.build(spark, self.root, self._all_patterns())
+        self.index = KeptIndex(spark, index, buckets) if index else None
+        if self.index is None:
+            self.frames = V.build(spark, self.root, self._all_patterns())
+        elif self.index.exists():
+            self.frames = self.index.open()
+        else:
+            read = V.parsed(V.indexed(spark, self.root, self._all_patterns()))
+            self.index.create(read)
+            self.frames = self.index.open(read.parsed)
 
     def _all_patterns(self) -> list[str]:
         return self.patterns + V.ignore_patterns(self.spark, self.root)
 
     def update(self, patterns: list[str] | None = None) -> DataFrame:
         """Read what is new or was touched since; returns (change, n): documents that are new, changed, deleted or unchanged by content. ``frames.parsed`` lists what was read."""
-        before = self.frames.files
+        before = cut(self.frames.files.select("path", "sha"))
         self.patterns = self.patterns if patterns is None else list(patterns)
-        self.frames = V.build(self.spark, self.root, self._all_patterns(), self.frames)
+        if self.index is None:
+            self.frames = V.build(self.spark, self.root, self._all_patterns(), self.frames)
+        else:
+            now = cut(V.indexed(self.spark, self.root, self._all_patterns()).select("path", "mtime"))
+            same = cut(self.index.same(now))
+            new = V.parsed(V.touched(self.spark, self.root, self._all_patterns(), now, same))
+            self.index.apply(new, same)
+            self.frames = self.index.open(new.parsed)
         return R.changes(before, self.frames.files).groupBy("change").agg(F.count("*").alias("n"))
 
+    def _scan(self, texts: list[str]) -> tuple[DataFrame, int | None]:
+        """What a search of ``texts`` has to read, and the number of all documents: with a kept index, only documents that its trigrams don't rule out."""
+        scan = self.frames.scan()
+        if self.index is None:
+            return scan, None
+        return self.index.narrowed(scan, [parse(x) for x in texts]), scan.agg(F.count_distinct("path")).first()[0]
+
     def search(self, queries: str | list[str], n: int = 8, vector: list[float] | None = None) -> DataFrame:
-        scan, texts = self.frames.scan(), [queries] if isinstance(queries, str) else list(queries)
+        texts = [queries] if isinstance(queries, str) else list(queries)
+        scan, total = self._scan(texts)
         if vector is not None and len(texts) == 1:
-            return S.hybrid(scan, texts[0], self.fresh_embeds(), vector, n)
+            return S.hybrid(self.frames.scan(), texts[0], self.fresh_embeds(), vector, n, S.rank(scan, texts[0], total))
         if len(texts) > 1:
             near = None if vector is None else S.semantic_hits(self.fresh_embeds(), vector, max(n, 20))
-            return S.fused(scan, texts, n, near)
-        return S.rank(scan, texts[0]).top(n)
-
-    def feedback(self, query: str) -> dict:
-        """Flags and document frequencies of a query."""
-        found = S.rank(self.frames.scan(), query)
-        return {"query": query, "partial": found.partial, "weak": found.weak(), "terms": [{"term": t, "df": found.stats.df.get(t, 0)} for t in found.query.plain]}
+            return S.fused(scan, texts, n, near, total)
+        return S.rank(scan, texts[0], total).top(n)
+
+    def feedback(self, queries: str | list[str]) -> dict | list[dict]:
+        """Flags and document frequencies of a query, or of each of several phrasings, from one pass over the texts."""
+        texts = [queries] if isinstance(queries, str) else list(queries)
+        scan, total = self._scan(texts)
+        says = [{"query": text, "partial": found.partial, "weak": found.weak(), "terms": [{"term": t, "df": found.stats.df.get(t, 0)} for t in found.query.plain]} for text, found in zip(texts, S.rank_all(scan, texts, total))]
+        return says[0] if isinstance(queries, str) else says
 
     def evidence(self, query: str, n: int = 8, k: int = 5) -> DataFrame:
         scan = self.frames.scan()

@@ -1,4 +1,4 @@
-"""HTML pages as DataFrame functions: marked-up pieces are cut out and woven back, so every heading keeps its source line."""
+"""HTML pages as DataFrame functions: noise is cut out with its line ends left, and one fold over the headings keeps the running line."""
 
 from __future__ import annotations
 
@@ -7,13 +7,15 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The rest of a tag: ">" in a quoted value doesn't end it, unless a quote is never closed.
+_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)"""
 #: What is never text: comments, scripts and styles (to the end of the page where one is not closed); the title is text of its own.
 NOISE = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-TITLE = r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)"
-HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
+TITLE = rf"(?is)<title\b{_REST}(.*?)(?:</title\s*>|\z)"
+OPEN, CLOSE = rf"(?is)<h[1-6]\b{_REST}", r"(?is)</h[1-6]\s*>"
 #: Tags that begin a new line.
-BLOCK = r"(?i)</?(?:p|div|br|li|tr|td|th|ul|ol|table|section|article|header|footer|blockquote|pre|dd|dt|h[1-6])\b[^>]*>"
-TAG = r"</?[A-Za-z!?][^>]*>"
+BLOCK = rf"(?i)</?(?:p|div|br|li|tr|td|th|ul|ol|table|section|article|header|footer|blockquote|pre|dd|dt|h[1-6])\b{_REST}"
+TAG = rf"</?[A-Za-z!?]{_REST}"
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -61,25 +63,29 @@ def body(html: Column) -> Column:
 def sections(page: Column) -> Column:
     """(line, level, heading, content) of a ``body``: what goes before the first heading, if it has text, as "(intro)" of level 0, then a section per heading; none without headings.
 
-    ``line`` is that of the heading's tag in the source. A heading ends at the next end tag of a heading; one without any is plain text.
+    One fold over the page, cut at the tags that open headings, keeps the running line; ``line`` is that of the heading's tag in the source. A heading ends at the next
+    end tag of any heading; one without any before the next heading begins is plain text of the section above.
     """
-    heads = F.regexp_extract_all(page, F.lit(HEADING), F.lit(0))
-    parts = F.split(page, HEADING, -1)
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), F.regexp_extract_all(page, F.lit(OPEN), F.lit(0))), F.split(page, OPEN, -1), lambda o, t: F.struct(o.alias("open"), t.alias("text"), F.regexp_instr(t, F.lit(CLOSE)).alias("at")))
+    empty = F.array().cast("array<struct<line:int,level:int,heading:string,content:string>>")
+    start = F.struct(empty.alias("done"), F.lit(1).alias("line"), F.struct(F.lit(1).alias("line"), F.lit(0).alias("level"), F.lit("").alias("heading"), F.lit("").alias("content")).alias("now"))
+    lines = lambda t: F.char_length(_newlines(t))
 
-    def made(x: Column) -> Column:
-        above = lambda k: F.array_join(F.concat(F.slice(x["p"], F.lit(1), k + 1), F.slice(x["h"], F.lit(1), k)), "")
-        line = lambda k: F.char_length(_newlines(above(k))) + 1
-        title = lambda h: F.coalesce(F.nullif(_squeezed(unescaped(F.regexp_replace(F.regexp_replace(F.regexp_extract(h, HEADING, 2), BLOCK, " "), TAG, ""))), F.lit("")), F.lit("(heading)"))
-        own = F.transform(x["h"], lambda h, k: F.struct(line(k).alias("line"), F.regexp_extract(h, HEADING, 1).cast("int").alias("level"), title(h).alias("heading"), visible(F.get(x["p"], k + 1)).alias("content")))
-        intro = F.struct(F.lit(1).alias("line"), F.lit(0).alias("level"), F.lit("(intro)").alias("heading"), visible(F.get(x["p"], F.lit(0))).alias("content"))
-        return F.when(F.size(x["h"]) > 0, F.concat(F.filter(F.array(intro), lambda s: s["content"] != ""), own)).otherwise(F.slice(own, 1, 0))
+    def step(s: Column, x: Column) -> Column:
+        heads = (x["open"] != "") & (x["at"] > 0)
+        more = F.struct(s["now"]["line"].alias("line"), s["now"]["level"].alias("level"), s["now"]["heading"].alias("heading"), F.concat(s["now"]["content"], F.when(x["open"] != "", "\n").otherwise(""), x["text"]).alias("content"))
+        new = F.struct(s["line"].alias("line"), F.substr(x["open"], F.lit(3), F.lit(1)).cast("int").alias("level"), F.substr(x["text"], F.lit(1), x["at"] - 1).alias("heading"), F.substr(x["text"], x["at"]).alias("content"))
+        return F.struct(F.when(heads, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), (s["line"] + lines(x["open"]) + lines(x["text"])).alias("line"), F.when(heads, new).otherwise(more).alias("now"))
 
-    return F.element_at(F.transform(F.array(F.struct(heads.alias("h"), parts.alias("p"))), made), 1)
+    title = lambda h: F.coalesce(F.nullif(_squeezed(unescaped(F.regexp_replace(F.regexp_replace(h, BLOCK, " "), TAG, ""))), F.lit("")), F.lit("(heading)"))
+    made = F.aggregate(pieces, start, step, lambda s: F.array_append(s["done"], s["now"]))
+    own = F.transform(made, lambda x: F.struct(x["line"], x["level"], F.when(x["level"] == 0, "(intro)").otherwise(title(x["heading"])).alias("heading"), visible(x["content"]).alias("content")))
+    return F.element_at(F.transform(F.array(own), lambda o: F.when(F.size(o) > 1, F.filter(o, lambda x: (x["level"] > 0) | (x["content"] != ""))).otherwise(F.slice(o, 1, 0))), 1)
 
 
 def page_title(html: Column) -> Column:
     """The title, else the first heading of level 1, else ""."""
-    first = F.regexp_extract(body(html), r"(?is)<h1\b[^>]*>(.*?)</h[1-6]\s*>", 1)
+    first = F.regexp_extract(body(html), rf"(?is)<h1\b{_REST}(.*?)</h[1-6]\s*>", 1)
     titled = _squeezed(unescaped(F.regexp_extract(F.regexp_replace(html, NOISE, ""), TITLE, 1)))
     return F.when(titled != "", titled).otherwise(_squeezed(unescaped(F.regexp_replace(first, TAG, ""))))
 
@@ -92,11 +98,11 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def references(html: Column) -> Column:
     """The targets of all links, as often as they stand."""
-    tags = F.regexp_extract_all(F.regexp_replace(html, NOISE, ""), F.lit(r"(?i)<a\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(F.regexp_replace(html, NOISE, ""), F.lit(rf"(?i)<a\b{_REST}"), F.lit(0))
     return F.filter(F.transform(tags, lambda t: _attribute(t, "href")), lambda x: x != "")
 
 
 def pictures(html: Column) -> Column:
     """(src, alt) of all images."""
-    tags = F.regexp_extract_all(F.regexp_replace(html, NOISE, ""), F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(F.regexp_replace(html, NOISE, ""), F.lit(rf"(?i)<img\b{_REST}"), F.lit(0))
     return F.filter(F.transform(tags, lambda t: F.struct(_attribute(t, "src").alias("src"), _attribute(t, "alt").alias("alt"))), lambda x: x["src"] != "")

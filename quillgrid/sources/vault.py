@@ -1,4 +1,4 @@
-"""A folder of documents -> vault frames. Text formats and HTML are taken apart by DataFrame functions, PDF by a small parser."""
+"""A folder of documents -> vault frames. Text formats and HTML are taken apart by DataFrame functions; a small helper finds the plain strings of PDF files."""
 
 from __future__ import annotations
 
@@ -15,12 +15,16 @@ from ..functions.tables import cut
 from ..operators.links import extract, image_alts, resolve_relative
 from ..operators.report import image_texts
 from . import html as H
-from .pdf import parse_pdf
+from .pdf import shown_text
 
 #: Folders and files that are never indexed.
 SKIPPED_FOLDERS = (".obsidian", ".git", ".quillgrid", "node_modules", ".github", "__pycache__", ".venv", "venv", ".trash")
 SKIPPED_FILES = ("MAP.md", ".vaultignore")
 SECTION = "array<struct<line:int,level:int,heading:string,content:string>>"
+#: Of the code below; rows of another version are read anew by an update.
+PARSER = 3
+#: So many touched files are named to the reader.
+NAMED = 1_000
 #: A plain-text section ends at the first blank line after so many lines that are not.
 PLAIN_LINES = 12
 
@@ -30,6 +34,7 @@ class Frames:
     """The tables of a vault."""
 
     files: DataFrame
+    #: With title, tags and aliases of the document.
     sections: DataFrame
     links: DataFrame
     alts: DataFrame
@@ -37,8 +42,8 @@ class Frames:
     parsed: DataFrame
 
     def scan(self) -> DataFrame:
-        """A row per section with its document's metadata, as search reads it."""
-        return self.sections.join(self.files.select("path", "title", "tags", "aliases"), "path")
+        """A row per section with its document's metadata, as search reads it; sections carry these, so no text is moved."""
+        return self.sections
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
@@ -142,7 +147,7 @@ def _pdf_texts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "pdf": [parse_pdf(bytes(c)) for c in batch["content"]]})
+            yield pd.DataFrame({"path": batch["path"], "pdf": [shown_text(bytes(c)) for c in batch["content"]]})
 
     return rows.select("path", "content").mapInPandas(run, "path string, pdf string")
 
@@ -151,28 +156,45 @@ def build(spark: SparkSession, root: str, patterns: list[str] = (), before: Fram
     """Index the folder ``root``; each table is written to the session's shared folder.
 
     With the tables ``before``, only documents that are new or have another modification time are read; the rows of all others stay.
-    The paths of those to read come to the driver, as those of any folder that Spark reads do.
     """
-    found = listing(spark, root, patterns).where(F.col("ext").isin(*C.INDEXED))
     if before is None:
-        return _with_images(_parsed(found))
-    now = cut(found.select("path", "mtime"))
-    same = cut(now.join(before.files.select("path", "mtime"), ["path", "mtime"], "left_semi").select("path"))
-    touched = [r["path"] for r in now.join(same, "path", "left_anti").toLocalIterator()]
-    new = _parsed(listing(spark, root, patterns, touched) if touched else found.where("false"))
+        return with_images(parsed(indexed(spark, root, patterns)))
+    now = cut(indexed(spark, root, patterns).select("path", "mtime"))
+    same = cut(now.join(before.files.where(F.col("parser") == PARSER).select("path", "mtime"), ["path", "mtime"], "left_semi").select("path"))
+    new = parsed(touched(spark, root, patterns, now, same))
     stay = lambda old, own, key: cut(old.join(same.withColumnRenamed("path", key), key, "left_semi").select(own.columns).unionByName(own))
-    return _with_images(Frames(stay(before.files, new.files, "path"), stay(before.sections, new.sections, "path"), stay(before.links, new.links, "src"), stay(before.alts, new.alts, "src"), new.parsed))
+    return with_images(Frames(stay(before.files, new.files, "path"), stay(before.sections, new.sections, "path"), stay(before.links, new.links, "src"), stay(before.alts, new.alts, "src"), new.parsed))
 
 
-def _with_images(frames: Frames) -> Frames:
-    """Frames with a section for each image: its name and what references to it say."""
-    others = frames.sections.join(frames.files.where(F.col("ext").isin(*C.IMAGES)).select("path"), "path", "left_anti")
-    shown = image_texts(frames.files.where(F.col("ext").isin(*C.IMAGES)).select("path"), frames.alts)
-    made = shown.select("path", F.lit(0).alias("sec_no"), F.lit(1).cast("long").alias("line"), F.lit(1).alias("level"), F.lit("(image)").alias("heading"), "content")
-    return Frames(frames.files, cut(others.unionByName(made)), frames.links, frames.alts, frames.parsed)
+def indexed(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
+    """The listing of all files that are indexed."""
+    return listing(spark, root, patterns).where(F.col("ext").isin(*C.INDEXED))
 
 
-def _parsed(found: DataFrame) -> Frames:
+def touched(spark: SparkSession, root: str, patterns: list[str], now: DataFrame, same: DataFrame) -> DataFrame:
+    """The listing of those files of ``now`` (path, mtime) that are not ``same`` (path).
+
+    A few are named to the reader. Of many only their first and last modification time reach the driver; the reader passes over the content of all files outside of these.
+    """
+    todo = cut(now.join(same, "path", "left_anti").select("path", "mtime"))
+    n, first, last = todo.agg(F.count("*"), F.min("mtime"), F.max("mtime")).first()
+    if not n:
+        return indexed(spark, root, patterns).where("false")
+    if n <= NAMED:
+        return listing(spark, root, patterns, [r["path"] for r in todo.select("path").collect()])
+    return indexed(spark, root, patterns).where(F.col("mtime").between(F.lit(first), F.lit(last))).join(todo.select("path"), "path", "left_semi")
+
+
+def with_images(frames: Frames) -> Frames:
+    """Frames with a section for each image: its name and what references to it say. Images' own sections are made anew; no other section is moved."""
+    images = frames.files.where(F.col("ext").isin(*C.IMAGES))
+    shown = image_texts(images.select("path"), frames.alts).join(images.select("path", "title", "tags", "aliases"), "path")
+    made = cut(shown.select("path", F.lit(0).alias("sec_no"), F.lit(1).cast("long").alias("line"), F.lit(1).alias("level"), F.lit("(image)").alias("heading"), "content", "title", "tags", "aliases"))
+    others = frames.sections.where(~C.extension(F.col("path")).isin(*C.IMAGES))
+    return Frames(frames.files, others.unionByName(made, allowMissingColumns=True), frames.links, frames.alts, frames.parsed)
+
+
+def parsed(found: DataFrame) -> Frames:
     """The tables of the files given."""
     binary = F.col("ext").isin(*C.PDF, *C.IMAGES)
     raw = C.line_feeds(F.make_valid_utf8(F.col("content").cast("string")))
@@ -205,7 +227,7 @@ def _parsed(found: DataFrame) -> Frames:
     words = F.when(F.col("ext").isin(*C.IMAGES), 0).otherwise(C.word_count(F.when(F.col("ext") == ".pdf", F.col("text")).otherwise(F.col("raw"))))
     listed = lambda key: F.when(F.col("ext").isin(*C.MARKDOWN), list_items(_front(F.col("text"), key))).otherwise(F.array().cast("array<string>"))
     done = cut(docs.select("path", "ext", "mtime", sha.alias("sha"), F.coalesce(title, name).alias("title"), words.cast("long").alias("words"), listed("tags").alias("tags"), listed("aliases").alias("aliases"), "sections", "text", F.when(F.col("ext").isin(*C.HTML), F.col("raw")).otherwise(F.col("text")).alias("linked"), "refs", "pics"))
-    files = done.select("path", "ext", "mtime", "sha", "title", "words", "tags", "aliases")
+    files = done.select("path", "ext", "mtime", "sha", "title", "words", "tags", "aliases", F.lit(PARSER).alias("parser"))
     wide = done.where(~F.col("ext").isin(*C.PDF, *C.IMAGES)).select("path", F.col("linked").alias("text"))
     href = done.where(F.size("refs") > 0).select(F.col("path").alias("src"), F.explode("refs").alias("dst")).withColumn("dst", F.regexp_replace("dst", "[#?].*$", ""))
     href = href.where((F.col("dst") != "") & ~F.rlike("dst", F.lit("^(https?://|mailto:|//)")) & C.extension(F.col("dst")).isin(*C.MARKDOWN, *C.HTML))
@@ -214,5 +236,6 @@ def _parsed(found: DataFrame) -> Frames:
     pics = pics.where(C.extension(F.col("dst")).isin(*C.IMAGES, ".svg") & ~F.rlike("dst", F.lit("^(https?://|data:|//)"))).withColumn("dst", resolve_relative(C.folder(F.col("src")), F.col("dst")))
     links = cut(extract(wide).unionByName(href).unionByName(pics.select("src", "dst", F.lit("img").alias("kind"))))
     alts = cut(image_alts(wide).unionByName(pics.where("alt <> ''").select("src", "dst", "alt")))
-    each = done.where(~F.col("ext").isin(*C.IMAGES)).select("path", F.posexplode("sections").alias("sec_no", "s")).select("path", "sec_no", F.col("s.line").cast("long").alias("line"), "s.level", "s.heading", "s.content")
+    each = done.where(~F.col("ext").isin(*C.IMAGES)).select("path", "title", "tags", "aliases", F.posexplode("sections").alias("sec_no", "s"))
+    each = each.select("path", "sec_no", F.col("s.line").cast("long").alias("line"), "s.level", "s.heading", "s.content", "title", "tags", "aliases")
     return Frames(files, each, links, alts, done.select("path"))
