@@ -214,13 +214,18 @@ def fused(scan: DataFrame, texts: list[str], n: int = 8, near: DataFrame | None
 
     The texts are read once for all phrasings, and all lists are ranked in one sort.
     """
-    lists = cut(reduce(DataFrame.unionByName, (r.results.withColumn("q", F.lit(q)) for q, r in enumerate(rank_all(scan, texts, total)))))
+    return fused_ranks(rank_all(scan, texts, total), n, near)
+
+
+def fused_ranks(ranked: list[Ranked], n: int, near: DataFrame | None = None) -> DataFrame:
+    """``fused`` of results that are there already."""
+    lists = cut(reduce(DataFrame.unionByName, (r.results.withColumn("q", F.lit(q)) for q, r in enumerate(ranked))))
     sizes = {r["q"]: r["n"] for r in lists.groupBy("q").agg(F.count("*").alias("n")).collect()}
-    before = F.array(*(F.lit(sum(sizes.get(j, 0) for j in range(q))).cast("long") for q in range(len(texts))))
+    before = F.array(*(F.lit(sum(sizes.get(j, 0) for j in range(q))).cast("long") for q in range(len(ranked))))
     votes = global_rank(lists, "rank", F.col("q"), *ranking()).select("path", (F.col("rank") - F.get(before, F.col("q"))).alias("rank"), "q", "line", "heading")
     if near is not None:
         place = (F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("heading"))
-        votes = votes.unionByName(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(texts)).alias("q"), *place))
+        votes = votes.unionByName(near.withColumn("rank", F.row_number().over(W.orderBy(F.desc("cosine"), F.desc("path"))).cast("long") - 1).select("path", "rank", F.lit(len(ranked)).alias("q"), *place))
     summed = votes.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("q", "rank"))).alias("v"), F.count("*").alias("sources"), F.min(F.struct("rank", "q")).alias("best"), F.min(F.when(F.col("line").isNotNull(), F.struct("rank", "q", "line", "heading"))).alias("shown"))
     rrf = F.aggregate("v", F.lit(0.0), lambda s, x: s + 1.0 / (RRF_K + x["rank"]))
     return summed.select("path", rrf.alias("rrf"), "sources", F.col("best.rank").alias("best_rank"), F.col("best.q").cast("long").alias("best_query"), "shown.line", "shown.heading").orderBy(F.desc("rrf"), "best_rank", "best_query", "path").limit(n)
@@ -239,6 +244,19 @@ def evidence(scan: DataFrame, top: DataFrame, query: Query, stats: Statistics, k
     return once.withColumn("place", F.row_number().over(W.partitionBy("path").orderBy(*order))).where(F.col("place") <= k).select("path", "ord", "text", "idf", F.col("place").cast("long").alias("place"))
 
 
+def matched(scan: DataFrame, top: DataFrame, terms: tuple[str, ...], stats: Statistics, compact: bool = False, blocks: int = 3) -> DataFrame:
+    """(path, matched): of the results ``top`` (path, line, place) what to show: the five best lines, best first, or for the first ``blocks`` the eight best with those around them, in order; one line if ``compact``. No rows without terms."""
+    if not terms:
+        return top.select("path", F.array().cast("array<string>").alias("matched"))
+    part = scan.join(top.select("path"), "path", "left_semi")
+    picks = cut(evidence(part, top.select("path", "line"), Query("", (), terms), stats, 1 if compact else 8).join(top.select("path", F.col("place").alias("at")), "path"))
+    listed = lambda df, order: df.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]).alias("matched"))
+    if compact:
+        return listed(picks, "place")
+    wide = snippets(part, picks.where(F.col("at") <= blocks).select("path", "ord"))
+    return listed(picks.where((F.col("at") > blocks) & (F.col("place") <= 5)), "place").unionByName(listed(wide, "first"))
+
+
 def _lines(sections: DataFrame) -> DataFrame:
     """Lines of documents with their place in the document, over all of its sections."""
     per = sections.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "content"))).alias("s"), F.max("shown").alias("shown"))

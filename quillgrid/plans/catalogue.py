@@ -414,6 +414,30 @@ def notes_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("line").alias("conv_id"), F.char_length("insight").cast("long").alias("n_chars"))
 
 
+def notes_surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest fresh conversations, read as notes, that hold all terms; the sources of each are the documents that its turns number, and every seventh pin is out of date."""
+    turns = T.read(spark, sf_dir, "conversations")
+    files = T.document_scan(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.md5("content").alias("sha"))
+    pins = turns.select("conv_id", "turn", "text", (F.col("conv_id") * 3 + F.col("turn")).cast("string").alias("path")).join(files, "path", "left")
+    source = F.struct("path", F.when(F.col("path").cast("long") % 7 == 0, "old").otherwise(F.coalesce("sha", F.lit("none"))).alias("sha"))
+    notes = pins.groupBy(F.col("conv_id").alias("line")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("insight"), F.collect_list(source).alias("sources"))
+    found = G.surfaced(notes.withColumn("question", F.lit("")), files, ["the", "en"])
+    return found.select(F.col("line").alias("conv_id"), F.char_length("insight").cast("long").alias("n_chars"))
+
+
+def log_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of vectors and edges pinned to documents, after every third text was rewritten and document 5 moved: only paths and fresh pins change."""
+    docs = T.read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("sha"))
+    name = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md"))
+    pin = F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("sha"))
+    embed = F.concat(F.lit('{"type":"embed", "dim":3,"path": "'), name, F.lit('","sha":"'), pin, F.lit('","vec":[1,2.50]}'))
+    edge = F.concat(F.lit('{"weight":0.25,"type":"edge","src":"'), name, F.lit('","dst":"z.md","rationale":"a \\"src\\": \\"d/5\\"","src_sha":"'), pin, F.lit('","dst_sha":"zz","ok":true}'))
+    log = docs.select(F.concat(F.lit("a"), "doc_id").alias("line"), embed.alias("raw")).unionByName(docs.select(F.concat(F.lit("b"), "doc_id").alias("line"), edge.alias("raw")))
+    old, new = "d/000000005.md", "new/5.md"
+    rewritten = docs.where("doc_id % 3 = 0 or doc_id = 5").select(name.alias("was"), F.when(F.col("doc_id") == 5, new).otherwise(name).alias("path"), F.col("sha").alias("old_sha"), F.reverse("sha").alias("new_sha"))
+    return G.carried(G.typed(log), rewritten, old, new)
+
+
 def plain_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of every document as plain text."""
     each = T.document_scan(spark, sf_dir).select("path", F.posexplode(plain_sections(F.col("content"))).alias("sec_no", "s"))
@@ -443,6 +467,6 @@ QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
     search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
     suggest_ranked, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
-    doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, plain_text_sections, page_sections,
+    doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, notes_surfaced, log_carried, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,
 )}

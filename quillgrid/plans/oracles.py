@@ -254,6 +254,12 @@ SELECT page_id, stem, array_to_string(list_filter(string_split_regex(stem, '[-_.
 SELECT CASE WHEN a.dir = b.dir THEN 'same' WHEN string_split(a.dir, '/')[1] = string_split(b.dir, '/')[1] THEN 'sibling' ELSE 'far' END AS dir, CAST(count(*) AS BIGINT) AS n FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 GROUP BY 1""",
     "ignore_rules": "SELECT lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE source <> 'src1' AND lang <> 'de' AND NOT (source = 'src2' AND lang = 'en') GROUP BY 1",
     "capped_counts": f"""SELECT path, CAST(least({' + '.join(f"(length(c) - length(replace(c, {_q(v)}, ''))) // {len(v)}" for v in variants('über'))}, 5) AS BIGINT) AS n FROM (SELECT path, lower(content) AS c FROM ({DOCS})) WHERE n > 0""",
+    "notes_surfaced": """WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, bool_and(doc_id IS NOT NULL AND doc_id % 7 <> 0) AS fresh FROM conversations LEFT JOIN (SELECT doc_id FROM documents) ON doc_id = conv_id * 3 + turn GROUP BY 1)
+SELECT conv_id, CAST(length(text) AS BIGINT) AS n_chars FROM n WHERE fresh AND contains(lower(text), 'the') AND contains(lower(text), 'en') ORDER BY conv_id DESC LIMIT 3""",
+    "log_carried": r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id = 5 THEN 'new/5.md' ELSE 'd/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md' END AS p,
+  CASE WHEN doc_id % 7 = 0 THEN 'old' WHEN doc_id % 3 = 0 OR doc_id = 5 THEN reverse(md5(text)) ELSE md5(text) END AS s FROM documents)
+SELECT 'a' || doc_id AS line, '{"type":"embed", "dim":3,"path": "' || p || '","sha":"' || s || '","vec":[1,2.50]}' AS raw FROM d
+UNION ALL SELECT 'b' || doc_id, '{"weight":0.25,"type":"edge","src":"' || p || '","dst":"z.md","rationale":"a \"src\": \"d/5\"","src_sha":"' || s || '","dst_sha":"zz","ok":true}' FROM d""",
     "notes_matched": """WITH n AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1)
 SELECT conv_id, CAST(length(text) AS BIGINT) AS n_chars FROM n WHERE contains(lower(text), 'the') AND contains(lower(text), 'en') ORDER BY conv_id DESC LIMIT 3""",
     "plain_text_sections": f"""SELECT path, CAST(0 AS BIGINT) AS sec_no, CAST(1 AS BIGINT) AS line, substr(trim(string_split(content, chr(10))[1]), 1, 60) AS heading, CAST(length(trim(content, chr(10))) AS BIGINT) AS n_chars FROM ({DOCS})""",

@@ -7,6 +7,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.tables import cut
@@ -135,16 +136,68 @@ class Vault:
         """(path, text, n): the moved document under its new path, its own relative links made right, and all documents that refer to it."""
         return E.rename_plan(self._texts(), self.frames.files, old, new)
 
-    def mv_log(self, old: str, new: str, plan: DataFrame) -> DataFrame:
-        """(line, raw): the log after ``mv``: records of the old path name the new one, and pins that were fresh are those of the texts of ``plan``."""
-        now = plan.select("path", F.sha2(V.C.line_feeds(F.col("text")), 256).alias("new_sha"), F.when(F.col("path") == new, old).otherwise(F.col("path")).alias("was"))
+    def log_after(self, plan: DataFrame, old: str | None = None, new: str | None = None) -> DataFrame:
+        """(line, raw): the log after the texts of ``plan`` (path, text) are in place and, with ``old`` and ``new``, a document was moved: records of the old path name the new one, and pins that were fresh are those of the new texts."""
+        here = F.col("path") if new is None else F.when(F.col("path") == new, old).otherwise(F.col("path"))
+        now = plan.select("path", F.sha2(V.C.line_feeds(F.col("text")), 256).alias("new_sha"), here.alias("was"))
         was = self.frames.files.select(F.col("path").alias("was"), F.col("sha").alias("old_sha"))
         return G.carried(self.log(), now.join(was, "was").select("was", "path", "old_sha", "new_sha"), old, new)
 
+    def apply(self, plan: DataFrame, old: str | None = None, new: str | None = None) -> DataFrame:
+        """Put the texts of a plan (of ``link_add``, or of ``mv`` with its ``old`` and ``new``) in their files, carry the log along and update; returns what ``update`` does.
+
+        Each file is written beside its place and renamed into it, one at a time as they come from the executors; the log is rewritten last, and only if it changes.
+        """
+        plan = cut(plan.select("path", "text"))
+        log = None if self.log_path is None else cut(self.log_after(plan, old, new))
+        path = lambda name: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        fs = path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for row in plan.toLocalIterator():
+            place, beside = path(row["path"]), path(f"{row['path']}.{uuid.uuid4().hex}.part")
+            fs.mkdirs(place.getParent())
+            out = fs.create(beside, False)
+            out.write(bytearray(row["text"].encode()))
+            out.close()
+            fs.delete(place, False)
+            fs.rename(beside, place)
+        if old is not None:
+            fs.delete(path(old), False)
+        if log is not None and log.join(self.log().select("line", F.col("raw").alias("was")), "line").where("raw <> was").limit(1).count():
+            self.rewrite_log(log)
+        return self.update()
+
     def notes_for(self, text: str, n: int = 3) -> DataFrame:
-        """The newest notes that hold all terms of a query, with their freshness."""
-        found = G.matched_notes(G.notes(self.log()), list(parse(text).plain), n)
-        return found.join(G.note_freshness(found, self.frames.files), "line").orderBy(F.desc("line"))
+        """The newest fresh notes that hold all plain terms of a query."""
+        return G.surfaced(G.notes(self.log()), self.frames.files, list(parse(text).plain), n)
+
+    def find(self, queries: str | list[str], n: int = 8, vector: list[float] | None = None, show: str = "blocks") -> dict:
+        """All that a search answers: results with what matched, notes of the first query, and flags.
+
+        ``results`` (place, path, line, heading, score, matched, ...) shows per document the best lines by idf, of all phrasings' terms: as ``blocks``, the first three documents' eight best
+        lines with two lines around each and the others' five best lines; ``compact``, one line; ``full``, blocks and the ``content`` of the section shown. Fused results have ``sources``, those near ``vector`` a ``cosine``.
+        """
+        texts = [queries] if isinstance(queries, str) else list(queries)
+        scan, total = self._scan(texts)
+        ranked = S.rank_all(scan, texts, total)
+        if len(texts) > 1:
+            near = None if vector is None else S.semantic_hits(self.fresh_embeds(), vector, max(n, 20))
+            best = S.fused_ranks(ranked, n, near).withColumnRenamed("rrf", "score")
+            order = (F.desc("score"), F.col("best_rank"), F.col("best_query"), F.col("path"))
+        elif vector is not None:
+            best, order = S.hybrid(self.frames.scan(), texts[0], self.fresh_embeds(), vector, n, ranked[0]), (F.desc("blend"), F.desc("matched_idf"), F.desc("nmatched"), F.col("path"))
+        else:
+            best, order = ranked[0].top(n), S.ranking()
+        best = cut(best)
+        top = cut(best.withColumn("place", F.row_number().over(W.orderBy(*order))))  # at most n rows
+        terms = {t: r.stats.df.get(t, 0) for r in ranked for t in r.query.plain}
+        shown = S.matched(self.frames.scan(), top, tuple(terms), S.Statistics(ranked[0].stats.total, terms), compact=show == "compact")
+        results = top.join(shown, "path", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<string>")))
+        if show == "full":
+            sections = self.frames.scan().select("path", "line", "heading", "content")
+            results = results.join(sections.join(top.select("path"), "path", "left_semi"), ["path", "line", "heading"], "left")
+        says = [{"query": r.query.text, "partial": r.partial, "weak": r.weak(), "terms": [{"term": t, "df": r.stats.df.get(t, 0)} for t in r.query.plain]} for r in ranked]
+        notes = self.notes_for(texts[0]) if self.log_path else None
+        return says[0] | {"queries": says, "notes": notes, "results": results.orderBy("place")}
 
     def pruned_log(self, kind: str) -> DataFrame:
         """(line, raw) of the log without stale records of a kind ("note" or "edge"); ``rewrite_log`` puts it in place."""
@@ -153,14 +206,8 @@ class Vault:
         return self.log().join(gone, "line", "left_anti").select("line", "raw")
 
     def rewrite_log(self, kept: DataFrame) -> None:
-        """Replace the log by the lines ``kept`` (line, raw): they are written to a new folder first, which then takes the old one's place."""
-        jvm, fresh, old = self.spark._jvm, f"{self.log_path}.new-{uuid.uuid4().hex}", f"{self.log_path}.old-{uuid.uuid4().hex}"
-        kept.repartitionByRange("line").sortWithinPartitions("line").select("raw").write.text(fresh)
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(self.log_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.rename(path(self.log_path), path(old))
-        fs.rename(path(fresh), path(self.log_path))
-        fs.delete(path(old), True)
+        """Replace the log by the lines ``kept`` (line, raw)."""
+        G.rewrite_log(self.spark, self.log_path, kept, f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}")
 
     def _texts(self) -> DataFrame:
         found = V.listing(self.spark, self.root, self._all_patterns()).where(F.col("ext").isin(".md", ".txt", ".rst", ".org", ".adoc"))

@@ -190,7 +190,7 @@ def test_mv_and_log(spark, tmp_path):
     got = {r.path: r.text for r in plan.collect()}
     assert got["c/d/new.md"] == "# X\r\n[y](../../a/y.md) ![p](../../p.png) [w](http://x.org/y.md) [self](new.md#t) [[y]]\r\n"
     assert got["a/y.md"] == "# Y\n[x](../c/d/new.md) [up](../c/d/new.md#t)\n" and got["b/z.md"] == "# Z\n[[new]]\n"
-    v.rewrite_log(v.mv_log("a/x.md", "c/d/new.md", plan))
+    v.rewrite_log(v.log_after(plan, "a/x.md", "c/d/new.md"))
     (root / "a/x.md").unlink()
     for name, text in got.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
@@ -202,7 +202,7 @@ def test_mv_and_log(spark, tmp_path):
     assert [(r.path, r.vec) for r in v.fresh_embeds().collect()] == [("c/d/new.md", [1.0, 2.5])]
     raw = [r.raw for r in v.log().collect()]
     assert '{"type": "future", "path": "a/x.md"}' in raw and "not json" in raw
-    assert v.notes_for("it nowhere").count() == 0 and v.notes_for("it y").first().fresh
+    assert v.notes_for("it nowhere").count() == 0 and v.notes_for("it y").first().insight == 'it "was" y'
     (root / "b/z.md").write_text("# other\n")
     v.update()
     v.rewrite_log(v.pruned_log("note"))
