@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import folder, name_tokens, proximity, stem, tokens
@@ -52,26 +55,89 @@ def folder_pairs(files: DataFrame, doc: str | None = None) -> DataFrame:
 
 
 def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None, linked: DataFrame | None = None, doc: str | None = None, max_df: int = 4, folders: bool = True, n: int | None = 10) -> DataFrame:
-    """(a, b, score, dir, signals): pairs that look related and are not ``linked`` (a, b) yet, best first; ``n=None`` gives all."""
-    pairs = token_pairs(token_weights(scan), max_df)
+    """(a, b, score, dir, signals): pairs that look related and are not ``linked`` (a, b) yet, best first; ``n=None`` gives all.
+
+    Pairs that only share a folder are all made for one ``doc``, or where all are asked for; for the n best of all, ``folder_best`` makes the few that can be among them.
+    """
+    weights = token_weights(scan)
+    if doc is not None:
+        weights = _shared_with(weights, doc)
+    pairs = token_pairs(weights, max_df)
     if links is not None:
         pairs = pairs.unionByName(ref_pairs(links))
-    if folders:
+    if folders and (doc is not None or n is None):
         pairs = pairs.unionByName(folder_pairs(files, doc).select("a", "b", F.lit(0.0).alias("amount"), F.lit(None).cast("string").alias("signal")))
     if doc is not None:
         pairs = pairs.where((F.col("a") == doc) | (F.col("b") == doc))
-    if linked is not None:
-        sorted_pairs = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(sorted_pairs, ["a", "b"], "left_anti")
+    known = None if linked is None else linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if known is not None:
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
     summed = cut(pairs.groupBy("a", "b").agg(F.sum(F.round("amount", 9)).alias("base"), F.slice(F.array_sort(F.collect_set("signal")), 1, 8).alias("signals")))
-    near = proximity(F.col("a"), F.col("b"))
-    shared = shared_names(files, summed.select("a", "b"))
-    out = summed.join(shared, ["a", "b"], "left").withColumn("dir", near)
-    bonus = F.when(F.col("dir") == "same", SAME).when(F.col("dir") == "sibling", SIBLING).otherwise(0.0)
-    ranked = out.select("a", "b", (F.col("base") + bonus + NAME_WEIGHT * F.coalesce("names", F.lit(0.0))).alias("score"), "dir", "signals").orderBy(F.round("score", 6).desc(), "a", "b")
+    ranked = scored_pairs(files, summed)
+    if folders and doc is None and n is not None:
+        taken = summed.select("a", "b") if known is None else summed.select("a", "b").unionByName(known)
+        return folder_best(files, cut(ranked), cut(taken), n)
+    ranked = ranked.orderBy(*_best())
     return ranked if n is None else ranked.limit(n)
 
 
+def _best() -> tuple:
+    return F.round("score", 6).desc(), F.col("a"), F.col("b")
+
+
+def _shared_with(weights: DataFrame, doc: str) -> DataFrame:
+    """The weights of the words that ``doc`` has; no others can join it to a document."""
+    weights = cut(weights)
+    return weights.join(weights.where(F.col("path") == doc).select("token"), "token", "left_semi")
+
+
+def scored_pairs(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, score, dir, signals) of pairs (a, b, base, signals): their base, a bonus for near folders and the rarity of shared name parts."""
+    out = pairs.join(shared_names(files, pairs.select("a", "b")), ["a", "b"], "left").withColumn("dir", proximity(F.col("a"), F.col("b")))
+    bonus = F.when(F.col("dir") == "same", SAME).when(F.col("dir") == "sibling", SIBLING).otherwise(0.0)
+    return out.select("a", "b", (F.col("base") + bonus + NAME_WEIGHT * F.coalesce("names", F.lit(0.0))).alias("score"), "dir", "signals")
+
+
+def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int, steps: tuple[int, ...] = (16, 256, 4096)) -> DataFrame:
+    """The n best of the pairs ``ranked`` (a, b, score, dir, signals) and of all pairs in one folder or sibling folders that are not ``taken`` (a, b), without making all of these.
+
+    Such a pair scores its folder's bonus and what name parts both have. Files of one folder with the same shared parts pair alike with any other, so that only the first
+    by path of each such class count: n, and as many as any file has taken pairs. Pairs are made by parts that few files have, then by more frequent ones, until those left, which can only
+    share more frequent parts, score less than the n-th best. Pairs that share none score the bonus alone, and are made of the first files by path.
+    """
+    total = max(files.count(), 1)
+    of = files.where("not lower(path) like '%.pdf'").select("path", folder(F.col("path")).alias("dir"), folder(folder(F.col("path"))).alias("above"))
+    parts = files.select("path", F.explode(name_tokens(F.col("path"))).alias("part"))
+    df = cut(parts.groupBy("part").agg(F.count("*").alias("d")).where(F.col("d").between(2, total - 1)))
+    bags = cut(of.join(parts.join(df, "part").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("d", "part"))).alias("bag")), "path", "left"))
+    most_parts = bags.agg(F.max(F.size("bag"))).first()[0] or 0
+    degrees = taken.select(F.col("a").alias("path")).unionByName(taken.select(F.col("b").alias("path"))).groupBy("path").agg(F.count("*").alias("n"))
+    first = n + 1 + (degrees.agg(F.max("n")).first()[0] or 0)
+    head = lambda rows, *key: rows.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("path"))).where(F.col("r") <= first).drop("r")
+    kept = cut(head(bags.withColumn("key", F.to_json("bag")), "dir", "key").select("path", "above", "bag"))
+
+    def free(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) that are near and not taken, scored."""
+        near = pairs.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().where(proximity(F.col("a"), F.col("b")) != "far")
+        left = near.join(taken, ["a", "b"], "left_anti").select("a", "b", F.lit(0.0).alias("base"), F.array().cast("array<string>").alias("signals"))
+        return scored_pairs(files, left)
+
+    both = lambda rows, *key: rows.select(*key, F.col("path").alias("x")).join(rows.select(*key, F.col("path").alias("y")), list(key))
+    best = cut(ranked.unionByName(free(both(head(of, "dir"), "dir"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
+    low = 0
+    for high in (*steps, total):
+        own = kept.select("above", "path", F.explode("bag").alias("p")).where(F.col("p.d").between(low + 1, high)).select("above", "path", F.col("p.part").alias("part"))
+        best = cut(best.unionByName(free(both(own, "above", "part"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
+        n_found, worst = best.agg(F.count("*"), F.min("score")).first()
+        rest = df.where(F.col("d") > high).agg(F.min("d")).first()[0]
+        if rest is None or n_found == n and worst > SAME + NAME_WEIGHT * most_parts * math.log(total / rest) + 1e-6:
+            break
+        low = high
+    if n_found < n or worst <= SIBLING + 1e-6:
+        best = best.unionByName(free(both(head(of, "above"), "above"))).dropDuplicates(["a", "b"])
+    return best.orderBy(*_best()).limit(n)
+
+
 def paste_links(pairs: DataFrame, doc: str | None = None, shown: int = 4) -> DataFrame:
     """``pairs`` with ``text``: a wiki link to the other document (of ``doc``), or to both, and why, ready to be pasted."""
     why = F.concat_ws("", F.lit(" — "), F.array_join(F.slice("signals", 1, shown), ", "))
