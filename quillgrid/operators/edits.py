@@ -25,22 +25,25 @@ BLOCK, CLASSES = 4_096, 64
 def close_names(labels: DataFrame, known: DataFrame, n: int = 3, cutoff: float = 0.6) -> DataFrame:
     """(label, candidate, ratio): for every label its up to n most similar known names, by the ratio of matching blocks.
 
-    The labels are a query set: in blocks of bounded size they are broadcast and held against all names, where these lie. What two names can have in
-    common at most (by their lengths, and by how often they have each class of characters) bounds the ratio from above, so that only pairs
-    that may reach ``cutoff`` are compared, and none is lost.
+    The labels are a query set: in blocks of bounded size they are broadcast and held against all names, which are dealt to all cores. What two names can have in
+    common at most (by their lengths, and by how often they have each class of characters) bounds the ratio from above. A task compares names from the highest
+    bound down and stops where the bound falls below ``cutoff`` or the n-th best ratio it has, so that few pairs are compared and none of the best is lost.
     """
+    spark = labels.sparkSession
     wanted = cut(labels.select("label", link_stem(F.col("label")).alias("low")).where("label is not null").distinct())
-    names_ = cut(known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    names_ = cut(known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct().repartition(tasks))
     blocks = 1 + wanted.count() // BLOCK
     scored = None
     for k in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).toPandas()
-        found = _held_against(names_, part, cutoff)
+        found = _held_against(names_, part, n, cutoff)
         scored = found if scored is None else scored.unionByName(found)
     return scored.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("ratio"), F.desc("candidate")))).where(F.col("r") <= n).drop("r")
 
 
-def _held_against(known: DataFrame, labels: pd.DataFrame, cutoff: float) -> DataFrame:
+def _held_against(known: DataFrame, labels: pd.DataFrame, n: int, cutoff: float) -> DataFrame:
+    """The n best of each task's names for each label."""
     shared = known.sparkSession.sparkContext.broadcast((labels["label"].tolist(), labels["low"].tolist()))
 
     def counts(names: list[str]) -> np.ndarray:
@@ -50,17 +53,25 @@ def _held_against(known: DataFrame, labels: pd.DataFrame, cutoff: float) -> Data
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names_of, lows = shared.value
+        best, theirs_of = [[] for _ in lows], counts(lows)
         for batch in batches:
-            candidates, rows = batch["candidate"].tolist(), []
+            candidates = batch["candidate"].tolist()
             theirs, length = counts(candidates), batch["candidate"].str.len().to_numpy()
-            for label, low, own in zip(*shared.value, counts(shared.value[1])):
+            for low, own, kept in zip(lows, theirs_of, best):
+                bound = 2 * np.minimum(theirs, own).sum(1) / np.maximum(length + len(low), 1)
+                some = np.flatnonzero(bound >= cutoff)
                 matcher = difflib.SequenceMatcher(None, "", low)
-                for at in np.flatnonzero(2 * np.minimum(theirs, own).sum(1) >= cutoff * (length + len(low))):
+                for at in some[np.argsort(-bound[some], kind="stable")]:
+                    if len(kept) == n and bound[at] < kept[-1][0]:
+                        break
                     matcher.set_seq1(candidates[at])
                     ratio = matcher.ratio()
                     if ratio >= cutoff:
-                        rows.append((label, candidates[at], ratio))
-            yield pd.DataFrame(rows, columns=["label", "candidate", "ratio"])
+                        kept.append((ratio, candidates[at]))
+                        kept.sort(reverse=True)
+                        del kept[n:]
+        yield pd.DataFrame([(x, c, r) for x, kept in zip(names_of, best) for r, c in kept], columns=["label", "candidate", "ratio"])
 
     return known.mapInPandas(run, "label string, candidate string, ratio double")
 

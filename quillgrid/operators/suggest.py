@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,7 +96,7 @@ def scored_pairs(files: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("a", "b", (F.col("base") + bonus + NAME_WEIGHT * F.coalesce("names", F.lit(0.0))).alias("score"), "dir", "signals")
 
 
-def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int, steps: tuple[int, ...] = (16, 256, 4096)) -> DataFrame:
+def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     """The n best of the pairs ``ranked`` (a, b, score, dir, signals) and of all pairs in one folder or sibling folders that are not ``taken`` (a, b), without making all of these.
 
     Such a pair scores its folder's bonus and what name parts both have. Files of one folder with the same shared parts pair alike with any other, so that only the first
@@ -110,7 +108,7 @@ def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int, s
     parts = files.select("path", F.explode(name_tokens(F.col("path"))).alias("part"))
     df = cut(parts.groupBy("part").agg(F.count("*").alias("d")).where(F.col("d").between(2, total - 1)))
     bags = cut(of.join(parts.join(df, "part").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("d", "part"))).alias("bag")), "path", "left"))
-    most_parts = bags.agg(F.max(F.size("bag"))).first()[0] or 0
+    steps = sorted(4 ** r["step"] for r in df.select(F.ceil(F.log2("d") / 2).cast("int").alias("step")).distinct().collect())
     degrees = taken.select(F.col("a").alias("path")).unionByName(taken.select(F.col("b").alias("path"))).groupBy("path").agg(F.count("*").alias("n"))
     first = n + 1 + (degrees.agg(F.max("n")).first()[0] or 0)
     head = lambda rows, *key: rows.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("path"))).where(F.col("r") <= first).drop("r")
@@ -124,13 +122,14 @@ def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int, s
 
     both = lambda rows, *key: rows.select(*key, F.col("path").alias("x")).join(rows.select(*key, F.col("path").alias("y")), list(key))
     best = cut(ranked.unionByName(free(both(head(of, "dir"), "dir"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
-    low = 0
-    for high in (*steps, total):
+    low, n_found, worst = 0, 0, 0.0
+    for high in steps or [total]:
         own = kept.select("above", "path", F.explode("bag").alias("p")).where(F.col("p.d").between(low + 1, high)).select("above", "path", F.col("p.part").alias("part"))
         best = cut(best.unionByName(free(both(own, "above", "part"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
         n_found, worst = best.agg(F.count("*"), F.min("score")).first()
-        rest = df.where(F.col("d") > high).agg(F.min("d")).first()[0]
-        if rest is None or n_found == n and worst > SAME + NAME_WEIGHT * most_parts * math.log(total / rest) + 1e-6:
+        weight = lambda s, p: s + F.when(p["d"] > high, F.ln(F.lit(float(total)) / p["d"])).otherwise(0.0)  # noqa: B023, E731
+        rest = bags.agg(F.max(F.aggregate("bag", F.lit(0.0), weight))).first()[0] or 0.0
+        if n_found == n and worst > SAME + NAME_WEIGHT * rest + 1e-6:
             break
         low = high
     if n_found < n or worst <= SIBLING + 1e-6:

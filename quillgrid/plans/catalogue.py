@@ -211,6 +211,16 @@ def suggest_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("a", "b", F.round("score", 4).alias("score"), "dir")
 
 
+def suggest_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files in a folder per brand, named by name and key and without any text: the best pairs by folder and rarity of name parts, found without all pairs; neighbouring keys are linked already."""
+    path = F.concat("p_brand", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey") % 50, F.lit("-"), F.col("p_partkey"), F.lit(".md"))
+    files = T.read(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    none = F.array().cast("array<string>")
+    scan = files.select("path", F.lit(0).alias("sec_no"), F.lit(1).cast("long").alias("line"), F.lit("").alias("heading"), F.lit("").alias("content"), F.lit("").alias("title"), none.alias("tags"), none.alias("aliases"))
+    linked = files.select("p_partkey", F.col("path").alias("a")).join(files.select((F.col("p_partkey") - 50).alias("p_partkey"), F.col("path").alias("b")), "p_partkey").select("a", "b")
+    return U.suggest(scan, files.select("path"), linked=linked, n=30).select("a", "b", F.round("score", 4).alias("score"), "dir")
+
+
 def suggest_for_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals for document 0: shared words, links of the pages with the documents' ids as references, folders and names; documents of neighbouring ids are linked already."""
     scan = T.document_scan(spark, sf_dir)
@@ -466,7 +476,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
     search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
-    suggest_ranked, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
+    suggest_ranked, suggest_by_names, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, notes_surfaced, log_carried, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,
 )}

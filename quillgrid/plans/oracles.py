@@ -202,6 +202,13 @@ o AS (SELECT s.*, coalesce(names, 0) AS names, regexp_replace(a, '/[^/]*$', '')
 x AS (SELECT a, b, base, names, CASE WHEN fa = fb THEN 'same' WHEN string_split(fa, '/')[1] = string_split(fb, '/')[1] THEN 'sibling' ELSE 'far' END AS dir FROM o),
 z AS (SELECT a, b, base + CASE dir WHEN 'same' THEN 4 WHEN 'sibling' THEN 2 ELSE 0 END + 1.5::DOUBLE * names AS score, dir FROM x)
 SELECT a, b, round(CAST(score AS DOUBLE), 4) AS score, dir FROM z ORDER BY round(CAST(score AS DOUBLE), 6) DESC, a, b LIMIT 20""",
+    "suggest_by_names": r"""WITH d AS (SELECT p_partkey AS k, p_brand AS dir, p_brand || '/' || replace(p_name, ' ', '-') || '-' || (p_partkey % 50) || '-' || p_partkey || '.md' AS path FROM part),
+parts AS (SELECT path, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(string_split(path, '/')[-1], '\.[^.]+$', '')), '[-_ .]'), lambda x: length(x) >= 2))) AS part FROM d),
+pf AS (SELECT part, ln(CAST((SELECT count(*) FROM d) AS DOUBLE) / count(*)) AS w FROM parts GROUP BY 1 HAVING count(*) > 1),
+nm AS (SELECT x.path AS a, y.path AS b, sum(w) AS names FROM parts x JOIN pf USING (part) JOIN parts y ON y.part = x.part AND x.path < y.path GROUP BY 1, 2),
+z AS (SELECT x.path AS a, y.path AS b, CASE WHEN x.dir = y.dir THEN 4 ELSE 2 END + 1.5::DOUBLE * coalesce(names, 0) AS score, CASE WHEN x.dir = y.dir THEN 'same' ELSE 'sibling' END AS dir
+  FROM d x JOIN d y ON x.path < y.path LEFT JOIN nm ON nm.a = x.path AND nm.b = y.path WHERE abs(x.k - y.k) <> 50)
+SELECT a, b, round(CAST(score AS DOUBLE), 4) AS score, dir FROM z ORDER BY round(CAST(score AS DOUBLE), 6) DESC, a, b LIMIT 30""",
     "suggest_for_document": f"""WITH {_WEIGHTS}, {_SIGNALS},
 s AS (SELECT a, b, sum(amount) AS base, array_to_string(list_slice(list_sort(list_distinct(list(signal))), 1, 8), ',') AS signals FROM ev ANTI JOIN ln USING (a, b) GROUP BY 1, 2), parts AS (
   SELECT path, unnest(list_distinct(list_filter(string_split_regex(lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')), '[-_ .]'), lambda x: length(x) >= 2))) AS part FROM d

@@ -29,13 +29,11 @@ def show(df):
 
 
 @pytest.mark.parametrize("seed, n_files, folders, words, numbered, n", [(1, 60, ["x/a", "x/b", "y"], 9, False, 10), (2, 40, ["x/a"], 4, True, 7), (3, 30, [f"s/{k}" for k in range(40)], 5, False, 25)])
-def test_best_pairs_as_all_pairs(spark, monkeypatch, seed, n_files, folders, words, numbered, n):
+def test_best_pairs_as_all_pairs(spark, seed, n_files, folders, words, numbered, n):
     scan, linked = vault(spark, seed, n_files, folders, words, numbered)
     files = scan.select("path")
     want = show(U.suggest(scan, files, linked=linked, n=None))[:n]
     assert show(U.suggest(scan, files, linked=linked, n=n)) == want
-    monkeypatch.setattr(U.folder_best, "__defaults__", ((2, 4, 8),))
-    assert show(U.suggest(scan, files, linked=linked, n=n)) == want
 
 
 def test_a_large_folder(spark):
