@@ -71,13 +71,14 @@ def mix_sources(documents: DataFrame, weights: Mapping[str, float] | None = None
     An empty table gives an empty mixture. Null sources are a source of their own (key None). Null text has no size. Rows that repeat an id get the same count;
     a null id hashes as an empty one. A source without any text has rate 0. Input columns named like the two added ones are replaced.
     """
-    rates = source_rates(documents, weights, source_col=source_col, text_col=text_col, temperature=temperature, budget=budget).toDF("__source", "__rate", "__steps")
-    if (rates.agg(F.sum(F.coalesce(F.size("__steps"), F.lit(0)) + 16)).first()[0] or 0) <= BROADCAST_STEPS:
+    rates = source_rates(documents, weights, source_col=source_col, text_col=text_col, temperature=temperature, budget=budget).toDF("of", "rate", "steps")
+    if (rates.agg(F.sum(F.coalesce(F.size("steps"), F.lit(0)) + 16)).first()[0] or 0) <= BROADCAST_STEPS:
         rates = F.broadcast(rates)
     own = documents.drop("copy_no", "shuffle_key")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = own.join(rates, own[source_col].eqNullSafe(F.col("__source"))).withColumn("__u", uniform(seed, name))
-    copies = F.when(F.col("__steps").isNotNull(), F.size(F.filter("__steps", lambda c: c <= F.col("__u")))).otherwise(poisson_count(F.col("__rate"), F.col("__u")))
-    dealt = counted.withColumn("__n", copies).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n").cast("long"))))
-    keyed = dealt.withColumn("shuffle_key", F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), name, F.col("copy_no").cast("string"))), F.lit(1), F.lit(16)))
-    return keyed.select(*(own[c] for c in own.columns), "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    name = F.coalesce(own[id_col].cast("string"), F.lit(""))
+    packed = own.select(F.struct(*(own[c] for c in own.columns)).alias("row"), own[source_col].alias("source"), name.alias("name"))  # so that no input column meets one of ours
+    counted = packed.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("u", uniform(seed, F.col("name")))
+    copies = F.when(F.col("steps").isNotNull(), F.size(F.filter("steps", lambda c: c <= F.col("u")))).otherwise(poisson_count(F.col("rate"), F.col("u")))
+    dealt = counted.withColumn("n", copies).where("n > 0").select("row", "name", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("copy_no"))
+    key = F.substr(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("name"), F.col("copy_no").cast("string"))), F.lit(1), F.lit(16))
+    return dealt.select("row.*", "copy_no", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)

@@ -63,3 +63,16 @@ def test_rows_without_or_with_a_shared_id(spark):
     near = [(None, text(10) + " end"), (3, text(11) + " end"), (3, text(3)), (None, text(4))]
     assert left(P.near_dedup, [*plain, *near]) == sorted([*plain, (3, text(3)), (None, text(4))], key=str)
     assert left(P.decontaminate, [*plain, (None, item), (4, item), (4, text(4))]) == sorted([*plain, (4, text(4))], key=str)
+
+
+def test_columns_named_like_the_stages_own(spark, tmp_path):
+    """Extra columns of any name pass through every stage."""
+    names = "__key __rate __u __n __steps __source row name of rate u n mixed shared_id copy_no".split()
+    rows = [(k, f"the house number {k} stands on a hill by the old sea and nobody lives there", "en", "s", 9, *range(len(names))) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    spark.createDataFrame([(1, "something else entirely")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in P.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) - {"copy_no"} <= set(found.columns), name
+        got = found.where("doc_id = 3").collect()
+        assert all(r["__key"] == 0 and r["__rate"] == 1 and r["mixed"] == names.index("mixed") for r in got), name
