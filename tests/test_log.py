@@ -67,7 +67,7 @@ def test_what_a_search_shows(vault):
     assert {r.path: r.content for r in full["results"].collect()}["b/five.md"] == "heron" and full["partial"] is False
     fused = vault.find(["kestrel heron", "heron nosuch"], n=5)
     last = fused["results"].collect()[-1]
-    assert [q["partial"] for q in fused["queries"]] == [False, True] and last.place == 5 and last.matched
+    assert [q["partial"] for q in fused["queries"]] == [False, True] and last.place == 4 and last.matched
     assert {r.path: r.sources for r in fused["results"].collect()}["b/four.md"] == 2
     assert vault.find("type:md")["results"].first().matched == []
 
