@@ -119,13 +119,31 @@ def distances(pairs: DataFrame, start: DataFrame, target: str | None = None, lim
 
 
 def shortest_path(pairs: DataFrame, a: str, b: str) -> list[str]:
-    """The documents on a shortest way from a to b (of several, by the smallest neighbours), or [] if there is none."""
-    reached = distances(pairs, pairs.sparkSession.createDataFrame([(a,)], "node string"), target=b)
-    chain, node = [], b
-    while node is not None:
-        row = reached.where(F.col("node") == node).select("via").first()
-        if row is None:
+    """The documents on a shortest way from a to b, or [] if there is none; of several the one with the smallest names, compared from a on.
+
+    ``pairs`` (a, b) has both directions. Two frontiers, from either end, are widened level by level, always the smaller one, until they
+    share a document: so levels reach half as far as from one end. A row carries the way to its end, and no level is read again on the way back.
+    """
+    spark = pairs.sparkSession
+    if not pairs.where(F.col("a").isin(a, b)).limit(1).count() and a != b:
+        return []
+    sides = []
+    for end in (a, b):
+        level = cut(spark.createDataFrame([(end, [end])], "node string, way array<string>"))
+        sides.append({"level": level, "seen": level.select("node"), "n": 1})
+    while True:
+        there, back = (side["level"] for side in sides)
+        meet = there.join(back.select("node", F.slice("way", 2, F.greatest(F.size("way"), F.lit(1))).alias("rest")), "node")
+        best = meet.agg(F.min(F.concat("way", "rest")).alias("way")).first()["way"]
+        if best is not None:
+            return list(best)
+        forward = sides[0]["n"] <= sides[1]["n"]
+        side = sides[0 if forward else 1]
+        nearby = pairs.join(side["level"].select(F.col("node").alias("a"), "way"), "a").groupBy(F.col("b").alias("node")).agg(F.min("way").alias("way"))
+        node = F.array("node")
+        new = nearby.join(side["seen"], "node", "left_anti").select("node", (F.concat("way", node) if forward else F.concat(node, "way")).alias("way"))
+        side["level"] = cut(new)
+        side["n"] = side["level"].count()
+        if not side["n"]:
             return []
-        chain.append(node)
-        node = row["via"]
-    return chain[::-1]
+        side["seen"] = side["seen"].unionByName(side["level"].select("node"))

@@ -316,6 +316,17 @@ def graph_bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.distances(both, start).select("node", "hops")
 
 
+def graph_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest way between two customers over customers, their orders' parts and the parts' suppliers; of several the first by names."""
+    lines = T.read(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
+    made = lines.join(T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("c")), "l_orderkey")
+    one = made.select(F.col("c").alias("a"), F.col("p").alias("b")).unionByName(lines.select(F.col("p").alias("a"), F.col("s").alias("b"))).where("a is not null and b is not null").distinct()
+    both = cut(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = T.read(spark, sf_dir, "orders").agg(F.min("o_custkey").alias("a"), F.max("o_custkey").alias("b")).first()
+    chain = L.shortest_path(both, f"c{ends['a']}", f"c{ends['b']}")
+    return spark.createDataFrame(list(enumerate(chain)), "step long, node string")
+
+
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").select(F.col("event_id").alias("line"), "user_id", "event_type", "value")
 
@@ -476,7 +487,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
     search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
-    suggest_ranked, suggest_by_names, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
+    suggest_ranked, suggest_by_names, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, graph_shortest_path, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, notes_surfaced, log_carried, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,
 )}

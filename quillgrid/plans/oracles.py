@@ -239,6 +239,13 @@ SELECT conv_id, CAST(4 + coalesce(sum(k + 1) OVER (PARTITION BY conv_id ORDER BY
     "graph_bfs_hops": """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT 's0' AS node, 0 AS hops WHERE EXISTS (SELECT 1 FROM g WHERE a = 's0') UNION SELECT b, hops + 1 FROM r JOIN g ON a = node WHERE hops < 8)
 SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY 1""",
+    "graph_shortest_path": """WITH RECURSIVE l AS (SELECT l_orderkey, 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem),
+e AS (SELECT 'c' || o_custkey AS a, p AS b FROM l JOIN orders ON o_orderkey = l_orderkey UNION SELECT p, s FROM l), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+t AS (SELECT 'c' || min(o_custkey) AS a, 'c' || max(o_custkey) AS b FROM orders),
+r AS (SELECT b AS node, 0 AS hops FROM t UNION SELECT g.a, hops + 1 FROM r JOIN g ON g.b = node WHERE hops < 8), d AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1),
+w AS (SELECT t.a AS node, 0 AS step, d.hops AS todo FROM t JOIN d ON d.node = t.a
+UNION ALL SELECT (SELECT min(g.b) FROM g JOIN d ON d.node = g.b WHERE g.a = w.node AND d.hops = w.todo - 1), step + 1, todo - 1 FROM w WHERE todo > 0)
+SELECT CAST(step AS BIGINT) AS step, node FROM w""",
     "log_compact": "SELECT user_id, event_type, event_id AS line, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "prune_log": """SELECT event_id AS line, user_id, event_type, value FROM events WHERE event_type <> 'click' OR event_type IS NULL
 UNION ALL (SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)""",
