@@ -17,6 +17,7 @@ from ..operators import report as R
 from ..operators import search as S
 from ..operators import semlog as G
 from ..operators import suggest as U
+from ..operators.vectors import GroupedVectors
 from ..sources import tables as T
 from ..sources import html as H
 from ..sources import vault as V
@@ -118,6 +119,13 @@ def semsearch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.semantic_hits(near, _probe(spark, sf_dir), 10).select(F.col("path").cast("long").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def semsearch_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``semsearch_topk`` from vectors kept in groups: only groups that may hold one of the nearest are read."""
+    near = T.read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("vec"))
+    kept = GroupedVectors(spark, f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}").create(near)
+    return kept.search(_probe(spark, sf_dir), 10).select(F.col("path").cast("long").alias("vec_id"), F.round("cosine", 6).alias("cosine"))
+
+
 def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan = T.document_scan(spark, sf_dir)
     found = S.rank(scan, AND)
@@ -486,7 +494,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vault_files, vault_totals, directory_summary, term_df_idf, search_and, search_or_fallback, search_long_query, search_phrase, search_fields, search_field_title, search_rollup_sections,
-    search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
+    search_conversations, search_conversation_phrase, search_kept_index, kept_index_update, search_fused_rrf, search_hybrid, semsearch_topk, semsearch_grouped, evidence_lines, snippet_blocks, weak_signal, token_df, suggest_shared_terms, suggest_directory, suggest_refs,
     suggest_ranked, suggest_by_names, suggest_for_document, tag_counts, link_kinds, note_orphans, image_texts, markdown_sections, page_titles, page_links, ref_hubs, broken_links, backlink_hubs, orphans, graph_bfs_hops, graph_shortest_path, log_compact, prune_log, note_freshness, edge_freshness, embed_status,
     doctor_counters, update_diff, import_relation_mode, ext_coverage, name_parts, path_functions, path_pairs, ignore_rules, capped_counts, notes_matched, notes_surfaced, log_carried, plain_text_sections, page_sections,
     fuzzy_link_targets, event_windows,

@@ -184,6 +184,7 @@ SELECT term, df, round(ln(CAST(n AS DOUBLE) / CASE WHEN df > 0 THEN df ELSE 1 EN
     "kept_index_update": f"SELECT path, sha256(content) AS sha, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS words, CAST(length(content) AS BIGINT) AS n_chars FROM ({DOCS})",
     "search_fused_rrf": _fused(), "search_hybrid": _hybrid(),
     "semsearch_topk": f"SELECT vec_id, round({_COS}, 6) AS cosine FROM embeddings ORDER BY {_COS} DESC, CAST(vec_id AS VARCHAR) DESC LIMIT 10",
+    "semsearch_grouped": f"SELECT vec_id, round({_COS}, 6) AS cosine FROM embeddings ORDER BY {_COS} DESC, CAST(vec_id AS VARCHAR) DESC LIMIT 10",
     "evidence_lines": _evidence(8, 5) + "\nSELECT path, ord, text, round(CAST(idf AS DOUBLE), 4) AS idf, CAST(place AS BIGINT) AS place FROM pick",
     "snippet_blocks": _evidence(3, 8) + """, nr AS (SELECT DISTINCT path, unnest(range(ord - 2, ord + 3)) AS ord FROM pick), kp AS (SELECT path, ord, rtrim(text) AS text, ord - row_number() OVER (PARTITION BY path ORDER BY ord) AS g FROM ln JOIN nr USING (path, ord))
 SELECT path, first, text FROM (SELECT path, CAST(min(ord) AS BIGINT) AS first, trim(string_agg(text, chr(10) ORDER BY ord), chr(10)) AS text FROM kp GROUP BY path, g) WHERE text <> ''""",

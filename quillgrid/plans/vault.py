@@ -18,6 +18,7 @@ from ..operators import report as R
 from ..operators import search as S
 from ..operators import semlog as G
 from ..operators import suggest as U
+from ..operators.vectors import GroupedVectors
 from ..sources import vault as V
 from ..sources.index import KeptIndex
 
@@ -273,6 +274,10 @@ class Vault:
     def semsearch(self, vector: list[float], n: int = 10) -> DataFrame:
         return S.semantic_hits(self.fresh_embeds(), vector, n)
 
+    def grouped_vectors(self, path: str, groups: int = 64) -> GroupedVectors:
+        """The fresh vectors of now, kept in the folder ``path`` in groups, so that searches skip those that cannot hold a result."""
+        return GroupedVectors(self.spark, path).create(self.fresh_embeds(), groups)
+
     def compacted_log(self) -> DataFrame:
         """(line, raw) of the log without superseded records; write ``raw`` as text to a new folder to replace it."""
         return G.compacted(self.log()).select("line", "raw").orderBy("line")
