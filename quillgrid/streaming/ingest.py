@@ -1,13 +1,15 @@
-"""Streaming upserts: new and changed files of a folder, or any keyed stream, folded into a versioned table."""
+"""Streaming upserts: new and changed files of a folder, or any keyed stream, folded into a table of what each batch changed."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.tables import cut
 from ..operators.semlog import last_wins
 
 
@@ -18,19 +20,21 @@ def file_stream(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha"), F.col("modificationTime").alias("mtime"), "length")
 
 
-def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, *, parser: int | None = None) -> StreamingQuery:
-    """Fold every micro-batch into ``target``, a folder of versions: of each ``key`` the row of the greatest ``order`` stays.
+def upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: str, *, parser: int | None = None, most: int = 64) -> StreamingQuery:
+    """Fold every micro-batch into ``target``: of each ``key`` the row of the greatest ``order`` stays.
 
-    A version is a folder of its own, named by its batch and made from older ones alone; replaying a batch after a failure writes the same
-    rows again, so the fold is idempotent. Every ``parser`` version has a table and a checkpoint of its own: a new one begins with all files.
+    A batch writes its own rows only, one per key, to a folder named by its number; replaying it after a failure writes the same rows again.
+    ``current`` puts the folders together. They are merged into a base when they hold as much as the one before, so a row is written again only
+    as often as the table doubles, or when there are ``most`` of them. Every ``parser`` version has a table and a checkpoint of its own: a new one begins with all files.
     """
     target = of_parser(target, parser)
 
     def fold(batch: DataFrame, number: int) -> None:
-        name = f"v{number:012d}"
-        before = current(batch.sparkSession, target, below=name)
-        rows = batch if before is None else before.unionByName(batch)
-        last_wins(rows, key, order=order).write.mode("overwrite").parquet(f"{target}/{name}")
+        spark = batch.sparkSession
+        _newest(batch, key, order).write.mode("overwrite").parquet(f"{target}/v{number:012d}")
+        base, later = _split(_versions(spark, target))
+        if len(later) >= most or len(later) > 1 and sum(_size(spark, f"{target}/{v}") for v in later) >= (_size(spark, f"{target}/{base}") if base else 0):
+            compact(spark, target, key, order)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", of_parser(checkpoint, parser)).trigger(availableNow=True).queryName(f"upsert-{uuid.uuid4().hex[:8]}").start()
 
@@ -39,34 +43,82 @@ def of_parser(folder: str, parser: int | None) -> str:
     return folder if parser is None else f"{folder}/parser-{parser}"
 
 
+def _fs(spark: SparkSession, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _size(spark: SparkSession, folder: str) -> int:
+    fs, path = _fs(spark, folder)
+    return fs.getContentSummary(path).getLength()
+
+
 def _versions(spark: SparkSession, target: str) -> list[str]:
-    """The names of the whole versions, oldest first; a swept one comes right after the one it was made from."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The names of the whole folders, oldest first. After the number of the last batch before it, a list of deleted keys has another "s" and a base another "b"."""
+    fs, path = _fs(spark, target)
     if not fs.exists(path):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+    return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
 
+def _next(last: str, kind: str) -> str:
+    return f"{last}{'' if '-' in last else '-'}{kind}"
 
-def current(spark: SparkSession, target: str, *, below: str | None = None, parser: int | None = None) -> DataFrame | None:
-    """The newest version of an upserted table, or the newest one whose name is ``below`` another."""
+
+def _split(versions: list[str]) -> tuple[str | None, list[str]]:
+    """The last base and what came after it."""
+    bases = [k for k, v in enumerate(versions) if v.endswith("b")]
+    return (versions[bases[-1]], versions[bases[-1] + 1 :]) if bases else (None, versions)
+
+
+def current(spark: SparkSession, target: str, key: str, order: str, *, parser: int | None = None) -> DataFrame | None:
+    """The table as of now, or None before the first batch. Of rows of one key, those that were written before its last deletion don't count, then the greatest ``order`` does, and of equal ones the last written."""
+    target = of_parser(target, parser)
+    base, later = _split(_versions(spark, target))
+    rows = [v for v in ([base] if base else []) + later if not v.endswith("s")]
+    if not rows:
+        return None
+    read = lambda v: spark.read.parquet(f"{target}/{v}").withColumn("__version", F.lit(v))
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(read, rows))
+    gone = [read(v) for v in later if v.endswith("s")]
+    if gone:
+        last = reduce(DataFrame.unionByName, gone).groupBy(F.col(key).alias("__gone")).agg(F.max("__version").alias("__until"))
+        every = every.join(last, F.col(key).eqNullSafe(F.col("__gone")), "left").where("__until is null or __version > __until").drop("__gone", "__until")
+    return (_newest(every, key, order, "__version") if len(rows) > 1 else every).drop("__version")
+
+
+def _newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of each key the row of the greatest ``order``; null is least."""
+    return last_wins(rows.withColumn("__order", F.struct(*order)), key, order="__order").select(*rows.columns)
+
+
+def compact(spark: SparkSession, target: str, key: str, order: str, *, parser: int | None = None) -> None:
+    """Write the table as of now as a base. Folders before the base that it replaces go; those since then stay for readers that still use them."""
     target = of_parser(target, parser)
-    done = [v for v in _versions(spark, target) if below is None or v < below]
-    return spark.read.parquet(f"{target}/{done[-1]}") if done else None
+    versions = _versions(spark, target)
+    base, later = _split(versions)
+    if not later:
+        return
+    current(spark, target, key, order).write.mode("overwrite").parquet(f"{target}/{_next(versions[-1], 'b')}")
+    for v in versions[: versions.index(base)] if base else []:
+        fs, path = _fs(spark, f"{target}/{v}")
+        fs.delete(path, True)
 
 
-def sweep(spark: SparkSession, target: str, there: DataFrame, key: str, *, parser: int | None = None) -> int:
-    """A version of the table without the rows whose ``key`` is not among those of ``there``, and how many these were.
+def sweep(spark: SparkSession, target: str, there: DataFrame, key: str, order: str, *, parser: int | None = None) -> int:
+    """Write down that the rows whose ``key`` is not among those of ``there`` are deleted, and return how many these are.
 
-    A stream of files does not tell of deletions: ``there`` is a listing, made when no stream writes to the table.
+    A stream of files does not tell of deletions: ``there`` is a listing, made when no stream writes to the table. Only the deleted keys are written;
+    a key that comes again in a later batch is there again.
     """
-    kept = current(spark, target, parser=parser)
-    n = 0 if kept is None else kept.join(there.select(key), key, "left_anti").count()
+    kept = current(spark, target, key, order, parser=parser)
+    if kept is None:
+        return 0
+    folder = of_parser(target, parser)
+    gone = cut(kept.select(key).join(there.select(key), key, "left_anti"))
+    n = gone.count()
     if n:
-        folder = of_parser(target, parser)
-        last = _versions(spark, folder)[-1]
-        kept.join(there.select(key), key, "left_semi").write.parquet(f"{folder}/{last}{'s' if '-' in last else '-s'}")
+        gone.write.mode("overwrite").parquet(f"{folder}/{_next(_versions(spark, folder)[-1], 's')}")
     return n
 
 
