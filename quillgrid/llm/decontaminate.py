@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, let
 
 #: Words of a window, at most and at least; an item of fewer is held against whole texts.
 WINDOW, LEAST_WINDOW = 8, 5
+#: Words proper (no slots) of a template window that counts along a run, and of the run.
+PROPER, RUN_PROPER = 2, 4
 #: Units and ordinal endings after a number, in any case.
 UNITS = (
     "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "lb", "lbs", "oz", "ml", "cl", "l", "s", "sec", "secs", "min", "mins", "h", "hr", "hrs", "ms",
@@ -70,7 +73,8 @@ def _pattern(found: Column, values: Column, start: Column, length: Column) -> Co
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item, text) -> (hash, reading, item, ipos, length, n_words, pattern): the windows of every item. A window of a template counts only if at least half its words are no slots."""
+    """(item, text) -> (hash, reading, item, ipos, length, n_words, pattern, heavy, solid): the windows of every item. ``solid`` says of each word whether it is no slot, ``heavy`` that
+    most are slots; such with fewer than two words proper are left out."""
     tables = []
     for reading in (TEMPLATE, LITERAL):
         items = benchmark.select("item", proper(words(F.col("text"), reading)).alias("w"), slot_values(F.col("text")).alias("v")).where("size(w) > 0").dropDuplicates(["item", "w", "v"])
@@ -80,21 +84,39 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         hashes = let(every, own)
         each = items.select("item", "w", "v", "n_words", "length", F.posexplode(hashes).alias("ipos", "hash"))
         if reading == TEMPLATE:
-            slots = F.size(F.filter(F.slice("w", F.col("ipos") + 1, F.col("length")), lambda w: w.isin(NUMBER, QUANTITY, NAME)))
-            each = each.where(2 * slots <= F.col("length")).withColumn("pattern", _pattern(F.col("w"), F.col("v"), F.col("ipos"), F.col("length")))
+            each = each.withColumn("solid", F.transform(F.slice("w", F.col("ipos") + 1, F.col("length")), lambda w: ~w.isin(NUMBER, QUANTITY, NAME)))
+            each = each.withColumn("heavy", 2 * _count(F.col("solid")) < F.col("length")).where(~F.col("heavy") | (_count(F.col("solid")) >= PROPER))
+            each = each.withColumn("pattern", _pattern(F.col("w"), F.col("v"), F.col("ipos"), F.col("length")))
         else:
-            each = each.withColumn("pattern", F.array().cast("array<int>"))
-        tables.append(each.select("hash", F.lit(reading).alias("reading"), "item", "ipos", "length", "n_words", "pattern"))
+            each = each.withColumns({"pattern": F.array().cast("array<int>"), "heavy": F.lit(False), "solid": F.array().cast("array<boolean>")})
+        tables.append(each.select("hash", F.lit(reading).alias("reading"), "item", "ipos", "length", "n_words", "pattern", "heavy", "solid"))
     return tables[0].unionByName(tables[1])
 
 
+def _count(flags: Column) -> Column:
+    return F.size(F.filter(flags, lambda x: x))
+
+
+def _runs(windows: DataFrame, least: int) -> DataFrame:
+    """(id, version, reading, item, n_words, first, last): the runs of windows that follow one another word by word, and hold so many words, of which enough are proper, that windows full of slots count in them."""
+    of = ["id", "version", "reading", "item", "n_words"]
+    once = windows.groupBy(*of, "ipos", "length").agg(F.min("solid").alias("solid"))
+    run = once.withColumn("run", F.col("ipos") - F.row_number().over(W.partitionBy(*of).orderBy("ipos")))
+    first = F.min(F.struct("ipos", _count(F.col("solid")).alias("n"), F.element_at("solid", -1).cast("int").alias("end")))
+    per = run.groupBy(*of, "run").agg(first.alias("first"), F.max(F.col("ipos") + F.col("length") - 1).alias("last"), F.sum(F.element_at("solid", -1).cast("int")).alias("ends"))
+    # the first window's words, and the last word of each one after it
+    solid = F.col("first.n") - F.col("first.end") + F.col("ends")
+    whole = F.col("last") - F.col("first.ipos") + 1 >= F.least(F.lit(least), F.col("n_words"))
+    return per.where(whole & (solid >= RUN_PROPER)).select(*of, F.col("first.ipos").alias("first"), "last")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 13) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, covered) for every row of ``documents``.
 
     Texts become templates: rows of numbers, numbers with a unit ("5km", "3.5 miles") and runs of words with a capital, wherever they stand, are
     one typed placeholder each. Beside it, texts are read word by word in lower case, so that copies in any case match. Windows of 8 words of
-    either reading are joined by hash. A window of the template, at least half of it words proper, counts if its slots are
-    consistent: along it equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
+    either reading are joined by hash. A window of the template counts if its slots are consistent and at least half of it is words proper, or two are and it is part of a run of
+    windows that follow one another, over ``least`` words (or all of a shorter item), four of them proper: so a question that is mostly numbers is told by all of it. Consistent means that along it equal values of the item's slots stand for equal values of the document's. Different ones may stand for equal ones, as numbers
     of a re-parameterised copy may happen to be equal. A run of shared windows is so split at a conflicting slot, and the parts on either
     side count. A document is contaminated by the items of which, in one reading, such windows cover at least ``least`` words, or all words of a
     shorter item. ``covered`` is the largest such number of words.
@@ -114,7 +136,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     filled = _with_patterns(hits.where(F.col("reading") == TEMPLATE), docs, known, lengths).join(items.where(F.col("reading") == TEMPLATE), "hash")
     steady = F.forall(F.arrays_zip(F.col("pattern").alias("a"), F.col("found").alias("b")), lambda x: F.get("found", x["a"] - 1) == x["b"])
     fine = plain.drop("hash").unionByName(filled.where(steady).select(*(c for c in plain.columns if c != "hash")))
-    place = fine.select("id", "version", "reading", "item", "n_words", F.explode(F.sequence(F.col("ipos"), F.col("ipos") + F.col("length") - 1)).alias("place")).distinct()
+    fine = cut(fine.select("id", "version", "reading", "item", "n_words", "ipos", "length", "heavy", "solid").distinct())
+    spans = fine.where("not heavy").withColumns({"first": F.col("ipos"), "last": F.col("ipos") + F.col("length") - 1})
+    mixed = fine.where(F.col("reading") == TEMPLATE)
+    spans = spans.select("id", "version", "reading", "item", "n_words", "first", "last").unionByName(_runs(mixed, least))
+    place = spans.select("id", "version", "reading", "item", "n_words", F.explode(F.sequence("first", "last")).alias("place")).distinct()
     per = place.groupBy("id", "version", "reading", "item", "n_words").agg(F.count("*").alias("n")).where(F.col("n") >= F.least(F.lit(least), F.col("n_words")))
     marks = cut(per.groupBy("id", "version").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n")))
     out = docs.select("id", "version").alias("d").join(marks.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")

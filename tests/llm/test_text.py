@@ -160,19 +160,27 @@ def contamination_brute(texts, items, least=13):
         for k, item in enumerate(read(text)):
             n = min(8, len(item))
             for d, both in docs.items():
-                doc, cover = both[k], set()
+                doc, cover, hit = both[k], set(), set()
                 if n < 5 and len(doc) != len(item):
                     continue
                 for a in range(len(item) - n + 1):
                     want = item[a : a + n]
-                    if k == 0 and 2 * sum(w in slots for w, _ in want) > n:
+                    full = sum(w in slots for w, _ in want)
+                    if k == 0 and 2 * full > n and n - full < 2:
                         continue
                     for b in range(len(doc) - n + 1):
                         have = doc[b : b + n]
                         if [w for w, _ in want] == [w for w, _ in have]:
                             to = {}
                             if k or all(to.setdefault(x, y) == y for (w, x), (_, y) in zip(want, have) if w in slots):
-                                cover |= set(range(a, a + n))
+                                hit.add(a)
+                                cover |= set() if k == 0 and 2 * full > n else set(range(a, a + n))
+                for a in hit if k == 0 else ():
+                    end = a
+                    while end + 1 in hit:
+                        end += 1
+                    long = end + n - a >= min(least, len(item)) and sum(w not in slots for w, _ in item[a : end + n]) >= 4
+                    cover |= set(range(a, end + n)) if a - 1 not in hit and long else set()
                 if item and len(cover) >= min(least, len(item)):
                     out.setdefault(d, set()).add(i)
     return {d: sorted(out.get(d, ())) for d in texts}
@@ -213,6 +221,16 @@ def test_decontamination_splits_at_a_conflicting_slot(spark):
     assert got[2].covered > got[1].covered >= 13 and got[3].covered == 0
 
 
+def test_decontamination_of_questions_full_of_slots(spark):
+    item = "If 3 + 4 = 7 and 5 x 6 = 30 what is 8 x 9 - 2"
+    texts = ["So: if 4 + 5 = 9 and 2 x 8 = 16 what is 3 x 7 - 1? Say it.", "If 4 + 5 = 9 and 2 x 8 = 16 what is 3 x 7 - 1?", "If 4 + 5 = 9 and 2 x 8 = 16 then all is well", "Anna, Bob, Carl, Dora, Emil and Fritz met Gina, Hans, Ida and Jan in Kiel", "1 + 2 = 3 and 4 + 5 = 9 and 6 + 7 = 13 and 8 + 9 = 17"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = "Adam, Beth, Cleo, Dave, Eric and Fred met Gwen, Hugo, Iris and Jack in Leeds"
+    bench = spark.createDataFrame([(1, item), (2, names.replace("met", "and").replace("in", "and")), (3, "2 + 3 = 5 and 7 + 1 = 8 and 4 + 4 = 8 or 1 + 1 = 2")], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in contamination(docs, bench).collect()}
+    assert got == contamination_brute(dict(enumerate(texts)), {r.item_id: r.text for r in bench.collect()}) and got[1] == [1] and not (got[2] or got[3] or got[4])
+
+
 def test_decontamination_types_names_anywhere(spark):
     items = ["John has 5 apples and gives 2 to his sister", "The answer is known. Mary sold 7 eggs. John bought 3 of them. Carl lost 2 at home.", 'They said "Mary is a friend of NASA people since May" and left the room', "Der Hund sah die Katze im Garten und das Kind im Haus am See"]
     texts = ["Mary has 9 apples and gives 4 to his sister", "The answer is known. Olga sold 4 eggs. Peter bought 9 of them. Anna lost 8 at home.", 'They said "Olga is a friend of ESA people since July" and left the room', items[3].lower(), items[3].upper(), "x: " + items[0].lower(), "Mary has a dog and gives it food at home", "MARIA has 9 apples and gives 4 to his sister"]
