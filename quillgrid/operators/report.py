@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,3 +84,38 @@ def imported_edges(nodes: DataFrame, links: DataFrame, existing: DataFrame | Non
     best = counted.groupBy("src", "dst").agg(F.min(F.struct((-F.col("n")).alias("n"), "relation")).alias("m"), F.flatten(F.collect_list("some")).alias("every"))
     out = best.select("src", "dst", F.col("m.relation").alias("relation"), F.array_join(F.slice(F.array_sort(F.array_distinct("every")), 1, shown), " | ").alias("rationale"))
     return out if existing is None else out.join(existing.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti")
+
+
+def lines(parts: dict[str, DataFrame], shown: int = 5) -> DataFrame:
+    """(part, place, line): the report as markdown. ``parts`` are the frames of ``Vault.report``; of orphans and broken links the first ``shown`` are named."""
+
+    def part(k: int, title: str, df: DataFrame, line: Column, *order: Column) -> DataFrame:
+        """A heading and a line a row, by ``order`` (folders may be many, so they are not numbered but carry their place as text)."""
+        body = df.select(F.lit(k).alias("part"), F.struct(*(o.cast("string").alias(f"o{j}") for j, o in enumerate(order))).alias("o"), line.alias("line"))
+        body = body.select("part", F.concat_ws("\u0001", F.lit("1"), *(F.coalesce(F.col(f"o.o{j}"), F.lit("")) for j in range(len(order)))).alias("place"), "line")
+        head = body.limit(1).select("part", F.explode(F.array(F.struct(F.lit("0a").alias("place"), F.lit("").alias("line")), F.struct(F.lit("0b").alias("place"), F.lit(f"## {title}").alias("line")), F.struct(F.lit("0c").alias("place"), F.lit("").alias("line")))).alias("x")).select("part", "x.place", "x.line")
+        return head.unionByName(body)
+
+    most = lambda c: F.lpad((F.lit(1 << 40) - c).cast("string"), 14, "0")  # noqa: E731  # the greatest first
+    link = lambda title, path: F.concat(F.lit("["), F.coalesce(title, path), F.lit("]("), path, F.lit(")"))
+    n, path = F.col("n"), F.col("path")
+    folders_ = F.concat(F.lit("- `"), F.col("dir"), F.lit("/` ("), n, F.lit("): "), F.coalesce("titles", F.lit("")), F.when(n > 4, " …").otherwise(""))
+    first = lambda df, *order: df.orderBy(*order).limit(shown)
+    counted = lambda df, say: df.agg(F.count("*").alias("n")).select("n", F.concat(F.lit(f"- {say}: "), "n").alias("line"))
+    head = parts["totals"].select(F.lit(0).alias("part"), F.lit("1").alias("place"), F.concat(F.lit("# Vault: "), "n_files", F.lit(" documents, "), F.format_number("n_words", 0), F.lit(" words")).alias("line"))
+    health = [(0, counted(parts["orphans"], "documents without links")), (2, counted(parts["broken"], "broken links"))]
+    sums = reduce(DataFrame.unionByName, (df.select(F.lit(str(j)).alias("o"), "line") for j, df in health))
+    named = first(parts["orphans"], "path").select(F.lit("1").alias("o"), F.concat(F.lit("  - `"), "path", F.lit("`")).alias("line"))
+    named = named.unionByName(first(parts["broken"], "label", "src").select(F.lit("3").alias("o"), F.concat(F.lit("  - `"), "label", F.lit("` in "), "src").alias("line")))
+    return reduce(DataFrame.unionByName, (
+        head,
+        part(1, "Not indexed", parts["coverage"], F.concat(F.lit("- `"), "ext", F.lit("` "), "n"), most(n), F.col("ext")),
+        part(2, "Folders", parts["folders"], folders_, F.col("dir")),
+        part(3, "Most linked", parts["hubs"], F.concat(F.lit("- "), path, F.lit(" ← "), n), most(n), path),
+        part(4, "Recently changed", parts["recent"], F.concat(F.lit("- "), link(F.col("title"), path)), most(F.unix_seconds(F.col("mtime").cast("timestamp"))), path),
+        part(5, "Tags", parts["tags"], F.concat(F.lit("- `"), "tag", F.lit("` ("), n, F.lit(")")), most(n), F.col("tag")),
+        part(6, "Requirements in several documents", parts["refs"], F.concat(F.lit("- "), "dst", F.lit(" ("), n, F.lit(")")), most(n), F.col("dst")),
+        part(7, "Inferred connections", parts["edges"].where("fresh"), F.concat(F.lit("- "), "src", F.lit(" ↔ "), "dst", F.lit(" — "), F.coalesce("relation", F.lit("related"))), F.col("src"), F.col("dst"), F.col("relation")),
+        part(8, "Fresh notes", parts["notes"], F.concat(F.lit("- "), F.coalesce("question", F.lit(""))), F.col("question")),
+        part(9, "Health", sums.unionByName(named), F.col("line"), F.col("o"), F.col("line")),
+    ))

@@ -300,6 +300,11 @@ class Vault:
             "orphans": L.orphans(f.files, pairs), "broken": L.broken(f.links, f.files), "coverage": V.unindexed(V.listing(self.spark, self.root, self._all_patterns())),
         }
 
+    def write_report(self, path: str) -> None:
+        """The report as markdown, as lines of text in order in the folder ``path``."""
+        whole = cut(R.lines(self.report()))
+        whole.repartitionByRange("part", "place", "line").sortWithinPartitions("part", "place", "line").select("line").write.mode("overwrite").text(path)
+
     def doctor(self) -> dict[str, DataFrame]:
         f = self.frames
         now = V.listing(self.spark, self.root, self._all_patterns()).where(F.col("ext").isin(*V.C.INDEXED)).select("path", F.col("mtime").cast("string").alias("sha"))

@@ -159,6 +159,17 @@ def test_report_and_doctor(vault):
     assert {r.change: r.n for r in vault.doctor()["index"].collect()} == {"unchanged": 11}
 
 
+def test_report_text(vault, tmp_path):
+    vault.write_report(str(tmp_path / "report"))
+    got = [line for f in sorted((tmp_path / "report").glob("part-*")) for line in f.read_text().splitlines()]
+    assert got[0].startswith("# Vault: 11 documents, ") and got.count("## Folders") == 1
+    at = got.index("## Folders")
+    assert got[at + 2].startswith("- `engines/` (3): ") and [x[3:x.index("/`")] for x in got[at + 2 : at + 6]] == ["engines", "lone", "visit", "works"]
+    assert "- REQ-311 (2)" in got and "- `diesel` (1)" in got and "- `.dwg` 1" in got
+    broken, health = got.index("- broken links: 2"), got.index("## Health")
+    assert health < broken and "  - `phantom` in visit/café menu.md" in got[broken:]
+
+
 def test_update(vault):
     note = pathlib.Path(vault.root, "lone/turntable.org")
     old = note.read_text()
