@@ -27,6 +27,22 @@ from ..sources.index import KeptIndex
 GRAPH = "nodes array<struct<id: string, label: string, source_file: string>>, links array<struct<source: string, target: string, confidence: string, relation: string>>"
 
 
+#: A folder of this name marks the root of a vault.
+MARK = ".quillgrid"
+
+
+def find_root(spark: SparkSession, start: str, mark: str = MARK) -> str:
+    """``start`` or the nearest folder above it that holds ``mark``, in any file system that Spark reads; an error if there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(start).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = fs.makeQualified(hadoop.Path(start))
+    while at is not None:
+        if fs.exists(hadoop.Path(at, mark)):
+            return at.toString()
+        at = at.getParent()
+    raise FileNotFoundError(f"no {mark} in {start} or above it")
+
+
 class Vault:
     """``root`` is a folder that Spark can read; the log is a folder of JSON lines, each append a file of its own."""
 

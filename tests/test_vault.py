@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.operators import links as L
 from quillgrid.operators import report as R
 from quillgrid.operators import semlog as G
-from quillgrid.plans.vault import Vault
+from quillgrid.plans.vault import Vault, find_root
 from quillgrid.sources import html as H
 from quillgrid.sources import vault as V
 from quillgrid.sources.pdf import shown_text
@@ -159,6 +159,17 @@ def test_report_and_doctor(vault):
     assert {r.change: r.n for r in vault.doctor()["index"].collect()} == {"unchanged": 11}
 
 
+def test_root_discovery(spark, tmp_path):
+    inner = tmp_path / "a" / "b" / "c"
+    inner.mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        find_root(spark, str(inner))
+    (tmp_path / "a" / ".quillgrid").mkdir()
+    assert find_root(spark, str(inner)).endswith("/a") and find_root(spark, str(tmp_path / "a")).endswith("/a")
+    (inner / ".quillgrid").mkdir()
+    assert find_root(spark, f"file://{inner}").endswith("/a/b/c")
+
+
 def test_report_text(vault, tmp_path):
     vault.write_report(str(tmp_path / "report"))
     got = [line for f in sorted((tmp_path / "report").glob("part-*")) for line in f.read_text().splitlines()]
