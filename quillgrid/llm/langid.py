@@ -24,8 +24,8 @@ _CHUNK = 1 << 19
 DEVIATIONS = 8
 #: Calibration rows a language must have for a bound of its own.
 OWN_ROWS = 20
-#: The model's tables hold a number per n-gram and language; a language's share of the sample is at most so many code points over the square of the number of languages.
-TABLE_CHARS = 32_000_000
+#: Numbers that scoring holds at a time, a number per n-gram and language.
+_CELLS = 1 << 22
 
 
 def prepare(text: str | None) -> str:
@@ -38,41 +38,67 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
-    """For each place from ORDER - 1 on, the hash of the ``order`` code points that end there."""
+def gram_hashes(codes: np.ndarray) -> np.ndarray:
+    """For each place from ORDER - 1 on, the hash of the ORDER code points that end there."""
     n = max(0, len(codes) - ORDER + 1)
-    h = np.full(n, order, np.uint64)
-    for k in range(ORDER - order, ORDER):
+    h = np.full(n, ORDER, np.uint64)
+    for k in range(ORDER):
         h = h * _BASE + codes[k : k + n] + np.uint64(1)
     return mix(h)
 
 
+@dataclass
+class Postings:
+    """A sorted array of hashes; of each the languages that have it, with a number."""
+
+    keys: np.ndarray
+    begin: np.ndarray  #: of each key's postings, and their number
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Postings:
+        order = np.argsort(keys, kind="stable")
+        known, begin = np.unique(keys[order], return_index=True)
+        return cls(known, np.append(begin, len(keys)), lang[order].astype(np.uint16), value[order].astype(np.float32))
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``asked``, language, number) of all postings of all keys asked for."""
+        row, hit = _find(self.keys, asked)
+        place = np.flatnonzero(hit)
+        first = self.begin[row[place]]
+        n = self.begin[row[place] + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        return np.repeat(place, n), self.lang[at], self.value[at]
+
+
 @dataclass
 class Model:
-    """Per order a sorted array of n-gram hashes with a row of log probabilities (a column per language), and one of context hashes with back-off weights."""
+    """Per order the log probabilities of n-grams, and the log back-off weights of the contexts before them; of a language only those that it has, so that the size is linear in the languages."""
 
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    floor: float
-
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """log p of every code point from place ORDER - 1 on, a column per language."""
-        out = np.zeros((max(0, len(codes) - ORDER + 1), len(self.languages)), np.float32)
+    grams: list[Postings]
+    contexts: list[Postings]
+    floor: np.ndarray  #: log p of a code point that a language doesn't have
+
+    def logs(self, windows: np.ndarray) -> np.ndarray:
+        """log p of the last code point of each window (of ORDER) after the others, a column per language."""
+        out = np.zeros((len(windows), len(self.languages)))
+        missing = np.ones(out.shape, bool)
         rest = np.arange(len(out))
-        windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER) if len(out) else np.zeros((0, ORDER), np.uint64)
         for order in range(ORDER, 0, -1):
-            part = gram_hashes(codes, order) if order == ORDER else _row_hashes(windows[rest, ORDER - order :], order)
-            row, hit = _find(self.grams[order - 1][0], part)
-            out[rest[hit]] += self.grams[order - 1][1][row[hit]]
-            rest = rest[~hit]
-            if not len(rest):
-                return out
+            place, lang, value = self.grams[order - 1].find(_row_hashes(windows[rest, ORDER - order :], order))
+            place = rest[place]
+            new = missing[place, lang]
+            out[place[new], lang[new]] += value[new]
+            missing[place, lang] = False
+            rest = rest[missing[rest].any(1)]
             if order > 1:
-                row, hit = _find(self.contexts[order - 1][0], _row_hashes(windows[rest, ORDER - order : -1], order - 1))
-                out[rest[hit]] += self.contexts[order - 1][1][row[hit]]
-        out[rest] += self.floor
-        return out
+                place, lang, value = self.contexts[order - 1].find(_row_hashes(windows[rest, ORDER - order : -1], order - 1))
+                place = rest[place]
+                new = missing[place, lang]
+                out[place[new], lang[new]] += value[new]
+        return out + missing * self.floor
 
 
 def _row_hashes(rows: np.ndarray, order: int) -> np.ndarray:
@@ -115,65 +141,56 @@ def fit(counts: pd.DataFrame) -> Model:
     which = np.searchsorted(languages, counts["lang"].to_numpy(str)) if len(counts) else np.zeros(0, np.int64)
     alphabet = len(np.unique(windows)) + 1
     size, count = len(languages), counts["n"].to_numpy(float)
-    levels = []  # (hash of gram, hash of its context, hash of its suffix, count) by language, highest order first
+    of = lambda hashes, lang: mix(hashes + lang.astype(np.uint64))  # an n-gram or context of one language
+    levels = []  # (order, n-grams, language, count), highest order first; each pair of n-gram and language once
     rows, lang = windows, which
     for order in range(ORDER, 0, -1):
         levels.append((order, rows, lang, count))
         if order > 1:
-            tag = mix(_row_hashes(rows[:, 1:], order - 1) + lang.astype(np.uint64))
-            _, first, count = np.unique(tag, return_index=True, return_counts=True)
+            _, first, count = np.unique(of(_row_hashes(rows[:, 1:], order - 1), lang), return_index=True, return_counts=True)
             rows, lang, count = rows[first, 1:], lang[first], count.astype(float)
     grams, contexts = [None] * ORDER, [None] * ORDER
-    lower = np.full((1, size), -np.log(alphabet))
+    known, below, floor = np.zeros(0, np.uint64), np.zeros(0), np.full(size, -np.log(alphabet))
     for order, rows, lang, count in reversed(levels):
         gram, ctx = _row_hashes(rows, order), _row_hashes(rows[:, :-1], order - 1)
-        keys, at = np.unique(gram, return_inverse=True)
-        ckeys, cat = np.unique(ctx, return_inverse=True)
         n1, n2 = (np.bincount(lang[count == k], minlength=size).astype(float) for k in (1, 2))
         discount = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.9)
-        table, total, kinds = np.zeros((len(keys), size)), np.zeros((len(ckeys), size)), np.zeros((len(ckeys), size))
-        np.add.at(table, (at, lang), count)
-        np.add.at(total, (cat, lang), count)
-        np.add.at(kinds, (cat, lang), 1)
-        share = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        one, first = np.unique(at, return_index=True)
-        of = cat[first]
-        if order > 1:
-            back = _row_hashes(rows[first, 1:], order - 1)
-            row, _ = _find(grams[order - 2][0], back)
-            below = np.exp(grams[order - 2][1][row].astype(float))
-        else:
-            below = np.full((len(keys), size), 1 / alphabet)
-        p = np.maximum(table - discount, 0) * (table > 0) / np.maximum(total[of], 1) + share[of] * below
-        grams[order - 1] = (keys, np.log(p).astype(np.float32))
-        contexts[order - 1] = (ckeys, np.log(share).astype(np.float32))
+        _, first, at = np.unique(of(ctx, lang), return_index=True, return_inverse=True)
+        total, kinds = np.bincount(at, count, len(first)), np.bincount(at, minlength=len(first))
+        share = discount[lang[first]] * kinds / total
+        lower = below[np.searchsorted(known, of(_row_hashes(rows[:, 1:], order - 1), lang))] if order > 1 else 1 / alphabet
+        p = np.maximum(count - discount[lang], 0) / total[at] + share[at] * lower
+        grams[order - 1], contexts[order - 1] = Postings.of(gram, lang, np.log(p)), Postings.of(ctx[first], lang[first], np.log(share))
         if order == 1:
-            floor = float(np.log(share.min() / alphabet)) if len(share) else -np.log(alphabet)
+            floor[lang[first]] += np.log(share)
+        own = of(gram, lang)
+        known, below = np.sort(own), p[np.argsort(own)]
     return Model(languages, grams, contexts, floor)
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Per text the number of scored code points and, per language, the cross-entropy (nats a code point)."""
     count, loss = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
-    held, size = [], 0
+    held, size, most = [], 0, min(_CHUNK, _CELLS // max(len(model.languages), 1))
 
     def flush() -> None:
         codes = np.concatenate([c for _, c in held])
-        logs = np.concatenate([model.logs(codes), np.zeros((ORDER - 1, len(model.languages)), np.float32)])
         lengths = np.array([len(c) for _, c in held])
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         bounds = np.stack([begin, begin + lengths - ORDER + 1], 1).ravel()  # places whose window crosses into the next text are left out
-        sums = np.add.reduceat(logs.astype(np.float64), bounds[:-1], axis=0)[::2] if len(bounds) else 0
+        _, first, at = np.unique(gram_hashes(codes), return_index=True, return_inverse=True)  # each window is looked up once
+        logs = model.logs(np.lib.stride_tricks.sliding_window_view(codes, ORDER)[first])
         where = [k for k, _ in held]
         count[where] = lengths - ORDER + 1
-        loss[where] = -sums / count[where][:, None]
+        for lang in range(len(model.languages)):
+            loss[where, lang] = -np.add.reduceat(np.append(logs[at, lang], np.zeros(ORDER - 1)), bounds[:-1])[::2] / count[where]
 
     for k, text in enumerate(texts):
         ready = prepare(text)
         if ready:
             held.append((k, _codes(ready)))
             size += len(ready)
-        if size > _CHUNK:
+        if size > most:
             flush()
             held, size = [], 0
     if held:
@@ -224,12 +241,12 @@ def _medians(rows: DataFrame, value: Column, least_rows: int) -> Column:
     return _by_language({r["lang_pred"]: float(r["m"]) for r in found if r["n"] >= least_rows}, float(pooled or 0.0))
 
 
-def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 2_000_000, slack: float = 1.25, least_excess: float = 0.5) -> DataFrame:
+def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = 2_000_000, model_chars: int = 64_000_000, slack: float = 1.25, least_excess: float = 0.5) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) for every row of ``documents``; whole texts are scored.
 
     ``labelled`` (id, text, lang) gives the training rows; rows without a language or letters teach nothing. Of each language
-    a hash of the id picks rows of about ``sample_chars`` code points in all (all rows if there are fewer), a bound that
-    keeps the models small enough to broadcast (with more than four languages it shrinks with the square of their number, so that the tables of n-grams by languages don't grow); four fifths of the picked rows are counted (by Spark) into
+    a hash of the id picks rows of about ``sample_chars`` code points in all (all rows if there are fewer), and of
+    all languages together ``model_chars`` at most, each an equal part, which bounds what is fitted and broadcast; four fifths of the picked rows are counted (by Spark) into
     interpolated Kneser-Ney models of 4-grams, one fifth calibrates rejection. The prediction is the
     language of the lowest cross-entropy per code point (ties: the first name); ``score`` is its share in the softmax of the
     negative entropies times the number of code points (100 at most). ``rejected``: no letter, or an excess over the language's median entropy, scaled by the root of the length, of
@@ -242,7 +259,7 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     totals = {r["lang"]: float(r["size"]) for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("size")).collect()}
-    share, sample_chars = F.lit(0.0), min(sample_chars, TABLE_CHARS // max(len(totals), 1) ** 2)
+    share, sample_chars = F.lit(0.0), min(sample_chars, model_chars // max(len(totals), 1))
     for lang, size in totals.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample_chars / max(size, 1.0))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)

@@ -1,13 +1,14 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate as D
 from quillgrid.llm.chat_format import digest, escape, format_examples, read_turns, unescape
 from quillgrid.llm.decontaminate import TEMPLATE, contamination, proper, slot_values, words
-from quillgrid.llm.langid import identify_languages
+from quillgrid.llm.langid import fit, gram_counts, identify_languages, prepare, score_texts
 from quillgrid.llm.mixing import mix_sources, poisson_count, poisson_steps
 from quillgrid.llm.pii import distinct_surrogates, replace_pii
 from quillgrid.llm.url_filter import domain_and_suffix, filter_urls, host_and_path
@@ -37,6 +38,63 @@ def test_language_id_rejects_beside_a_noisy_label(spark):
     assert {1, 2} <= got and len(got) - 2 <= 0.03 * docs.count()
 
 
+def kneser_ney(texts):
+    """log p of a code point after three others, by the definition, in plain Python."""
+    from collections import Counter
+    from math import log
+
+    own = [prepare(t) for t in texts]
+    counts = {4: Counter(t[k - 3 : k + 1] for t in own for k in range(3, len(t)))}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    some = {n: Counter(c.values()) for n, c in counts.items()}
+    discount = {n: min(0.9, max(0.1, some[n][1] / max(1, some[n][1] + 2 * some[n][2]))) for n in counts}
+
+    def p(context, c, alphabet):
+        n = len(context) + 1
+        lower = p(context[1:], c, alphabet) if context else 1 / alphabet
+        after = [x for g, x in counts[n].items() if g[:-1] == context]
+        if not after:
+            return lower
+        return max(counts[n][context + c] - discount[n], 0) / sum(after) + discount[n] * len(after) / sum(after) * lower
+
+    return lambda context, c, alphabet: log(p(context, c, alphabet))
+
+
+def test_models_as_brute_force(spark):
+    """Every code point's probability in every language, of texts that were learnt from, of others, and with code points that no language has."""
+    learnt = {"aa": ["banana cabana", "papaya ananas", "a"], "bb": ["lynx hymn banana", "glyph", "glyph crypt"], "cc": ["ночь день", "день и свет"]}
+    rows = [(lang, t) for lang, ts in learnt.items() for t in ts]
+    model = fit(gram_counts(spark.createDataFrame(rows, "lang string, text string")).toPandas())
+    alphabet = len(set("".join(prepare(t) for _, t in rows))) + 1
+    asked = ["Banana!", "glyph, день", "zebra 漢字 x", "ночь lynx papaya", "q"]
+    own = {lang: kneser_ney(ts) for lang, ts in learnt.items()}
+    count, loss = score_texts([*asked, None, "12"], model)
+    assert model.languages == sorted(learnt) and list(count[-2:]) == [0, 0]
+    for k, text in enumerate(asked):
+        ready = prepare(text)
+        codes = np.array([list(map(ord, ready[j - 3 : j + 1])) for j in range(3, len(ready))], np.uint64)
+        by_hand = np.array([[own[lang](ready[j - 3 : j], ready[j], alphabet) for lang in model.languages] for j in range(3, len(ready))])
+        assert np.allclose(model.logs(codes), by_hand, atol=1e-5) and np.allclose(loss[k], -by_hand.mean(0), atol=1e-5) and count[k] == len(by_hand)
+
+
+def test_models_grow_by_what_languages_have(spark):
+    """Two hundred languages learn as much each as one alone would, and their models are as large as these together."""
+    import random
+
+    draw = random.Random(3)
+    rows = []
+    for k in range(200):
+        letters = draw.sample("abcdefghijklmnopqrstuvwxyz", 6)
+        rows += [(f"l{k:03}", " ".join("".join(draw.choices(letters, k=draw.randrange(2, 6))) for _ in range(60))) for _ in range(2)]
+    counts = gram_counts(spark.createDataFrame(rows, "lang string, text string")).toPandas()
+    whole, one = fit(counts), fit(counts[counts["lang"] == "l007"])
+    sizes = counts.groupby("lang").size()
+    assert len(whole.grams[-1].value) == sizes.sum() and len(one.grams[-1].value) == sizes["l007"]
+    _, loss = score_texts([t for _, t in rows], whole)
+    assert [whole.languages[k] for k in loss.argmin(1)] == [lang for lang, _ in rows]
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
