@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 MARKDOWN, PDF = (".md",), (".pdf",)
 HTML, PLAIN = (".html", ".htm"), (".txt", ".rst", ".org", ".adoc")
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".webp")
-INDEXED = (*MARKDOWN, *PDF, *HTML, *PLAIN, *IMAGES, ".svg")
+PROSE = (*MARKDOWN, *PDF, *HTML, *PLAIN)
+INDEXED = (*PROSE, *IMAGES, ".svg")
 TYPES = {"md": MARKDOWN, "html": HTML, "pdf": PDF, "image": (*IMAGES, ".svg"), "text": PLAIN}
 
 

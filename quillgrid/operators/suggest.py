@@ -21,15 +21,17 @@ def token_weights(scan: DataFrame) -> DataFrame:
     return strong.unionByName(weak).groupBy("path", "token").agg(F.max("weight").alias("weight"))
 
 
-def rare_tokens(weights: DataFrame, max_df: int) -> DataFrame:
-    """(token, d) of words that 2 to ``max_df`` documents have."""
-    return weights.groupBy("token").agg(F.count("*").alias("d")).where(F.col("d").between(2, max_df))
+def rare_tokens(weights: DataFrame, max_df: int, df: DataFrame | None = None) -> DataFrame:
+    """(token, d) of words that 2 to ``max_df`` documents have; ``df`` (token, d) are their frequencies, if they are kept."""
+    df = weights.groupBy("token").agg(F.count("*").alias("d")) if df is None else df
+    return df.where(F.col("d").between(2, max_df))
 
 
-def token_pairs(weights: DataFrame, max_df: int = 4) -> DataFrame:
+def token_pairs(weights: DataFrame, max_df: int = 4, df: DataFrame | None = None) -> DataFrame:
     """(a, b, amount, signal) for documents that share a word which 2 to ``max_df`` documents have; the cap bounds a word to so many pairs."""
-    weights = cut(weights)  # texts are taken apart once
-    of = cut(weights.join(rare_tokens(weights, max_df), "token"))
+    if df is None:
+        weights = cut(weights)  # texts are taken apart once
+    of = cut(weights.join(rare_tokens(weights, max_df, df), "token"))
     left, right = of.select("token", F.col("path").alias("a"), F.col("weight").alias("wa"), "d"), of.select("token", F.col("path").alias("b"), F.col("weight").alias("wb"))
     return left.join(right, "token").where("a < b").select("a", "b", (F.col("wa") * F.col("wb") / F.col("d")).alias("amount"), F.col("token").alias("signal"))
 
@@ -52,15 +54,19 @@ def folder_pairs(files: DataFrame, doc: str | None = None) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where(proximity(F.col("a"), F.col("b")) != "far")
 
 
-def suggest(scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None, linked: DataFrame | None = None, doc: str | None = None, max_df: int = 4, folders: bool = True, n: int | None = 10) -> DataFrame:
+def suggest(
+    scan: DataFrame, files: DataFrame, *, links: DataFrame | None = None, linked: DataFrame | None = None, doc: str | None = None, max_df: int = 4, folders: bool = True, n: int | None = 10,
+    words: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """(a, b, score, dir, signals): pairs that look related and are not ``linked`` (a, b) yet, best first; ``n=None`` gives all.
 
     Pairs that only share a folder are all made for one ``doc``, or where all are asked for; for the n best of all, ``folder_best`` makes the few that can be among them.
+    ``words`` are kept weights (path, token, weight) and frequencies (token, d) of the documents of ``scan``, which then is not read.
     """
-    weights = token_weights(scan)
+    weights, df = (token_weights(scan), None) if words is None else words
     if doc is not None:
-        weights = _shared_with(weights, doc)
-    pairs = token_pairs(weights, max_df)
+        weights = _shared_with(weights, doc, words is not None)
+    pairs = token_pairs(weights, max_df, df)
     if links is not None:
         pairs = pairs.unionByName(ref_pairs(links))
     if folders and (doc is not None or n is None):
@@ -83,9 +89,9 @@ def _best() -> tuple:
     return F.round("score", 6).desc(), F.col("a"), F.col("b")
 
 
-def _shared_with(weights: DataFrame, doc: str) -> DataFrame:
+def _shared_with(weights: DataFrame, doc: str, kept: bool = False) -> DataFrame:
     """The weights of the words that ``doc`` has; no others can join it to a document."""
-    weights = cut(weights)
+    weights = weights if kept else cut(weights)
     return weights.join(weights.where(F.col("path") == doc).select("token"), "token", "left_semi")
 
 

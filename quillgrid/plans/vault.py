@@ -132,9 +132,9 @@ class Vault:
         return steps.join(via, "step", "left").select("step", F.col("b").alias("path"), "via").orderBy("step")
 
     def suggest(self, doc: str | None = None, n: int | None = 10, max_df: int = 4) -> DataFrame:
-        prose = self.frames.files.where(F.col("ext").isin(".md", ".pdf", ".txt", ".rst", ".org", ".adoc", ".html", ".htm"))
+        prose = self.frames.files.where(F.col("ext").isin(*V.C.PROSE))
         linked = L.connections(self.frames.links.where("kind in ('wiki', 'md')"), self.frames.files, self.edges())
-        return U.suggest(self.frames.scan().join(prose.select("path"), "path", "left_semi"), prose, links=self.frames.links, linked=linked, doc=doc, max_df=max_df, n=n)
+        return U.suggest(self.frames.scan().join(prose.select("path"), "path", "left_semi"), prose, links=self.frames.links, linked=linked, doc=doc, max_df=max_df, n=n, words=self.index and self.index.words())
 
     def suggest_links(self, doc: str | None = None, n: int | None = 10, max_df: int = 4) -> DataFrame:
         """``suggest`` with wiki links to paste."""

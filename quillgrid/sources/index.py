@@ -1,8 +1,9 @@
-"""An index that outlives the session: the vault's tables in buckets by path, of which an update rewrites only those it touches, and trigram postings.
+"""An index that outlives the session: the vault's tables in buckets by path, of which an update rewrites only those it touches, trigram postings, and words with their document frequencies.
 
 A table is a folder of buckets (a hash of the document's path). Every bucket holds a marker row without a path, so that a bucket whose
 last document goes is overwritten too. ``files`` is written last: after a crash in between, its rows still show what was to be read,
-and the next update reads it again.
+and the next update reads it again. Frequencies are kept as counts of each bucket's documents, which a reader adds up: an update counts
+touched buckets only, and doing so twice changes nothing.
 """
 
 from __future__ import annotations
@@ -12,13 +13,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import IMAGES, extension
+from ..functions.columns import IMAGES, PROSE, extension
 from ..functions.tables import cut
 from ..functions.terms import Query, least_variants
+from ..operators.suggest import token_weights
 from .vault import PARSER, Frames, with_images
 
 #: The tables and the column that names the document of a row.
-TABLES = {"sections": "path", "links": "src", "alts": "src", "grams": "path", "files": "path"}
+TABLES = {"sections": "path", "links": "src", "alts": "src", "grams": "path", "tokens": "path", "files": "path"}
+#: The order in a bucket, where it is not that of documents.
+ORDER = {"grams": ["gram", "path"], "counts": ["token"]}
 #: Trigrams in more than this part of the documents (and in so many at least) have no postings: they would hardly narrow a search.
 COMMON, COMMON_LEAST = 0.1, 64
 #: Up to so many candidates are named in the scan itself, which then skips files and row groups; more are joined.
@@ -45,7 +49,7 @@ class KeptIndex:
 
     def _made(self):
         """The mark of an index that was made whole, and its file system."""
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_made")
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_made2")
         return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()), mark
 
     def exists(self) -> bool:
@@ -63,11 +67,9 @@ class KeptIndex:
 
     def _write(self, name: str, rows: DataFrame, buckets: list[int]) -> None:
         """``rows`` as the new content of ``buckets``; the others stay as they are."""
-        key = TABLES[name]
         marks = self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket")).where(F.col("bucket").isin(buckets))
-        whole = rows.withColumn("bucket", self._bucket(F.col(key))).unionByName(marks, allowMissingColumns=True)
-        order = ["bucket", "gram", key] if name == "grams" else ["bucket", key]
-        dealt = whole.repartition("bucket").sortWithinPartitions(*order)
+        dealt = rows if "bucket" in rows.columns else rows.withColumn("bucket", self._bucket(F.col(TABLES[name])))
+        dealt = dealt.unionByName(marks, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", *ORDER.get(name, [TABLES.get(name)]))
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def _grams(self, sections: DataFrame, common: DataFrame | None) -> DataFrame:
@@ -76,6 +78,19 @@ class KeptIndex:
         found = sections.select("path", F.explode(trigrams(fields)).alias("gram")).distinct()
         return found if common is None else found.join(common, "gram", "left_anti")
 
+    def _tokens(self, sections: DataFrame) -> DataFrame:
+        """(path, token, weight) of prose, by which documents are found to be alike."""
+        return token_weights(sections.where(extension(F.col("path")).isin(*PROSE)))
+
+    def _count(self, buckets: list[int]) -> None:
+        """Count the words of ``buckets`` as their tokens are now."""
+        self._write("counts", cut(self._rows("tokens").where(F.col("bucket").isin(buckets)).groupBy("bucket", "token").agg(F.count("*").alias("n"))), buckets)
+
+    def words(self) -> tuple[DataFrame, DataFrame]:
+        """(path, token, weight), and (token, d): the number of documents with a word. No text is read for either."""
+        counts = self._table("counts").where("token is not null")
+        return self._rows("tokens").drop("bucket"), counts.groupBy("token").agg(F.sum("n").alias("d"))
+
     def create(self, frames: Frames) -> Frames:
         """Write all tables of frames without images' sections (they depend on other documents and are made on opening)."""
         every, texts = list(range(self.buckets)), frames.sections
@@ -83,9 +98,10 @@ class KeptIndex:
         n = frames.files.count()
         common = grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > max(COMMON * n, COMMON_LEAST)).select("gram")
         common.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/common")
-        tables = {"sections": texts, "links": frames.links, "alts": frames.alts, "grams": grams.join(self._table("common"), "gram", "left_anti"), "files": frames.files}
+        tables = {"sections": texts, "links": frames.links, "alts": frames.alts, "grams": grams.join(self._table("common"), "gram", "left_anti"), "tokens": self._tokens(texts), "files": frames.files}
         for name, rows in tables.items():
             self._write(name, rows, every)
+        self._count(every)
         fs, mark = self._made()
         fs.create(mark, True).close()
         return self.open()
@@ -107,8 +123,10 @@ class KeptIndex:
         buckets = sorted(r["bucket"] for r in touched.select(self._bucket(F.col("path")).alias("bucket")).distinct().collect())
         if not buckets:
             return []
-        fresh = {"sections": new.sections, "links": new.links, "alts": new.alts, "grams": self._grams(new.sections, self._table("common")), "files": new.files}
+        fresh = {"sections": new.sections, "links": new.links, "alts": new.alts, "grams": self._grams(new.sections, self._table("common")), "tokens": self._tokens(new.sections), "files": new.files}
         for name, rows in fresh.items():
+            if name == "files":  # the last one
+                self._count(buckets)
             key = TABLES[name]
             stay = self._rows(name).where(F.col("bucket").isin(buckets)).join(touched.withColumnRenamed("path", key), key, "left_anti").drop("bucket")
             self._write(name, cut(stay.unionByName(rows.select(stay.columns))), buckets)

@@ -2,12 +2,14 @@
 
 import os
 import pathlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions.terms import parse
 from quillgrid.operators import search as S
+from quillgrid.operators.suggest import token_weights
 from quillgrid.plans.vault import Vault
 from quillgrid.sources import vault as V
 from quillgrid.sources.index import KeptIndex, term_grams
@@ -81,7 +83,7 @@ def test_search_reads_few_buckets(spark, place):
 def test_an_edit_rewrites_its_buckets_only(spark, place):
     root, index = place
     Vault(spark, root, None, PATTERNS, index=index, buckets=8)
-    before = {name: stamps(index, name) for name in ("files", "sections", "grams", "links")}
+    before = {name: stamps(index, name) for name in ("files", "sections", "grams", "links", "tokens", "counts")}
     note, gone = pathlib.Path(root, "more/n3.md"), pathlib.Path(root, "more/n4.md")
     note.write_text("# Note 3\n\nquixotic [[pacific]]\n")
     gone.unlink()
@@ -97,6 +99,39 @@ def test_an_edit_rewrites_its_buckets_only(spark, place):
     assert third.search("quixotic").first().path == "more/n3.md" and ("more/n3.md", "pacific") in {(r.src, r.dst) for r in third.frames.links.collect()}
 
 
+def test_frequencies_follow_adds_edits_and_deletions(spark, tmp_path):
+    """After each of several random updates, kept words and their frequencies are those of a fresh count, and suggestions are those of a fresh vault."""
+    draw, root, index = random.Random(5), tmp_path / "v", str(tmp_path / "ix")
+    text = lambda: f"# Head {draw.choice('pqrs')}eck\n\n" + " ".join(f"w{draw.randrange(12)}" for _ in range(14)) + "\n"
+    put(root, {f"d{k % 3}/n{k}.md": text() for k in range(14)} | {"d0/pic.svg": "<svg><text>reck reck</text></svg>"})
+    kept = Vault(spark, str(root), index=index, buckets=4)
+    for step in range(3):
+        if step:
+            there = sorted(p for p in root.rglob("*.md"))
+            for p in draw.sample(there, 2):
+                p.unlink()
+            left = [p for p in there if p.exists()]
+            put(root, {str(p.relative_to(root)): text() for p in draw.sample(left, 2)} | {f"d{step % 3}/new{step}.md": text()})
+            kept.update()
+        weights, df = kept.index.words()
+        fresh = token_weights(kept.frames.scan().where("path not like '%.svg'"))
+        assert rows(weights) == rows(fresh) and rows(df) == rows(fresh.groupBy("token").agg(F.count("*").alias("d")))
+    plain = Vault(spark, str(root))
+    assert rows(weights) == rows(token_weights(plain.frames.scan().where("path not like '%.svg'")))
+    assert rows(kept.suggest(n=None)) == rows(plain.suggest(n=None))
+    doc = plain.frames.files.where("ext = '.md'").agg(F.min("path")).first()[0]
+    assert rows(kept.suggest(doc)) == rows(plain.suggest(doc)) and kept.suggest(doc).count()
+
+
+def test_counting_twice_changes_nothing(spark, place):
+    root, index = place
+    kept = Vault(spark, root, None, PATTERNS, index=index, buckets=8)
+    before, files = rows(kept.index.words()[1]), stamps(index, "counts")
+    kept.index._count([1, 2])
+    assert rows(kept.index.words()[1]) == before
+    assert {d for d, x in stamps(index, "counts").items() if x != files[d]} == {"bucket=1", "bucket=2"}
+
+
 def test_another_parser_reads_all_again(spark, place, monkeypatch):
     root, index = place
     kept = Vault(spark, root, None, PATTERNS, index=index, buckets=8)
