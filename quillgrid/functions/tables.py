@@ -21,7 +21,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, so that nothing above it is ever computed twice."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` returned (not frames made from them). Only for tables that no frame still in use reads: what was made from them has been cut itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._cut_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:

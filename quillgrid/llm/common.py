@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.tables import checkpoint_dir, cut  # noqa: F401
+from ..functions.tables import checkpoint_dir, cut, drop  # noqa: F401
 
 #: The white space of every contract: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"

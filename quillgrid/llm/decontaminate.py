@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, drop, let
 
 #: Words of a window, at most and at least; an item of fewer is held against whole texts.
 WINDOW, LEAST_WINDOW = 8, 5
@@ -133,16 +133,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     every = F.concat(*(window_hashes(words(F.col("text"), reading), lengths, reading) for reading in (TEMPLATE, LITERAL)))
     hits = cut(docs.select("id", "version", F.explode(every).alias("hash")).join(known, "hash").distinct())
     plain = hits.where(F.col("reading") == LITERAL).select("id", "version", "hash").join(items.where(F.col("reading") == LITERAL), "hash")
-    filled = _with_patterns(hits.where(F.col("reading") == TEMPLATE), docs, known, lengths).join(items.where(F.col("reading") == TEMPLATE), "hash")
+    patterns, read = _with_patterns(hits.where(F.col("reading") == TEMPLATE), docs, known, lengths)
+    filled = patterns.join(items.where(F.col("reading") == TEMPLATE), "hash")
     steady = F.forall(F.arrays_zip(F.col("pattern").alias("a"), F.col("found").alias("b")), lambda x: F.get("found", x["a"] - 1) == x["b"])
     fine = plain.drop("hash").unionByName(filled.where(steady).select(*(c for c in plain.columns if c != "hash")))
     fine = cut(fine.select("id", "version", "reading", "item", "n_words", "ipos", "length", "heavy", "solid").distinct())
+    drop(items, known, hits, *read)
     spans = fine.where("not heavy").withColumns({"first": F.col("ipos"), "last": F.col("ipos") + F.col("length") - 1})
     mixed = fine.where(F.col("reading") == TEMPLATE)
     spans = spans.select("id", "version", "reading", "item", "n_words", "first", "last").unionByName(_runs(mixed, least))
     place = spans.select("id", "version", "reading", "item", "n_words", F.explode(F.sequence("first", "last")).alias("place")).distinct()
     per = place.groupBy("id", "version", "reading", "item", "n_words").agg(F.count("*").alias("n")).where(F.col("n") >= F.least(F.lit(least), F.col("n_words")))
     marks = cut(per.groupBy("id", "version").agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("n").alias("n")))
+    drop(fine)
     out = docs.select("id", "version").alias("d").join(marks.alias("x"), F.expr("d.id <=> x.id and d.version <=> x.version"), "left")
     return out.select(
         F.col("d.id").alias(id_col),
@@ -153,8 +156,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "
     )
 
 
-def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """(id, version, hash, found): the distinct patterns of slots that a hit's windows have in the document, read again from the few documents with hits."""
+def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths: list[int]) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, version, hash, found): the distinct patterns of slots that a hit's windows have in the document, read again from the few documents with hits; and the tables it reads."""
     hit = cut(hits.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version")).distinct())
     texts = cut(docs.join(hit, F.expr("id <=> hit_id and version = hit_version"), "left_semi").dropDuplicates(["id", "version"]))
     own = proper(words(F.col("text"), TEMPLATE))
@@ -167,4 +170,4 @@ def _with_patterns(hits: DataFrame, docs: DataFrame, known: DataFrame, lengths:
     # bound, so that a text is read once and not once for every window
     both = F.struct(own.alias("w"), slot_values(F.col("text")).alias("v"))
     each = let(both, lambda t: F.transform("windows", lambda x: F.struct(x["hash"].alias("hash"), _pattern(t["w"], t["v"], x["start"], x["length"]).alias("found"))))
-    return there.select("id", "version", F.explode(F.array_distinct(each)).alias("x")).select("id", "version", "x.hash", "x.found")
+    return there.select("id", "version", F.explode(F.array_distinct(each)).alias("x")).select("id", "version", "x.hash", "x.found"), [hit, texts, per]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import BLANKS, cut
+from .common import BLANKS, cut, drop
 
 #: Digests of a filter, on average; the number of filters follows from the snapshot's size.
 FILTER_KEYS = 400_000
@@ -80,7 +80,8 @@ def exact_duplicates(documents: DataFrame, *, snapshot: Column | None = None, id
     rows = cut(documents.select(F.col(id_col).alias("id"), F.sha2(squeezed(text), 256).alias("sha"), chars.alias("chars"), old.alias("old")))
     kept, fresh = cut(_best(rows.where("old"))), cut(_best(rows.where("not old")))
     buckets = 1 + kept.count() // filter_keys
-    maybe = screen(fresh.select("sha"), cut(build_filters(kept.select("sha"), buckets)), buckets)
+    filters = cut(build_filters(kept.select("sha"), buckets))
+    maybe = screen(fresh.select("sha"), filters, buckets)
     matches = cut(maybe.join(kept.select("sha", F.col("id").alias("old")), "sha").join(fresh.select("sha", F.col("id").alias("new")), "sha"))
     ids = matches.select(F.col("old").alias("id"), "sha").unionByName(matches.select(F.col("new").alias("id"), "sha")).distinct()
     held = cut(ids.select(F.col("id").alias("rep")).distinct())
@@ -88,6 +89,7 @@ def exact_duplicates(documents: DataFrame, *, snapshot: Column | None = None, id
     texts = named.join(held, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", squeezed(F.col("text")).alias("squeezed")).withColumn("sha", F.sha2("squeezed", 256))
     same = cut(_same_bytes(matches, texts))
     shared = cut(_merged(kept, fresh, same))
+    drop(kept, fresh, filters, matches, held, same)
     out = rows.join(shared, (rows["sha"] == shared["of"]) & (rows["old"] == shared["part"]))
     return out.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .shingles import mix
 
 #: Code points of the longest n-gram.
@@ -274,6 +274,7 @@ def identify_languages(documents: DataFrame, labelled: DataFrame, *, id_col: str
     centre = _medians(right, F.col("entropy"), 1)
     middle = _medians(right, _excess(centre)[1], OWN_ROWS)
     most = middle + DEVIATIONS * _medians(right, F.abs(_excess(centre)[1] - middle), OWN_ROWS)
+    drop(known)
     out = _scored(docs, model)
     excess, scaled = _excess(centre)
     rejected = (F.col("n") == 0) | ((scaled > most * slack) & (excess > least_excess))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -126,34 +127,45 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     member = cut(full.join(sets, ["f1", "f2"]).groupBy("id").agg(F.min("rep").alias("rep")))
     fold = member.where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     reps = cut(sketch.join(member.where("id = rep").select("id"), "id").select("id", "n", "bits", "bands").dropDuplicates(["id"]))
-    links = cut(fold.unionByName(_links(reps, named, words, percent)))
-    groups = cut(components(links))
-    texts = sketch.select("id", "n").join(groups, sketch["id"] == groups["node"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    sizes = cut(sketch.select("id", "n"))
+    drop(sets, sketch)
+    parts = _links(reps, named, words, percent)
+    links = cut(reduce(DataFrame.unionByName, parts, fold))
+    drop(member, reps, *parts)
+    groups = components(links)
+    drop(links)
+    texts = sizes.join(groups, sizes["id"] == groups["node"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     out = texts.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
     lost = sketches(docs.where("id is null"), words, bins, rows)
     return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
 
 
-def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(u, v) links between representatives that connect all that are linked by way of a bucket."""
+def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> list[DataFrame]:
+    """Tables of (u, v) links between representatives that connect all that are linked by way of a bucket."""
     entries = cut(reps.select(F.explode("bands").alias("key"), "id", "n"))
     buckets = cut(entries.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre")).where("m > 1"))
-    alive = cut(entries.join(buckets, "key"))
+    alive = cut(entries.join(buckets, "key").withColumn("comp", F.col("id")))
+    drop(entries, buckets)
     pairs = cut(alive.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
-    links = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
-    alive = _mixed(_merged(alive.withColumn("comp", F.col("id")), links))
+    links = [cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))]
+    alive = _open(alive, links[0])
     if not alive.limit(1).count():
+        drop(alive, pairs)
         return links
-    tested = pairs
-    rare, few = _rare(cut(alive.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()), docs, words)
-    alive = alive.join(few, ["centre", "id"], "left").withColumns({"core": F.col("n") - F.coalesce("lacks", F.lit(0)), "more": F.coalesce(F.col("lacks") - F.col("few"), F.lit(0))})
+    tested, tables = pairs, [pairs]
+    members = cut(alive.where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
+    rare, few = _rare(members, docs, words)
+    before, alive = alive, alive.join(few, ["centre", "id"], "left").withColumns({"core": F.col("n") - F.coalesce("lacks", F.lit(0)), "more": F.coalesce(F.col("lacks") - F.col("few"), F.lit(0))})
     alive = cut(alive.select(F.col("centre").alias("key"), "id", "n", "core", "more", "comp").distinct())  # from here on the buckets of one centre are one
+    drop(before, members, few)
     pairs = cut(_rare_pairs(rare, alive.withColumnRenamed("key", "centre"), percent).join(tested, ["u", "v"], "left_anti"))
     found = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
-    links, tested = links.unionByName(found), tested.unionByName(pairs)
-    alive = _mixed(_merged(alive, found))
-    least = cut(alive.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")))
-    alive = _mixed(cut(alive.join(least, "key").where(f"{100 + percent} * (core + more) >= {percent} * (n + least)").drop("least")))
+    drop(rare)
+    links, tested, tables = [*links, found], tested.unionByName(pairs), [*tables, pairs]
+    before = _open(alive, found)
+    least = cut(before.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("m")))
+    alive = _mixed(cut(before.join(least, "key").where(f"{100 + percent} * (core + more) >= {percent} * (n + least)").drop("least")))
+    drop(before, least)
     centres, most = 1, alive.agg(F.max("m")).first()[0]
     while most is not None and centres < most:
         centres *= CENTRES
@@ -162,26 +174,34 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         pairs = near.select(F.greatest("id", "id2").alias("u"), F.least("id", "id2").alias("v")).distinct()
         pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
         found = cut(confirmed(_plausible(pairs, reps, percent), docs, words, percent))
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        alive = _mixed(_merged(alive, found))
+        links, tested, tables = [*links, found], tested.unionByName(pairs), [*tables, pairs]
+        alive = _open(alive, found)
         most = alive.agg(F.max("m")).first()[0]
+    drop(alive, *tables)
     return links
 
 
+def _open(alive: DataFrame, links: DataFrame) -> DataFrame:
+    """What is left of ``alive`` (a table of buckets of more than one component each, which goes) once new links have joined components."""
+    return _mixed(_merged(alive, links)) if links.limit(1).count() else alive
+
+
 def _merged(alive: DataFrame, links: DataFrame) -> DataFrame:
-    """``alive`` with the components that new links between its documents make of the present ones."""
-    if not links.limit(1).count():
-        return alive
+    """``alive`` (a table, which goes) with the components that new links between its documents make of the present ones."""
     comp = cut(alive.select("id", "comp").distinct())
     ends = links.join(comp.toDF("u", "cu"), "u").join(comp.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    moved = cut(components(ends).toDF("comp", "into"))
-    return cut(alive.join(moved, "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into"))
+    moved = components(ends)
+    out = cut(alive.join(moved.toDF("comp", "into"), "comp", "left").withColumn("comp", F.coalesce("into", "comp")).drop("into"))
+    drop(alive, comp, moved)
+    return out
 
 
 def _mixed(alive: DataFrame) -> DataFrame:
-    """The buckets that hold more than one component."""
+    """The buckets of ``alive`` (a table, which goes) that hold more than one component."""
     keys = cut(alive.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key"))
-    return cut(alive.join(keys, "key"))
+    out = cut(alive.join(keys, "key"))
+    drop(alive, keys)
+    return out
 
 
 def _rare(pairs: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +219,9 @@ def _rare(pairs: DataFrame, docs: DataFrame, words: int) -> tuple[DataFrame, Dat
     rare = cut(each.join(seldom.where("c > 1").select("centre", "h"), ["centre", "h"]).distinct())
     once = seldom.where("c = 1").select("centre", "id").unionByName(rare.select("centre", "id"))
     marked = once.withColumn("few", F.lit(1)).unionByName(each.select("centre", "id", F.lit(0).alias("few")))
-    return rare, cut(marked.groupBy("centre", "id").agg(F.sum("few").alias("few"), F.sum(1 - F.col("few")).alias("lacks")))
+    few = cut(marked.groupBy("centre", "id").agg(F.sum("few").alias("few"), F.sum(1 - F.col("few")).alias("lacks")))
+    drop(each, seldom)
+    return rare, few
 
 
 def _rare_pairs(rare: DataFrame, known: DataFrame, percent: int) -> DataFrame:

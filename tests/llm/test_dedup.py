@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -8,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import fuse_filter
+from quillgrid.llm.common import checkpoint_dir
 from quillgrid.llm.components import components
+from quillgrid.llm.decontaminate import contamination
 from quillgrid.llm.exact_dedup import exact_duplicates
 from quillgrid.llm.line_dedup import drop_repeated_lines
 from quillgrid.llm.near_dup import near_duplicates
@@ -98,6 +101,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_tables_that_are_done_with_are_deleted(spark):
+    """Of the tables an operator writes only those stay that its result reads."""
+    kept = lambda: set(os.listdir(checkpoint_dir(spark).removeprefix("file:")))
+    rows = docs(spark, near_corpus()).cache()
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    items = spark.createDataFrame([(1, near_corpus()[40][1])], "item_id long, text string")
+    makers = {"near": lambda: near_duplicates(rows, words=2), "exact": lambda: exact_duplicates(rows), "components": lambda: components(chain), "leaks": lambda: contamination(rows, items)}
+    left, sizes = {}, {}
+    for name, make in makers.items():
+        before = kept()
+        made = make()
+        left[name] = len(kept() - before)
+        sizes[name] = made.count()
+    assert left == {"near": 2, "exact": 2, "components": 1, "leaks": 1} and sizes == {"near": rows.count(), "exact": rows.count(), "components": 41, "leaks": rows.count()}
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 100, 20_000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
