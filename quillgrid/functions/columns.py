@@ -81,6 +81,11 @@ def line_feeds(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def trim_spaces(text: Column) -> Column:
+    """Without spaces of any script at both ends; tabs and line ends stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def first_line(text: Column, width: int) -> Column:
     return F.substr(F.substring_index(text, "\n", 1), F.lit(1), F.lit(width))
 

@@ -468,8 +468,12 @@ def log_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of every document as plain text."""
-    each = T.document_scan(spark, sf_dir).select("path", F.posexplode(plain_sections(F.col("content"))).alias("sec_no", "s"))
+    """Sections of every document as plain text; a document without any text (none, empty or blank) has one row too, so that no document is left out."""
+    text = F.col("content")
+    heading = F.substr(C.trim_spaces(F.substring_index(text, "\n", 1)), F.lit(1), F.lit(60))
+    alone = F.array(F.struct(F.lit(1).alias("line"), F.lit(1).alias("level"), heading.alias("heading"), F.btrim(text, F.lit("\n")).alias("content")))
+    sections = C.let(plain_sections(text), lambda s: F.when(F.size(s) > 0, s).otherwise(alone))
+    each = T.document_scan(spark, sf_dir).select("path", F.posexplode(sections).alias("sec_no", "s"))
     return each.select("path", F.col("sec_no").cast("long").alias("sec_no"), F.col("s.line").cast("long").alias("line"), F.col("s.heading").alias("heading"), F.char_length("s.content").cast("long").alias("n_chars"))
 
 

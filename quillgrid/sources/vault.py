@@ -22,7 +22,7 @@ SKIPPED_FOLDERS = (".obsidian", ".git", ".quillgrid", "node_modules", ".github",
 SKIPPED_FILES = ("MAP.md", ".vaultignore")
 SECTION = "array<struct<line:int,level:int,heading:string,content:string>>"
 #: Of the code below; rows of another version are read anew by an update.
-PARSER = 3
+PARSER = 4
 #: So many touched files are named to the reader.
 NAMED = 1_000
 #: A plain-text section ends at the first blank line after so many lines that are not.
@@ -136,7 +136,7 @@ def plain_sections(text: Column) -> Column:
 
     def sections(c: Column, lines: Column) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: F.struct((F.get(c, k - 1) + 1).alias("line"), F.lit(1).alias("level"), F.slice(lines, F.get(c, k - 1) + 1, F.get(c, k) - F.get(c, k - 1)).alias("own")))
-        named = F.transform(made, lambda x: F.struct(x["line"], x["level"], F.substr(F.trim(F.get(F.filter(x["own"], lambda t: ~_blank(t)), F.lit(0))), F.lit(1), F.lit(60)).alias("heading"), F.btrim(F.array_join(x["own"], "\n"), F.lit("\n")).alias("content")))
+        named = F.transform(made, lambda x: F.struct(x["line"], x["level"], F.substr(C.trim_spaces(F.get(F.filter(x["own"], lambda t: ~_blank(t)), F.lit(0))), F.lit(1), F.lit(60)).alias("heading"), F.btrim(F.array_join(x["own"], "\n"), F.lit("\n")).alias("content")))
         return F.filter(named, lambda x: x["heading"].isNotNull()).cast(SECTION)
 
     return F.element_at(F.transform(F.array(F.struct(cuts.alias("c"), F.split(text, "\n").alias("l"))), lambda s: sections(s["c"], s["l"])), 1)

@@ -35,6 +35,24 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_plain_text_sections_of_odd_texts(spark, tmp_path):
+    """Documents without text, and spaces of other scripts around the first line."""
+    import duckdb
+
+    texts = [None, "", "  ", "\n\n", "\t\n ", "\u00a0", " \u00a0first\u3000 \nsecond", "\tone\t", "one\r\ntwo\u2003", "é" * 70 + "\nx\n", "a\n\nb", "\n".join("line" for _ in range(40))]
+    rows = [(k, t, "en" if k % 2 else None, "s", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["plain_text_sections"](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert len(got) == len(texts) and rows_of(got) == rows_of(c.execute(ORACLES["plain_text_sections"]).fetchdf())
+
+
+def rows_of(frame):
+    """``rows`` with whole numbers that a frame with nulls holds as doubles."""
+    return rows(frame.assign(n_chars=frame["n_chars"].astype("float64")))
+
+
 def test_close_names_as_difflib(spark):
     import difflib
     import random
