@@ -105,41 +105,66 @@ def scored_pairs(files: DataFrame, pairs: DataFrame) -> DataFrame:
 def folder_best(files: DataFrame, ranked: DataFrame, taken: DataFrame, n: int) -> DataFrame:
     """The n best of the pairs ``ranked`` (a, b, score, dir, signals) and of all pairs in one folder or sibling folders that are not ``taken`` (a, b), without making all of these.
 
-    Such a pair scores its folder's bonus and what name parts both have. Files of one folder with the same shared parts pair alike with any other, so that only the first
-    by path of each such class count: n, and as many as any file has taken pairs. Pairs are made by parts that few files have, then by more frequent ones, until those left, which can only
-    share more frequent parts, score less than the n-th best. Pairs that share none score the bonus alone, and are made of the first files by path.
+    Such a pair scores its folder's bonus and what name parts both have. Files of one folder with the same shared parts are a class and pair alike with any other, so that only the first
+    by path of each class count: n, and as many as any file has taken pairs. The heaviest classes' own pairs set the bar. From there on classes are paired, not files, by the rarest part that
+    both have, rare parts first: a class takes part with those of its parts that, with its more frequent ones, can still reach the n-th best, which rises on the way; where none is left, all is found.
+    Pairs that share no part score the bonus alone, and are made of the first files by path.
     """
     total = max(files.count(), 1)
+    shared = lambda bag: F.aggregate(bag, F.lit(0.0), lambda s, p: s + F.ln(F.lit(float(total)) / p["d"]))
     of = files.where("not lower(path) like '%.pdf'").select("path", folder(F.col("path")).alias("dir"), folder(folder(F.col("path"))).alias("above"))
     parts = files.select("path", F.explode(name_tokens(F.col("path"))).alias("part"))
     df = cut(parts.groupBy("part").agg(F.count("*").alias("d")).where(F.col("d").between(2, total - 1)))
-    bags = cut(of.join(parts.join(df, "part").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("d", "part"))).alias("bag")), "path", "left"))
-    steps = sorted(4 ** r["step"] for r in df.select(F.ceil(F.log2("d") / 2).cast("int").alias("step")).distinct().collect())
+    bags = cut(of.join(parts.join(df, "part").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("d", "part"))).alias("bag")), "path", "left").withColumn("bag", F.coalesce("bag", F.array())))
     degrees = taken.select(F.col("a").alias("path")).unionByName(taken.select(F.col("b").alias("path"))).groupBy("path").agg(F.count("*").alias("n"))
     first = n + 1 + (degrees.agg(F.max("n")).first()[0] or 0)
     head = lambda rows, *key: rows.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("path"))).where(F.col("r") <= first).drop("r")
-    kept = cut(head(bags.withColumn("key", F.to_json("bag")), "dir", "key").select("path", "above", "bag"))
-
-    def free(pairs: DataFrame) -> DataFrame:
-        """Pairs (x, y) that are near and not taken, scored."""
-        near = pairs.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().where(proximity(F.col("a"), F.col("b")) != "far")
-        left = near.join(taken, ["a", "b"], "left_anti").select("a", "b", F.lit(0.0).alias("base"), F.array().cast("array<string>").alias("signals"))
-        return scored_pairs(files, left)
-
-    both = lambda rows, *key: rows.select(*key, F.col("path").alias("x")).join(rows.select(*key, F.col("path").alias("y")), list(key))
-    best = cut(ranked.unionByName(free(both(head(of, "dir"), "dir"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
-    low, n_found, worst = 0, 0, 0.0
-    for high in steps or [total]:
-        own = kept.select("above", "path", F.explode("bag").alias("p")).where(F.col("p.d").between(low + 1, high)).select("above", "path", F.col("p.part").alias("part"))
-        best = cut(best.unionByName(free(both(own, "above", "part"))).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
-        n_found, worst = best.agg(F.count("*"), F.min("score")).first()
-        weight = lambda s, p: s + F.when(p["d"] > high, F.ln(F.lit(float(total)) / p["d"])).otherwise(0.0)  # noqa: B023, E731
-        rest = bags.agg(F.max(F.aggregate("bag", F.lit(0.0), weight))).first()[0] or 0.0
-        if n_found == n and worst > SAME + NAME_WEIGHT * rest + 1e-6:
+    alike = W.partitionBy("dir", "key")
+    kept = cut(head(bags.withColumn("key", F.to_json("bag")), "dir", "key").withColumns({"class": F.min("path").over(alike), "size": F.count("*").over(alike)}).drop("key"))
+    classes = cut(kept.where("path = class").withColumn("weight", shared(F.col("bag"))).drop("path"))
+
+    def pair_score(x: str, y: str) -> tuple:
+        """(score, dir) of near pairs by their folders and bags."""
+        same = F.col(f"{x}.dir") == F.col(f"{y}.dir")
+        return F.when(same, SAME).otherwise(SIBLING) + NAME_WEIGHT * shared(F.array_intersect(f"{x}.bag", f"{y}.bag")), F.when(same, "same").otherwise("sibling")
+
+    def both(rows: DataFrame, *key: str) -> DataFrame:
+        """All pairs of files with the same key, scored."""
+        score, near = pair_score("x", "y")
+        pairs = rows.alias("x").join(rows.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key] + [F.col("x.path") < F.col("y.path")])
+        return pairs.select(F.col("x.path").alias("a"), F.col("y.path").alias("b"), score.alias("score"), near.alias("dir"))
+
+    def better(best: DataFrame, pairs: DataFrame) -> tuple[DataFrame, tuple[float, str] | None]:
+        """The n best with what is not taken of ``pairs``, and the score and first path of the last of them, if there are n."""
+        free = pairs.join(taken, ["a", "b"], "left_anti").withColumn("signals", F.array().cast("array<string>"))
+        best = cut(best.unionByName(free).dropDuplicates(["a", "b"]).orderBy(*_best()).limit(n))
+        found, last = best.agg(F.count("*"), F.max(F.struct((-F.round("score", 6)).alias("s"), "a", "b"))).first()
+        return best, (-last["s"], last["a"]) if found == n else None
+
+    heaviest = classes.where("size > 1").orderBy(F.round("weight", 6).desc(), "class").limit(n).select("class")
+    best, worst = better(ranked, both(kept.join(heaviest, "class", "left_semi"), "class"))
+    if worst is None or worst[0] <= SAME + 1e-6:
+        best, worst = better(best, both(head(bags, "dir"), "dir"))
+    step = -1
+    while True:
+        need = 0.0 if worst is None else (worst[0] - SAME) / NAME_WEIGHT - 1e-5
+        own = classes.where(F.col("weight") >= need).select("*", F.posexplode("bag").alias("i", "p")).where(shared(F.slice("bag", F.col("i") + 1, F.size("bag"))) >= need)
+        own = own.select("class", "size", "dir", "above", "bag", F.col("p.part").alias("part"), F.ceil(F.log2("p.d") / 2).cast("int").alias("step"))
+        step = own.where(F.col("step") > step).agg(F.min("step")).first()[0]
+        if step is None:
             break
-        low = high
-    if n_found < n or worst <= SIBLING + 1e-6:
-        best = best.unionByName(free(both(head(of, "above"), "above"))).dropDuplicates(["a", "b"])
+        own = own.where(F.col("step") == step)
+        score, near = pair_score("x", "y")
+        rarest = F.get(F.array_intersect("x.bag", "y.bag"), F.lit(0))["part"] == F.col("x.part")
+        pairs = own.alias("x").join(own.alias("y"), (F.col("x.above") == F.col("y.above")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.class") <= F.col("y.class")))
+        pairs = pairs.where(rarest & ((F.col("x.class") < F.col("y.class")) | (F.col("x.size") > 1))).select(F.col("x.class").alias("cx"), F.col("y.class").alias("cy"), score.alias("score"), near.alias("dir"))
+        if worst is not None:
+            at = F.round("score", 6)
+            pairs = pairs.where((at > worst[0]) | (at == worst[0]) & (F.col("cx") <= worst[1]))
+        made = pairs.join(kept.select(F.col("class").alias("cx"), F.col("path").alias("x")), "cx").join(kept.select(F.col("class").alias("cy"), F.col("path").alias("y")), "cy")
+        best, worst = better(best, made.where("cx < cy or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score", "dir"))
+    if worst is None or worst[0] <= SIBLING + 1e-6:
+        best, worst = better(best, both(head(bags, "above"), "above"))
     return best.orderBy(*_best()).limit(n)
 
 
