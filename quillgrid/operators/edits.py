@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,67 +12,95 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import folder, let, link_stem, stem
 from ..functions.tables import cut
+from .closeness import Chunk, common, counts, distinct, split
 from .links import MARKDOWN, WIKI, names, resolve_relative
 
 RELATED = ("related", "related pages", "related docs", "see also")
 
 
-#: Labels that are held against all names at a time, and classes of characters that are counted.
-BLOCK, CLASSES = 4_096, 64
+#: Labels that are held against all names at a time; names of a chunk; chunks in which a label is looked up first.
+BLOCK, CHUNK, HOMES = 32_768, 50_000, 3
 
 
 def close_names(labels: DataFrame, known: DataFrame, n: int = 3, cutoff: float = 0.6) -> DataFrame:
     """(label, candidate, ratio): for every label its up to n most similar known names, by the ratio of matching blocks.
 
-    The labels are a query set: in blocks of bounded size they are broadcast and held against all names, which are dealt to all cores. What two names can have in
-    common at most (by their lengths, and by how often they have each class of characters) bounds the ratio from above. A task compares names from the highest
-    bound down and stops where the bound falls below ``cutoff`` or the n-th best ratio it has, so that few pairs are compared and none of the best is lost.
+    The labels are a query set: in blocks of bounded size they are broadcast. Names are dealt by their letters to chunks of bounded size, so that a chunk has names alike. What two names can
+    have in common at most bounds the ratio from above: by their letters, by letters and digits, and by the longest common subsequence. A label is first held against the few chunks with the
+    highest bound by letters; its n-th best ratio there is a bar that all other chunks' names have to reach, so that few names are compared and none of the best is lost.
     """
     spark = labels.sparkSession
     wanted = cut(labels.select("label", link_stem(F.col("label")).alias("low")).where("label is not null").distinct())
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    names_ = cut(known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct().repartition(tasks))
+    all_names = cut(known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct())
+    total = all_names.count()
+    chunks = max(-(-total // CHUNK), min(tasks, -(-total // 1_000)), 1)
+    letters = F.array_join(F.array_sort(F.split(F.regexp_replace("candidate", "[0-9]", ""), "")), "")
+    names_ = cut(all_names.repartitionByRange(chunks, letters, F.col("candidate")).withColumn("chunk", F.spark_partition_id()))
+    dealt = names_.repartitionById(chunks, "chunk")
     blocks = 1 + wanted.count() // BLOCK
     scored = None
     for k in range(blocks):
         part = wanted.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k).toPandas()
-        found = _held_against(names_, part, n, cutoff)
-        scored = found if scored is None else scored.unionByName(found)
+        if len(part):
+            found = _held_against(dealt, part, n, cutoff)
+            scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        return wanted.select("label", F.col("low").alias("candidate"), F.lit(0.0).alias("ratio")).where("false")
     return scored.withColumn("r", F.row_number().over(W.partitionBy("label").orderBy(F.desc("ratio"), F.desc("candidate")))).where(F.col("r") <= n).drop("r")
 
 
-def _held_against(known: DataFrame, labels: pd.DataFrame, n: int, cutoff: float) -> DataFrame:
-    """The n best of each task's names for each label."""
-    shared = known.sparkSession.sparkContext.broadcast((labels["label"].tolist(), labels["low"].tolist()))
-
-    def counts(names: list[str]) -> np.ndarray:
-        out = np.zeros((len(names), CLASSES), np.int32)
-        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
-        np.add.at(out, (np.repeat(np.arange(len(names)), [len(x) for x in names]), codes), 1)
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names_of, lows = shared.value
-        best, theirs_of = [[] for _ in lows], counts(lows)
-        for batch in batches:
-            candidates = batch["candidate"].tolist()
-            theirs, length = counts(candidates), batch["candidate"].str.len().to_numpy()
-            for low, own, kept in zip(lows, theirs_of, best):
-                bound = 2 * np.minimum(theirs, own).sum(1) / np.maximum(length + len(low), 1)
-                some = np.flatnonzero(bound >= cutoff)
-                matcher = difflib.SequenceMatcher(None, "", low)
-                for at in some[np.argsort(-bound[some], kind="stable")]:
-                    if len(kept) == n and bound[at] < kept[-1][0]:
-                        break
-                    matcher.set_seq1(candidates[at])
-                    ratio = matcher.ratio()
-                    if ratio >= cutoff:
-                        kept.append((ratio, candidates[at]))
-                        kept.sort(reverse=True)
-                        del kept[n:]
-        yield pd.DataFrame([(x, c, r) for x, kept in zip(names_of, best) for r, c in kept], columns=["label", "candidate", "ratio"])
-
-    return known.mapInPandas(run, "label string, candidate string, ratio double")
+def _held_against(dealt: DataFrame, labels: pd.DataFrame, n: int, cutoff: float) -> DataFrame:
+    """The n best, or more, of the names (candidate, chunk) for each label of a block."""
+    spark = dealt.sparkSession
+    texts, lows = labels["label"].tolist(), labels["low"].tolist()
+    rest, digits = split(counts(lows))
+    letters, of = distinct(rest)
+
+    def each_chunk(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Chunk]]:
+        rows = pd.concat(batches, ignore_index=True) if (batches := list(batches)) else pd.DataFrame({"candidate": [], "chunk": []})
+        for chunk, own in rows.groupby("chunk"):
+            yield int(chunk), Chunk(own["candidate"].tolist())
+
+    def tops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, names_ in each_chunk(batches):
+            yield pd.DataFrame({"letters": np.arange(len(shared.value[0])), "chunk": chunk, "top": [names_.top(x) for x in shared.value[0]]})
+
+    shared = spark.sparkContext.broadcast((letters,))
+    order = W.partitionBy("letters").orderBy(F.desc("top"), F.xxhash64("letters", "chunk"))
+    ranked = dealt.mapInPandas(tops, "letters int, chunk int, top double").withColumn("r", F.row_number().over(order)).where(F.col("r") <= HOMES)
+    homes: dict[int, set[int]] = {}
+    for r in ranked.select("letters", "chunk").toPandas().itertuples():
+        homes.setdefault(r.letters, set()).add(r.chunk)
+
+    def searched(best: list[list[tuple[float, str]]], at_home: bool) -> DataFrame:
+        block = spark.sparkContext.broadcast((texts, lows, letters, np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(len(letters) + 1)), digits, homes, best))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            texts, lows, letters, order, first, digits, homes, best = block.value
+            for chunk, names_ in each_chunk(batches):
+                found = []
+                for k, own in enumerate(letters):
+                    if (chunk in homes.get(k, ())) != at_home:
+                        continue
+                    shared, size, some = common(names_.letters, own), int(own.sum()), order[first[k] : first[k + 1]]
+                    if len(some) * len(shared) <= 1 << 20:
+                        bars = np.array([best[at][-1][0] if len(best[at]) == n else cutoff for at in some])
+                        some = some[names_.reach(shared, size, digits[some].sum(1, dtype=np.int64)[:, None], bars[:, None]).any(1)]
+                    for at in some:
+                        mine = list(best[at])
+                        names_.search(lows[at], digits[at], size, shared, mine, n, cutoff)
+                        found += [(texts[at], c, r) for r, c in mine if (r, c) not in best[at]]
+                yield pd.DataFrame(found, columns=["label", "candidate", "ratio"])
+
+        return dealt.mapInPandas(run, "label string, candidate string, ratio double")
+
+    first = cut(searched([[] for _ in lows], True))
+    at, best = {x: k for k, x in enumerate(texts)}, [[] for _ in lows]
+    for r in first.toPandas().itertuples():
+        best[at[r.label]].append((r.ratio, r.candidate))
+    best = [sorted(x, reverse=True)[:n] for x in best]
+    return first.unionByName(searched(best, False))
 
 
 def links_to_add(docs: DataFrame, files: DataFrame, requests: DataFrame, section: str | None = None) -> DataFrame:

@@ -74,6 +74,52 @@ def test_close_names_as_difflib(spark):
         assert [c for _, c in sorted(got.get(label, []), reverse=True)] == difflib.get_close_matches(label, names, n=3, cutoff=0.6), label
 
 
+def test_close_names_of_a_series(spark, monkeypatch):
+    """A label shares the letters of a fifth of all names; only those whose digits and their order can come up to the third best are compared."""
+    import difflib
+
+    from quillgrid.operators import closeness
+
+    words = ["large ring", "old plate", "blue rod", "hot bolt", "new anvil"]
+    names = [f"{words[k % 5]}-{k * 7919 % 100_000}" for k in range(3_000)]
+    chunk, compared = closeness.Chunk(names), []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    labels = [x[:2] + x[3:] for x in names[::100]]
+    want = {x: [(difflib.SequenceMatcher(None, c, x).ratio(), c) for c in difflib.get_close_matches(x, names)] for x in labels}
+    monkeypatch.setattr(closeness.difflib, "SequenceMatcher", Counted)
+    rest, digits = closeness.split(closeness.counts(labels))
+    for k, label in enumerate(labels):
+        best = []
+        chunk.search(label, digits[k], int(rest[k].sum()), closeness.common(chunk.letters, rest[k]), best, 3, 0.6)
+        assert best == want[label]
+    assert len(compared) <= 30 * len(labels)
+
+
+def test_close_names_in_chunks(spark, monkeypatch):
+    """Labels in blocks, names in many chunks: as all pairs, with names that no first chunk has."""
+    import difflib
+
+    from quillgrid.operators import edits
+
+    monkeypatch.setattr(edits, "BLOCK", 20)
+    monkeypatch.setattr(edits, "CHUNK", 40)
+    monkeypatch.setattr(edits, "HOMES", 1)
+    names = sorted({f"{w}{k % 37}{e}" for k in range(150) for w, e in (("note-", ""), ("Note ", "é"), ("", "-etons"), ("plan", "x" * (k % 5)))} | {"", "a", "1", "x" * 100, "y" * 80 + "note-1"})
+    labels = [*names[::9], "not-12", "1-note", "plaan7x", "étons-3", "zzz", "x" * 97, "12", "y" * 79 + "note-1"]
+    got = {}
+    for r in edits.close_names(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame([(x,) for x in names], "name string")).collect():
+        got.setdefault(r.label, []).append((r.ratio, r.candidate))
+    for label in labels:
+        assert [c for _, c in sorted(got.get(label, []), reverse=True)] == difflib.get_close_matches(label.lower(), names, n=3, cutoff=0.6), label
+    nothing = spark.createDataFrame([], "label string")
+    assert edits.close_names(nothing, spark.createDataFrame([("a",)], "name string")).count() == 0
+
+
 def test_fuzzy_link_targets(spark):
     import difflib
 
